@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetmill.operators import compare, nested
+from facetmill.operators import compare, nested, units
 from facetmill.sources.tables import table
 
 CELL_RULES = {"part2": compare.Rule("number", 1e-9), "textract": compare.Rule("number", 1e-9), "status": compare.Rule("label")}
@@ -30,8 +30,18 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return _flat("cells")(spark, d).select("rec_id", "row_no", "col_no").distinct()
 
 
+def p6_amounts(spark: SparkSession, d: str) -> DataFrame:
+    """Every fact that names a cell, with both amounts in common units and where the unit was stated."""
+    rows = units.cell_facts(table(spark, d, "filing_records"), table(spark, d, "tagged_facts"))
+    return units.convert(rows, units.meanings(rows)).distinct()
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_amounts(spark, d).filter("differs").select("fact_id").distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p5_found": p5_found} | {f"p5_{n}": _flat(n) for n in ("tables", "rows", "columns", "cells", "printed", "scales")}
+    return {"p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_amounts": p6_amounts} | {f"p5_{n}": _flat(n) for n in ("tables", "rows", "columns", "cells", "printed", "scales")}
 
 
 LATEST = """WITH a AS (SELECT * FROM table_cells QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY loaded_at DESC NULLS LAST, part2 DESC NULLS LAST, textract DESC NULLS LAST, status DESC NULLS LAST) = 1),
