@@ -7,10 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetmill.llm import boilerplate, chunking
+from facetmill.llm import boilerplate, canonical, chunking
 from facetmill.sources.tables import table
 
 
+def p1_forms(spark: SparkSession, d: str) -> DataFrame:
+    """The consistent form of every text of the filings."""
+    return table(spark, d, "filing_records").select("rec_id", canonical.canonical(F.col("text")).alias("form")).distinct()
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Labels that look like a linkbase label, and records that look alike, in other characters."""
+    labels = canonical.same_look_as(table(spark, d, "table_cells"), "cell_id", "label", table(spark, d, "label_linkbase"), "label_id", "label")
+    texts = canonical.same_look(table(spark, d, "filing_records"), "rec_id", "text")
+    return labels.select(F.lit("label").alias("field"), "key_a", "key_b").unionAll(texts.select(F.lit("text").alias("field"), "key_a", "key_b"))
+
+
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     """Every block of the filings in ordered pieces within the limit of its type."""
     records = table(spark, d, "filing_records")
@@ -37,7 +49,7 @@ def p3_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_clean)}
+    return {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_pieces, p3_found, p3_clean)}
 
 
 REPEATED = r"""
