@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetmill.llm import boilerplate, canonical, chunking
+from facetmill.llm import boilerplate, canonical, chunking, leakage
 from facetmill.sources.tables import table
 
 
@@ -48,8 +48,17 @@ def p3_clean(spark: SparkSession, d: str) -> DataFrame:
     return clean.select("rec_id", "clean_text", F.size("removed_lines").cast("bigint").alias("n_removed"))
 
 
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold a passage of an evaluation item, and how much of it."""
+    return leakage.leaked_items(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_leaks(spark, d).select("doc_id", "item_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_pieces, p3_found, p3_clean)}
+    return {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_pieces, p3_found, p3_clean, p7_found, p7_leaks)}
 
 
 REPEATED = r"""
