@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetmill.llm import boilerplate, canonical, chunking, leakage
+from facetmill.llm import boilerplate, canonical, chunking, leakage, mixing, quality
 from facetmill.sources.tables import table
 
 
@@ -57,8 +57,37 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_leaks(spark, d).select("doc_id", "item_id")
 
 
+def _mixed(spark: SparkSession, d: str):
+    docs = table(spark, d, "documents")
+    return mixing.mix(docs, "doc_id", "source", mixing.token_count(F.col("text")), table(spark, d, "mix_targets"))
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    """Documents mixed to the target shares, in order of virtual finish time."""
+    return _mixed(spark, d)[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The share of the tokens that each source reached."""
+    return _mixed(spark, d)[1]()
+
+
+def p9_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with its features and its kind by the learned rules."""
+    return quality.document_kinds(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "doc_labels"), "kind")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_kinds(spark, d).filter("kind <> 'prose'").select("doc_id", "kind").distinct()
+
+
+def p9_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Plain text statistics of every document."""
+    return quality.statistics(table(spark, d, "documents").select("doc_id", "text"), "text").drop("text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_pieces, p3_found, p3_clean, p7_found, p7_leaks)}
+    return {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_pieces, p3_found, p3_clean, p7_found, p7_leaks, p8_mix, p8_shares, p9_found, p9_kinds, p9_stats)}
 
 
 REPEATED = r"""
@@ -81,7 +110,15 @@ WITH lines AS (
 
 
 def oracle_sql() -> dict[str, str]:
+    common = ", ".join(f"'{w}'" for w in dict.fromkeys(quality.COMMON))
     return {
+        "p9_stats": f"""WITH w AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{Nd}}]+') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\s\\p{{Z}}\\x0b\\x1c-\\x1f\\x85]')) AS lines FROM documents)
+        SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(length(array_to_string(words, '')) / nullif(len(words), 0), 0) AS mean_word_length,
+        coalesce(length(regexp_replace(text, '[\\p{{L}}\\p{{M}}\\p{{Nd}}\\s\xa0]', '', 'g')) / nullif(length(text), 0), 0) AS symbol_ratio, coalesce(length(regexp_replace(text, '[^\\p{{Nd}}]', '', 'g')) / nullif(length(text), 0), 0) AS digit_ratio,
+        coalesce(length(regexp_replace(text, '[^\\p{{Lu}}]', '', 'g')) / nullif(length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')), 0), 0) AS upper_ratio,
+        coalesce(len(list_filter(words, lambda x: x IN ({common}))) / nullif(len(words), 0), 0) AS share_common,
+        coalesce(len(list_filter(lines, lambda x: regexp_matches(x, '[.!?:;…。！？]["''”’)\\]]*\\s*$'))) / nullif(len(lines), 0), 0) AS share_punctuated,
+        CAST(len(lines) AS BIGINT) AS n_lines, coalesce(length(array_to_string(lines, '')) / nullif(len(lines), 0), 0) AS mean_line_length FROM w""",
         "p2_found": "SELECT DISTINCT rec_id FROM filing_records r JOIN chunk_limits c USING (block_type) WHERE length(r.text) > c.max_chars",
         "p3_found": REPEATED + "SELECT rec_id, CAST(line_no AS INTEGER) AS line_no FROM hits",
         "p3_clean": REPEATED
