@@ -162,12 +162,20 @@ def _consistent(text: pd.Series) -> pd.Series:
     return text.map(consistent, na_action="ignore")
 
 
+# Greek small letters without a look-alike in the table above, which stand alone as symbols in Latin text.
+LONE = "βγδεζηθλμξπστφχψω"
+# Characters outside ASCII that are their own form wherever they stand: composed Latin letters, dashes and marks.
+OWN = "À-ÖØ-öø-ıĴ-ľŁ-ňŊ-ž–—•€£¢¥§©®°±×÷¹²³«»¡¿“”‘’"
+SUSPECT = rf"[^\x20-\x7e\n{OWN}{LONE}]|[\p{{L}}\p{{M}}][{LONE}]|[{LONE}][\p{{L}}\p{{M}}]|  | \n|\n |^[ \n]|[ \n]$"
+
+
 def canonical(text: Column) -> Column:
     """The consistent form of a text column; null stays null, blank text becomes empty.
 
-    Text of printable ASCII without outer or doubled white space is its own form and is not sent to Python.
+    Text of characters that are their own form, without outer or doubled white space, is its own form and is not
+    sent to Python.
     """
-    plain = ~text.rlike(r"[^\x20-\x7e\n]|  | \n|\n |^[ \n]|[ \n]$")
+    plain = ~text.rlike(SUSPECT)
     return F.when(plain, text).otherwise(_consistent(F.when(~plain, text)))
 
 
