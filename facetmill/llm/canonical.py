@@ -166,7 +166,17 @@ def _consistent(text: pd.Series) -> pd.Series:
 LONE = "βγδεζηθλμξπστφχψω"
 # Characters outside ASCII that are their own form wherever they stand: composed Latin letters, dashes and marks.
 OWN = "À-ÖØ-öø-ıĴ-ľŁ-ňŊ-ž–—•€£¢¥§©®°±×÷¹²³«»¡¿“”‘’"
-SUSPECT = rf"[^\x20-\x7e\n{OWN}{LONE}]|[\p{{L}}\p{{M}}][{LONE}]|[{LONE}][\p{{L}}\p{{M}}]|  | \n|\n |^[ \n]|[ \n]$"
+FOREIGN = rf"[^{OWN}{LONE}]"
+NOT_ALONE = r"[β-ω](?:(?=[\p{L}\p{M}])|(?<=[\p{L}\p{M}][β-ω]))"
+CONTROL = r"[\x00-\x09\x0b-\x1f\x7f]"
+
+
+def is_canonical(text: Column) -> Column:
+    """True where a text is surely its own consistent form; cheap byte tests come before the patterns."""
+    spaced = text.contains("  ") | text.contains(" \n") | text.contains("\n ") | text.startswith(" ") | text.startswith("\n") | text.endswith(" ") | text.endswith("\n")
+    beyond = F.regexp_replace(text, r"[\x00-\x7f]+", "")  # mostly a few characters
+    other = (F.octet_length(text) != F.char_length(text)) & (beyond.rlike(FOREIGN) | (beyond.rlike("[β-ω]") & text.rlike(NOT_ALONE)))
+    return ~(spaced | text.rlike(CONTROL) | other)
 
 
 def canonical(text: Column) -> Column:
@@ -175,7 +185,7 @@ def canonical(text: Column) -> Column:
     Text of characters that are their own form, without outer or doubled white space, is its own form and is not
     sent to Python.
     """
-    plain = ~text.rlike(SUSPECT)
+    plain = is_canonical(text)
     return F.when(plain, text).otherwise(_consistent(F.when(~plain, text)))
 
 
