@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from facetmill.functions.text import FOOTNOTE_MARK
+from facetmill.functions.text import FOOTNOTE_MARK, let
 
 # Dashes that stand for zero, and the named scale factors in the order they are tried.
+PLAIN_NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 ZERO_DASHES = ("-", "–", "—", "−")
 SCALE_WORDS = {"thousand": 1e3, "million": 1e6, "billion": 1e9}
 SCALE_FACTORS = ((1e3, "scale_x1000"), (1e6, "scale_x1e+06"), (1e9, "scale_x1e+09"), (1e-3, "scale_x0.001"), (1e-6, "scale_x1e-06"), (1e-9, "scale_x1e-09"))
@@ -19,30 +20,33 @@ def to_number(cell: Column) -> Column:
     Footnote marks at the end are dropped, a lone dash is 0, a parenthesis or dash in front is a minus even if
     unclosed. Words such as ``nan`` are no numbers here.
     """
-    s = F.regexp_replace(F.trim(cell), FOOTNOTE_MARK, "")
-    s = F.translate(s, "$, ", "")
-    lone = s.isin(*ZERO_DASHES)
-    bracket = s.startswith("(")
-    s = F.regexp_replace(s, r"^[()]+|[()]+$", "")
-    dash = F.substring(s, 1, 1).isin(*ZERO_DASHES)
-    s = F.when(dash, F.substring(s, F.lit(2), F.char_length(s))).otherwise(s)
-    pct = s.endswith("%")
-    digits = F.regexp_replace(s, "%+$", "")
-    value = F.when(digits.rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"), digits.try_cast("double"))
-    value = F.when(lone, F.lit(0.0)).when(bracket | dash, -value).otherwise(value)
-    return F.struct(value.alias("value"), F.when(pct & ~lone & value.isNotNull(), "pct").otherwise("num").alias("unit"))
+
+    def read(s: Column) -> Column:
+        lone = s.isin(*ZERO_DASHES)
+        bare = F.regexp_replace(s, r"^[()]+|[()]+$", "")
+
+        def number(u: Column) -> Column:
+            dash = F.substring(u, 1, 1).isin(*ZERO_DASHES)
+            digits = F.regexp_replace(u, rf"^[{''.join(ZERO_DASHES[1:])}-]|%+$", "")
+            value = F.when(digits.rlike(PLAIN_NUMBER), digits.try_cast("double"))
+            value = F.when(lone, F.lit(0.0)).when(s.startswith("(") | dash, -value).otherwise(value)
+            return let(value, lambda v: F.struct(v.alias("value"), F.when(u.endswith("%") & ~lone & v.isNotNull(), "pct").otherwise("num").alias("unit")))
+
+        return let(bare, number)
+
+    return let(F.translate(F.regexp_replace(F.trim(cell), FOOTNOTE_MARK, ""), "$, ", ""), read)
 
 
 def as_number(cell: Column) -> Column:
     """A plain number with commas, null for anything else and for NaN."""
     x = F.replace(F.trim(cell), F.lit(","), F.lit(""))
-    return F.when(x.rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"), x.try_cast("double"))
+    return F.when(x.rlike(PLAIN_NUMBER), x.try_cast("double"))
 
 
 def plain_value(cell: Column) -> Column:
     """struct<s string, n double>: blank as null, a number as number, else the text."""
     blank = F.trim(cell) == ""
-    n = F.when(F.trim(cell).rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"), F.trim(cell).try_cast("double"))
+    n = F.when(F.trim(cell).rlike(PLAIN_NUMBER), F.trim(cell).try_cast("double"))
     return F.struct(F.when(~blank & n.isNull(), cell).alias("s"), n.alias("n"))
 
 

@@ -22,6 +22,11 @@ DASHES = "‐‑‒–—―−"
 FOOTNOTE_MARK = r"(?<=[0-9)])\s*\([0-9]\)$|\s*(?:\([a-z]\)|\*+|\[[0-9]+\])$"
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once per row, so that long chains do not multiply when plans are collapsed."""
+    return F.transform(F.array(value), use)[0]
+
+
 def words(text: Column) -> Column:
     """Non-empty runs between white space (an empty text has none)."""
     return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
@@ -127,17 +132,23 @@ def snippet(text: Column, needle: Column, width: int = 80) -> Column:
     return F.concat(F.when(start > 0, "...").otherwise(""), F.substring(text, start + 1, stop - start), F.lit("..."))
 
 
-def word_codes(reference: Column, hypothesis: Column) -> tuple[Column, Column]:
-    """Two word arrays as texts with one code point per distinct word of the pair, so that ``levenshtein`` counts words.
+def strip(text: Column) -> Column:
+    """Without outer white space of any kind."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def word_distance(reference: Column, hypothesis: Column) -> Column:
+    """Levenshtein distance of two word arrays.
 
-    Up to about 35,000 distinct words per pair fit the code points from U+4E00 on.
+    Each distinct word of the pair becomes one code point from U+4E00 on (about 35,000 fit), so the built-in
+    distance of texts counts words. The dictionary is bound once per pair by the outer transform.
     """
-    known = F.array_distinct(F.concat(reference, hypothesis))
 
-    def coded(a: Column) -> Column:
-        return F.array_join(F.transform(a, lambda w: F.decode(F.unhex(F.hex((F.lit(19968) + F.array_position(known, w)).cast("int"))), "UTF-16BE")), "")
+    def coded(a: Column, known: Column) -> Column:
+        return F.array_join(F.transform(a, lambda w: F.decode(F.unhex(F.hex((F.lit(19967) + F.array_position(known, w)).cast("int"))), "UTF-16BE")), "")
 
-    return coded(reference), coded(hypothesis)
+    pair = F.array(F.struct(reference.alias("a"), hypothesis.alias("b"), F.array_distinct(F.concat(reference, hypothesis)).alias("known")))
+    return F.transform(pair, lambda p: F.levenshtein(coded(p["a"], p["known"]), coded(p["b"], p["known"])))[0]
 
 
 def error_rate(distance: Column, size: Column, other: Column) -> Column:
@@ -147,8 +158,7 @@ def error_rate(distance: Column, size: Column, other: Column) -> Column:
 
 def word_error_rate(reference: Column, hypothesis: Column) -> Column:
     a, b = words(reference), words(hypothesis)
-    x, y = word_codes(a, b)
-    return error_rate(F.levenshtein(x, y), F.size(a), F.size(b))
+    return error_rate(word_distance(a, b), F.size(a), F.size(b))
 
 
 def char_error_rate(reference: Column, hypothesis: Column) -> Column:

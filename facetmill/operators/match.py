@@ -60,6 +60,8 @@ def nearest_labels(missing: DataFrame, known: DataFrame, cutoff: float = 0.88) -
     ``known`` is a label linkbase, a fixed vocabulary: it is joined to the distinct missing labels by length band
     (similarity r of lengths a, b needs 2 min / (a + b) >= r), the length being part of the join key.
     """
+    if cutoff > 1:
+        return missing.select("lab", F.lit(None).cast("string").alias("near")).limit(0)
     m = missing.select("lab").distinct().withColumn("la", F.char_length("lab"))
     reach = (2 - cutoff) / cutoff
     m = m.withColumn("lb", F.explode(F.sequence(F.ceil(F.col("la") / reach).cast("int"), F.floor(F.col("la") * reach).cast("int"))))
@@ -109,7 +111,7 @@ def reconcile(mapped: DataFrame, facts: DataFrame) -> DataFrame:
     """
     ends, index = fiscal_year_ends(facts), index_facts(facts)
     instants = facts.filter("instant").groupBy("doc_id", "concept", F.year("end_date").alias("year")).agg(F.max("end_date").alias("last_end"))
-    base = mapped.withColumn("fm_row", F.monotonically_increasing_id()).withColumn("fm_none", F.size("concepts") == 0)
+    base = mapped.withColumn("fm_row", F.monotonically_increasing_id()).withColumn("fm_none", F.coalesce(F.size("concepts"), F.lit(0)) <= 0)
     tried = base.select("*", F.posexplode_outer("concepts").alias("pos", "c"))
     opening = F.col("c.period_type").eqNullSafe("instant") & F.lower("label").contains("beginning")
     tried = tried.withColumn("fm_year", F.when(opening, F.col("year") - 1).otherwise(F.col("year"))).withColumn("fm_opening", opening)

@@ -72,7 +72,7 @@ def with_sections(blocks: DataFrame, doc: Sequence[str], order: Sequence[str], i
 
 def previous_line(blocks: DataFrame, page: Sequence[str], order: Sequence[str], kind: str = "block_type", name: str = "context") -> DataFrame:
     """Adds the first line of the last qualifying block before each block on its page: no table, over 10 characters, not in parentheses; else ''."""
-    line = F.trim(tx.first_line(F.trim("text")))
+    line = tx.strip(tx.first_line(tx.strip(F.col("text"))))
     ok = (F.col(kind) != "Table") & (F.char_length(line) > 10) & ~line.startswith("(")
     w = Window.partitionBy(*page).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return blocks.withColumn(name, F.coalesce(F.last(F.when(ok, line), True).over(w), F.lit("")))
@@ -154,7 +154,8 @@ def search(records: DataFrame, query: str, order: Sequence[str], keep: Sequence[
 
 def trace(markdown: Column, block_id: Column) -> Column:
     """What follows a block's provenance comment in the Markdown, up to the next chunk break."""
-    return F.regexp_extract(markdown, F.concat(F.lit(r"<!-- \S+ p\d+ "), block_id, F.lit(r" -->\n\n((?s:.*?))(?:\n\n|$)")), 1)
+    after = F.split_part(markdown, F.concat(F.lit(" "), block_id, F.lit(" -->\n\n")), F.lit(2))
+    return F.split_part(after, F.lit("\n\n"), F.lit(1))
 
 
 def ocr_decision(t: Column, image_coverage: Column, min_chars: int = 50, junk: float = 0.3, coverage: float = 0.6) -> Column:

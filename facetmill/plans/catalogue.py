@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from facetmill.plans import data_problems
+from facetmill.plans import data_problems, table_queries, text_queries
 
-MODULES = (data_problems,)
+MODULES = (data_problems, text_queries, table_queries)
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return data_problems.p4_diff(spark, d)
+    return table_queries.reconcile(spark, d)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
