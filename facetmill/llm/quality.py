@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from facetmill.functions.text import let
+
 # Function words of Latin-script languages that prose does not do without.
 COMMON = """the of and to a in for is was on that by with as at from or an be are were which will its their this has have had not we our
 it der die das und den dem des ein eine einen im von zu mit auf für ist wurde wurden hatte bei aus nach um wegen le la les des du de et un une en
@@ -28,6 +30,7 @@ FIGURE = r"(?<![\w.,])[(\-−–$€£]*\d[\d.,]*%?\)?(?![\w])|(?<![\w—–-])[
 LONG = r"[A-Za-z0-9+/=]{28,}|([=_~*#.-])\1{7,}"
 GLYPH = r"\(cid:\d+\)|�"
 MOJIBAKE = r"[ÃÂÅâ€™¸¤¬¦¨¯¢\u0080-\u009f](?=[ÃÂÅâ€™¸¤¬¦§¨©¯±¢¼½¾³º\u0080-\u009f  a-zA-Z])"
+OTHER_SCRIPT = r"[\p{IsGreek}\p{IsCyrillic}\p{IsArabic}\p{IsHebrew}\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}\p{IsThai}\p{IsDevanagari}]{3}"
 ODD = r"[{}\\^~<>@#_=+¤¬§`\[\]]"
 
 STATISTICS = ("n_words", "mean_word_length", "symbol_ratio", "digit_ratio", "upper_ratio", "share_common", "share_punctuated", "n_lines", "mean_line_length")
@@ -45,6 +48,15 @@ def _kept(text: Column, pattern: str) -> Column:
     return _ratio(n - F.char_length(F.regexp_replace(text, pattern, "")), n)
 
 
+def _tokens(s: Column) -> Column:
+    return F.filter(F.split(F.lower(s), r"[^\p{L}\p{M}\p{Nd}]+"), lambda w: w != "")
+
+
+def _counts(s: Column, tokens: Column) -> Column:
+    """struct of the runs of letters, figures and function words of a unit."""
+    return F.struct(F.regexp_count(s, F.lit(r"\p{L}+")).alias("letters"), F.regexp_count(s, F.lit(FIGURE)).alias("figures"), F.size(F.filter(tokens, lambda w: w.isin(*dict.fromkeys(COMMON)))).alias("usual"))
+
+
 def statistics(df: DataFrame, text: str) -> DataFrame:
     """``df`` with the plain statistics of its text (replacing columns of these names).
 
@@ -57,7 +69,6 @@ def statistics(df: DataFrame, text: str) -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     work = base.withColumn("fm_words", F.regexp_extract_all(F.lower(t), F.lit(r"[\p{L}\p{M}\p{Nd}]+"), F.lit(0))).withColumn("fm_lines", F.filter(F.split(t, "\n"), lambda x: x.rlike(r"(?U)\S")))
     words, lines, n = F.col("fm_words"), F.col("fm_lines"), F.char_length(t)
-    common = F.array(*[F.lit(w) for w in dict.fromkeys(COMMON)])
     size = lambda pattern: F.char_length(F.regexp_replace(t, pattern, ""))
     return work.select(
         *[F.col(f"`{c}`") for c in base.columns],
@@ -66,7 +77,7 @@ def statistics(df: DataFrame, text: str) -> DataFrame:
         _ratio(size(r"[\p{L}\p{M}\p{Nd}\s ]"), n).alias("symbol_ratio"),
         _ratio(size(r"[^\p{Nd}]"), n).alias("digit_ratio"),
         _ratio(size(r"[^\p{Lu}]"), size(r"[^\p{L}]")).alias("upper_ratio"),
-        _ratio(F.size(F.filter(words, lambda w: F.array_contains(common, w))), F.size(words)).alias("share_common"),
+        _ratio(F.size(F.filter(words, lambda w: w.isin(*dict.fromkeys(COMMON)))), F.size(words)).alias("share_common"),
         _ratio(F.size(F.filter(lines, lambda x: x.rlike(r"[.!?:;…。！？][\"'”’)\]]*\s*$"))), F.size(lines)).alias("share_punctuated"),
         F.size(lines).cast("bigint").alias("n_lines"),
         _ratio(F.char_length(F.array_join(lines, "")), F.size(lines)).alias("mean_line_length"),
@@ -84,22 +95,18 @@ def features(df: DataFrame, text: str) -> DataFrame:
     base = statistics(df.drop(*FEATURES), text)
     t = F.coalesce(F.col(text), F.lit(""))
     units = F.filter(F.split(t, SPLIT), lambda x: x.rlike(r"(?U)\S"))
-    common = "|".join(dict.fromkeys(COMMON))
 
     def one(u: Column) -> Column:
-        s = F.trim(u)
-        tokens = F.filter(F.split(F.lower(s), r"[^\p{L}\p{M}\p{Nd}]+"), lambda w: w != "")
-        letters = F.regexp_count(s, F.lit(r"\p{L}+"))
-        figures = F.regexp_count(s, F.lit(FIGURE))
-        usual = F.regexp_count(F.lower(s), F.lit(rf"(?U)\b(?:{common})\b"))
-        other = s.rlike(r"[\p{IsGreek}\p{IsCyrillic}\p{IsArabic}\p{IsHebrew}\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}\p{IsThai}\p{IsDevanagari}]{3}")
+        return let(F.trim(u), lambda s: let(_tokens(s), lambda tokens: let(_counts(s, tokens), lambda c: F.struct(kind_of(u, s, tokens, c).alias("kind"), F.char_length(s).alias("n")))))
+
+    def kind_of(u: Column, s: Column, tokens: Column, c: Column) -> Column:
+        letters, figures, usual = c["letters"], c["figures"], c["usual"]
         garbled = (_kept(s, LONG) > 0.5) | (_kept(s, MOJIBAKE) > 0.1) | (_kept(s, ODD) > 0.1)
         row = (figures >= 2) & (figures * 5 >= letters + figures) & s.rlike(r"[\d)%—–-]\s*\|?$") & ~s.rlike(r"[a-z][.!?]$")
         repeat = (F.size(tokens) >= 8) & (F.size(F.array_distinct(tokens)) * 4 <= F.size(tokens))
-        salad = (letters >= 8) & (usual * 12 < letters) & ~other
+        salad = (letters >= 8) & (usual * 12 < letters) & ~s.rlike(OTHER_SCRIPT)
         bare = (letters <= 7) & (usual * 4 <= letters) & (~s.rlike(r"[.!?]$") | s.rlike(r"\b\p{Lu}\w{0,3}\.$"))
-        kind = F.when(_kept(s, GLYPH) > 0.25, "junk").when(row, "row").when(garbled, "junk").when(u.rlike(MARKER), "list").when(repeat | salad, "junk").when(bare, "list").otherwise("sentence")
-        return F.struct(kind.alias("kind"), F.char_length(s).alias("n"))
+        return F.when(_kept(s, GLYPH) > 0.25, "junk").when(row, "row").when(garbled, "junk").when(u.rlike(MARKER), "list").when(repeat | salad, "junk").when(bare, "list").otherwise("sentence")
 
     work = base.withColumn("fm_units", F.transform(units, one))
     total = F.aggregate("fm_units", F.lit(0), lambda a, u: a + u["n"])
