@@ -24,9 +24,9 @@ it der die das und den dem des ein eine einen im von zu mit auf für ist wurde w
 dans est sur par pour aux au ses son leur a été el los las del y que se por con una su al sobre il lo gli di che per sono non nel della o os
 do da em uma het een van met op zijn och att som""".split()
 
-SPLIT = r"\n|(?<=[\p{Ll}%)][.!?])[ ]+|(?<=\S\S\d[.!?])[ ]+"
+SPLIT = r"\n| (?:(?<=[\p{Ll}%)][.!?] )|(?<=\S\S\d[.!?] )) *"
 MARKER = r"^\s*(?:[-*•·>◦▪–—+]|\(?(?:\d{1,3}|[ivxlc]{1,5}|[IVXLC]{1,5}|[A-Za-z])[.)])\s+\S"
-FIGURE = r"(?<![\w.,])[(\-−–$€£]*\d[\d.,]*%?\)?(?![\w])|(?<![\w—–-])[—–-](?![\w—–-])"
+FIGURE = r"^[(\-−–$€£]*\d[\d.,]*%?\)?$|^[—–-]$"
 LONG = r"[A-Za-z0-9+/=]{28,}|([=_~*#.-])\1{7,}"
 GLYPH = r"\(cid:\d+\)|�"
 MOJIBAKE = r"[ÃÂÅâ€™¸¤¬¦¨¯¢\u0080-\u009f](?=[ÃÂÅâ€™¸¤¬¦§¨©¯±¢¼½¾³º\u0080-\u009f  a-zA-Z])"
@@ -48,13 +48,20 @@ def _kept(text: Column, pattern: str) -> Column:
     return _ratio(n - F.char_length(F.regexp_replace(text, pattern, "")), n)
 
 
+def _ascii(s: Column) -> Column:
+    return F.octet_length(s) == F.char_length(s)
+
+
 def _tokens(s: Column) -> Column:
-    return F.filter(F.split(F.lower(s), r"[^\p{L}\p{M}\p{Nd}]+"), lambda w: w != "")
+    """Lower-case runs of letters, marks and digits; ASCII text takes the cheaper pattern."""
+    low = F.lower(s)
+    return F.filter(F.when(_ascii(s), F.split(low, "[^a-z0-9]+")).otherwise(F.split(low, r"[^\p{L}\p{M}\p{Nd}]+")), lambda w: w != "")
 
 
 def _counts(s: Column, tokens: Column) -> Column:
-    """struct of the runs of letters, figures and function words of a unit."""
-    return F.struct(F.regexp_count(s, F.lit(r"\p{L}+")).alias("letters"), F.regexp_count(s, F.lit(FIGURE)).alias("figures"), F.size(F.filter(tokens, lambda w: w.isin(*dict.fromkeys(COMMON)))).alias("usual"))
+    """struct of the word-like tokens, figures and function words of a unit."""
+    cells = F.filter(F.split(s, r"[\s|;]+"), lambda x: x.rlike(FIGURE))
+    return F.struct(F.size(F.filter(tokens, lambda w: ~w.rlike("^[0-9]"))).alias("letters"), F.size(cells).alias("figures"), F.size(F.filter(tokens, lambda w: w.isin(*dict.fromkeys(COMMON)))).alias("usual"))
 
 
 def statistics(df: DataFrame, text: str) -> DataFrame:
@@ -67,16 +74,20 @@ def statistics(df: DataFrame, text: str) -> DataFrame:
     """
     base = df.drop(*STATISTICS)
     t = F.coalesce(F.col(text), F.lit(""))
-    work = base.withColumn("fm_words", F.regexp_extract_all(F.lower(t), F.lit(r"[\p{L}\p{M}\p{Nd}]+"), F.lit(0))).withColumn("fm_lines", F.filter(F.split(t, "\n"), lambda x: x.rlike(r"(?U)\S")))
+    work = base.withColumn("fm_words", _tokens(t)).withColumn("fm_lines", F.filter(F.split(t, "\n"), lambda x: x.rlike(r"(?U)\S")))
     words, lines, n = F.col("fm_words"), F.col("fm_lines"), F.char_length(t)
-    size = lambda pattern: F.char_length(F.regexp_replace(t, pattern, ""))
+    ascii_only = _ascii(t)
+
+    def size(pattern: str, plain: str) -> Column:
+        return F.char_length(F.when(ascii_only, F.regexp_replace(t, plain, "")).otherwise(F.regexp_replace(t, pattern, "")))
+
     return work.select(
         *[F.col(f"`{c}`") for c in base.columns],
         F.size(words).cast("bigint").alias("n_words"),
         _ratio(F.char_length(F.array_join(words, "")), F.size(words)).alias("mean_word_length"),
-        _ratio(size(r"[\p{L}\p{M}\p{Nd}\s ]"), n).alias("symbol_ratio"),
-        _ratio(size(r"[^\p{Nd}]"), n).alias("digit_ratio"),
-        _ratio(size(r"[^\p{Lu}]"), size(r"[^\p{L}]")).alias("upper_ratio"),
+        _ratio(size(r"[\p{L}\p{M}\p{Nd}\s ]+", r"[A-Za-z0-9\s]+"), n).alias("symbol_ratio"),
+        _ratio(size(r"[^\p{Nd}]+", "[^0-9]+"), n).alias("digit_ratio"),
+        _ratio(size(r"[^\p{Lu}]+", "[^A-Z]+"), size(r"[^\p{L}]+", "[^A-Za-z]+")).alias("upper_ratio"),
         _ratio(F.size(F.filter(words, lambda w: w.isin(*dict.fromkeys(COMMON)))), F.size(words)).alias("share_common"),
         _ratio(F.size(F.filter(lines, lambda x: x.rlike(r"[.!?:;…。！？][\"'”’)\]]*\s*$"))), F.size(lines)).alias("share_punctuated"),
         F.size(lines).cast("bigint").alias("n_lines"),
@@ -101,7 +112,7 @@ def features(df: DataFrame, text: str) -> DataFrame:
 
     def kind_of(u: Column, s: Column, tokens: Column, c: Column) -> Column:
         letters, figures, usual = c["letters"], c["figures"], c["usual"]
-        garbled = (_kept(s, LONG) > 0.5) | (_kept(s, MOJIBAKE) > 0.1) | (_kept(s, ODD) > 0.1)
+        garbled = (_kept(s, LONG) > 0.5) | ((F.char_length(F.regexp_replace(s, r"[\x00-\x7f]+", "")) > 0.1 * F.char_length(s)) & (_kept(s, MOJIBAKE) > 0.1)) | (_kept(s, ODD) > 0.1)
         row = (figures >= 2) & (figures * 5 >= letters + figures) & s.rlike(r"[\d)%—–-]\s*\|?$") & ~s.rlike(r"[a-z][.!?]$")
         repeat = (F.size(tokens) >= 8) & (F.size(F.array_distinct(tokens)) * 4 <= F.size(tokens))
         salad = (letters >= 8) & (usual * 12 < letters) & ~s.rlike(OTHER_SCRIPT)
