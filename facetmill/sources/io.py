@@ -28,7 +28,7 @@ def decode_files(spark: SparkSession, paths: str, decoder: PageDecoder, glob: st
 
 def submissions(spark: SparkSession, paths: str) -> DataFrame:
     """path, submission: whole text files."""
-    return spark.read.option("wholetext", "true").text(paths).select(F.input_file_name().alias("path"), F.col("value").alias("submission"))
+    return spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("submission"))
 
 
 def embedded_documents(raw: DataFrame, text: str = "submission", suffixes: Sequence[str] = (".htm", ".html", ".xml", ".xsd")) -> DataFrame:
