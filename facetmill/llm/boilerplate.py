@@ -19,7 +19,8 @@ BLANK = r"(?U)^\s+|\s+$"
 def line_key(line: Column) -> Column:
     """The line without outer white space and letter case, each run of digits 0-9 as one 0."""
     trimmed = F.regexp_replace(line, BLANK, "")
-    return F.regexp_replace(F.lower(F.upper(trimmed)), "[0-9]+", "0")
+    folded = F.replace(F.lower(F.upper(trimmed)), F.lit("ß"), F.lit("ss"))
+    return F.regexp_replace(folded, "[0-9]+", "0")
 
 
 def _lines(df: DataFrame, ident: Sequence[str], text: str, source: str, page: Sequence[str]) -> DataFrame:

@@ -62,8 +62,8 @@ def _plain_form(ch: str) -> str:
         return known
     category = unicodedata.category(ch)
     out = ch
-    if ch in "\n":
-        out = "\n"
+    if ch == "\n" or ch in SPELL:
+        out = ch
     elif ch in "\u0085  \x0b\x0c\r":
         out = "\n"
     elif category == "Zs" or ch in "\t ":
@@ -134,7 +134,7 @@ def consistent(text: str) -> str:
                 scripts = choices.get(token)
                 if scripts is None:
                     scripts = choices[token] = resolved_scripts(token)
-                if len(scripts) == 1:
+                if len(scripts) == 1 and len(token) > 1:  # a lone letter may be a symbol
                     fixed[next(iter(scripts))] += 1
             around = max((s for s in SCRIPTS if fixed[s]), key=lambda s: (fixed[s], s == "LATIN"), default="LATIN")
 

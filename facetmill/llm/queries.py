@@ -96,7 +96,7 @@ WITH lines AS (
   FROM (SELECT DISTINCT rec_id, ticker, doc_id, page, block_type, text FROM filing_records)
   WHERE block_type IS DISTINCT FROM 'Table'
 ), keyed AS (
-  SELECT *, regexp_replace(lower(upper(regexp_replace(line, '^[\s\p{Z}\x0b\x1c-\x1f\x85]+|[\s\p{Z}\x0b\x1c-\x1f\x85]+$', '', 'g'))), '[0-9]+', '0', 'g') AS k FROM lines
+  SELECT *, regexp_replace(replace(lower(upper(regexp_replace(line, '^[\s\p{Z}\x0b\x1c-\x1f\x85]+|[\s\p{Z}\x0b\x1c-\x1f\x85]+$', '', 'g'))), 'ß', 'ss'), '[0-9]+', '0', 'g') AS k FROM lines
 ), pages AS (
   SELECT ticker, count(*) AS n_all FROM (SELECT DISTINCT ticker, doc_id, page FROM filing_records) GROUP BY ticker
 ), often AS (
