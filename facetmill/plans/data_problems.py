@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetmill.operators import compare, nested, units
+from facetmill.sources.checkpoint import settled
 from facetmill.sources.tables import table
 
 CELL_RULES = {"part2": compare.Rule("number", 1e-9), "textract": compare.Rule("number", 1e-9), "status": compare.Rule("label")}
@@ -32,7 +33,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_amounts(spark: SparkSession, d: str) -> DataFrame:
     """Every fact that names a cell, with both amounts in common units and where the unit was stated."""
-    rows = units.cell_facts(table(spark, d, "filing_records"), table(spark, d, "tagged_facts"))
+    rows = settled(units.cell_facts(table(spark, d, "filing_records"), table(spark, d, "tagged_facts")))
     return units.convert(rows, units.meanings(rows)).distinct()
 
 
