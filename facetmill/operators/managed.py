@@ -80,3 +80,66 @@ def compare_paths(left: DataFrame, right: DataFrame, keys: Sequence[str], value:
     x, y = F.col(names[0]), F.col(names[1])
     status = F.when(y.isNull(), f"{names[0]}_only").when(x.isNull(), f"{names[1]}_only").when(x == y, "match").otherwise("differ")
     return a.join(b, list(keys), "full_outer").withColumn("status", status)
+
+
+# What the service's layout types become.
+LAYOUT_TYPES = {"LAYOUT_TITLE": "Title", "LAYOUT_SECTION_HEADER": "Title", "LAYOUT_LIST": "List", "LAYOUT_TABLE": "Table", "LAYOUT_FIGURE": "Figure", "LAYOUT_FOOTER": "Footnote"}
+
+
+def response_blocks(blocks: DataFrame, keys: Sequence[str], width: Column, height: Column, least: float = 0.5) -> DataFrame:
+    """The blocks of each response in order: keys, n (1-based), type, bbox (points), text, confidence, table_id.
+
+    ``blocks`` carries seq, the order in the response. A layout box over a table (more than ``least`` of the smaller)
+    becomes that table; the first such box claims it and further ones vanish; one over no table is Text. Tables that
+    no box claims come by their top after the layout boxes; without layout boxes every line is a Text block.
+    """
+    k = list(keys)
+    placed = blocks.withColumn("bbox", to_points(F.col("box"), width, height))
+    filled = cells(blocks, k).select(*k, F.col("id").alias("tid")).distinct()
+    tables = placed.filter("type = 'TABLE'").select(*k, F.col("id").alias("tid"), F.col("seq").alias("tseq"), F.col("bbox").alias("tbox")).join(filled, [*k, "tid"])
+    boxes = placed.filter(F.col("type").startswith("LAYOUT_"))
+    kinds = F.create_map(*[F.lit(x) for pair in LAYOUT_TYPES.items() for x in pair])
+    typed = boxes.select(*k, "id", "seq", "bbox", F.coalesce(F.try_element_at(kinds, F.col("type")), F.lit("Text")).alias("kind"))
+    over = typed.filter("kind = 'Table'").join(tables, k).withColumn("ratio", g.overlap_of_smaller(F.col("bbox"), F.col("tbox"))).filter(F.col("ratio") > least)
+    best = over.groupBy(*k, "id", "seq").agg(F.max_by(F.struct("tid", "tbox"), F.struct("ratio", -F.col("tseq"))).alias("t"))
+    claim = best.withColumn("claim", F.row_number().over(Window.partitionBy(*k, "t.tid").orderBy("seq")))
+    said = None
+    for t in sorted({*LAYOUT_TYPES, "LAYOUT_TEXT", "LAYOUT_HEADER", "LAYOUT_PAGE_NUMBER", "LAYOUT_KEY_VALUE"}):
+        part = line_text(blocks, k, t)
+        said = part if said is None else said.unionByName(part)
+    j = typed.join(claim.select(*k, "id", "t", "claim"), [*k, "id"], "left").join(said, [*k, "id"], "left").filter("claim is null or claim = 1")
+    is_table = F.col("t").isNotNull()
+    out = j.select(*k, F.col("seq").cast("double").alias("at"), F.when(is_table, "Table").when(F.col("kind") == "Table", "Text").otherwise(F.col("kind")).alias("type"), F.when(is_table, F.col("t.tbox")).otherwise(F.col("bbox")).alias("bbox"), F.when(~is_table, F.coalesce("text", F.lit(""))).alias("text"), F.when(~is_table, F.col("confidence")).alias("confidence"), F.col("t.tid").alias("table_id"))
+    free = tables.join(claim.filter("claim = 1").select(*k, F.col("t.tid").alias("tid")), [*k, "tid"], "left_anti")
+    out = out.unionByName(free.select(*k, (F.lit(1e9) + F.col("tbox.top") / 1e4).alias("at"), F.lit("Table").alias("type"), F.col("tbox").alias("bbox"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("double").alias("confidence"), F.col("tid").alias("table_id")))
+    bare = placed.filter("type = 'LINE'").join(boxes.select(*k).distinct(), k, "left_anti")
+    out = out.unionByName(bare.select(*k, F.col("seq").cast("double").alias("at"), F.lit("Text").alias("type"), "bbox", F.coalesce("text", F.lit("")).alias("text"), F.col("confidence"), F.lit(None).cast("string").alias("table_id")))
+    return out.select(*k, F.row_number().over(Window.partitionBy(*k).orderBy("at", "type", "table_id")).alias("n"), "type", "bbox", "text", "confidence", "table_id")
+
+
+def import_checked(incoming: DataFrame, known: DataFrame, existing: DataFrame, api: str, features: str, key: str = "cache_key") -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected with reason): foreign responses with a meta, a known source, one page, this API and these features; old entries win.
+
+    Reads source_sha256 (null without a meta), pages, api and features; ``known`` holds source_sha256.
+    """
+    have = existing.select(F.col(key).alias("fm_key")).distinct().withColumn("fm_old", F.lit(True))
+    src = known.select(F.col("source_sha256").alias("fm_src")).distinct().withColumn("fm_known", F.lit(True))
+    j = incoming.join(src, F.col("source_sha256") == F.col("fm_src"), "left").join(have, F.col(key) == F.col("fm_key"), "left")
+    want = F.lit("+".join(sorted(x.strip().upper() for x in features.replace(",", "+").split("+") if x.strip())))
+    reason = F.when(F.col("source_sha256").isNull(), "no_meta").when(F.col("fm_known").isNull(), "unknown_source").when(F.col("pages") != 1, "not_one_page").when(F.col("api") != api, "other_api").when(F.array_join(feature_list(F.col("features")), "+") != want, "other_features").when(F.col("fm_old"), "kept_old")
+    out = j.withColumn("reason", reason).select(*incoming.columns, "reason")
+    return out.filter("reason is null").drop("reason"), out.filter("reason is not null")
+
+
+def replaced(records: DataFrame, hits: DataFrame, key: Sequence[str], accept: float = 80.0, least: float = 70.0) -> DataFrame:
+    """records with the response's content where a trigger fires and a hit has some: text, confidence, trigger, used.
+
+    records: key, status, score, ocr, text, confidence; hits: key, hit_text, hit_confidence. Tables (status or score
+    present) use the table trigger, OCR texts the text trigger; other records never trigger.
+    """
+    table = F.col("status").isNotNull() | F.col("score").isNotNull()
+    trigger = F.when(table, table_trigger(F.col("status"), F.col("score"), accept)).when(F.col("ocr"), text_trigger(F.col("confidence"), F.col("text"), least))
+    j = records.join(hits, list(key), "left").withColumn("trigger", trigger)
+    used = F.col("trigger").isNotNull() & (F.trim("hit_text") != "")
+    used = F.coalesce(used, F.lit(False))
+    return j.select(*[c for c in records.columns if c not in ("text", "confidence")], F.when(used, F.col("hit_text")).otherwise(F.col("text")).alias("text"), F.when(used, F.col("hit_confidence")).otherwise(F.col("confidence")).alias("confidence"), "trigger", used.alias("used"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetmill.functions import text
-from facetmill.operators import grid, layout, managed, match, metrics, nested
+from facetmill.operators import grid, layout, managed, match, metrics, nested, pages
 from facetmill.sources import io
 from facetmill.sources.tables import table
 from facetmill.streaming import ingest
@@ -292,7 +292,61 @@ def primary_document(spark: SparkSession, d: str) -> DataFrame:
     return io.primary_document(f, ["p_brand"], ["doc7.htm"]).select("p_brand", "filename")
 
 
+def statement_pages(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "filing_records").filter("text is not null").select("rec_id", "text").distinct()
+    titles = {"cash_flows": ["AS OF YEAR END"], "income": ["AUDITED", "YEARS ENDED"]}
+    return pages.statement_pages(p, titles, 2, 12).select("rec_id", "statement", "n_numeric")
+
+
+def ruling_lines(spark: SparkSession, d: str) -> DataFrame:
+    m = _boxes(spark, d).select(*PAGE, F.when(F.col("seq") % 2 == 0, "line").otherwise("rect").alias("kind"), F.struct("bbox.x0", "bbox.top", "bbox.x1", (F.col("bbox.top") + F.col("seq") % 5 * 0.7).alias("bottom")).alias("bbox"))
+    return pages.ruling_lines(m, PAGE, 250.0)
+
+
+def ocr_lines(spark: SparkSession, d: str) -> DataFrame:
+    w = _boxes(spark, d).select(*PAGE, "seq", (F.col("seq") % 3).alias("block"), (F.col("seq") % 2).alias("par"), F.lit(1).alias("line"), F.concat(F.lit("w"), F.col("seq").cast("string")).alias("text"), (F.col("seq") % 8 - 1).cast("double").alias("conf"))
+    return pages.ocr_text(w, PAGE)
+
+
+def numbered_tables(spark: SparkSession, d: str) -> DataFrame:
+    return pages.numbered_tables(_boxes(spark, d).filter("type = 'Table'").select(*PAGE, "seq"), PAGE)
+
+
+def region_tables(spark: SparkSession, d: str) -> DataFrame:
+    b = _boxes(spark, d)
+    return pages.regions_hit(b.filter("type <> 'Table'"), b.filter("type = 'Table'"), PAGE, 0.3).select("region_seq", "seq", "inside")
+
+
+def stems(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "manifest").select("accession", pages.stem(F.col("ticker"), F.col("form"), F.col("report_period")).alias("stem"))
+    n = pages.parsed_name(F.concat("stem", F.lit("_p0012_cash_flows.csv")))
+    return m.distinct().withColumn("n", n).select("accession", "stem", F.col("n.stem").alias("again"), "n.page", "n.statement")
+
+
+def block_ids(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "filing_records").select("rec_id", "block_id", pages.block_id(F.col("page"), F.col("block_order")).alias("made"), pages.block_address(F.col("block_id")).alias("address"))
+    return r.distinct()
+
+
+def type_totals(spark: SparkSession, d: str) -> DataFrame:
+    from facetmill.operators.records import BLOCK_TYPES
+
+    return pages.type_totals(_boxes(spark, d), "doc_id", "type", BLOCK_TYPES)
+
+
+def grid_stats(spark: SparkSession, d: str) -> DataFrame:
+    return pages.grid_stats(_grids(spark, d), ["rec_id"])
+
+
+def yearly_cost(spark: SparkSession, d: str) -> DataFrame:
+    from facetmill.functions import numbers
+
+    s = metrics.stage_summary(_timings(spark, d))
+    return s.select("stage", F.round(numbers.yearly_cost(F.col("p50"), 0.1, 300_000), 6).alias("p50_cost"), F.round(numbers.yearly_cost(F.col("p95"), 0.1, 300_000), 6).alias("p95_cost"))
+
+
 QUERIES = (
+    statement_pages, ruling_lines, ocr_lines, numbered_tables, region_tables, stems, block_ids, type_totals, grid_stats, yearly_cost,
     clean_grid, classify_rows, shape_metrics, normalize_grid, column_years, column_names, merged_labels, grid_cells, dense_grid, best_candidate, ordered_accept, dedupe_first, dedupe_last, occurrences, reading_order, point_in_box, snap_to_box,
     overlap_argmax, overlap_one_to_one, inside_tables, filter_boxes, image_coverage, page_boxes, page_lines, fallback_blocks, fiscal_year_ends, index_facts, map_labels, map_labels_fuzzy, reconcile, reconcile_exact, lost_lines, reconcile_summary,
     cell_scores, micro_scores, path_status, status_pivot, page_averages, stage_summary, cold_start, drift, length_histogram, event_windows, embedded_documents, primary_document,
@@ -346,6 +400,17 @@ BINS = "CASE " + " ".join(f"WHEN n >= {lo} AND n {'<=' if hi == 2000 else '<'} {
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "statement_pages": f"""WITH p AS (SELECT DISTINCT rec_id, list_transform(string_split(text, chr(10))[1:2], lambda x: upper(trim(x))) AS l, len(regexp_extract_all(text, '{text.NUM_TOKEN}')) AS n FROM filing_records WHERE text IS NOT NULL), h AS (SELECT *, lambda_hits(l) AS s FROM p)
+          SELECT rec_id, s AS statement, CAST(n AS BIGINT) AS n_numeric FROM h WHERE n >= 12 AND s IS NOT NULL""".replace("lambda_hits(l)", "CASE " + " ".join(f"WHEN len(list_filter(l, lambda x: starts_with(x, '{t}') AND length(x) - {len(t)} <= 15)) > 0 THEN '{n}'" for n, t in (("cash_flows", "AS OF YEAR END"), ("income", "AUDITED"), ("income", "YEARS ENDED"))) + " END"),
+        "ruling_lines": f"WITH {BOXES} SELECT doc_id, page, count(*) FILTER (CASE WHEN seq % 2 = 0 THEN abs(t + seq % 5 * 0.7 - t) < 1 ELSE abs(t + seq % 5 * 0.7 - t) <= 2 END AND x1 - x0 >= 250) AS ruling_lines FROM boxes GROUP BY ALL",
+        "ocr_lines": f"WITH {BOXES}, l AS (SELECT doc_id, page, min(seq) AS f, string_agg(concat('w', seq), ' ' ORDER BY seq) AS t, sum(seq % 8 - 1) AS s, count(*) AS n FROM boxes WHERE seq % 8 - 1 >= 0 GROUP BY doc_id, page, seq % 3, seq % 2) SELECT doc_id, page, string_agg(t, chr(10) ORDER BY f) AS text, round(sum(s) / sum(n), 1) AS mean_conf FROM l GROUP BY ALL",
+        "numbered_tables": f"WITH {BOXES} SELECT doc_id, page, seq, lpad(CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY seq) - 1 AS VARCHAR), 2, '0') AS table_no FROM boxes WHERE type = 'Table'",
+        "region_tables": f"WITH {BOXES}, o AS (SELECT k.seq AS region_seq, a.seq, coalesce({INTER} / nullif((a.x1 - a.x0) * (a.b - a.t), 0), 0) AS inside FROM boxes a JOIN boxes k USING (doc_id, page) WHERE a.type <> 'Table' AND k.type = 'Table') SELECT * FROM o WHERE inside >= 0.3",
+        "stems": "SELECT DISTINCT accession, s AS stem, s AS again, 12 AS page, 'cash_flows' AS statement FROM (SELECT accession, concat_ws('_', ticker, replace(form, '-', ''), strftime(report_period, '%Y%m%d')) AS s FROM manifest)",
+        "block_ids": "SELECT DISTINCT rec_id, block_id, printf('p%04d_b%03d', page, block_order) AS made, concat('page ', CAST(regexp_extract(block_id, '^p(\\d+)', 1) AS INT), ', block ', CAST(regexp_extract(block_id, '_b(\\d+)$', 1) AS INT)) AS address FROM filing_records",
+        "type_totals": f"WITH {BOXES} SELECT coalesce(doc_id, 'ALL') AS doc_id, coalesce(type, 'ALL') AS type, count(*) AS n, CAST(list_position(['Text', 'Title', 'List', 'Table', 'Figure', 'Footnote', 'ALL'], coalesce(type, 'ALL')) AS BIGINT) AS position FROM boxes GROUP BY ROLLUP (doc_id, type)",
+        "grid_stats": f"WITH {GRID} SELECT rec_id, max(r) + 1 AS n_rows, max(c) + 1 AS n_cols, count(*) FILTER (regexp_full_match(trim(cell), '{text.NUM_SIGNED}')) AS n_numeric, count(*) FILTER (trim(cell) = '') / count(*) AS empty_share FROM grids GROUP BY rec_id",
+        "yearly_cost": f"WITH {TIMES} SELECT stage, round(quantile_cont(seconds, 0.5) FILTER (status = 'ok') * 300000 / 3600 * 0.1, 6) AS p50_cost, round(quantile_cont(seconds, 0.95) FILTER (status = 'ok') * 300000 / 3600 * 0.1, 6) AS p95_cost FROM t GROUP BY stage",
         "clean_grid": f"""WITH {GRID}, t AS (SELECT rec_id, r, c, trim(replace(cell, chr(10), ' ')) AS cell FROM grids), k AS (SELECT rec_id, c, bool_or(regexp_matches(cell, '\\d')) AS d FROM t GROUP BY ALL HAVING NOT bool_and(cell IN ('', '$'))),
           k2 AS (SELECT rec_id, c, row_number() OVER (PARTITION BY rec_id ORDER BY c) - 1 AS nc FROM (SELECT *, min(c) OVER (PARTITION BY rec_id) = c AS f FROM k) WHERE f OR d), x AS (SELECT t.rec_id, r, nc, cell FROM t JOIN k2 ON t.rec_id = k2.rec_id AND t.c = k2.c),
           q AS (SELECT rec_id, r, row_number() OVER (PARTITION BY rec_id ORDER BY r) - 1 AS nr FROM (SELECT DISTINCT rec_id, r FROM x WHERE cell <> '')) SELECT x.rec_id, CAST(nr AS INTEGER) AS r, CAST(nc AS INTEGER) AS c, cell FROM x JOIN q ON x.rec_id = q.rec_id AND x.r = q.r""",
