@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from facetmill.sources.checkpoint import settled
+
 # Letters that look alike, by script, in the order Latin, Greek, Cyrillic, Armenian ('.' where a
 # script has no such letter). From the public Unicode confusables data.
 ALIKE = """
@@ -196,7 +198,7 @@ def same_look(df: DataFrame, key: str, text: str) -> DataFrame:
     the latter, so only these are joined against all rows, by a 128-bit hash of the form. Null text pairs with
     nothing; repeated rows count once; every pair comes out, however many rows share a text.
     """
-    rows = _hashed(df, key, text)
+    rows = settled(_hashed(df, key, text))  # 40 bytes a row, read by both sides of the join
     odd = rows.filter("fm_own <> fm_form")
     a, b = odd.alias("a"), rows.alias("b")
     pairs = a.join(b, (F.col("a.fm_form") == F.col("b.fm_form")) & (F.col("a.fm_own") != F.col("b.fm_own")) & (F.col("a.fm_key") != F.col("b.fm_key")))
