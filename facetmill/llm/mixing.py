@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from facetmill.sources.checkpoint import settled
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 _loaded: dict[str, object] = {}
 
@@ -95,8 +97,7 @@ def mix(docs: DataFrame, key: str, source: str, tokens: Column, targets: DataFra
     sized = docs.select(F.col(key).alias("fm_key"), F.col(source).alias("fm_source"), tokens.alias("fm_n"))
     wanted = [r["s"] for r in given]
     sized = sized.filter(F.col("fm_source").isin(wanted) if wanted else F.lit(False)).groupBy("fm_key", "fm_source").agg(F.max(F.coalesce("fm_n", F.lit(0))).alias("fm_n"))
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        sized = sized.checkpoint()  # the token counts are read three times
+    sized = settled(sized)  # the token counts are read three times
     totals = {r["fm_source"]: (r["n"], r["d"]) for r in sized.groupBy("fm_source").agg(F.sum("fm_n").alias("n"), F.count(F.lit(1)).alias("d")).collect()}
     sources, total = plan_mix([(r["s"], r["w"], r["m"]) for r in given], totals, budget)
     plan = spark.createDataFrame([(s.name, s.weight, s.passes, max(1, math.ceil(s.documents / rows_per_slice))) for s in sources], "fm_source string, fm_weight double, fm_passes int, fm_slices int")

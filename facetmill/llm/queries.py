@@ -42,10 +42,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_clean(spark: SparkSession, d: str) -> DataFrame:
-    """Each record without its repeated lines, and how many went."""
+    """Each record without its repeated lines, how many went, and which."""
     records = table(spark, d, "filing_records").select("rec_id", "doc_id", "page", "ticker", "block_type", "text")
     clean = boilerplate.without_repeated_lines(records, ["rec_id"], "text", "ticker", ["doc_id", "page"], applies=F.col("block_type").isNull() | (F.col("block_type") != "Table"))
-    return clean.select("rec_id", "clean_text", F.size("removed_lines").cast("bigint").alias("n_removed"))
+    lines = F.array_join(F.transform("removed_lines", lambda x: x["line"]), "\n")
+    return clean.select("rec_id", "clean_text", F.size("removed_lines").cast("bigint").alias("n_removed"), lines.alias("removed"))
 
 
 def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
@@ -124,6 +125,6 @@ def oracle_sql() -> dict[str, str]:
         "p3_clean": REPEATED
         + """, ls AS (SELECT rec_id, text, ticker, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM (SELECT rec_id, text, ticker, row_number() OVER () AS rid FROM filing_records)),
         cut AS (SELECT DISTINCT l.rec_id, l.line_no, l.line, h.rec_id IS NULL AS stays FROM ls l LEFT JOIN hits h ON l.rec_id = h.rec_id AND l.line_no = h.line_no),
-        joined AS (SELECT rec_id, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (stays), '') AS t, count(*) FILTER (NOT stays) AS n FROM cut GROUP BY rec_id)
-        SELECT r.rec_id, j.t AS clean_text, CAST(coalesce(j.n, 0) AS BIGINT) AS n_removed FROM filing_records r LEFT JOIN joined j USING (rec_id)""",
+        joined AS (SELECT rec_id, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (stays), '') AS t, count(*) FILTER (NOT stays) AS n, string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT stays) AS gone FROM cut GROUP BY rec_id)
+        SELECT r.rec_id, j.t AS clean_text, CAST(coalesce(j.n, 0) AS BIGINT) AS n_removed, coalesce(j.gone, '') AS removed FROM filing_records r LEFT JOIN joined j USING (rec_id)""",
     }
