@@ -31,14 +31,19 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return _flat("cells")(spark, d).select("rec_id", "row_no", "col_no").distinct()
 
 
-def p6_amounts(spark: SparkSession, d: str) -> DataFrame:
+def _amounts(spark: SparkSession, d: str) -> DataFrame:
     """Every fact that names a cell, with both amounts in common units and where the unit was stated."""
     rows = settled(units.cell_facts(table(spark, d, "filing_records"), table(spark, d, "tagged_facts")))
     return units.convert(rows, units.meanings(rows)).distinct()
 
 
+def p6_amounts(spark: SparkSession, d: str) -> DataFrame:
+    """Every fact that names a cell with both amounts in common units."""
+    return _amounts(spark, d).select("fact_id", "rec_id", "row_no", "col_no", "fact_value", "unit", "kind", "printed", "printed_amount", "fact_amount", "differs")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return p6_amounts(spark, d).filter("differs").select("fact_id").distinct()
+    return _amounts(spark, d).filter("differs").select("fact_id").distinct()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -54,12 +59,44 @@ def _differs(field: str) -> str:
     return f"SELECT a.cell_id, '{field}' AS finding FROM a JOIN b USING (cell_id) WHERE (a.{field} IS NULL) <> (b.{field} IS NULL) OR abs(a.{field} - b.{field}) > 1e-9 * greatest(abs(a.{field}), abs(b.{field}))"
 
 
+def _phrase(x: str) -> str:
+    """SQL for the factor that a short phrase states."""
+    tests = ((r"(?i)thousand|(^|[^\d.,])000s?\b|[$] ?k\b|USD ?k\b", "1e3"), (r"(?i)million|\bmm\b|[$] ?mm?\b|USD ?mm?\b", "1e6"), (r"(?i)billion|\bbn\b|[$] ?bn?\b|USD ?bn?\b", "1e9"), (r"(?i)\bcents?\b|¢", "1e-2"), (r"(?i)%|\bpercent\b|\bpct\b", "1e-2"), (r"(?i)\bbasis points?\b|\bbps?\b", "1e-4"), (r"(?i)\bdollars\b|US[$]|\bUSD\b|[$]\)?\s*$|\bnumber\b|\bsingle shares\b", "1e0"))
+    return "CASE " + " ".join(f"WHEN regexp_matches({x}, '{r}') THEN {f}" for r, f in tests) + " END"
+
+
+AMOUNTS = rf"""WITH f AS (SELECT DISTINCT fact_id, rec_id, row_no, col_no, fact_value, unit FROM tagged_facts WHERE rec_id IS NOT NULL AND row_no >= 0 AND col_no >= 0),
+ b AS (SELECT DISTINCT rec_id, doc_id, page, block_order, block_type, text FROM filing_records),
+ t AS (SELECT DISTINCT rec_id, tbl.raw_cells AS raw, tbl.scale AS scale, tbl.row_kinds AS kinds FROM filing_records WHERE tbl.raw_cells IS NOT NULL),
+ prior AS (SELECT x.rec_id, arg_max(CASE WHEN y.block_type = 'Text' THEN y.text END, y.block_order) AS text, arg_max(y.block_type, y.block_order) AS kind FROM (SELECT DISTINCT rec_id, doc_id, page, block_order FROM b SEMI JOIN t USING (rec_id)) x JOIN b y ON x.doc_id = y.doc_id AND x.page = y.page AND y.block_order < x.block_order GROUP BY x.rec_id),
+ said AS (SELECT rec_id, list_extract(list_filter(regexp_split_to_array(regexp_replace(text, '([a-z][.])\s+', '\1' || chr(10), 'g'), chr(10)), lambda x: regexp_matches(x, '(?i)per-share amounts')), -1) AS s FROM prior WHERE kind = 'Text'),
+ stated AS (SELECT rec_id, regexp_extract(s, '(?i)\b((number of )?(shares|share counts?)\b[^;,.]*)', 1) AS clause, regexp_replace(s, '(?i)\b(number of |and )?(shares|share counts?)\b.*$|\b(except )?per-share.*$', '') AS head, regexp_matches(s, '(?i)per-share [^.;]*\bcents\b') AS cents FROM said WHERE s IS NOT NULL),
+ j AS (SELECT f.*, raw[row_no + 1][col_no + 1] AS cell, coalesce(raw[row_no + 1][1], '') AS label, scale, clause, head AS shead, cents,
+   CASE WHEN kinds[row_no + 1] IN ('money', 'shares', 'per_share') THEN kinds[row_no + 1] WHEN regexp_matches(raw[row_no + 1][1], '(?i)per[ -]share') THEN 'per_share' WHEN regexp_matches(raw[row_no + 1][1], '(?i)\bshares\b') THEN 'shares' ELSE 'money' END AS kind,
+   list_filter(list_transform(range(row_no), lambda q: CASE WHEN coalesce(kinds[q + 1] = 'header', q = 0) THEN raw[q + 1][col_no + 1] END), lambda h: {_phrase("h")} IS NOT NULL)[-1] AS head,
+   list_filter(list_transform(range(row_no), lambda q: CASE WHEN coalesce(kinds[q + 1] = 'header', q = 0) THEN raw[q + 1][1] END), lambda h: {_phrase("h")} IS NOT NULL)[-1] AS corner
+   FROM f JOIN t USING (rec_id) LEFT JOIN stated USING (rec_id)),
+ k AS (SELECT *, regexp_replace(cell, '\s', '', 'g') AS c, regexp_extract(trim(cell), '[\d.]\s*([A-Za-z%¢][A-Za-z ]*?)\s*\)?$', 1) AS suffix, regexp_extract(label, '((?:[(,]|\bin\s)[^(),]*\)?)\s*$', 1) AS tail, regexp_matches(label, '(?i)\b(rate|percentage|growth)\b|\bchange in\b') AND kind = 'money' AS rate FROM j WHERE cell IS NOT NULL),
+ u AS (SELECT *, CASE WHEN regexp_matches(c, '^[$(]*[-–—−]+[)]*$') THEN 0.0 ELSE CASE WHEN regexp_matches(c, '^[$]?\(|^[$]?[-–—−]') THEN -1 ELSE 1 END * TRY_CAST(replace(regexp_extract(c, '(\d[\d,]*(?:\.\d+)?|\.\d+)', 1), ',', '') AS DOUBLE) END AS number,
+   CASE lower(suffix) WHEN 'thousand' THEN 1e3 WHEN 'k' THEN 1e3 WHEN 'million' THEN 1e6 WHEN 'm' THEN 1e6 WHEN 'mm' THEN 1e6 WHEN 'billion' THEN 1e9 WHEN 'b' THEN 1e9 WHEN 'bn' THEN 1e9 WHEN 'c' THEN 1e-2 WHEN '¢' THEN 1e-2 WHEN 'cents' THEN 1e-2 WHEN 'cent' THEN 1e-2 WHEN '%' THEN 1e-2 WHEN 'percent' THEN 1e-2 WHEN 'pct' THEN 1e-2 WHEN 'bp' THEN 1e-4 WHEN 'bps' THEN 1e-4 WHEN 'basis points' THEN 1e-4 END AS in_cell,
+   coalesce({_phrase("tail")}, CASE WHEN contains(tail, '$') THEN 1e0 END) AS in_row, {_phrase("head")} AS in_head, {_phrase("corner")} AS in_corner, scale[kind] AS in_scale, {_phrase("shead")} AS s_money, coalesce({_phrase("clause")}, CASE WHEN clause = '' THEN {_phrase("shead")} END) AS s_shares, CASE WHEN cents THEN 1e-2 WHEN shead IS NOT NULL THEN 1e0 END AS s_per FROM k),
+ r AS (SELECT *, coalesce(in_cell, CASE kind WHEN 'money' THEN CASE WHEN NOT rate OR in_row < 1 THEN in_row END WHEN 'shares' THEN CASE WHEN in_row >= 1 THEN in_row END ELSE CASE WHEN in_row <= 1 THEN in_row END END,
+   CASE kind WHEN 'money' THEN CASE WHEN NOT rate THEN in_head END WHEN 'shares' THEN CASE WHEN regexp_matches(head, '(?i)\bshares?\b') THEN in_head END ELSE CASE WHEN in_head = 1e-2 THEN in_head END END,
+   CASE kind WHEN 'money' THEN CASE WHEN NOT rate THEN in_corner END WHEN 'shares' THEN CASE WHEN regexp_matches(corner, '(?i)\bshares?\b') THEN in_corner END ELSE CASE WHEN in_corner = 1e-2 THEN in_corner END END,
+   CASE WHEN NOT rate THEN in_scale END, CASE kind WHEN 'money' THEN CASE WHEN NOT rate THEN s_money END WHEN 'shares' THEN s_shares ELSE s_per END, 1e0) AS factor,
+   CASE WHEN regexp_matches(unit, '(?i)thousand|\(000\)|^k[A-Z]{{3}}$') THEN 1e3 WHEN regexp_matches(unit, '(?i)million|\bmm\b') OR regexp_matches(unit, '^[A-Z]{{3}}m$') THEN 1e6 WHEN regexp_matches(unit, '(?i)billion|\bbn\b') THEN 1e9 WHEN regexp_matches(unit, '(?i)cents?\b|percent|%') THEN 1e-2 WHEN regexp_matches(unit, '(?i)\bbps?\b') THEN 1e-4 ELSE 1e0 END AS tagged FROM u)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     t = "(SELECT DISTINCT rec_id, tbl FROM filing_records WHERE tbl IS NOT NULL)"
     grid = f"(SELECT rec_id, tbl, unnest(tbl.grid_rows) AS r, generate_subscripts(tbl.grid_rows, 1) - 1 AS row_no FROM {t})"
     cells = f"(SELECT rec_id, row_no, unnest(r) AS x, generate_subscripts(r, 1) - 1 AS col_no FROM {grid})"
     raw = f"(SELECT rec_id, unnest(tbl.raw_cells) AS r, generate_subscripts(tbl.raw_cells, 1) - 1 AS row_no FROM {t})"
     return {
+        "p6_found": AMOUNTS + "SELECT DISTINCT fact_id FROM r WHERE abs(fact_value * tagged - number * factor) > 1e-3 * abs(number * factor) + 1e-12",
+        "p6_amounts": AMOUNTS
+        + "SELECT DISTINCT fact_id, rec_id, CAST(row_no AS INTEGER) AS row_no, CAST(col_no AS INTEGER) AS col_no, fact_value, unit, kind, cell AS printed, number * factor AS printed_amount, fact_value * tagged AS fact_amount, abs(fact_value * tagged - number * factor) > 1e-3 * abs(number * factor) + 1e-12 AS differs FROM r",
         "p4_found": LATEST
         + f"""SELECT cell_id, 'missing_in_mirror' AS finding FROM a ANTI JOIN b USING (cell_id) UNION ALL SELECT cell_id, 'missing_in_cells' FROM b ANTI JOIN a USING (cell_id)
         UNION ALL {_differs("part2")} UNION ALL {_differs("textract")}

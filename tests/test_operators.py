@@ -244,3 +244,27 @@ def test_search_blank(spark):
     df = spark.createDataFrame([(1, "some text"), (2, None)], "id int, text string")
     assert records.search(df, " ", ["id"], ["id"]).count() == 0
     assert [r["id"] for r in records.search(df, "TEXT", ["id"], ["id"]).collect()] == [1]
+
+
+def test_response_blocks(spark):
+    items = [("t1", "TABLE", (0.1, 0.1, 0.9, 0.4), ["c1"]), ("c1", "CELL", (0.1, 0.1, 0.5, 0.2), ["w1"]), ("w1", "WORD", (0.1, 0.1, 0.2, 0.2), []), ("l1", "LINE", (0.1, 0.5, 0.9, 0.6), []), ("a", "LAYOUT_TEXT", (0.1, 0.5, 0.9, 0.6), ["l1"]), ("b", "LAYOUT_TABLE", (0.1, 0.1, 0.9, 0.35), []), ("c", "LAYOUT_TABLE", (0.1, 0.1, 0.9, 0.4), []), ("d", "LAYOUT_TABLE", (0.1, 0.8, 0.9, 0.9), [])]
+    df = spark.createDataFrame([("k", i, n, t, 1, 1, "x", 80.0, b, ch) for n, (i, t, b, ch) in enumerate(items)], f"cache_key string, id string, seq int, type string, row int, col int, text string, confidence double, box {BOX}, child_ids array<string>")
+    got = [(r["n"], r["type"], r["text"], r["table_id"]) for r in managed.response_blocks(df, ["cache_key"], F.lit(100.0), F.lit(200.0)).orderBy("n").collect()]
+    assert got == [(1, "Text", "x", None), (2, "Table", None, "t1"), (3, "Text", "", None)]
+    lines = managed.response_blocks(df.filter("type = 'LINE'"), ["cache_key"], F.lit(100.0), F.lit(200.0)).collect()
+    assert [(r["type"], r["text"]) for r in lines] == [("Text", "x")]
+
+
+def test_import_guards(spark):
+    cols = "cache_key string, source_sha256 string, pages int, api string, features string"
+    inc = spark.createDataFrame([("n", "s", 1, "A", "TABLES,layout"), ("o", "s", 1, "A", "LAYOUT+TABLES"), ("m", None, 1, "A", "X"), ("u", "z", 1, "A", "X"), ("p", "s", 2, "A", "X"), ("q", "s", 1, "B", "X"), ("f", "s", 1, "A", "FORMS")], cols)
+    ok, bad = managed.import_checked(inc, spark.createDataFrame([("s",)], "source_sha256 string"), spark.createDataFrame([("o",)], "cache_key string"), "A", "LAYOUT+TABLES")
+    assert [r["cache_key"] for r in ok.collect()] == ["n"]
+    assert {r["cache_key"]: r["reason"] for r in bad.collect()} == {"o": "kept_old", "m": "no_meta", "u": "unknown_source", "p": "not_one_page", "q": "other_api", "f": "other_features"}
+
+
+def test_replacement(spark):
+    recs = spark.createDataFrame([(1, "accepted", 10.0, False, "old", None), (2, None, None, True, "", 99.0), (3, None, None, True, "fine", 90.0), (4, None, None, True, "low", None)], "id int, status string, score double, ocr boolean, text string, confidence double")
+    hits = spark.createDataFrame([(1, "new", 95.0), (2, " ", 95.0), (3, "new", 95.0)], "id int, hit_text string, hit_confidence double")
+    got = {r["id"]: (r["text"], r["trigger"], r["used"]) for r in managed.replaced(recs, hits, ["id"]).collect()}
+    assert got == {1: ("new", "low_score", True), 2: ("", "ocr_empty", False), 3: ("fine", None, False), 4: ("low", "low_confidence", False)}
