@@ -1,7 +1,8 @@
 """Table grids in long form: (table, r, c, cell).
 
 Every operator takes the columns that name a table (``keys``) and partitions by them; a table is bounded by a
-page, so no group grows with the data.
+page, so no group grows with the data. Rows and columns of a table are looked at through windows over the table
+(ordered by r or c, framed on the current row or column), so that one shuffle by ``keys`` serves a chain of operators.
 """
 
 from __future__ import annotations
@@ -36,14 +37,19 @@ def clean_grid(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     become spaces, null counts as blank.
     """
     k = list(keys)
-    trimmed = cells.select(*k, "r", "c", F.trim(F.replace(F.coalesce("cell", F.lit("")), F.lit("\n"), F.lit(" "))).alias("cell"))
-    cols = trimmed.groupBy(*k, "c").agg(F.bool_and(F.col("cell").isin("", "$")).alias("empty"), F.bool_or(F.col("cell").rlike(r"\d")).alias("digits")).filter("not empty")
-    cols = cols.withColumn("first", F.min("c").over(Window.partitionBy(*k)) == F.col("c")).filter("first or digits")
-    cols = cols.select(*k, "c", (F.row_number().over(Window.partitionBy(*k).orderBy("c")) - 1).alias("nc"))
-    kept = trimmed.join(cols, [*k, "c"])
-    rows = kept.groupBy(*k, "r").agg(F.bool_or(F.col("cell") != "").alias("any")).filter("any")
-    rows = rows.select(*k, "r", (F.row_number().over(Window.partitionBy(*k).orderBy("r")) - 1).alias("nr"))
-    return kept.join(rows, [*k, "r"]).select(*k, F.col("nr").alias("r"), F.col("nc").alias("c"), "cell")
+    blank = F.col("cell").isin("", "$")
+    table, column, row = Window.partitionBy(*k), _same(k, "c"), _same(k, "r")
+    cells = cells.select(*k, "r", "c", F.trim(F.replace(F.coalesce("cell", F.lit("")), F.lit("\n"), F.lit(" "))).alias("cell"))
+    cells = cells.withColumn("fm_first", F.min(F.when(~blank, F.col("c"))).over(table))
+    cells = cells.withColumn("fm_any", F.max(~blank).over(column)).withColumn("fm_digit", F.max(F.col("cell").rlike(r"\d")).over(column))
+    cells = cells.filter("fm_any and (c = fm_first or fm_digit)").withColumn("fm_c", F.dense_rank().over(table.orderBy("c")) - 1)
+    cells = cells.withColumn("fm_row", F.max(F.col("cell") != "").over(row)).filter("fm_row").withColumn("fm_r", F.dense_rank().over(table.orderBy("r")) - 1)
+    return cells.select(*k, F.col("fm_r").alias("r"), F.col("fm_c").alias("c"), "cell")
+
+
+def _same(keys: Sequence[str], by: str):
+    """The window of the cells of one row (``r``) or column (``c``) of a table, partitioned by the table only."""
+    return Window.partitionBy(*keys).orderBy(by).rangeBetween(Window.currentRow, Window.currentRow)
 
 
 def as_rows(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -74,31 +80,36 @@ def merge_wrapped_labels(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     return merged.select(*k, F.posexplode("rows").alias("r", "row")).select(*k, "r", F.posexplode("row").alias("c", "cell"))
 
 
-def classify_rows(cells: DataFrame, keys: Sequence[str], rules: TableRules = TableRules()) -> DataFrame:
-    """keys, r, row_kind (header, money, shares, per_share): a row without numbers sets the section of the rows below it.
+def with_row_kinds(cells: DataFrame, keys: Sequence[str], rules: TableRules = TableRules()) -> DataFrame:
+    """cells with row_kind (header, money, shares, per_share): a row without numbers sets the section of the rows below it.
 
     A row of years without a label is a header; a row's own label overrides the section; a blank label keeps it.
     """
     k = list(keys)
-    number = numbers.to_number(F.col("cell"))["value"]
-    rows = cells.groupBy(*k, "r").agg(
-        F.lower(F.max(F.when(F.col("c") == 0, F.col("cell")))).alias("label"),
-        F.count_if((F.col("c") > 0) & number.isNotNull()).alias("n"),
-        F.count_if((F.col("c") > 0) & number.isNotNull() & ~F.trim("cell").rlike(text.YEAR_ONLY)).alias("not_years"),
-    )
-    label = F.col("label")
-    own = F.when(label.rlike(rules.shares_pattern), "shares").when(label.rlike(rules.per_share_pattern), "per_share")
-    sets = F.when(F.col("n") == 0, F.coalesce(own, F.when(label != "", "money")))
-    section = F.coalesce(F.last(sets, True).over(Window.partitionBy(*k).orderBy("r").rowsBetween(Window.unboundedPreceding, 0)), F.lit("money"))
-    header = (F.col("n") == 0) | ((F.col("not_years") == 0) & (F.trim(label) == ""))
-    return rows.select(*k, "r", F.when(header, "header").otherwise(F.coalesce(own, section)).alias("row_kind"))
+    row = _same(k, "r")
+    value = (F.col("c") > 0) & numbers.to_number(F.col("cell"))["value"].isNotNull()
+    flagged = cells.withColumn("fm_value", value)
+    flagged = flagged.withColumn("fm_label", F.lower(F.max(F.when(F.col("c") == 0, F.col("cell"))).over(row))).withColumn("fm_n", F.count_if("fm_value").over(row))
+    flagged = flagged.withColumn("fm_other", F.count_if(F.col("fm_value") & ~F.trim("cell").rlike(text.YEAR_ONLY)).over(row))
+    label = F.col("fm_label")
+    flagged = flagged.withColumn("fm_own", F.when(label.rlike(rules.shares_pattern), "shares").when(label.rlike(rules.per_share_pattern), "per_share"))
+    sets = F.when(F.col("fm_n") == 0, F.coalesce("fm_own", F.when(label != "", "money")))
+    so_far = Window.partitionBy(*k).orderBy("r").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    section = F.coalesce(F.last(sets, True).over(so_far), F.lit("money"))
+    header = (F.col("fm_n") == 0) | ((F.col("fm_other") == 0) & (F.trim(label) == ""))
+    return flagged.withColumn("row_kind", F.when(header, "header").otherwise(F.coalesce("fm_own", section))).select(*[c for c in cells.columns if c != "row_kind"], "row_kind")
+
+
+def classify_rows(cells: DataFrame, keys: Sequence[str], rules: TableRules = TableRules()) -> DataFrame:
+    """keys, r, row_kind of ``with_row_kinds``."""
+    return with_row_kinds(cells, keys, rules).select(*keys, "r", "row_kind").distinct()
 
 
 def normalize_grid(cells: DataFrame, keys: Sequence[str], captions: DataFrame, rules: TableRules = TableRules()) -> DataFrame:
     """cells with row_kind and num: the scaled number of every value cell outside headers. ``captions``: keys, text of the page."""
     k = list(keys)
     scales = captions.select(*k, numbers.caption_scales(F.coalesce("text", F.lit(""))).alias("fm_scale"))
-    joined = cells.join(classify_rows(cells, k, rules), [*k, "r"]).join(scales, k, "left").withColumn("fm_n", numbers.to_number(F.col("cell")))
+    joined = with_row_kinds(cells, k, rules).join(scales, k, "left").withColumn("fm_n", numbers.to_number(F.col("cell")))
     one = F.lit(1.0)
     num = numbers.scaled(F.col("fm_n.value"), F.col("fm_n.unit"), F.col("row_kind"), F.coalesce("fm_scale.money", one), F.coalesce("fm_scale.shares", one))
     return joined.select(*k, "r", "c", "row_kind", "cell", F.when((F.col("c") > 0) & (F.col("row_kind") != "header"), num).alias("num"))
@@ -181,9 +192,9 @@ def padded(rows: Column, width: Column) -> Column:
 def column_names(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys, c, name: the header rows without a label at the top, joined by space; else ``label`` and ``colN``. Reads row_kind."""
     k = list(keys)
-    leads = cells.groupBy(*k, "r").agg(F.min((F.col("row_kind") == "header") & ((F.col("c") > 0) | (F.col("cell") == ""))).alias("lead"))
-    leads = leads.withColumn("top", F.min("lead").over(Window.partitionBy(*k).orderBy("r").rowsBetween(Window.unboundedPreceding, 0)))
-    flagged = cells.join(leads.select(*k, "r", "top"), [*k, "r"])
+    lead = F.min((F.col("row_kind") == "header") & ((F.col("c") > 0) | (F.col("cell") == ""))).over(_same(k, "r"))
+    so_far = Window.partitionBy(*k).orderBy("r").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    flagged = cells.withColumn("fm_lead", lead).withColumn("top", F.min("fm_lead").over(so_far))
     parts = F.transform(F.array_sort(F.collect_list(F.when(F.col("top") & (F.col("cell") != ""), F.struct("r", "cell")))), lambda x: x["cell"])
     named = flagged.groupBy(*k, "c").agg(F.array_join(parts, " ").alias("name"))
     fallback = F.when(F.col("c") == 0, "label").otherwise(F.concat(F.lit("col"), F.col("c").cast("string")))

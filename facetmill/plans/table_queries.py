@@ -45,8 +45,7 @@ def column_years(spark: SparkSession, d: str) -> DataFrame:
 
 
 def column_names(spark: SparkSession, d: str) -> DataFrame:
-    g = _grids(spark, d)
-    return grid.column_names(g.join(grid.classify_rows(g, ["rec_id"]), ["rec_id", "r"]), ["rec_id"])
+    return grid.column_names(grid.with_row_kinds(_grids(spark, d), ["rec_id"]), ["rec_id"])
 
 
 def merged_labels(spark: SparkSession, d: str) -> DataFrame:
