@@ -92,8 +92,8 @@ def map_labels(cells: DataFrame, labels: DataFrame, label_map: DataFrame | None
         return out.drop("lab")
     types = labels.groupBy("concept").agg(F.max("period_type").alias("period_type"))
     negated = label_concepts(labels, normal).select(F.col("lab").alias("nlab"), F.explode("hits").alias("h")).filter("h.negated").select("nlab", F.col("h.concept").alias("concept"), F.lit(True).alias("neg"))
-    cur = label_map.withColumn("fm_id", F.monotonically_increasing_id()).select("fm_id", "statement", F.col("label").alias("mlab"), F.col("occurrence").alias("mocc"), F.col("dims_key").alias("mdims"), "negate", F.posexplode("concepts").alias("pos", "concept"))
-    cur = cur.join(types, "concept", "left").join(negated, (F.col("mlab") == F.col("nlab")) & (cur["concept"] == negated["concept"]), "left").select("fm_id", "statement", "mlab", "mocc", "mdims", "pos", cur["concept"], "period_type", F.coalesce("negate", "neg", F.lit(False)).alias("negated"))
+    cur = label_map.select("statement", F.col("label").alias("mlab"), F.col("occurrence").alias("mocc"), F.col("dims_key").alias("mdims"), "negate", F.posexplode("concepts").alias("pos", "concept"))
+    cur = cur.join(types, "concept", "left").join(negated, (F.col("mlab") == F.col("nlab")) & (cur["concept"] == negated["concept"]), "left").select("statement", "mlab", "mocc", "mdims", "pos", cur["concept"], "period_type", F.coalesce("negate", "neg", F.lit(False)).alias("negated"))
     cur = cur.groupBy("statement", "mlab", "mocc", "mdims").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "concept", "period_type", "negated"))), lambda x: F.struct(x["concept"], x["period_type"], x["negated"])).alias("mconcepts"))
     exact = cur.filter("mocc is not null").select("statement", F.col("mlab").alias("lab"), F.col("mocc").alias("occurrence"), F.struct("mconcepts", "mdims").alias("e"))
     plain = cur.filter("mocc is null").select("statement", F.col("mlab").alias("lab"), F.struct("mconcepts", "mdims").alias("p"))
@@ -111,7 +111,7 @@ def reconcile(mapped: DataFrame, facts: DataFrame) -> DataFrame:
     """
     ends, index = fiscal_year_ends(facts), index_facts(facts)
     instants = facts.filter("instant").groupBy("doc_id", "concept", F.year("end_date").alias("year")).agg(F.max("end_date").alias("last_end"))
-    base = mapped.withColumn("fm_row", F.monotonically_increasing_id()).withColumn("fm_none", F.coalesce(F.size("concepts"), F.lit(0)) <= 0)
+    base = mapped.withColumn("fm_size", F.greatest(F.coalesce(F.size("concepts"), F.lit(0)), F.lit(0)))
     tried = base.select("*", F.posexplode_outer("concepts").alias("pos", "c"))
     opening = F.col("c.period_type").eqNullSafe("instant") & F.lower("label").contains("beginning")
     tried = tried.withColumn("fm_year", F.when(opening, F.col("year") - 1).otherwise(F.col("year"))).withColumn("fm_opening", opening)
@@ -123,14 +123,15 @@ def reconcile(mapped: DataFrame, facts: DataFrame) -> DataFrame:
     probed = tried.join(f, ["doc_id", "fm_concept", "dims_key", "fm_end", "fm_instant"], "left")
     hit = F.col("fact_value").isNotNull()
     one = F.struct(F.col("fm_concept").alias("concept"), F.col("fm_end").alias("period_end"), "fact_value", "decimals", F.coalesce("c.negated", F.lit(False)).alias("negated"))
-    rows = probed.groupBy(*[c for c in mapped.columns if c != "concepts"], "fm_row", "fm_none").agg(F.min_by(one, F.when(hit, F.col("pos"))).alias("hit"), F.min_by("fm_concept", "pos").alias("first"), F.max_by("fm_end", "pos").alias("end"), F.max(hit).alias("found"))
+    rows = probed.groupBy(*mapped.columns, "fm_size").agg(F.count(F.lit(1)).alias("fm_rows"), F.min_by(one, F.when(hit, F.col("pos"))).alias("hit"), F.min_by("fm_concept", "pos").alias("first"), F.max_by("fm_end", "pos").alias("end"), F.max(hit).alias("found"))
     cmp = numbers.compare_value(F.col("value"), F.col("hit.fact_value"), F.col("hit.decimals"), F.col("hit.negated"))
     found = F.coalesce("found", F.lit(False))
-    return rows.withColumn("cmp", cmp).select(
+    copies = F.explode(F.sequence(F.lit(1), (F.col("fm_rows") / F.greatest("fm_size", F.lit(1))).cast("int")))  # equal cells stay apart
+    return rows.withColumn("fm_copy", copies).withColumn("cmp", cmp).select(
         *[c for c in mapped.columns if c != "concepts"],
         F.when(found, F.col("hit.concept")).otherwise(F.col("first")).alias("concept"), F.when(found, F.col("hit.period_end")).otherwise(F.col("end")).alias("period_end"),
         F.when(found, F.col("hit.fact_value")).alias("fact_value"), F.when(found, F.col("cmp.diff")).alias("diff"),
-        F.when(F.col("fm_none"), "unmapped").when(~found, "xbrl_missing").otherwise(F.col("cmp.status")).alias("status"),
+        F.when(F.col("fm_size") == 0, "unmapped").when(~found, "xbrl_missing").otherwise(F.col("cmp.status")).alias("status"),
     )
 
 
@@ -142,7 +143,10 @@ def lost_lines(rows: DataFrame, paths: DataFrame, line: Sequence[str], seq: str)
     found = rows.filter(F.col("concept").isNotNull() & (F.col("concept") != "") & ~F.col("status").isin("unmapped", "xbrl_missing"))
     rest = [c for c in rows.columns if c not in (*line, "path")]
     have = found.groupBy(*line).agg(F.min_by(F.struct(*rest), seq).alias("fm_r"), F.min_by("path", seq).alias("fm_by"), F.collect_set("path").alias("fm_have"))
-    lacking = have.withColumn("fm_paths", F.array(*[F.lit(r["path"]) for r in paths.select("path").distinct().limit(1000).collect()])).select("*", F.explode(F.array_except("fm_paths", "fm_have")).alias("path"))
+    names = [r["path"] for r in paths.select("path").distinct().limit(1001).collect()]
+    if len(names) > 1000:
+        raise ValueError("more than 1,000 extraction paths")
+    lacking = have.withColumn("fm_paths", F.array(*[F.lit(n) for n in names])).select("*", F.explode(F.array_except("fm_paths", "fm_have")).alias("path"))
     out = lacking.select(*line, "path", "fm_by", "fm_r.*").withColumn("value", F.lit(None).cast("double")).withColumn("diff", F.lit(None).cast("double")).withColumn("map_method", F.concat(F.lit("found by "), "fm_by", F.lit(" only"))).withColumn("status", F.lit("pdf_missing"))
     return out.select(*rows.columns)
 
