@@ -35,6 +35,23 @@ def text_scores(pairs: DataFrame, reference: str, hypothesis: str, normal=text.n
     return t.select(*pairs.columns, text.word_error_rate(a, b).alias("wer"), text.char_error_rate(a, b).alias("cer"), F.size(text.words(a)).alias("ref_words"), F.size(text.words(b)).alias("hyp_words"))
 
 
+def ocr_scores(pairs: DataFrame, reference: str, hypothesis: str) -> DataFrame:
+    """``pairs`` with word and character error rates of the lower-case texts, the same with plain typography, and the number accuracy.
+
+    Rates are distances over the reference's size, at least 1. ``ref_numbers`` counts the reference's number tokens.
+    """
+    a, b = F.coalesce(F.col(reference), F.lit("")), F.coalesce(F.col(hypothesis), F.lit(""))
+    t = pairs.withColumn("fm_a", text.light_normal(a)).withColumn("fm_b", text.light_normal(b)).withColumn("fm_p", text.light_normal(text.typography_normal(a))).withColumn("fm_q", text.light_normal(text.typography_normal(b)))
+
+    def rates(x: Column, y: Column) -> tuple[Column, Column]:
+        u, v = text.words(x), text.words(y)
+        return text.word_distance(u, v) / F.greatest(F.size(u), F.lit(1)), F.levenshtein(x, y) / F.greatest(F.char_length(x), F.lit(1))
+
+    (wer, cer), (plain_wer, plain_cer) = rates(F.col("fm_a"), F.col("fm_b")), rates(F.col("fm_p"), F.col("fm_q"))
+    sizes = [F.size(text.words(F.col(c))).alias(n) for c, n in (("fm_a", "ref_words"), ("fm_b", "hyp_words"))]
+    return t.select(*pairs.columns, *sizes, wer.alias("wer"), cer.alias("cer"), plain_wer.alias("wer_typography"), plain_cer.alias("cer_typography"), F.size(text.numeric_tokens(a, text.NUM_SIGNED)).alias("ref_numbers"), number_accuracy(a, b).alias("num_acc"))
+
+
 def cell_scores(truth: DataFrame, predicted: DataFrame, keys: Sequence[str], group: Sequence[str], value: str = "value") -> DataFrame:
     """group, tp, cells_gt, cells_pred, precision, recall, f1: full outer by key; a cell is right within 1e-9."""
     k = list(keys)

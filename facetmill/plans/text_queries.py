@@ -74,6 +74,11 @@ def number_accuracy_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).select("doc_id", metrics.number_accuracy(F.col("a"), F.col("b")).alias("num_acc"))
 
 
+def ocr_scores(spark: SparkSession, d: str) -> DataFrame:
+    s = metrics.ocr_scores(_pairs(spark, d), "a", "b")
+    return s.select("doc_id", F.col("ref_words").cast("bigint").alias("ref_words"), F.col("hyp_words").cast("bigint").alias("hyp_words"), "cer", "cer_typography", F.col("ref_numbers").cast("bigint").alias("ref_numbers"), "num_acc")
+
+
 def markdown_to_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", text.markdown_to_text(F.concat(F.lit("## A [b](c)\n<!-- x -->![i](j)**k**\n|---|---|\n"), "text")).alias("plain"))
 
@@ -189,7 +194,7 @@ def status_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = (
-    numeric_tokens, token_counts, last_years, ocr_decision, normalize_text_ascii, normalize_text, label_keys, typography, char_error_rate, word_error_rate, numeric_recall_pairs, number_accuracy_pairs, markdown_to_text, strip_tags, search_snippet,
+    numeric_tokens, token_counts, last_years, ocr_decision, normalize_text_ascii, normalize_text, label_keys, typography, char_error_rate, word_error_rate, numeric_recall_pairs, number_accuracy_pairs, ocr_scores, markdown_to_text, strip_tags, search_snippet,
     format_sizes, file_hash, cache_key, to_number_cells, caption_scales, classify_status, validate_records, section_forward_fill, previous_line, carried_title, markdown_export, markdown_tables, trace_block, markdown_slice, filings, status_counts,
 )
 
@@ -235,6 +240,9 @@ def oracle_sql() -> dict[str, str]:
           s AS (SELECT r.doc_id, sum(r.n) AS n_ref, sum(least(r.n, coalesce(h.n, 0))) AS n_found FROM r LEFT JOIN h ON r.doc_id = h.doc_id AND r.t = h.t GROUP BY r.doc_id)
           SELECT p.doc_id, CAST(coalesce(n_ref, 0) AS BIGINT) AS n_ref, CAST(coalesce(n_found, 0) AS BIGINT) AS n_found, CAST(n_found AS DOUBLE) / n_ref AS numeric_recall FROM pairs p LEFT JOIN s ON s.doc_id = p.doc_id""",
         "number_accuracy_pairs": f"{PAIRS}, x AS (SELECT doc_id, regexp_extract_all(a, '{NS}') AS r, regexp_extract_all(b, '{NS}') AS h FROM pairs) SELECT doc_id, len(list_filter(r, lambda t: list_contains(h, t))) / greatest(len(r), 1) AS num_acc FROM x",
+        "ocr_scores": f"""{PAIRS}, n AS (SELECT doc_id, a, b, trim(regexp_replace(a, ' +', ' ', 'g')) AS x, trim(regexp_replace(b, ' +', ' ', 'g')) AS y FROM pairs)
+          SELECT doc_id, CAST(len(list_filter(string_split(x, ' '), lambda w: w <> '')) AS BIGINT) AS ref_words, CAST(len(list_filter(string_split(y, ' '), lambda w: w <> '')) AS BIGINT) AS hyp_words, levenshtein(x, y) / greatest(length(x), 1) AS cer, levenshtein(x, y) / greatest(length(x), 1) AS cer_typography,
+          CAST(len(regexp_extract_all(a, '{NS}')) AS BIGINT) AS ref_numbers, len(list_filter(regexp_extract_all(a, '{NS}'), lambda t: list_contains(regexp_extract_all(b, '{NS}'), t))) / greatest(len(regexp_extract_all(a, '{NS}')), 1) AS num_acc FROM n""",
         "markdown_to_text": r"""SELECT doc_id, array_to_string(list_transform(list_filter(list_transform(string_split(concat('## A [b](c)', chr(10), '<!-- x -->![i](j)**k**', chr(10), '|---|---|', chr(10), text), chr(10)), lambda x: regexp_replace(x, '<!--.*?-->', ' ', 'g')), lambda x: NOT regexp_full_match(x, '\s*\|?[\s:|-]+\|?\s*')),
           lambda x: replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(x, '^\s*#+\s*', ''), '!\[[^\]]*\]\([^)]*\)', ' ', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '|', ' '), '**', ''), '__', '')), chr(10)) AS plain FROM documents""",
         "strip_tags": "SELECT doc_id, regexp_replace(concat('<p class=''x''>', replace(text, ' ', '</b> <b>'), '</p>'), '<[^>]+>', '', 'g') AS plain, split_part(text, chr(10), 1) AS first_line FROM documents",
