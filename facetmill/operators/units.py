@@ -159,7 +159,8 @@ def cell_facts(records: DataFrame, facts: DataFrame) -> DataFrame:
     """Facts that name a printed cell, with the cell, its kind and its symbol: one row per fact and distinct table.
 
     Columns: fact_id, rec_id, row_no, col_no, fact_value, unit, kind, printed (text), number, symbol, stated_in
-    (cell, row, column, corner, scale, text or none) and tagged (symbol). Facts without a cell, of a record that
+    (cell, row, column, corner, scale, text or none), explicit (the scale's own factor where it is none of the usual
+    ones) and tagged (symbol). Facts without a cell, of a record that
     is absent or has no table, or beyond its grid have no row. Where row_kinds is absent or too short the kind is
     read from the label (per share, shares, else money).
     """
@@ -179,7 +180,8 @@ def cell_facts(records: DataFrame, facts: DataFrame) -> DataFrame:
     rate = F.col("kind").eqNullSafe("money") & label.rlike(r"(?i)\b(?:rate|percentage|growth)\b|\bchange in\b")
     money, shares, per_share = (F.col("kind") == k for k in ("money", "shares", "per_share"))
     of_shares = F.lit(r"(?i)\bshares?\b|per.share amounts")
-    from_scale = factor_symbol(F.try_element_at("scale", F.col("kind")))
+    j = j.withColumn("scale_factor", F.try_element_at("scale", F.col("kind")))
+    from_scale = F.coalesce(factor_symbol(F.col("scale_factor")), F.when(F.col("scale_factor").isNotNull(), "explicit"))
     ways = [
         ("cell", cell_symbol(F.col("printed"))),
         ("row", F.when(money & (~rate | in_row.isin("percent", "bp")), in_row).when(shares & ~in_row.isin("cent", "percent", "bp"), in_row).when(per_share & in_row.isin("cent", "one"), in_row)),
@@ -189,7 +191,7 @@ def cell_facts(records: DataFrame, facts: DataFrame) -> DataFrame:
         ("text", F.when(money & ~rate, F.col("said.money")).when(shares, F.col("said.shares")).when(per_share, F.col("said.per_share"))),
     ]
     found = F.coalesce(*[F.when(s.isNotNull(), F.struct(s.alias("symbol"), F.lit(w).alias("stated_in"))) for w, s in ways], F.struct(F.lit("one").alias("symbol"), F.lit("none").alias("stated_in")))
-    return j.withColumn("fm_unit", found).select("fact_id", "rec_id", "row_no", "col_no", "fact_value", "unit", "kind", "printed", printed_number(F.col("printed")).alias("number"), "fm_unit.symbol", "fm_unit.stated_in", tagged_symbol(F.col("unit")).alias("tagged"))
+    return j.withColumn("fm_unit", found).select("fact_id", "rec_id", "row_no", "col_no", "fact_value", "unit", "kind", "printed", printed_number(F.col("printed")).alias("number"), "fm_unit.symbol", "fm_unit.stated_in", F.when(F.col("fm_unit.symbol") == "explicit", F.col("scale_factor")).alias("explicit"), tagged_symbol(F.col("unit")).alias("tagged"))
 
 
 def evidence(rows: DataFrame) -> DataFrame:
@@ -214,7 +216,7 @@ def convert(rows: DataFrame, chosen: Meanings, rel: float = 1e-3) -> DataFrame:
     differs is true where both amounts are present and apart by more than ``rel`` of the printed amount, sign
     included (a printed 0 agrees only with 0); it is null where either amount is missing.
     """
-    out = rows.withColumn("printed_amount", F.col("number") * _factor(F.col("symbol"), chosen.printed)).withColumn("fact_amount", F.col("fact_value") * _factor(F.col("tagged"), chosen.tagged))
+    out = rows.withColumn("printed_amount", F.col("number") * F.coalesce(F.col("explicit"), _factor(F.col("symbol"), chosen.printed))).withColumn("fact_amount", F.col("fact_value") * _factor(F.col("tagged"), chosen.tagged))
     gap = F.abs(F.col("fact_amount") - F.col("printed_amount"))
     unsure = F.array(*[F.lit(s) for s in chosen.open_symbols]) if chosen.open_symbols else F.expr("cast(array() as array<string>)")
     return out.withColumn("differs", gap > F.abs("printed_amount") * rel + 1e-12).withColumn("unit_open", F.array_contains(unsure, F.concat(F.lit("printed "), "symbol")) | F.array_contains(unsure, F.concat(F.lit("tagged "), "tagged")))

@@ -91,13 +91,13 @@ def test_units(spark):
     raw = [["", "2020, $m"], ["Net sales", "(1.5)"], ["Shares (thousands)", "7"], ["EPS", "3¢"], ["Growth rate", "4%"], ["Debt, in thousands", "5"], ["Cash", "6 bn"], ["Blank", ""]]
     kinds = ["header", "money", "shares", "per_share", "money", "money", "money", "money"]
     text = "Prose.\n(Dollars in thousands, shares in millions, per-share amounts in cents)"
-    recs = [(1, "d", 1, 2, "Table", None, (raw, None, kinds), None), (1, "d", 1, 2, "Table", None, (raw, None, kinds), None), (2, "d", 2, 1, "Text", text, None, None), (3, "d", 2, 2, "Table", None, ([["", "2020"], ["A", "1"], ["B shares", "2"], ["C per share", "3"]], {}, ["header", "money", "shares", "per_share"]), None), (4, "d", 3, 1, "Table", None, ([["", "x"], ["A", "1"]], {"money": 1e6}, None), None), (5, None, None, None, None, None, None, None)]
-    good = [(1, 1, 1, 1, -1.5, "USDm"), (2, 1, 2, 1, 7000.0, "shares"), (3, 1, 3, 1, 3.0, "cents/share"), (4, 1, 4, 1, 400.0, "bps"), (5, 1, 5, 1, 5.0, "kUSD"), (6, 1, 6, 1, 6e9, None), (7, 1, 7, 1, 1.0, "USD"), (8, 3, 1, 1, 1000.0, "usd"), (9, 3, 2, 1, 2e6, "shares"), (10, 3, 3, 1, 0.03, "USD/share"), (11, 4, 1, 1, 1.0, "USDm"), (12, 1, 99, 1, 1.0, "USD"), (13, None, None, None, 1.0, "USD"), (14, 9, 0, 0, 1.0, "USD")]
+    recs = [(1, "d", 1, 2, "Table", None, (raw, None, kinds), None), (1, "d", 1, 2, "Table", None, (raw, None, kinds), None), (2, "d", 2, 1, "Text", text, None, None), (3, "d", 2, 2, "Table", None, ([["", "2020"], ["A", "1"], ["B shares", "2"], ["C per share", "3"]], {}, ["header", "money", "shares", "per_share"]), None), (4, "d", 3, 1, "Table", None, ([["", "x"], ["A", "1"]], {"money": 1e6}, None), None), (6, "d", 4, 1, "Table", None, ([["", "x"], ["A", "2"]], {"money": 1e4}, None), None), (5, None, None, None, None, None, None, None)]
+    good = [(1, 1, 1, 1, -1.5, "USDm"), (2, 1, 2, 1, 7000.0, "shares"), (3, 1, 3, 1, 3.0, "cents/share"), (4, 1, 4, 1, 400.0, "bps"), (5, 1, 5, 1, 5.0, "kUSD"), (6, 1, 6, 1, 6e9, None), (7, 1, 7, 1, 1.0, "USD"), (8, 3, 1, 1, 1000.0, "usd"), (9, 3, 2, 1, 2e6, "shares"), (10, 3, 3, 1, 0.03, "USD/share"), (11, 4, 1, 1, 1.0, "USDm"), (15, 6, 1, 1, 20.0, "kUSD"), (12, 1, 99, 1, 1.0, "USD"), (13, None, None, None, 1.0, "USD"), (14, 9, 0, 0, 1.0, "USD")]
     facts = spark.createDataFrame([(*g, None) for g in good + [(20, 1, 1, 1, 1.5, "USDm"), (21, 1, 5, 1, 5.1, "kUSD"), (21, 1, 5, 1, 5.1, "kUSD")]], FACT)
     r = units.cell_facts(spark.createDataFrame(recs, REC), facts)
     out = {x["fact_id"]: x for x in units.convert(r, units.meanings(r)).collect()}
     assert {k for k, x in out.items() if x["differs"]} == {20, 21}
-    assert out[7]["differs"] is None and set(out) == {*range(1, 12), 20, 21}
+    assert out[7]["differs"] is None and set(out) == {*range(1, 12), 15, 20, 21}
     assert [out[i]["stated_in"] for i in (1, 2, 3, 5, 6, 8, 11)] == ["column", "row", "cell", "row", "cell", "text", "scale"]
     none = units.cell_facts(spark.createDataFrame([], REC), spark.createDataFrame([], FACT))
     assert units.convert(none, units.meanings(none)).count() == 0
