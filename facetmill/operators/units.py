@@ -170,14 +170,25 @@ def cell_facts(records: DataFrame, facts: DataFrame) -> DataFrame:
     header = "coalesce(get(kinds, q) = 'header', q = 0)"
     above = f"filter(transform(if(row_no > 0, sequence(0, row_no - 1), cast(array() as array<int>)), q -> if({header}, get(get(raw, q), %s), null)), h -> h rlike unit_word)"
     j = j.withColumn("unit_word", F.lit(UNIT_WORD)).selectExpr("*", "get(get(raw, row_no), col_no) as printed", "get(get(raw, row_no), 0) as label", f"try_element_at({above % 'col_no'}, -1) as head", f"try_element_at({above % '0'}, -1) as corner", "get(kinds, row_no) as stated_kind")
-    j = j.filter("printed is not null").withColumn("label", F.coalesce(folded(F.col("label")), F.lit(""))).withColumn("head", folded(F.col("head"))).withColumn("corner", folded(F.col("corner")))
+    r = _with_symbols(_stated_in_row(j), ["fact_id", "fact_value", "unit"])
+    return r.select("fact_id", "rec_id", "row_no", "col_no", "fact_value", "unit", "kind", "printed", "number", "symbol", "stated_in", "explicit", tagged_symbol(F.col("unit")).alias("tagged"))
+
+
+def _stated_in_row(j: DataFrame) -> DataFrame:
+    """Adds kind, rate, in_row and in_corner to rows with label, stated_kind and corner: what does not depend on the column."""
+    j = j.withColumn("label", F.coalesce(folded(F.col("label")), F.lit(""))).withColumn("corner", folded(F.col("corner")))
     label = F.col("label")
     kind = F.when(F.col("stated_kind").isin("money", "shares", "per_share"), F.col("stated_kind")).when(label.rlike(r"(?i)per[ -]share"), "per_share").when(label.rlike(r"(?i)\bshares\b"), "shares").otherwise("money")
     j = j.withColumn("kind", kind).withColumn("tail", F.regexp_extract(label, r"((?:[(,]|\bin\s)[^(),]*\)?)\s*$", 1))
     j = j.withColumn("in_row", F.coalesce(phrase_symbol(F.col("tail")), F.when(F.col("tail").rlike("[$]"), "one")))
-    j = j.withColumn("in_head", phrase_symbol(F.col("head"))).withColumn("in_corner", phrase_symbol(F.col("corner")))
-    in_row, in_head, in_corner = F.col("in_row"), F.col("in_head"), F.col("in_corner")
     rate = F.col("kind").eqNullSafe("money") & label.rlike(r"(?i)\b(?:rate|percentage|growth)\b|\bchange in\b")
+    return j.withColumn("in_corner", phrase_symbol(F.col("corner"))).withColumn("rate", rate).drop("tail", "label", "stated_kind")
+
+
+def _with_symbols(j: DataFrame, keep: list[str]) -> DataFrame:
+    """keep, the place, the cell, its kind, number, symbol, stated_in and explicit, of rows that hold what is stated around a cell."""
+    j = j.filter("printed is not null").withColumn("head", folded(F.col("head"))).withColumn("in_head", phrase_symbol(F.col("head")))
+    in_row, in_head, in_corner, rate = F.col("in_row"), F.col("in_head"), F.col("in_corner"), F.col("rate")
     money, shares, per_share = (F.col("kind") == k for k in ("money", "shares", "per_share"))
     of_shares = F.lit(r"(?i)\bshares?\b|per.share amounts")
     j = j.withColumn("scale_factor", F.try_element_at("scale", F.col("kind")))
@@ -191,7 +202,42 @@ def cell_facts(records: DataFrame, facts: DataFrame) -> DataFrame:
         ("text", F.when(money & ~rate, F.col("said.money")).when(shares, F.col("said.shares")).when(per_share, F.col("said.per_share"))),
     ]
     found = F.coalesce(*[F.when(s.isNotNull(), F.struct(s.alias("symbol"), F.lit(w).alias("stated_in"))) for w, s in ways], F.struct(F.lit("one").alias("symbol"), F.lit("none").alias("stated_in")))
-    return j.withColumn("fm_unit", found).select("fact_id", "rec_id", "row_no", "col_no", "fact_value", "unit", "kind", "printed", printed_number(F.col("printed")).alias("number"), "fm_unit.symbol", "fm_unit.stated_in", F.when(F.col("fm_unit.symbol") == "explicit", F.col("scale_factor")).alias("explicit"), tagged_symbol(F.col("unit")).alias("tagged"))
+    return j.withColumn("fm_unit", found).select(*keep, "rec_id", "row_no", "col_no", "kind", "printed", printed_number(F.col("printed")).alias("number"), "fm_unit.symbol", "fm_unit.stated_in", F.when(F.col("fm_unit.symbol") == "explicit", F.col("scale_factor")).alias("explicit"))
+
+
+def printed_cells(records: DataFrame) -> DataFrame:
+    """Every printed cell of every table with its kind and its symbol, whether or not a fact names it: one row per cell and distinct table.
+
+    Columns: place (header, label or body), rec_id, row_no, col_no, kind, printed (text), number, symbol, stated_in
+    and explicit, as in ``cell_facts``. A table's few header rows travel with each of its rows, so the cells of a
+    table cost its cells times its header rows.
+    """
+    header = "coalesce(get(kinds, {q}) = 'header', {q} = 0)"
+    tables = records.filter("tbl.raw_cells is not null").selectExpr("rec_id", "tbl.raw_cells as raw", "tbl.scale as scale", "tbl.row_kinds as kinds")
+    tables = tables.withColumn("heads", F.expr(f"filter(transform(raw, (x, i) -> struct(i as q, x as cells)), h -> {header.format(q='h.q')})"))
+    lines = tables.join(_table_statements(records), "rec_id", "left").select("rec_id", "scale", "kinds", "heads", "said", F.posexplode("raw").alias("row_no", "line"))
+    lines = lines.withColumn("unit_word", F.lit(UNIT_WORD)).selectExpr("rec_id", "row_no", "line", "scale", "said", "unit_word", "get(kinds, row_no) as stated_kind", f"{header.format(q='row_no')} as in_header", "get(line, 0) as label", "filter(heads, h -> h.q < row_no) as heads")
+    lines = lines.withColumn("corner", F.expr("try_element_at(filter(transform(heads, h -> get(h.cells, 0)), h -> h rlike unit_word), -1)"))
+    lines = _stated_in_row(lines)
+    cells = lines.select(*[c for c in lines.columns if c != "line"], F.posexplode("line").alias("col_no", "printed"))
+    cells = cells.withColumn("head", F.expr("try_element_at(filter(transform(heads, h -> get(h.cells, col_no)), h -> h rlike unit_word), -1)"))
+    cells = cells.withColumn("place", F.when(F.col("in_header"), "header").when(F.col("col_no") == 0, "label").otherwise("body"))
+    return _with_symbols(cells, ["place"]).distinct()
+
+
+def all_amounts(records: DataFrame, facts: DataFrame) -> DataFrame:
+    """Every printed cell and every fact, side by side where the fact names the cell; input of ``meanings`` and ``convert``.
+
+    Columns as in ``cell_facts``, and place. A cell without a fact has a null fact_id; a fact that names no cell, or
+    one of an absent record or beyond its grid, has a null printed. The years of header rows and the digits of
+    labels are no amounts: their number is null unless a fact names them.
+    """
+    tagged = facts.select("fact_id", "rec_id", "row_no", "col_no", "fact_value", "unit").distinct().withColumn("tagged", tagged_symbol(F.col("unit"))).withColumn("fm_fact", F.lit(True))
+    names = F.coalesce(F.expr("rec_id is not null and row_no >= 0 and col_no >= 0"), F.lit(False))
+    both = printed_cells(records).join(tagged.filter(names), ["rec_id", "row_no", "col_no"], "full_outer")
+    rows = both.unionByName(tagged.filter(~names), allowMissingColumns=True)
+    amount = F.col("fm_fact").isNotNull() | (F.col("place") == "body")
+    return rows.select("fact_id", "rec_id", "row_no", "col_no", "fact_value", "unit", "place", "kind", "printed", F.when(amount, F.col("number")).alias("number"), "symbol", "stated_in", "explicit", "tagged")
 
 
 def evidence(rows: DataFrame) -> DataFrame:
@@ -219,4 +265,4 @@ def convert(rows: DataFrame, chosen: Meanings, rel: float = 1e-3) -> DataFrame:
     out = rows.withColumn("printed_amount", F.col("number") * F.coalesce(F.col("explicit"), _factor(F.col("symbol"), chosen.printed))).withColumn("fact_amount", F.col("fact_value") * _factor(F.col("tagged"), chosen.tagged))
     gap = F.abs(F.col("fact_amount") - F.col("printed_amount"))
     unsure = F.array(*[F.lit(s) for s in chosen.open_symbols]) if chosen.open_symbols else F.expr("cast(array() as array<string>)")
-    return out.withColumn("differs", gap > F.abs("printed_amount") * rel + 1e-12).withColumn("unit_open", F.array_contains(unsure, F.concat(F.lit("printed "), "symbol")) | F.array_contains(unsure, F.concat(F.lit("tagged "), "tagged")))
+    return out.withColumn("differs", gap > F.abs("printed_amount") * rel + 1e-12).withColumn("unit_open", F.coalesce(F.array_contains(unsure, F.concat(F.lit("printed "), "symbol")), F.lit(False)) | F.coalesce(F.array_contains(unsure, F.concat(F.lit("tagged "), "tagged")), F.lit(False)))

@@ -42,12 +42,19 @@ def p6_amounts(spark: SparkSession, d: str) -> DataFrame:
     return _amounts(spark, d).select("fact_id", "rec_id", "row_no", "col_no", "fact_value", "unit", "kind", "printed", "printed_amount", "fact_amount", "differs")
 
 
+def p6_all_amounts(spark: SparkSession, d: str) -> DataFrame:
+    """Every printed cell and every fact in common units, with where the unit was stated and whether its meaning was open; p6_amounts holds only the pairs."""
+    rows = settled(units.all_amounts(table(spark, d, "filing_records"), table(spark, d, "tagged_facts")))
+    out = units.convert(rows, units.meanings(rows))
+    return out.select("fact_id", "rec_id", "row_no", "col_no", "fact_value", "unit", "place", "kind", "printed", "printed_amount", "fact_amount", "differs", "stated_in", "unit_open")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return _amounts(spark, d).filter("differs").select("fact_id").distinct()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_amounts": p6_amounts} | {f"p5_{n}": _flat(n) for n in ("tables", "rows", "columns", "cells", "printed", "scales")}
+    return {"p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_amounts": p6_amounts, "p6_all_amounts": p6_all_amounts} | {f"p5_{n}": _flat(n) for n in ("tables", "rows", "columns", "cells", "printed", "scales")}
 
 
 LATEST = """WITH a AS (SELECT * FROM table_cells QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY loaded_at DESC NULLS LAST, part2 DESC NULLS LAST, textract DESC NULLS LAST, status DESC NULLS LAST) = 1),

@@ -103,6 +103,29 @@ def test_units(spark):
     assert units.convert(none, units.meanings(none)).count() == 0
 
 
+def test_all_amounts_hold_every_cell_and_every_fact(spark):
+    raw = [["($000s)", "2020", "2021, $m"], ["Net sales (1)", "(1.5)", "2"], ["Shares", "7", "—"], ["Debt", "n/a", "5 bn"]]
+    kinds = ["header", "money", "shares", "money"]
+    late = [["", "x"], ["A", "1"], ["", "y, in thousands"], ["B", "2"]]
+    recs = [(1, "d", 1, 1, "Table", None, (raw, None, kinds), None), (1, "d", 1, 1, "Table", None, (raw, None, kinds), None), (2, "d", 2, 1, "Table", None, (late, {"money": 1e6}, ["header", "money", "header", "money"]), None), (3, "d", 3, 1, "Table", None, ([["", "z"], ["C", "3", "4"]], {}, None), None), (4, "d", 4, 1, "Text", "t", None, None)]
+    facts = [(1, 1, 1, 2, 2.0, "USDm"), (1, 1, 1, 2, 2.0, "USDm"), (2, 1, 1, 1, 9.0, "kUSD"), (3, None, None, None, 5.0, "USDm"), (4, 1, 99, 1, 6.0, "bps"), (5, 9, 0, 0, 7.0, None), (6, 2, None, 1, 8.0, "kUSD")]
+    rec, fact = spark.createDataFrame(recs, REC), spark.createDataFrame([(*f, None) for f in facts], FACT)
+    r = units.all_amounts(rec, fact)
+    out = units.convert(r, units.meanings(r)).collect()
+    cells = {(x["rec_id"], x["row_no"], x["col_no"]): x for x in out if x["printed"] is not None}
+    assert set(cells) == {(1, i, j) for i in range(4) for j in range(3)} | {(2, i, j) for i in range(4) for j in range(2)} | {(3, 0, 0), (3, 0, 1), (3, 1, 0), (3, 1, 1), (3, 1, 2)}
+    amounts = {k: x["printed_amount"] for k, x in cells.items() if x["printed_amount"] is not None}
+    assert amounts == {(1, 1, 1): -1500.0, (1, 1, 2): 2e6, (1, 2, 1): 7.0, (1, 2, 2): 0.0, (1, 3, 2): 5e9, (2, 1, 1): 1e6, (2, 3, 1): 2000.0, (3, 1, 1): 3.0, (3, 1, 2): 4.0}
+    assert [cells[k]["stated_in"] for k in ((1, 1, 1), (1, 1, 2), (1, 3, 2), (2, 1, 1), (2, 3, 1), (3, 1, 1))] == ["corner", "column", "cell", "scale", "column", "none"]
+    tagged = {x["fact_id"]: x for x in out if x["fact_id"] is not None}
+    assert {k: x["fact_amount"] for k, x in tagged.items()} == pytest.approx({1: 2e6, 2: 9000.0, 3: 5e6, 4: 6e-4, 5: 7.0, 6: 8000.0})
+    assert {k: x["differs"] for k, x in tagged.items()} == {1: False, 2: True, 3: None, 4: None, 5: None, 6: None}
+    assert len(out) == len(cells) + 4 and all(x["unit_open"] is not None for x in out)
+    pairs = units.cell_facts(rec, fact)
+    same = ["fact_id", "kind", "printed", "printed_amount", "fact_amount", "differs", "stated_in", "unit_open"]
+    assert sorted(str([x[c] for c in same]) for x in units.convert(pairs, units.meanings(r)).distinct().collect()) == sorted(str([x[c] for c in same]) for x in out if x["fact_id"] in (1, 2))
+
+
 # grids
 def long(spark, table):
     return spark.createDataFrame([("t", r, c, v) for r, row in enumerate(table) for c, v in enumerate(row)], "t string, r int, c int, cell string")
