@@ -107,7 +107,7 @@ def reconcile(mapped: DataFrame, facts: DataFrame) -> DataFrame:
     A line whose label says ``beginning`` and whose concept is an instant looks at the end of the year before:
     the fiscal year end, else the latest instant of that concept in that year. On a miss the concept is the first
     of the list and period_end the one computed for the last. status: match, match_negated, sign, scale_xN,
-    mismatch, xbrl_missing (no fact) or unmapped (no concept).
+    mismatch, value_missing (no number in the cell), xbrl_missing (no fact) or unmapped (no concept).
     """
     ends, index = fiscal_year_ends(facts), index_facts(facts)
     instants = facts.filter("instant").groupBy("doc_id", "concept", F.year("end_date").alias("year")).agg(F.max("end_date").alias("last_end"))
@@ -131,7 +131,7 @@ def reconcile(mapped: DataFrame, facts: DataFrame) -> DataFrame:
         *[c for c in mapped.columns if c != "concepts"],
         F.when(found, F.col("hit.concept")).otherwise(F.col("first")).alias("concept"), F.when(found, F.col("hit.period_end")).otherwise(F.col("end")).alias("period_end"),
         F.when(found, F.col("hit.fact_value")).alias("fact_value"), F.when(found, F.col("cmp.diff")).alias("diff"),
-        F.when(F.col("fm_size") == 0, "unmapped").when(~found, "xbrl_missing").otherwise(F.col("cmp.status")).alias("status"),
+        F.when(F.col("fm_size") == 0, "unmapped").when(~found, "xbrl_missing").when(F.col("value").isNull(), "value_missing").otherwise(F.col("cmp.status")).alias("status"),
     )
 
 
@@ -140,7 +140,7 @@ def lost_lines(rows: DataFrame, paths: DataFrame, line: Sequence[str], seq: str)
 
     ``paths`` holds one column, path, with the few extraction paths.
     """
-    found = rows.filter(F.col("concept").isNotNull() & (F.col("concept") != "") & ~F.col("status").isin("unmapped", "xbrl_missing"))
+    found = rows.filter(F.col("concept").isNotNull() & (F.col("concept") != "") & ~F.col("status").isin("unmapped", "xbrl_missing", "value_missing"))
     rest = [c for c in rows.columns if c not in (*line, "path")]
     have = found.groupBy(*line).agg(F.min_by(F.struct(*rest), seq).alias("fm_r"), F.min_by("path", seq).alias("fm_by"), F.collect_set("path").alias("fm_have"))
     names = [r["path"] for r in paths.select("path").distinct().limit(1001).collect()]

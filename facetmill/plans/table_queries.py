@@ -163,19 +163,33 @@ def _ascii_label(label):
     return text.label_normal(label, text.simple_normal)
 
 
-def _cells(spark: SparkSession, d: str) -> DataFrame:
-    """The latest table cells as cells of two extraction paths, one of which loses some."""
+def _ascii_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The latest among the cells with a number and a label in printable ASCII: what the SQL of the queries over them can follow."""
     c = table(spark, d, "table_cells").filter(F.col("label").rlike(r"^[\x20-\x7e]+$") & F.col("part2").isNotNull())
+    return _paths(spark, d, c)
+
+
+def _cells(spark: SparkSession, d: str) -> DataFrame:
+    """The latest table cells, whatever their label: those without a number too."""
+    return _paths(spark, d, table(spark, d, "table_cells"))
+
+
+def _paths(spark: SparkSession, d: str, c: DataFrame) -> DataFrame:
+    """The latest of the given cells as cells of two extraction paths, one of which loses some."""
     c = match.dedupe_last(c.select("cell_id", "doc_id", "rec_id", "page", "label", "occurrence", "part2", F.struct("loaded_at", "part2", "label").alias("seq")), ["cell_id"])
     year = table(spark, d, "filing_records").groupBy("doc_id").agg(F.max("fiscal_year").alias("year"))
     paths = F.when(F.col("cell_id") % 5 == 0, F.array(F.lit("second"))).otherwise(F.array(F.lit("first"), F.lit("second")))
-    rows = c.join(year, "doc_id").select("cell_id", "doc_id", F.explode(paths).alias("path"), "page", F.when(F.col("rec_id") % 2 == 0, "balance").otherwise("income").alias("statement"), "label", (F.col("occurrence") + 1).alias("occurrence"), "year", F.col("part2").alias("value"))
+    rows = c.join(year, "doc_id", "left").select("cell_id", "doc_id", F.explode(paths).alias("path"), "page", F.when(F.col("rec_id") % 2 == 0, "balance").otherwise("income").alias("statement"), "label", (F.col("occurrence") + 1).alias("occurrence"), "year", F.col("part2").alias("value"))
     return rows
 
 
 def _reconciled(spark: SparkSession, d: str, cutoff: float = 2.0) -> DataFrame:
-    labels = table(spark, d, "label_linkbase")
-    mapped = match.map_labels(_cells(spark, d), labels, None, cutoff, _ascii_label)
+    mapped = match.map_labels(_cells(spark, d), table(spark, d, "label_linkbase"), None, cutoff)
+    return match.reconcile(mapped, _facts(spark, d))
+
+
+def _ascii_reconciled(spark: SparkSession, d: str) -> DataFrame:
+    mapped = match.map_labels(_ascii_cells(spark, d), table(spark, d, "label_linkbase"), None, 2.0, _ascii_label)
     return match.reconcile(mapped, _facts(spark, d))
 
 
@@ -187,14 +201,21 @@ def index_facts(spark: SparkSession, d: str) -> DataFrame:
     return match.index_facts(_facts(spark, d)).select("doc_id", "concept", "dims_key", "end_date", "instant", "fact_value")
 
 
-def map_labels(spark: SparkSession, d: str) -> DataFrame:
-    m = match.map_labels(_cells(spark, d).filter("path = 'second'"), table(spark, d, "label_linkbase"), None, 2.0, _ascii_label)
+def _concepts(m: DataFrame) -> DataFrame:
     return m.select("cell_id", F.array_join(F.transform("concepts", lambda c: c["concept"]), "|").alias("concepts"), "map_method")
 
 
+def map_labels(spark: SparkSession, d: str) -> DataFrame:
+    return _concepts(match.map_labels(_ascii_cells(spark, d).filter("path = 'second'"), table(spark, d, "label_linkbase"), None, 2.0, _ascii_label))
+
+
+def map_labels_whole(spark: SparkSession, d: str) -> DataFrame:
+    """map_labels over every cell, with the full normal form."""
+    return _concepts(match.map_labels(_cells(spark, d).filter("path = 'second'"), table(spark, d, "label_linkbase"), None, 2.0))
+
+
 def map_labels_fuzzy(spark: SparkSession, d: str) -> DataFrame:
-    m = match.map_labels(_cells(spark, d).filter("path = 'second'"), table(spark, d, "label_linkbase"), None, 0.88)
-    return m.select("cell_id", F.array_join(F.transform("concepts", lambda c: c["concept"]), "|").alias("concepts"), "map_method")
+    return _concepts(match.map_labels(_cells(spark, d).filter("path = 'second'"), table(spark, d, "label_linkbase"), None, 0.88))
 
 
 def reconcile(spark: SparkSession, d: str) -> DataFrame:
@@ -202,18 +223,44 @@ def reconcile(spark: SparkSession, d: str) -> DataFrame:
     return _reconciled(spark, d, 0.88)
 
 
+def _exact(r: DataFrame) -> DataFrame:
+    return r.select("cell_id", "path", "concept", "period_end", "fact_value", "status")
+
+
 def reconcile_exact(spark: SparkSession, d: str) -> DataFrame:
-    return _reconciled(spark, d).select("cell_id", "path", "concept", "period_end", "fact_value", "status")
+    return _exact(_ascii_reconciled(spark, d))
 
 
-def lost_lines(spark: SparkSession, d: str) -> DataFrame:
-    r = _reconciled(spark, d)
+def reconcile_exact_whole(spark: SparkSession, d: str) -> DataFrame:
+    """reconcile_exact over every cell, with the full normal form."""
+    return _exact(_reconciled(spark, d))
+
+
+def _lost(r: DataFrame) -> DataFrame:
     lost = match.lost_lines(r, r.select("path").distinct(), ["doc_id", "statement", "concept", "dims_key", "period_end"], "cell_id")
     return lost.select("doc_id", "statement", "concept", "period_end", "path", "cell_id")
 
 
+def lost_lines(spark: SparkSession, d: str) -> DataFrame:
+    return _lost(_ascii_reconciled(spark, d))
+
+
+def lost_lines_whole(spark: SparkSession, d: str) -> DataFrame:
+    """lost_lines over every cell, with the full normal form."""
+    return _lost(_reconciled(spark, d))
+
+
+def _summary(r: DataFrame) -> DataFrame:
+    return match.summarize(r).select("path", "statement", "numbers", "mapped", "match", "match_rate")
+
+
 def reconcile_summary(spark: SparkSession, d: str) -> DataFrame:
-    return match.summarize(_reconciled(spark, d)).select("path", "statement", "numbers", "mapped", "match", "match_rate")
+    return _summary(_ascii_reconciled(spark, d))
+
+
+def reconcile_summary_whole(spark: SparkSession, d: str) -> DataFrame:
+    """reconcile_summary over every cell that holds a number, with the full normal form."""
+    return _summary(_reconciled(spark, d).filter("value is not null"))
 
 
 def _copies(spark: SparkSession, d: str):
@@ -347,7 +394,7 @@ def yearly_cost(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = (
     statement_pages, ruling_lines, ocr_lines, numbered_tables, region_tables, stems, block_ids, type_totals, grid_stats, yearly_cost,
     clean_grid, classify_rows, shape_metrics, normalize_grid, column_years, column_names, merged_labels, grid_cells, dense_grid, best_candidate, ordered_accept, dedupe_first, dedupe_last, occurrences, reading_order, point_in_box, snap_to_box,
-    overlap_argmax, overlap_one_to_one, inside_tables, filter_boxes, image_coverage, page_boxes, page_lines, fallback_blocks, fiscal_year_ends, index_facts, map_labels, map_labels_fuzzy, reconcile, reconcile_exact, lost_lines, reconcile_summary,
+    overlap_argmax, overlap_one_to_one, inside_tables, filter_boxes, image_coverage, page_boxes, page_lines, fallback_blocks, fiscal_year_ends, index_facts, map_labels, map_labels_whole, map_labels_fuzzy, reconcile, reconcile_exact, reconcile_exact_whole, lost_lines, lost_lines_whole, reconcile_summary, reconcile_summary_whole,
     cell_scores, micro_scores, path_status, status_pivot, page_averages, stage_summary, cold_start, drift, length_histogram, event_windows, embedded_documents, primary_document,
 )
 
