@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from facetmill.functions import numbers, text
@@ -148,20 +148,36 @@ def previous_line(spark: SparkSession, d: str) -> DataFrame:
     return records.previous_line(b, ["doc_id", "page"], ["block_order", "rec_id"]).select("rec_id", "context")
 
 
-def carried_title(spark: SparkSession, d: str) -> DataFrame:
+def _carried(b: DataFrame, shown: Column) -> DataFrame:
     from facetmill.operators import layout
 
-    b = _blocks(spark, d).select("rec_id", "doc_id", "page", "block_order", F.col("block_type").alias("type"), F.regexp_replace("text", r"[^\x20-\x7e]", "").alias("text"))
+    b = b.select("rec_id", "doc_id", "page", "block_order", F.col("block_type").alias("type"), shown.alias("text"))
     return layout.carried_section(b, ["doc_id"], ["page", "block_order", "rec_id"]).select("rec_id", "section")
 
 
-def _fragments(spark: SparkSession, d: str) -> DataFrame:
-    b = _blocks(spark, d).filter("block_type <> 'Table'").select("rec_id", "doc_id", "page", "section", "block_id", "block_order", "block_type", F.regexp_replace("text", r"[^\x20-\x7e\n]", "").alias("text"), "tbl", "figure_path")
-    return records.fragments(b, ["doc_id"], ["page", "block_order", "rec_id"])
+def carried_title(spark: SparkSession, d: str) -> DataFrame:
+    """carried_title_whole without the characters outside printable ASCII, as in its SQL."""
+    return _carried(_blocks(spark, d), F.regexp_replace("text", r"[^\x20-\x7e]", ""))
+
+
+def carried_title_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _carried(_blocks(spark, d), F.col("text"))
+
+
+def _exported(b: DataFrame, shown: Column) -> DataFrame:
+    b = b.select("rec_id", "doc_id", "page", "section", "block_id", "block_order", "block_type", shown.alias("text"), "tbl", "figure_path")
+    order = ["page", "block_order", "rec_id"]
+    return records.documents_of(records.fragments(b, ["doc_id"], order), ["doc_id"], order)
 
 
 def markdown_export(spark: SparkSession, d: str) -> DataFrame:
-    return records.documents_of(_fragments(spark, d), ["doc_id"], ["page", "block_order", "rec_id"])
+    """markdown_export_whole without tables and characters outside printable ASCII, as in its SQL."""
+    return _exported(_blocks(spark, d).filter("block_type <> 'Table'"), F.regexp_replace("text", r"[^\x20-\x7e\n]", ""))
+
+
+def markdown_export_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Each filing with all its blocks, their whole text and their tables."""
+    return _exported(_blocks(spark, d), F.col("text"))
 
 
 def markdown_tables(spark: SparkSession, d: str) -> DataFrame:
@@ -171,13 +187,13 @@ def markdown_tables(spark: SparkSession, d: str) -> DataFrame:
 
 def trace_block(spark: SparkSession, d: str) -> DataFrame:
     """Every block of the export traced back to what the Markdown shows for it."""
-    docs = markdown_export(spark, d).select("doc_id", "markdown")
-    b = _blocks(spark, d).filter("block_type = 'Text'").select("doc_id", "page", "block_order", "rec_id", "block_id")
+    docs = markdown_export_whole(spark, d).select("doc_id", "markdown")
+    b = _blocks(spark, d).select("doc_id", "page", "block_order", "rec_id", "block_id")
     return b.join(docs, "doc_id").select("rec_id", records.trace(F.col("markdown"), F.col("block_id")).alias("shown"))
 
 
 def markdown_slice(spark: SparkSession, d: str) -> DataFrame:
-    return markdown_export(spark, d).select("doc_id", records.slice_markdown(F.col("markdown"), 10, 40).alias("slice"))
+    return markdown_export_whole(spark, d).select("doc_id", records.slice_markdown(F.col("markdown"), 10, 40).alias("slice"))
 
 
 def filings(spark: SparkSession, d: str) -> DataFrame:
@@ -195,7 +211,7 @@ def status_counts(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = (
     numeric_tokens, token_counts, last_years, ocr_decision, normalize_text_ascii, normalize_text, label_keys, typography, char_error_rate, word_error_rate, numeric_recall_pairs, number_accuracy_pairs, ocr_scores, markdown_to_text, strip_tags, search_snippet,
-    format_sizes, file_hash, cache_key, to_number_cells, caption_scales, classify_status, validate_records, section_forward_fill, previous_line, carried_title, markdown_export, markdown_tables, trace_block, markdown_slice, filings, status_counts,
+    format_sizes, file_hash, cache_key, to_number_cells, caption_scales, classify_status, validate_records, section_forward_fill, previous_line, carried_title, carried_title_whole, markdown_export, markdown_export_whole, markdown_tables, trace_block, markdown_slice, filings, status_counts,
 )
 
 

@@ -43,3 +43,23 @@ def test_cells_of_any_label_are_mapped_and_reconciled(spark, cells):
     summary = {(r["path"], r["statement"]): (r["numbers"], r["mapped"], r["match"]) for r in run(spark, "reconcile_summary_whole", cells)}
     assert summary == {("first", "ALL"): (5, 3, 1), ("first", "balance"): (1, 1, 1), ("first", "income"): (4, 2, 0), ("second", "ALL"): (6, 4, 2), ("second", "balance"): (1, 1, 1), ("second", "income"): (5, 3, 1)}
     assert run(spark, "lost_lines_whole", cells) == []
+
+
+def test_export_holds_every_block_table_and_character(spark, tmp_path):
+    raw = [["", "2020"], ["Caf\u00e9 | bar", "1 \u20ac"]]
+    rows = [
+        (1, "d", 1, "Item 1", "b1", 1, "Title", "R\u00e9sum\u00e9 \u2014 \u03b1", None, None), (2, "d", 1, "Item 1", "b2", 2, "Table", None, (raw,), None),
+        (3, "d", 1, "Item 1", "b3", 3, None, "na\u00efve", None, None), (4, "d", 2, "Item 1", "b4", 1, "List", "\u2022 x", None, None), (5, "d", 11, "Item 1", "b5", 1, "Figure", None, None, "f.png"), (1, "d", 1, "Item 1", "b1", 1, "Title", "R\u00e9sum\u00e9 \u2014 \u03b1", None, None),
+    ]
+    d = str(tmp_path)
+    save(spark, d, "filing_records", rows, "rec_id bigint, doc_id string, page int, section string, block_id string, block_order int, block_type string, text string, tbl struct<raw_cells:array<array<string>>>, figure_path string")
+    pipe = "|  | 2020 |\n|---|---|\n| Caf\u00e9 \\| bar | 1 \u20ac |"
+    shown = {1: "### R\u00e9sum\u00e9 \u2014 \u03b1", 2: pipe, 3: "na\u00efve", 4: "\u2022 x", 5: "![Figure, page 11](f.png)"}
+    pages = {1: 1, 2: 1, 3: 1, 4: 2, 5: 11}
+    chunks = [f"<!-- d p{pages[k]} b{k} -->\n\n{v}" for k, v in shown.items()]
+    (got,) = run(spark, "markdown_export_whole", d)
+    assert got["markdown"] == "## Item 1\n\n" + "\n\n".join(chunks)
+    assert got["plain"] == "\n\n".join(["R\u00e9sum\u00e9 \u2014 \u03b1", "2020\nCaf\u00e9 | bar 1 \u20ac", "na\u00efve", "\u2022 x"])
+    assert {r["rec_id"]: r["shown"] for r in run(spark, "trace_block", d)} == shown
+    assert [r["slice"].rstrip("\n").endswith(chunks[4]) for r in run(spark, "markdown_slice", d)] == [True]
+    assert {r["section"] for r in run(spark, "carried_title_whole", d)} == {"R\u00e9sum\u00e9 \u2014 \u03b1"}
