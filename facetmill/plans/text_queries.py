@@ -51,15 +51,32 @@ def typography(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", text.typography_normal(F.col("text")).alias("plain"))
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Each short document beside the next one, in ASCII."""
-    docs = table(spark, d, "documents").select("doc_id", F.regexp_replace(F.lower("text"), r"[^\x20-\x7e]", " ").alias("a"))
+def _beside_next(docs: DataFrame) -> DataFrame:
     nxt = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b"))
     return docs.join(nxt, "doc_id")
 
 
+def _ascii_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Each short document beside the next one, in ASCII, where DuckDB's distance of bytes is one of characters."""
+    return _beside_next(table(spark, d, "documents").select("doc_id", F.regexp_replace(F.lower("text"), r"[^\x20-\x7e]", " ").alias("a")))
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Each document beside the next one, as stored."""
+    return _beside_next(table(spark, d, "documents").select("doc_id", F.col("text").alias("a")))
+
+
+def _char_error_rates(pairs: DataFrame) -> DataFrame:
+    return pairs.select("doc_id", text.char_error_rate(F.col("a"), F.col("b")).alias("cer"))
+
+
 def char_error_rate(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d).select("doc_id", text.char_error_rate(F.col("a"), F.col("b")).alias("cer"))
+    return _char_error_rates(_ascii_pairs(spark, d))
+
+
+def char_error_rate_whole(spark: SparkSession, d: str) -> DataFrame:
+    """char_error_rate of the texts as stored, over code points."""
+    return _char_error_rates(_pairs(spark, d))
 
 
 def word_error_rate(spark: SparkSession, d: str) -> DataFrame:
@@ -67,18 +84,41 @@ def word_error_rate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def numeric_recall_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.numeric_recall(_ascii_pairs(spark, d), ["doc_id"], "a", "b")
+
+
+def numeric_recall_whole(spark: SparkSession, d: str) -> DataFrame:
+    """numeric_recall_pairs of the texts as stored."""
     return metrics.numeric_recall(_pairs(spark, d), ["doc_id"], "a", "b")
 
 
+def _number_accuracies(pairs: DataFrame) -> DataFrame:
+    return pairs.select("doc_id", metrics.number_accuracy(F.col("a"), F.col("b")).alias("num_acc"))
+
+
 def number_accuracy_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d).select("doc_id", metrics.number_accuracy(F.col("a"), F.col("b")).alias("num_acc"))
+    return _number_accuracies(_ascii_pairs(spark, d))
 
 
-def ocr_scores(spark: SparkSession, d: str) -> DataFrame:
-    s = metrics.ocr_scores(_pairs(spark, d), "a", "b")
+def number_accuracy_whole(spark: SparkSession, d: str) -> DataFrame:
+    """number_accuracy_pairs of the texts as stored."""
+    return _number_accuracies(_pairs(spark, d))
+
+
+def _ocr_scores(pairs: DataFrame) -> DataFrame:
+    s = metrics.ocr_scores(pairs, "a", "b")
     return s.select("doc_id", F.col("ref_words").cast("bigint").alias("ref_words"), F.col("hyp_words").cast("bigint").alias("hyp_words"), "cer", "cer_typography", F.col("ref_numbers").cast("bigint").alias("ref_numbers"), "num_acc")
 
 
+def ocr_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _ocr_scores(_ascii_pairs(spark, d))
+
+
+def ocr_scores_whole(spark: SparkSession, d: str) -> DataFrame:
+    """ocr_scores of the texts as stored, whose typography counts."""
+    return _ocr_scores(_pairs(spark, d))
+
+
 def markdown_to_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", text.markdown_to_text(F.concat(F.lit("## A [b](c)\n<!-- x -->![i](j)**k**\n|---|---|\n"), "text")).alias("plain"))
 
@@ -210,7 +250,7 @@ def status_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = (
-    numeric_tokens, token_counts, last_years, ocr_decision, normalize_text_ascii, normalize_text, label_keys, typography, char_error_rate, word_error_rate, numeric_recall_pairs, number_accuracy_pairs, ocr_scores, markdown_to_text, strip_tags, search_snippet,
+    numeric_tokens, token_counts, last_years, ocr_decision, normalize_text_ascii, normalize_text, label_keys, typography, char_error_rate, char_error_rate_whole, word_error_rate, numeric_recall_pairs, numeric_recall_whole, number_accuracy_pairs, number_accuracy_whole, ocr_scores, ocr_scores_whole, markdown_to_text, strip_tags, search_snippet,
     format_sizes, file_hash, cache_key, to_number_cells, caption_scales, classify_status, validate_records, section_forward_fill, previous_line, carried_title, carried_title_whole, markdown_export, markdown_export_whole, markdown_tables, trace_block, markdown_slice, filings, status_counts,
 )
 

@@ -63,3 +63,31 @@ def test_export_holds_every_block_table_and_character(spark, tmp_path):
     assert {r["rec_id"]: r["shown"] for r in run(spark, "trace_block", d)} == shown
     assert [r["slice"].rstrip("\n").endswith(chunks[4]) for r in run(spark, "markdown_slice", d)] == [True]
     assert {r["section"] for r in run(spark, "carried_title_whole", d)} == {"R\u00e9sum\u00e9 \u2014 \u03b1"}
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_scores_of_whole_texts(spark, tmp_path):
+    texts = ["Caf\u00e9 \u2014 \u201cnet\u201d 1,234\nna\u00efve \U0001d538", "Cafe - \"net\" 1,234 naive \U0001d539", "\u03b1\u03b2 \u0416 12.5% \u2013 7", "\u03b1\u03b3 \u0416 12.5% - 8", ""]
+    d = str(tmp_path)
+    save(spark, d, "documents", list(enumerate(texts)), "doc_id bigint, text string")
+    pairs = {i: (texts[i], texts[i + 1]) for i in range(len(texts) - 1)}
+    rate = lambda a, b: distance(a, b) / len(a) if a else float(bool(b))
+    assert {r["doc_id"]: r["cer"] for r in run(spark, "char_error_rate_whole", d)} == pytest.approx({i: rate(a, b) for i, (a, b) in pairs.items()})
+    assert {r["doc_id"]: r["wer"] for r in run(spark, "word_error_rate", d)} == pytest.approx({i: rate(a.split(), b.split()) for i, (a, b) in pairs.items()})
+    plain = lambda x: x.translate(str.maketrans("\u2013\u2014\u2018\u2019\u201c\u201d", "--''\"\""))
+    light = lambda x: " ".join(x.lower().split())
+    scores = {r["doc_id"]: r for r in run(spark, "ocr_scores_whole", d)}
+    for i, (a, b) in pairs.items():
+        assert scores[i]["cer"] == pytest.approx(distance(light(a), light(b)) / max(len(light(a)), 1))
+        assert scores[i]["cer_typography"] == pytest.approx(distance(light(plain(a)), light(plain(b))) / max(len(light(plain(a))), 1))
+    assert scores[0]["cer_typography"] < scores[0]["cer"]
+    assert {r["doc_id"]: (r["n_ref"], r["n_found"]) for r in run(spark, "numeric_recall_whole", d)} == {0: (1, 1), 1: (1, 0), 2: (2, 1), 3: (2, 0)}
+    assert {r["doc_id"]: r["num_acc"] for r in run(spark, "number_accuracy_whole", d)} == {0: 1.0, 1: 0.0, 2: 0.5, 3: 0.0}
