@@ -12,8 +12,12 @@ from facetmill.sources.tables import table
 
 
 def p1_forms(spark: SparkSession, d: str) -> DataFrame:
-    """The consistent form of every text of the filings."""
-    return table(spark, d, "filing_records").select("rec_id", canonical.canonical(F.col("text")).alias("form")).distinct()
+    """The consistent form of every text of the filings and of every label of the cells; the distinct labels are normalized once."""
+    texts = table(spark, d, "filing_records").select("rec_id", canonical.canonical(F.col("text")).alias("form")).distinct()
+    cells = table(spark, d, "table_cells").select("cell_id", "label").distinct()
+    forms = cells.filter("label is not null").select("label").distinct().withColumn("form", canonical.canonical(F.col("label")))
+    labels = cells.join(forms, "label", "left").select("cell_id", "form").distinct()
+    return texts.select(F.lit("text").alias("field"), F.col("rec_id").alias("key"), "form").unionAll(labels.select(F.lit("label").alias("field"), F.col("cell_id").alias("key"), "form"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
