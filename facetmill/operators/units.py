@@ -4,8 +4,8 @@ Every printed amount gets the unit symbol stated nearest to it: in its cell, its
 header, the table's corner, the table's scale, or the statement just before the table. A symbol such as ``m``
 or ``USDm`` may mean more than one factor; the meanings are chosen together from an identity that holds between
 the two columns of the data, printed x factor(printed symbol) = tagged x factor(tagged symbol), by the
-combination with the least sum of absolute log residuals over all facts. Symbols whose best meaning is not
-better than the next, or that no fact speaks about, keep the conventional meaning and are flagged.
+combination with the least sum of absolute log residuals over all facts. Symbols that mean something else in a
+combination as good, such as those no fact speaks about, keep the conventional meaning on a tie and are flagged.
 
 The evidence that reaches the driver is one count per (symbol, symbol, rounded log ratio): both symbols come
 from the fixed lists below and the ratio has at most 801 values, so its size has a bound that the data cannot move.
@@ -16,6 +16,8 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import cache
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -115,37 +117,33 @@ def choose_meanings(evidence: Iterable[tuple[str, str, float, int]], cap: float
     """The symbol meanings with the least total log residual.
 
     ``evidence`` holds (printed symbol, tagged symbol, log10 of |tagged| / |printed|, count). Residuals are
-    capped so that wrong amounts count alike whatever their size. Starts from the conventional meanings and
-    changes one symbol at a time while the total falls; a tie keeps the conventional meaning.
+    capped so that wrong amounts count alike whatever their size. Every combination of the meanings of the ambiguous
+    symbols is tried (32, from the fixed lists); a tie keeps the conventional meaning. A symbol is open if it has
+    another meaning in any combination within ``margin`` of the least.
     """
     rows = [(p, t, d, n) for p, t, d, n in evidence if p in PRINTED and t in TAGGED]
-    printed, tagged = {s: c[0] for s, c in PRINTED.items()}, {s: c[0] for s, c in TAGGED.items()}
-
-    def total(kind: int, symbol: str, factor: float) -> float:
-        out = 0.0
-        for p, t, d, n in rows:
-            if (p, t)[kind] == symbol:
-                a, b = (factor, tagged[t]) if kind == 0 else (printed[p], factor)
-                out += n * min(cap, abs(d + math.log10(b) - math.log10(a)))
-        return out
-
-    changed = True
-    while changed:
-        changed = False
-        for kind, (chosen, options) in enumerate(((printed, PRINTED), (tagged, TAGGED))):
-            for symbol, factors in options.items():
-                costs = [(total(kind, symbol, f), i) for i, f in enumerate(factors)]
-                best = factors[min(costs)[1]]
-                if best != chosen[symbol] and min(costs)[0] < total(kind, symbol, chosen[symbol]):
-                    chosen[symbol], changed = best, True
-    unsure = []
-    for kind, (chosen, options) in enumerate(((printed, PRINTED), (tagged, TAGGED))):
-        for symbol, factors in options.items():
-            if len(factors) > 1:
-                least, *rest = sorted(total(kind, symbol, f) for f in factors)
-                if not rest[0] > margin * least:
-                    unsure.append(("printed " if kind == 0 else "tagged ") + symbol)
-    return Meanings(printed, tagged, tuple(unsure))
+    unsure = [(k, s) for k, options in enumerate((PRINTED, TAGGED)) for s, factors in options.items() if len(factors) > 1]
+    place = {x: i for i, x in enumerate(unsure)}
+    spread: dict[tuple[str, str], list[tuple[float, int]]] = {}
+    for p, t, d, n in rows:
+        spread.setdefault((p, t), []).append((d, n))
+
+    def factor(picks: tuple[float, ...], kind: int, symbol: str) -> float:
+        return picks[place[kind, symbol]] if (kind, symbol) in place else (PRINTED, TAGGED)[kind][symbol][0]
+
+    @cache
+    def cost(p: str, t: str, shift: float) -> float:
+        return sum(n * min(cap, abs(d + shift)) for d, n in spread[p, t])
+
+    def total(picks: tuple[float, ...]) -> float:
+        return sum(cost(p, t, math.log10(factor(picks, 1, t)) - math.log10(factor(picks, 0, p))) for p, t in spread)
+
+    combinations = list(product(*[(PRINTED, TAGGED)[k][s] for k, s in unsure]))  # the conventional one first
+    costs = [total(x) for x in combinations]
+    best = combinations[costs.index(min(costs))]
+    near = [x for x, c in zip(combinations, costs, strict=True) if not c > margin * min(costs)]
+    opened = tuple(("printed ", "tagged ")[k] + s for i, (k, s) in enumerate(unsure) if any(x[i] != best[i] for x in near))
+    return Meanings({s: factor(best, 0, s) for s in PRINTED}, {s: factor(best, 1, s) for s in TAGGED}, opened)
 
 
 def _table_statements(records: DataFrame) -> DataFrame:

@@ -83,6 +83,15 @@ def test_choose_meanings_follows_the_identity():
     assert units.choose_meanings([]).printed["m"] == 1e6
 
 
+def test_choose_meanings_tries_every_combination():
+    m = units.choose_meanings([("m", "m", 0.0, 100), ("m", "one", 3.0, 1)])
+    assert (m.printed["m"], m.tagged["m"]) == (1e3, 1e3) and not {"printed m", "tagged m"} & set(m.open_symbols)
+    tie = units.choose_meanings([("m", "m", 0.0, 100)])
+    assert (tie.printed["m"], tie.tagged["m"]) == (1e6, 1e6) and {"printed m", "tagged m"} <= set(tie.open_symbols)
+    noisy = units.choose_meanings([("mm", "mm", 0.3, 7), ("M", "one", 5.7, 3)])
+    assert (noisy.printed["mm"], noisy.tagged["mm"], noisy.printed["M"]) == (1e6, 1e6, 1e6)
+
+
 REC = "rec_id bigint, doc_id string, page int, block_order int, block_type string, text string, tbl struct<raw_cells:array<array<string>>,scale:map<string,double>,row_kinds:array<string>>, said string"
 FACT = "fact_id bigint, rec_id bigint, row_no int, col_no int, fact_value double, unit string, kind string"
 
