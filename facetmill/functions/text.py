@@ -140,12 +140,17 @@ def strip(text: Column) -> Column:
 def word_distance(reference: Column, hypothesis: Column) -> Column:
     """Levenshtein distance of two word arrays.
 
-    Each distinct word of the pair becomes one code point from U+4E00 on (about 35,000 fit), so the built-in
-    distance of texts counts words. The dictionary is bound once per pair by the outer transform.
+    Each distinct word of the pair becomes one code point from U+4E00 on, the surrogates left out, so the built-in
+    distance of texts counts words. A pair with more distinct words than the 1,092,096 code points fails.
+    The dictionary is bound once per pair by the outer transform.
     """
 
+    def point(at: Column) -> Column:
+        skipped = at + F.when(at > 0xD7FF - 0x4DFF, 0x4DFF + 0x800).otherwise(0x4DFF)
+        return F.when(skipped > 0x10FFFF, F.raise_error(F.lit("too many distinct words in a pair"))).otherwise(F.lpad(F.hex(skipped.cast("int")), 8, "0"))
+
     def coded(a: Column, known: Column) -> Column:
-        return F.array_join(F.transform(a, lambda w: F.decode(F.unhex(F.hex((F.lit(19967) + F.array_position(known, w)).cast("int"))), "UTF-16BE")), "")
+        return F.decode(F.unhex(F.array_join(F.transform(F.transform(a, lambda w: F.array_position(known, w)), point), "")), "UTF-32")
 
     pair = F.array(F.struct(reference.alias("a"), hypothesis.alias("b"), F.array_distinct(F.concat(reference, hypothesis)).alias("known")))
     return F.transform(pair, lambda p: F.levenshtein(coded(p["a"], p["known"]), coded(p["b"], p["known"])))[0]

@@ -70,3 +70,12 @@ def test_boxes(spark):
     assert got == [(15.0, pytest.approx(15 / 45)), (0.0, 0.0), (None, 0.0)]
     flipped = df.limit(1).select(geometry.flip(F.col("b"), F.lit(18.0), F.lit(100.0)).alias("f")).head()["f"]
     assert tuple(flipped) == (5.0, 92.0, 18.0, 95.0)
+
+
+def test_word_distance_of_very_many_distinct_words(spark):
+    n = 36_200
+    df = spark.range(1).select(F.expr(f"transform(sequence(0, {n} - 1), i -> concat('w', i))").alias("a"))
+    swap = F.array(*[F.element_at("a", i) for i in (n, n - 1, n - 2, n - 200)])
+    r = df.select(text.word_distance(F.col("a"), swap).alias("far"), text.word_distance(F.slice("a", n - 399, 400), F.expr(f"transform(sequence({n} - 400, {n} - 1), i -> if(i % 100 = 7, a[i - 5], a[i]))")).alias("near"))
+    assert r.select("near").head()[0] == 4
+    assert r.select("far").head()[0] == n - 1
