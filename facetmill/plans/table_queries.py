@@ -63,6 +63,13 @@ def dense_grid(spark: SparkSession, d: str) -> DataFrame:
     return grid.dense_grid(n, ["t"])
 
 
+def dense_grid_tables(spark: SparkSession, d: str) -> DataFrame:
+    """dense_grid over the printed cells of every table of the filings."""
+    t = table(spark, d, "filing_records").filter("tbl.raw_cells is not null").select("rec_id", F.col("tbl.raw_cells").alias("raw"))
+    cells = nested.child_table(t, ["rec_id"], "raw[][]", ["r", "c"], {"cell": "x"})
+    return grid.dense_grid(cells.select("rec_id", (F.col("r") + 1).cast("int").alias("row"), (F.col("c") + 1).cast("int").alias("col"), "cell", F.col("cell").alias("seq")), ["rec_id"])
+
+
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_suppkey") % 3).cast("int").alias("rank"), (F.col("l_linenumber").cast("bigint") * 1_000_000_000 + (F.col("l_extendedprice") * 100).cast("bigint")).alias("seq"), (F.col("l_quantity") > 10).alias("valid_shape"), F.floor(F.col("l_extendedprice") / 800).cast("int").alias("score"), F.col("l_quantity").cast("int").alias("cells"), F.col("l_quantity").cast("int").alias("n_rows"), F.col("l_linenumber").cast("int").alias("n_cols"))
     return li.distinct()
@@ -393,7 +400,7 @@ def yearly_cost(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = (
     statement_pages, ruling_lines, ocr_lines, numbered_tables, region_tables, stems, block_ids, type_totals, grid_stats, yearly_cost,
-    clean_grid, classify_rows, shape_metrics, normalize_grid, column_years, column_names, merged_labels, grid_cells, dense_grid, best_candidate, ordered_accept, dedupe_first, dedupe_last, occurrences, reading_order, point_in_box, snap_to_box,
+    clean_grid, classify_rows, shape_metrics, normalize_grid, column_years, column_names, merged_labels, grid_cells, dense_grid, dense_grid_tables, best_candidate, ordered_accept, dedupe_first, dedupe_last, occurrences, reading_order, point_in_box, snap_to_box,
     overlap_argmax, overlap_one_to_one, inside_tables, filter_boxes, image_coverage, page_boxes, page_lines, fallback_blocks, fiscal_year_ends, index_facts, map_labels, map_labels_whole, map_labels_fuzzy, reconcile, reconcile_exact, reconcile_exact_whole, lost_lines, lost_lines_whole, reconcile_summary, reconcile_summary_whole,
     cell_scores, micro_scores, path_status, status_pivot, page_averages, stage_summary, cold_start, drift, length_histogram, event_windows, embedded_documents, primary_document,
 )
@@ -468,6 +475,7 @@ def oracle_sql() -> dict[str, str]:
         "column_years": f"WITH {GRID}, y AS (SELECT rec_id, c, r, CAST(list_extract(regexp_extract_all(cell, '\\b(?:19|20)\\d{{2}}\\b'), -1) AS BIGINT) AS year FROM grids WHERE c > 0 AND r < 6) SELECT rec_id, c, arg_max(year, r) AS year FROM y WHERE year IS NOT NULL GROUP BY ALL",
         "column_names": f"""WITH {KINDS}, l AS (SELECT g.rec_id, g.r, bool_and(row_kind = 'header' AND (c > 0 OR cell = '')) AS lead FROM grids g JOIN kinds USING (rec_id, r) GROUP BY ALL), top AS (SELECT rec_id, r, bool_and(lead) OVER (PARTITION BY rec_id ORDER BY r) AS top FROM l),
           n AS (SELECT g.rec_id, c, string_agg(cell, ' ' ORDER BY g.r) FILTER (top AND cell <> '') AS name FROM grids g JOIN top USING (rec_id, r) GROUP BY ALL) SELECT rec_id, c, coalesce(name, CASE WHEN c = 0 THEN 'label' ELSE concat('col', c) END) AS name FROM n""",
+        "dense_grid_tables": "WITH l AS (SELECT rec_id, unnest(tbl.raw_cells) AS x, generate_subscripts(tbl.raw_cells, 1) AS row FROM filing_records), e AS (SELECT rec_id, row, unnest(x) AS cell, generate_subscripts(x, 1) AS col FROM l), s AS (SELECT rec_id, row, col, max(cell) AS cell FROM e GROUP BY ALL), z AS (SELECT rec_id, max(row) AS h, max(col) AS w FROM s GROUP BY rec_id), p AS (SELECT rec_id, row, unnest(range(1, w + 1)) AS col FROM (SELECT rec_id, w, unnest(range(1, h + 1)) AS row FROM z)) SELECT p.rec_id, CAST(p.row - 1 AS INTEGER) AS r, CAST(p.col - 1 AS INTEGER) AS c, coalesce(cell, '') AS cell FROM p LEFT JOIN s ON s.rec_id = p.rec_id AND s.row = p.row AND s.col = p.col",
         "dense_grid": "WITH s AS (SELECT n_regionkey AS t, n_nationkey % 4 + 1 AS row, n_nationkey % 3 + 1 AS col, arg_max(n_name, n_nationkey) AS cell FROM nation GROUP BY ALL), z AS (SELECT t, max(row) AS h, max(col) AS w FROM s GROUP BY t), p AS (SELECT t, row, unnest(range(1, w + 1)) AS col FROM (SELECT t, w, unnest(range(1, h + 1)) AS row FROM z)) SELECT p.t, CAST(p.row - 1 AS INTEGER) AS r, CAST(p.col - 1 AS INTEGER) AS c, coalesce(cell, '') AS cell FROM p LEFT JOIN s ON s.t = p.t AND s.row = p.row AND s.col = p.col",
         "best_candidate": f"WITH {CANDIDATES} SELECT l_orderkey, arg_max(seq, (valid, cells * nc, -seq)) AS seq, count(*) AS n_candidates FROM cand GROUP BY l_orderkey",
         "ordered_accept": f"""WITH {CANDIDATES}, p AS (SELECT *, valid AND score >= 80 AS ok, min(rank) FILTER (valid AND score >= 80) OVER (PARTITION BY l_orderkey) AS fr FROM cand)

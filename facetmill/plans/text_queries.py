@@ -146,6 +146,12 @@ def cache_key(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nation").select("n_nationkey", k.alias("cache_key"))
 
 
+def cache_key_records(spark: SparkSession, d: str) -> DataFrame:
+    """cache_key of the page of every record."""
+    k = managed.cache_key(F.col("sha256"), F.col("page"), F.lit("provider"), F.lit("Analyze"), F.lit("TABLES, layout+ "))
+    return table(spark, d, "filing_records").select("rec_id", k.alias("cache_key")).distinct()
+
+
 STYLES = (
     "CASE CAST(c_custkey % 8 AS INT) WHEN 0 THEN {s} WHEN 1 THEN concat('$ ', {s}) WHEN 2 THEN concat('(', {s}, ')') WHEN 3 THEN concat('(', {s}) WHEN 4 THEN concat({s}, '%') WHEN 5 THEN concat({s}, '(1)') WHEN 6 THEN '—' ELSE concat('n/a ', {s}) END"
 )
@@ -251,7 +257,7 @@ def status_counts(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = (
     numeric_tokens, token_counts, last_years, ocr_decision, normalize_text_ascii, normalize_text, label_keys, typography, char_error_rate, char_error_rate_whole, word_error_rate, numeric_recall_pairs, numeric_recall_whole, number_accuracy_pairs, number_accuracy_whole, ocr_scores, ocr_scores_whole, markdown_to_text, strip_tags, search_snippet,
-    format_sizes, file_hash, cache_key, to_number_cells, caption_scales, classify_status, validate_records, section_forward_fill, previous_line, carried_title, carried_title_whole, markdown_export, markdown_export_whole, markdown_tables, trace_block, markdown_slice, filings, status_counts,
+    format_sizes, file_hash, cache_key, cache_key_records, to_number_cells, caption_scales, classify_status, validate_records, section_forward_fill, previous_line, carried_title, carried_title_whole, markdown_export, markdown_export_whole, markdown_tables, trace_block, markdown_slice, filings, status_counts,
 )
 
 
@@ -305,6 +311,7 @@ def oracle_sql() -> dict[str, str]:
         "search_snippet": "WITH f AS (SELECT doc_id, text, instr(lower(text), 'revenue') AS i FROM documents WHERE contains(lower(text), 'revenue') ORDER BY doc_id LIMIT 50) SELECT doc_id, concat(CASE WHEN i - 81 > 0 THEN '...' ELSE '' END, substring(text, greatest(i - 81, 0) + 1, least(i - 1 + 7 + 80, length(text)) - greatest(i - 81, 0)), '...') AS snippet FROM f",
         "format_sizes": "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS bytes, CAST(length(text) AS BIGINT) AS chars, CAST(round_even(length(text) / 4, 0) AS BIGINT) AS approx_tokens FROM documents",
         "file_hash": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
+        "cache_key_records": "SELECT DISTINCT rec_id, sha256(concat_ws('|', sha256, concat('p', page), 'provider', 'Analyze', 'LAYOUT+TABLES')) AS cache_key FROM filing_records",
         "cache_key": "SELECT n_nationkey, sha256(concat_ws('|', sha256(n_name), concat('p', n_nationkey), 'provider', 'Analyze', 'LAYOUT+TABLES')) AS cache_key FROM nation",
         "to_number_cells": f"""WITH c AS (SELECT c_custkey, {s} AS fm_s FROM customer), x AS (SELECT c_custkey, {style} AS cell FROM c), f AS (SELECT *, translate(regexp_replace(cell, '([0-9)])\\s*\\([0-9]\\)$', '\\1'), '$, ', '') AS t FROM x),
           n AS (SELECT *, regexp_replace(t, '[()%]', '', 'g') AS u FROM f) SELECT c_custkey, CASE WHEN t = '—' THEN 0.0 WHEN regexp_full_match(u, '\\d+\\.?\\d*') THEN CASE WHEN t[1] = '(' THEN -CAST(u AS DOUBLE) ELSE CAST(u AS DOUBLE) END END AS value, CASE WHEN t LIKE '%!%' ESCAPE '!' AND regexp_full_match(u, '\\d+\\.?\\d*') THEN 'pct' ELSE 'num' END AS unit FROM n""",

@@ -91,3 +91,15 @@ def test_scores_of_whole_texts(spark, tmp_path):
     assert scores[0]["cer_typography"] < scores[0]["cer"]
     assert {r["doc_id"]: (r["n_ref"], r["n_found"]) for r in run(spark, "numeric_recall_whole", d)} == {0: (1, 1), 1: (1, 0), 2: (2, 1), 3: (2, 0)}
     assert {r["doc_id"]: r["num_acc"] for r in run(spark, "number_accuracy_whole", d)} == {0: 1.0, 1: 0.0, 2: 0.5, 3: 0.0}
+
+
+def test_dense_grids_and_cache_keys_of_records(spark, tmp_path):
+    from hashlib import sha256
+
+    d, raw = str(tmp_path), [["a"], ["b", "c", "d"], []]
+    rows = [(1, "s", 3, (raw,)), (1, "s", 3, (raw,)), (2, "t", 4, None)]
+    save(spark, d, "filing_records", rows, "rec_id bigint, sha256 string, page int, tbl struct<raw_cells:array<array<string>>>")
+    got = sorted((r["rec_id"], r["r"], r["c"], r["cell"]) for r in run(spark, "dense_grid_tables", d))
+    assert got == [(1, 0, 0, "a"), (1, 0, 1, ""), (1, 0, 2, ""), (1, 1, 0, "b"), (1, 1, 1, "c"), (1, 1, 2, "d")]
+    key = lambda s, p: sha256(f"{s}|p{p}|provider|Analyze|LAYOUT+TABLES".encode()).hexdigest()
+    assert sorted(tuple(r) for r in run(spark, "cache_key_records", d)) == [(1, key("s", 3)), (2, key("t", 4))]
