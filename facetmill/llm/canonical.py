@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,17 +24,62 @@ from pyspark.sql import types as T
 
 from facetmill.sources.checkpoint import settled
 
-# Letters that look alike, by script, in the order Latin, Greek, Cyrillic, Armenian ('.' where a
-# script has no such letter). From the public Unicode confusables data.
+# Letters of the four commonest scripts that are printed alike, one group a row: Latin, Greek, Cyrillic,
+# Armenian, "." where a script has no such letter. They go before the public data below, which adds other scripts.
 ALIKE = """
-AΑА. BΒВ. CϹС. D... EΕЕ. HΗН. IΙІ. JͿЈ. KΚК. MΜМ.
-NΝ.. OΟОՕ PΡР. Q.Ԛ. S.ЅՏ TΤТ. U..Ս V.Ѵ. W.Ԝ. XΧХ. YΥҮ. ZΖ.. G.Ԍ.
-aαа. cϲс. d.ԁ. e.е. g..ց h.һհ i.і. jϳј. l.ӏ. n..ո oοоօ pρр.
-q.ԛզ s.ѕ. u..ս vνѵ. w.ԝ. x.х. y.у. .ΓГ. .ΠП. .ΦФ. .κк.
+A Α А .
+B Β В .
+C Ϲ С .
+D . . .
+E Ε Е .
+G . Ԍ .
+H Η Н .
+I Ι І .
+J Ϳ Ј .
+K Κ К .
+M Μ М .
+N Ν . .
+O Ο О Օ
+P Ρ Р .
+Q . Ԛ .
+S . Ѕ Տ
+T Τ Т .
+U . . Ս
+V . Ѵ .
+W . Ԝ .
+X Χ Х .
+Y Υ Ү .
+Z Ζ . .
+a . а .
+c ϲ с .
+d . ԁ .
+e . е .
+g . . ց
+h . һ հ
+i . і .
+j ϳ ј .
+l . ӏ .
+n . . ո
+o ο о օ
+p . р .
+q . ԛ զ
+s . ѕ .
+u . . ս
+v ν ѵ .
+w . ԝ .
+x . х .
+y . у .
+. Γ Г .
+. Π П .
+. Φ Ф .
+. κ к .
 """
-# Letters of the table that a reader can still tell apart.
-APART = {"aαа.": "a.а.", "pρр.": "p.р."}
 SCRIPTS = ("LATIN", "GREEK", "CYRILLIC", "ARMENIAN")
+# Latin letters beyond ASCII printed like one of ASCII; capitals the public data leave out; letters the
+# public data put with an ASCII letter though a reader of print can tell them apart.
+TWINS = {"ɑ": "a", "ɡ": "g", "ᴄ": "c", "ᴏ": "o", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ꜱ": "s"}
+ADDED = {"Ⲁ": "A"}
+TOLD_APART = "αγικρσυϜϺгУүҽѡ"
 
 # Characters printed alike outside letters.
 HYPHENS = "‐‑﹣˗⁃"
@@ -44,27 +90,78 @@ QUOTES = {"ʼ": "’", "ʹ": "′", ";": ";", "·": "·", "․": ".", "⁄": "/
 SAME_IN_PRINT = ("<wide>", "<narrow>", "<font>", "<noBreak>", "<compat>", "<initial>", "<medial>", "<final>", "<isolated>")
 
 
+# Scripts that are written together, under the name of what they make up.
+JOINT = {"CJK": ("JAPANESE", "KOREAN", "HANB"), "HIRAGANA": ("JAPANESE",), "KATAKANA": ("JAPANESE",), "KATAKANA-HIRAGANA": ("HIRAGANA", "KATAKANA", "JAPANESE"), "HANGUL": ("KOREAN",), "BOPOMOFO": ("HANB",)}
+
+Spellings = dict[str, dict[str, str]]
+
+
 def _script_of(ch: str) -> str:
     return unicodedata.name(ch, "").split(" ", 1)[0]
 
 
-SPELL: dict[str, dict[str, str]] = {}
-for _group in ALIKE.split():
-    _letters = {s: c for s, c in zip(SCRIPTS, APART.get(_group, _group), strict=True) if c != "."}
-    for _c in _letters.values():
-        SPELL[_c] = _letters
+def public_confusables() -> dict[str, str]:
+    """The public Unicode confusables, character to prototype, from the ICU library that comes with Spark.
+
+    Layout of the file: the ICU data header (its size first), then eight offsets and counts of big-endian tables: keys
+    (24 bits of code point, 8 of length - 1), values (a UTF-16 unit, or where the text starts), texts.
+    """
+    import os
+    import struct
+    import zipfile
+    from pathlib import Path
+
+    import pyspark
+
+    homes = [Path(pyspark.__file__).parent / "jars", Path(os.environ.get("SPARK_HOME", "/nowhere")) / "jars"]
+    jar = next((j for h in homes if h.is_dir() for j in sorted(h.glob("icu4j-*.jar"))), None)
+    if jar is None:
+        raise FileNotFoundError("no icu4j jar beside Spark: its confusables data are needed")
+    with zipfile.ZipFile(jar) as z:
+        data = z.read(next(n for n in z.namelist() if n.endswith("/confusables.cfu")))
+    data = data[struct.unpack_from(">H", data)[0] :]
+    keys_at, n_keys, values_at, n_values, texts_at, n_texts = struct.unpack_from(">6i", data, 12)
+    keys, values = struct.unpack_from(f">{n_keys}I", data, keys_at), struct.unpack_from(f">{n_values}H", data, values_at)
+    texts = data[texts_at : texts_at + 2 * n_texts].decode("utf-16-be", "surrogatepass")
+    return {chr(k & 0xFFFFFF): chr(v) if k < 1 << 24 else texts[v : v + (k >> 24) + 1] for k, v in zip(keys, values, strict=True)}
+
+
+@cache
+def spellings() -> Spellings:
+    """Each letter that looks like one of another script, with the letter of each such script (its own included).
+
+    Groups are the rows of ALIKE. The public data add, to the group of the ASCII letter they name, the letters of
+    further scripts; they do not tell I from l, so there the letter's own case decides. Built once, on the driver.
+    """
+    table: Spellings = {}
+    for row in ALIKE.strip().splitlines():
+        group = {s: c for s, c in zip(SCRIPTS, row.split(), strict=True) if c != "."}
+        table.update(dict.fromkeys(group.values(), group))
+    more = [(c, "I" if to == "l" and unicodedata.category(c) != "Ll" else to) for c, to in sorted(public_confusables().items()) if len(to) == 1 and to.isascii() and to.isalpha()] + list(ADDED.items())
+    for c, to in more:
+        category = unicodedata.category(c)
+        other_case = (category == "Lu" and to.islower()) or (category == "Ll" and to.isupper())
+        if c in table or c in TOLD_APART or category[0] != "L" or other_case or unicodedata.decomposition(c) or _script_of(c) in ("LATIN", "ARABIC"):
+            continue
+        group = table[to] if to in table else table.setdefault(to, {"LATIN": to})
+        own = group.setdefault(_script_of(c), c)
+        table[c] = group if own == c else {**group, _script_of(c): c}
+    for c, to in TWINS.items():
+        table[c] = table[to] if to in table else {"LATIN": to}
+    return table
+
 
 _plain: dict[str, str] = {}
 
 
-def _plain_form(ch: str) -> str:
+def _plain_form(ch: str, table: Spellings) -> str:
     """The printed-alike plain form of one character: '' if invisible, ' ' for white space within a line."""
     known = _plain.get(ch)
     if known is not None:
         return known
     category = unicodedata.category(ch)
     out = ch
-    if ch == "\n" or ch in SPELL:
+    if ch == "\n" or ch in table:
         out = ch
     elif ch in "\u0085  \x0b\x0c\r":
         out = "\n"
@@ -83,7 +180,7 @@ def _plain_form(ch: str) -> str:
         if mapping.startswith(SAME_IN_PRINT):
             to = "".join(chr(int(x, 16)) for x in mapping.split()[1:])
             if not to.startswith(" ") or len(to) == 1:
-                out = "".join(_plain_form(c) for c in to)
+                out = "".join(_plain_form(c, table) for c in to)
     if len(_plain) < 200_000:
         _plain[ch] = out
     return out
@@ -93,41 +190,58 @@ TOKEN = re.compile(r"[^\W\d_][̀-ͯ]*(?:[^\W\d_][̀-ͯ]*)*")
 OTHER = re.compile(r"[^\x00-\x7f]")
 
 
-def resolved_scripts(token: str) -> set[str]:
+def _scripts_of(ch: str) -> frozenset[str]:
+    script = _script_of(ch)
+    return frozenset((script, *JOINT.get(script, ())))
+
+
+def resolved_scripts(token: str, table: Spellings) -> set[str]:
     """The scripts in which the whole token can be spelled, look-alike letters included."""
     left: set[str] | None = None
     for c in token:
         if unicodedata.combining(c):
             continue
-        own = SPELL.get(c)
-        scripts = set(own) if own else {_script_of(c)}
+        own = table.get(c)
+        scripts = {s for x in own for s in (x, *JOINT.get(x, ()))} if own else set(_scripts_of(c))
         left = scripts if left is None else left & scripts
         if not left:
             return set()
     return left or set()
 
 
-def _respell(token: str, script: str) -> str:
-    return "".join(SPELL[c].get(script, c) if c in SPELL else c for c in token)
+def _sure(scripts) -> str | None:
+    """The script that is surely meant: the only one, or the only one of the four commonest."""
+    common = [s for s in SCRIPTS if s in scripts]
+    return common[0] if len(common) == 1 else next(iter(scripts)) if len(scripts) == 1 else None
 
 
-def _best_effort(token: str) -> str:
-    """A token that no one script can spell: each run of letters by the script of its unambiguous letters, Latin where none."""
-    count = Counter(_script_of(c) for c in token if c not in SPELL and not unicodedata.combining(c))
+def _respell(token: str, script: str, table: Spellings) -> str:
+    return "".join(table[c].get(script, c) if c in table else c for c in token)
+
+
+def _best_effort(token: str, table: Spellings) -> str:
+    """A token that no one script can spell: each look-alike in the script of the most unambiguous letters, Latin on a tie."""
+    count = Counter(s for c in token if not unicodedata.combining(c) for s in [_sure(table[c] if c in table else (_script_of(c),))] if s)
     order = [s for s, _ in sorted(count.items(), key=lambda x: (-x[1], x[0] != "LATIN", x[0]))]
     out = []
     for c in token:
-        own = SPELL.get(c)
+        own = table.get(c)
         if own:
             c = next((own[s] for s in [*order, *SCRIPTS] if s in own), c)
         out.append(c)
     return "".join(out)
 
 
-def consistent(text: str) -> str:
+def _first(scripts) -> str:
+    return min(scripts, key=lambda s: (SCRIPTS.index(s) if s in SCRIPTS else len(SCRIPTS), s))
+
+
+def consistent(text: str, table: Spellings | None = None) -> str:
     """``text`` in its one consistent form; texts that look the same come out equal."""
     if not text.isascii():
-        text = "".join(c if c < "\x7f" and c >= " " else _plain_form(c) for c in text)
+        table = table or spellings()
+        text = unicodedata.normalize("NFD", text)
+        text = "".join(c if " " <= c < "\x7f" else _plain_form(c, table) for c in text)
         if not text.isascii():
             text = unicodedata.normalize("NFD", text)
             fixed = Counter()
@@ -135,20 +249,18 @@ def consistent(text: str) -> str:
             for token in TOKEN.findall(text):
                 scripts = choices.get(token)
                 if scripts is None:
-                    scripts = choices[token] = resolved_scripts(token)
-                if len(scripts) == 1 and len(token) > 1:  # a lone letter may be a symbol
-                    fixed[next(iter(scripts))] += 1
-            around = max((s for s in SCRIPTS if fixed[s]), key=lambda s: (fixed[s], s == "LATIN"), default="LATIN")
+                    scripts = choices[token] = resolved_scripts(token, table)
+                sure = _sure(scripts)
+                if sure and len(token) > 1:  # a lone letter may be a symbol
+                    fixed[sure] += 1
+            around = max(fixed, key=lambda s: (fixed[s], s == "LATIN", s), default="LATIN")
 
             def spell(match: re.Match) -> str:
                 token = match.group(0)
                 scripts = choices[token]
                 if not scripts:
-                    return _best_effort(token)
-                if len(scripts) == 1:
-                    return _respell(token, next(iter(scripts)))
-                script = around if around in scripts else next(s for s in SCRIPTS if s in scripts)
-                return _respell(token, script)
+                    return _best_effort(token, table)
+                return _respell(token, around if around in scripts else _first(scripts), table)
 
             text = unicodedata.normalize("NFC", TOKEN.sub(spell, text))
     else:
@@ -159,9 +271,14 @@ def consistent(text: str) -> str:
     return text.strip(" \n")
 
 
-@F.pandas_udf(T.StringType())
-def _consistent(text: pd.Series) -> pd.Series:
-    return text.map(consistent, na_action="ignore")
+def _consistent(text: Column) -> Column:
+    table = spellings()  # read on the driver, sent with the function
+
+    @F.pandas_udf(T.StringType())
+    def run(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda t: consistent(t, table), na_action="ignore")
+
+    return run(text)
 
 
 # Greek small letters without a look-alike in the table above, which stand alone as symbols in Latin text.
@@ -205,6 +322,17 @@ def same_look(df: DataFrame, key: str, text: str) -> DataFrame:
     return pairs.select(F.least("a.fm_key", "b.fm_key").alias("key_a"), F.greatest("a.fm_key", "b.fm_key").alias("key_b")).distinct()
 
 
+def look_classes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, class_id, rows, spellings) of the rows whose text looks like one stored in other characters.
+
+    class_id is the least key of the class; copies are counted, not paired. Null texts are in no class, repeated rows
+    count once. One shuffle by the hash of the form counts, a second one joins the classes back.
+    """
+    rows = settled(_hashed(df, key, text).distinct())
+    classes = rows.groupBy("fm_form").agg(F.min("fm_key").alias("class_id"), F.countDistinct("fm_key").alias("rows"), F.countDistinct("fm_own").alias("spellings")).filter("spellings > 1")
+    return rows.join(classes, "fm_form").select(F.col("fm_key").alias(key), "class_id", "rows", "spellings").distinct()
+
+
 def _hashed(df: DataFrame, key: str, text: str) -> DataFrame:
     digest = lambda c: F.unhex(F.md5(c.cast("binary")))
     forms = df.select(F.col(key).alias("fm_key"), F.col(text).alias("fm_text")).filter("fm_text is not null").withColumn("fm_form", canonical(F.col("fm_text")))

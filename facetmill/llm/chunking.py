@@ -20,32 +20,40 @@ from pyspark.sql import types as T
 SENTENCE_END = re.compile(r"\n+|(?<=[.!?;:。！？])[\"'”’)\]]*\s+")
 WORD = re.compile(r"\w+")
 BLOCK = 3
-DIMENSIONS = 1024
-SPAN = 4096
 
 
 def _similarities(words: list[list[int]]) -> np.ndarray:
-    """Cosine similarity of the BLOCK sentences before and after each of the gaps between sentences."""
+    """Cosine similarity of the BLOCK sentences before and after each of the gaps between sentences.
+
+    Products of blocks are sums of products of sentences at most 2 BLOCK - 1 apart; each of these is a sum over the
+    words that both hold, found by sorted search. Exact, with memory in proportion to the text.
+    """
     n = len(words)
-    out = np.ones(max(n - 1, 0))
-    for start in range(0, n - 1, SPAN):  # bounded memory for texts of any length
-        stop = min(n - 1, start + SPAN)
-        lo, hi = max(0, start + 1 - BLOCK), min(n, stop + BLOCK)
-        used: dict[int, int] = {}
-        rows, cols = [], []
-        for r in range(lo, hi):
-            for w in words[r]:
-                rows.append(r - lo)
-                cols.append(used.setdefault(w, len(used)) % DIMENSIONS)
-        total = np.zeros((hi - lo + 1, min(max(len(used), 1), DIMENSIONS)), np.float32)
-        np.add.at(total, (np.asarray(rows, np.int64) + 1, np.asarray(cols, np.int64)), 1)
-        np.cumsum(total, axis=0, out=total)
-        gap = np.arange(start + 1, stop + 1) - lo
-        left = total[gap] - total[np.maximum(gap - BLOCK, 0)]
-        right = total[np.minimum(gap + BLOCK, hi - lo)] - total[gap]
-        norm = np.sqrt((left * left).sum(1) * (right * right).sum(1))
-        out[start:stop] = np.where(norm > 0, (left * right).sum(1) / np.maximum(norm, 1e-9), 0.0)
-    return out
+    sizes = np.fromiter(map(len, words), np.int64, n)
+    flat = np.fromiter((w for ws in words for w in ws), np.int64, int(sizes.sum()))
+    keys, counts = np.unique(flat * n + np.repeat(np.arange(n), sizes), return_counts=True)  # word, then sentence
+    place = keys % n if len(keys) else keys
+    near = np.zeros((2 * BLOCK, n))  # near[d, i]: the product of sentences i and i + d
+    for d in range(min(2 * BLOCK, n)):
+        at = np.searchsorted(keys, keys + d)
+        both = (at < len(keys)) & (place + d < n)
+        both[both] = keys[at[both]] == keys[both] + d
+        near[d] = np.bincount(place[both], counts[both] * counts[at[both]], minlength=n)
+    gap = np.arange(1, n)  # before sentence number gap
+    across, left, right = (np.zeros(max(n - 1, 0)) for _ in range(3))
+    for i in range(1, BLOCK + 1):
+        for j in range(BLOCK):  # sentences gap - i and gap + j
+            ok = (gap - i >= 0) & (gap + j < n)
+            across[ok] += near[i + j][(gap - i)[ok]]
+    for i in range(BLOCK):
+        for d in range(BLOCK - i):
+            times = 2 if d else 1
+            ok = gap - 1 - i - d >= 0
+            left[ok] += times * near[d][(gap - 1 - i - d)[ok]]
+            ok = gap + i + d < n
+            right[ok] += times * near[d][(gap + i)[ok]]
+    norm = np.sqrt(left * right)
+    return np.where(norm > 0, across / np.maximum(norm, 1e-9), 0.0)
 
 
 def _depths(sim: np.ndarray) -> np.ndarray:
@@ -108,19 +116,23 @@ def cut_points(text: str, limit: int, overlap: int, fill: float = 0.5) -> list[i
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _cuts(text: pd.Series, limit: pd.Series, overlap: pd.Series) -> pd.Series:
+def _cut_points(text: pd.Series, limit: pd.Series, overlap: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else cut_points(t, int(m), int(o)) for t, m, o in zip(text, limit, overlap, strict=True)], dtype=object)
 
 
+_cuts = _cut_points.asNondeterministic()  # so that no filter on the cuts is pushed below them, which would cut twice
+
+
 def split_oversized(df: DataFrame, limits: DataFrame, keep: list[str], text: str, kind: str, limit: str = "max_chars", overlap: str = "overlap_chars") -> DataFrame:
     """Ordered pieces within the limit: ``keep``, n_pieces, piece_no (0-based), piece_start, piece_end, piece.
 
     ``limits`` has one row per kind; sizes are code points. Consecutive pieces share exactly the overlap (at
     most half the limit), so the pieces rebuild the text. A text within its limit, empty, or of a kind without
     a limit (null included) is one piece; a null text is one piece that is null. A null overlap counts as 0.
-    Repeated rows give repeated pieces. Columns beyond those named are ignored, whatever their names.
+    Of several limits of a kind the least counts. Repeated rows give repeated pieces. Columns beyond those named are ignored, whatever their names.
     """
-    bound = limits.select(F.col(kind).alias("fm_kind"), F.col(limit).cast("int").alias("fm_limit"), F.greatest(F.coalesce(F.col(overlap).cast("int"), F.lit(0)), F.lit(0)).alias("fm_overlap")).dropDuplicates(["fm_kind"])
+    bound = limits.select(F.col(kind).alias("fm_kind"), F.struct(F.col(limit).cast("int").alias("fm_limit"), F.greatest(F.coalesce(F.col(overlap).cast("int"), F.lit(0)), F.lit(0)).alias("fm_overlap")).alias("fm_l"))
+    bound = bound.groupBy("fm_kind").agg(F.min(F.when(F.col("fm_l.fm_limit").isNotNull(), F.col("fm_l"))).alias("fm_l")).select("fm_kind", "fm_l.*")
     rows = df.select(*[F.col(c).alias(f"fm_k{i}") for i, c in enumerate(keep)], F.col(text).alias("fm_text"), F.col(kind).alias("fm_kind")).join(bound, "fm_kind", "left")
     size = F.char_length("fm_text")
     over = (F.col("fm_limit") >= 1) & (size > F.col("fm_limit"))

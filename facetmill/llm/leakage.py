@@ -3,121 +3,114 @@
 A passage leaks if a document holds ``span`` consecutive words of an item. Items are short and documents long, so
 both are cut by size before they are compared: every run of ``span`` words is one set of five-word shingles, and
 two equal runs have containment and Jaccard similarity 1, whatever the length of the texts around them. Each set
-gets a MinHash band of three rows; equal runs always fall into one bucket, so the search loses nothing, and
-neighbouring runs share their minima, so a text yields fewer buckets than words. Candidate pairs are then verified by exact
-containment of a ``span``-word shingle.
+gets a MinHash band of three rows; equal runs always fall into one bucket, so the search loses nothing. Beside its
+bucket each run carries a 128-bit hash of its words, by which a candidate is verified, so that the corpus is read
+once and no text is shuffled. A whole batch of texts is cut into words and hashed at once in numpy.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from facetmill.llm.canonical import consistent
+from facetmill.llm import batch as b
+from facetmill.llm.canonical import consistent, is_canonical, spellings
 
 SHINGLE = 5
 SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
-APOSTROPHE = re.compile("['’‘ʼ`´＇‛]")
+APOSTROPHES = "'’‘ʼ`´＇‛"
+APOSTROPHE = re.compile(f"[{APOSTROPHES}]")
 WORD = re.compile(r"[^\W_]+")
-NUMERAL = re.compile(r"[^\W\d_]")
 
 
 def words_of(text: str) -> list[str]:
     """Runs of letters and decimal digits in lower case, apostrophes dropped, in the text's consistent form.
 
-    Raised digits, fractions and other numerals that are no decimal digits part words.
+    Raised digits, fractions and other numerals that are no decimal digits part words; the final sigma is a sigma.
     """
-    text = APOSTROPHE.sub("", consistent(text)).lower()
+    text = APOSTROPHE.sub("", consistent(text)).lower().replace("ς", "σ")
     if not text.isascii():
         text = "".join(c if c.isascii() or c.isalpha() or c.isdecimal() or c in "\n " else "" if 0x300 <= ord(c) <= 0x36F else " " for c in text)
     return WORD.findall(text)
 
 
-_known: dict[str, int] = {}
-
-
-def _word_hashes(words: list[str]) -> np.ndarray:
-    import xxhash
-
-    if len(_known) > 500_000:
-        _known.clear()
-    out = []
-    for w in words:
-        h = _known.get(w)
-        if h is None:
-            h = _known[w] = xxhash.xxh64_intdigest(w)
-        out.append(h)
-    return np.array(out, np.uint64)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _shingles(hashes: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros(max(len(hashes) - n + 1, 0), np.uint64)
-    for i in range(n):
-        out = out * np.uint64(0x100000001B3) + hashes[i : len(hashes) - n + 1 + i]
-    return _mix(out)
-
-
-def buckets(words: list[str], span: int) -> np.ndarray:
-    """The distinct MinHash buckets of all runs of ``span`` words."""
-    if len(words) < span:
-        return np.zeros(0, np.int64)
-    size = min(SHINGLE, span)
-    shingles = _shingles(_word_hashes(words), size)
-    key = np.zeros(len(words) - span + 1, np.uint64)
+def _words(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes of every word of the texts (already in their consistent form), and the text it stands in."""
+    points, starts = b.code_points(texts)
+    keep = ~(np.isin(points, np.array([ord(c) for c in APOSTROPHES], np.uint32)) | ((points >= 0x300) & (points <= 0x36F)))
+    starts = np.concatenate(([0], np.cumsum(keep)))[starts]
+    points = points[keep]
+    inside = (b.flags(points) & (b.LETTER | b.DIGIT)) > 0
+    first, last = b.runs(inside)
+    one, two = b.run_hashes(b.lower(points), first, last, SEEDS[:2])
+    return one, two, np.searchsorted(starts, first, "right") - 1
+
+
+def _rolled(h: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each run of ``n`` neighbours, put together from runs of powers of two."""
+    size = max(len(h) - n + 1, 0)
+    out, done, block, width = np.zeros(size, np.uint64), 0, h, 1
+    while True:
+        if n & width:
+            out = b.mix(out * np.uint64(0x9FB21C651E98DF25) + block[done : done + size])
+            done += width
+        if 2 * width > n:
+            return out
+        block = b.mix(block[:-width] * np.uint64(0x9FB21C651E98DF25) + block[width:]) if len(block) > width else block[:0]
+        width *= 2
+
+
+def _least(x: np.ndarray, n: int) -> np.ndarray:
+    """The minimum of each run of ``n`` neighbours."""
+    width = 1
+    while 2 * width <= n:
+        x = np.minimum(x[:-width], x[width:])
+        width *= 2
+    rest = n - width
+    return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
+
+
+def word_runs(texts: Sequence[str], span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Every run of ``span`` words: the text it stands in, its MinHash bucket, and 128 bits of hash of its words."""
+    one, two, text = _words(texts)
+    size = max(len(one) - span + 1, 0)
+    if not size:
+        return np.zeros(0, np.int64), *[np.zeros(0, np.int64)] * 3
+    inside = text[:size] == text[span - 1 :]
+    width = min(SHINGLE, span)
+    shingles, key = _rolled(one, width), np.zeros(size, np.uint64)
     for seed in SEEDS:
-        rows = np.lib.stride_tricks.sliding_window_view(_mix(shingles ^ np.uint64(seed)), span - size + 1)
-        key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + rows.min(axis=1))
-    return np.unique(key).view(np.int64)
-
+        key = b.mix(key * np.uint64(0x9E3779B97F4A7C15) + _least(b.mix(shingles ^ np.uint64(seed)), span - width + 1))
+    return (text[:size][inside], *[x[inside].view(np.int64) for x in (key, _rolled(one, span), _rolled(two, span))])
 
-def _bucket_column(text: Column, span: int) -> Column:
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def run(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda t: buckets(words_of(t), span), na_action="ignore")
 
-    return run(text)
+def _runs(df: DataFrame, span: int) -> DataFrame:
+    """fm_key, fm_b, fm_h, fm_g of every run of the texts of ``df`` (fm_key, fm_text, fm_plain)."""
+    import pyarrow as pa
 
+    table = spellings()
 
-def _verified(span: int):
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            spans: dict[object, set[bytes]] = {}
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            keys = rows.column(0)
+            texts = [t if plain else consistent(t, table) for t, plain in zip(rows.column(1).to_pylist(), rows.column(2).to_pylist(), strict=True)]
+            for start, part in b.parts(texts):
+                text, *hashes = word_runs(part, span)
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(text + start)), *map(pa.array, hashes)], names)
 
-            def runs(kind: str, key: object, text: str, spans=spans) -> set[bytes]:
-                known = spans.get((kind, key))
-                if known is None:
-                    if len(spans) > 2000:
-                        spans.clear()
-                    w = words_of(text)
-                    known = spans[(kind, key)] = {" ".join(w[i : i + span]).encode() for i in range(len(w) - span + 1)}
-                return known
+    names = ["fm_key", "fm_b", "fm_h", "fm_g"]
+    schema = T.StructType([df.schema["fm_key"], *[T.StructField(n, T.LongType()) for n in names[1:]]])
+    return df.select("fm_key", "fm_text", "fm_plain").mapInArrow(cut, schema)
 
-            shared, whole = [], []
-            for d, i, dt, it in zip(batch.fm_doc, batch.fm_item, batch.fm_dtext, batch.fm_itext, strict=True):
-                a, b = runs("i", (i, it), it), runs("d", d, dt) if len(dt) < 2_000_000 else None
-                if b is None:
-                    w = words_of(dt)
-                    n = len(a & {s for k in range(len(w) - span + 1) if (s := " ".join(w[k : k + span]).encode()) in a})
-                else:
-                    n = len(a & b)
-                shared.append(n)
-                whole.append(len(a))
-            out = batch[["fm_doc", "fm_item"]].assign(shared=shared, whole=whole)
-            yield out[out.shared > 0]
 
-    return verify
+def _texts(df: DataFrame, key: str, text: str) -> DataFrame:
+    t: Column = F.col("fm_text")
+    return df.select(F.col(key).alias("fm_key"), F.col(text).alias("fm_text")).filter("fm_text is not null").withColumn("fm_plain", is_canonical(t))
 
 
 def leaked_items(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str, span: int = 12) -> DataFrame:
@@ -125,14 +118,15 @@ def leaked_items(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame,
 
     shared_runs counts the item's distinct runs of ``span`` words found in the document, item_runs all it has.
     Null and shorter texts leak nothing; repeated rows count once; every item is reported for every document,
-    however many documents hold it. Output columns: ``doc_key``, ``item_key``, shared_runs, item_runs.
+    however many documents hold it. Output columns: ``doc_key``, ``item_key``, shared_runs, item_runs. The
+    runs of the items are broadcast only if the planner finds them small; else the runs of the documents are
+    shuffled, 32 bytes each.
     """
-    d = docs.select(F.col(doc_key).alias("fm_doc"), F.col(doc_text).alias("fm_dtext")).filter("fm_dtext is not null")
-    i = items.select(F.col(item_key).alias("fm_item"), F.col(item_text).alias("fm_itext")).filter("fm_itext is not null").distinct()
-    of_docs = d.select("fm_doc", F.explode(_bucket_column(F.col("fm_dtext"), span)).alias("fm_b"))
-    of_items = i.select("fm_item", F.explode(_bucket_column(F.col("fm_itext"), span)).alias("fm_b")).distinct()
-    pairs = of_docs.join(of_items, "fm_b").select("fm_doc", "fm_item").distinct()
-    texts = pairs.join(i, "fm_item").join(d, "fm_doc")
-    schema = T.StructType([pairs.schema["fm_doc"], pairs.schema["fm_item"], T.StructField("shared", T.LongType()), T.StructField("whole", T.LongType())])
-    found = texts.select("fm_doc", "fm_item", "fm_dtext", "fm_itext").mapInPandas(_verified(span), schema)
-    return found.groupBy("fm_doc", "fm_item").agg(F.max("shared").alias("shared_runs"), F.max("whole").alias("item_runs")).select(F.col("fm_doc").alias(doc_key), F.col("fm_item").alias(item_key), "shared_runs", "item_runs")
+    of_docs = _runs(_texts(docs, doc_key, doc_text), span).withColumnRenamed("fm_key", "fm_doc")
+    of_items = _runs(_texts(items, item_key, item_text), span).withColumnRenamed("fm_key", "fm_item").distinct()
+    sizes = of_items.groupBy("fm_item").agg(F.countDistinct("fm_h", "fm_g").alias("item_runs"))
+    a, i = of_docs.alias("a"), of_items.alias("i")
+    same_run = (F.col("a.fm_h") == F.col("i.fm_h")) & (F.col("a.fm_g") == F.col("i.fm_g"))
+    shared = a.join(i, F.col("a.fm_b") == F.col("i.fm_b")).filter(same_run).select("fm_doc", "fm_item", "a.fm_h", "a.fm_g").distinct()
+    found = shared.groupBy("fm_doc", "fm_item").agg(F.count(F.lit(1)).alias("shared_runs"))
+    return found.join(sizes, "fm_item").select(F.col("fm_doc").alias(doc_key), F.col("fm_item").alias(item_key), "shared_runs", "item_runs")

@@ -9,9 +9,7 @@ rows is spread over many tasks; the result is range-sorted by finish time and cu
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
-from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -20,7 +18,6 @@ from pyspark.sql import types as T
 
 from facetmill.sources.checkpoint import settled
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 _loaded: dict[str, object] = {}
 
 
@@ -29,16 +26,20 @@ def _encoder(path: str):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from pyspark import SparkFiles
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
+        t = Tokenizer.from_file(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)))
         t.encode_special_tokens = True
         _loaded[path] = t
     return _loaded[path]
 
 
-def token_count(text: Column, path: str = TOKENIZER) -> Column:
-    """Tokens of a text by the tokenizer file at ``path`` (present on every executor); null for null, 0 for empty."""
+def token_count(text: Column, path: str) -> Column:
+    """Tokens of a text by the tokenizer file at ``path``; null for null, 0 for empty.
+
+    ``path`` must lie on every executor, or name a file sent with the job (``SparkContext.addFile``).
+    """
 
     @F.pandas_udf(T.LongType())
     def count(batch: pd.Series) -> pd.Series:
@@ -53,70 +54,59 @@ def token_count(text: Column, path: str = TOKENIZER) -> Column:
     return count(text)
 
 
-@dataclass(frozen=True)
-class Source:
-    """One source of a mix: its weight among the present ones, its size, how often a document may be used, the passes it needs."""
+def shuffled(seed: int = 11) -> Callable[[Column, Column], Column]:
+    """The place of a document in its source's order as a bigint from 0 to 2^63 - 1, from (pass, key)."""
+    return lambda turn, key: F.shiftrightunsigned(F.xxhash64(F.lit(seed), turn, key), 1)
 
-    name: str
-    weight: float
-    tokens: int
-    documents: int
-    max_repeats: int
-    passes: int
 
+def plan_mix(targets: DataFrame, totals: DataFrame, budget: float | None = None) -> DataFrame:
+    """source, weight, tokens, documents, max_repeats, budget, passes of the sources that are present.
 
-def plan_mix(targets: list[tuple[str, float, int]], totals: dict[str, tuple[int, int]], budget: float | None = None) -> tuple[list[Source], float]:
-    """The present sources with their weights, and the budget in tokens.
-
-    Sources without tokens, with a weight that is not positive or no allowed use are left out and the other
-    weights are scaled to sum to 1. Without ``budget`` it is the largest at which no source runs out.
+    targets: source, target_share, max_repeats; totals: source, tokens, documents. Sources without tokens, with a
+    weight that is not positive or no allowed use are left out and the other weights are scaled to sum to 1. Without
+    ``budget`` it is the largest at which no source runs out. The sums over all sources are one row, as every source
+    is one row here.
     """
-    usable = [(s, w, m, *totals[s]) for s, w, m in targets if s in totals and totals[s][0] > 0 and w and w > 0 and (m or 0) > 0]
-    if not usable:
-        return [], 0.0
-    whole = sum(x[1] for x in usable)
-    most = min(n * m / (w / whole) for _, w, m, n, _ in usable)
-    total = most if budget is None else float(budget)
-    return [Source(s, w / whole, n, d, m, min(m, max(1, math.ceil(total * w / whole / n)))) for s, w, m, n, d in usable], total
+    usable = targets.join(totals, "source").filter("tokens > 0 and target_share > 0 and max_repeats > 0").withColumn("fm_one", F.lit(1))
+    most = F.min(F.col("tokens") * F.col("max_repeats") / F.col("target_share"))
+    whole = usable.groupBy("fm_one").agg(F.sum("target_share").alias("fm_whole"), most.alias("fm_most"))
+    weighed = usable.join(whole, "fm_one").withColumn("weight", F.col("target_share") / F.col("fm_whole"))
+    total = F.col("fm_most") * F.col("fm_whole") if budget is None else F.lit(float(budget))
+    passes = F.least(F.greatest(F.ceil(F.col("budget") * F.col("weight") / F.col("tokens")), F.lit(1)), F.col("max_repeats")).cast("int")
+    return weighed.withColumn("budget", total).select("source", "weight", "tokens", "documents", "max_repeats", "budget", passes.alias("passes"))
 
 
-def mix(docs: DataFrame, key: str, source: str, tokens: Column, targets: DataFrame, target_source: str = "source", weight: str = "target_share", repeats: str = "max_repeats", budget: float | None = None, seed: int = 11, rows_per_slice: int = 100_000) -> tuple[DataFrame, Callable[[], DataFrame]]:
+def mix(docs: DataFrame, key: str, source: str, tokens: Column, targets: DataFrame, target_source: str = "source", weight: str = "target_share", repeats: str = "max_repeats", budget: float | None = None, order: Callable[[Column, Column], Column] | None = None, rows_per_slice: int = 100_000) -> tuple[DataFrame, Callable[[], DataFrame]]:
     """The mixed documents and a function giving the shares reached.
 
     Mixed: ``key``, source, copy_no (0-based), n_tokens, finish; one row per use of a document, in order of
     finish. Rows repeated under one key and source are one document (its greatest token count holds). Documents
     of null or untargeted sources are not used; documents without tokens ride along; targets may repeat (the
-    greatest weight and repeats of a source count). ``targets`` is a small table by contract: at most 100,000 rows.
-    Empty documents or targets give an empty mix. Without ``budget`` the mix is the largest at which every
-    present source keeps its share; beyond that sources that run out fall short, as the shares report.
+    greatest weight and repeats of a source count). Empty documents or targets give an empty mix. Without
+    ``budget`` the mix is the largest at which every present source keeps its share; beyond that sources that run
+    out fall short, as the shares report. ``order`` shuffles a source (by default ``shuffled()``).
     """
-    spark = docs.sparkSession
-    given = targets.select(F.col(target_source).alias("s"), F.col(weight).cast("double").alias("w"), F.col(repeats).cast("int").alias("m")).filter("s is not null").groupBy("s").agg(F.max("w").alias("w"), F.max("m").alias("m")).limit(100_001).collect()
-    if len(given) > 100_000:
-        raise ValueError("more than 100,000 target sources")
-    sized = docs.select(F.col(key).alias("fm_key"), F.col(source).alias("fm_source"), tokens.alias("fm_n"))
-    wanted = [r["s"] for r in given]
-    sized = sized.filter(F.col("fm_source").isin(wanted) if wanted else F.lit(False)).groupBy("fm_key", "fm_source").agg(F.max(F.coalesce("fm_n", F.lit(0))).alias("fm_n"))
-    sized = settled(sized)  # the token counts are read three times
-    totals = {r["fm_source"]: (r["n"], r["d"]) for r in sized.groupBy("fm_source").agg(F.sum("fm_n").alias("n"), F.count(F.lit(1)).alias("d")).collect()}
-    sources, total = plan_mix([(r["s"], r["w"], r["m"]) for r in given], totals, budget)
-    plan = spark.createDataFrame([(s.name, s.weight, s.passes, max(1, math.ceil(s.documents / rows_per_slice))) for s in sources], "fm_source string, fm_weight double, fm_passes int, fm_slices int")
-    used = sized.join(F.broadcast(plan), "fm_source").withColumn("fm_pass", F.explode(F.sequence(F.lit(0), F.col("fm_passes") - 1)))
-    used = used.withColumn("fm_hash", F.xxhash64(F.lit(seed), "fm_pass", "fm_key")).withColumn("fm_slice", F.floor(F.shiftrightunsigned("fm_hash", 32) * F.col("fm_slices") / F.lit(4294967296.0)).cast("int"))
-    order = F.struct(F.shiftrightunsigned("fm_hash", 32), "fm_hash", "fm_key")
-    group = ["fm_source", "fm_pass", "fm_slice"]
-    before = Window.partitionBy("fm_source").orderBy("fm_pass", "fm_slice").rowsBetween(Window.unboundedPreceding, -1)
+    place = order or shuffled()
+    given = targets.select(F.col(target_source).alias("source"), F.col(weight).cast("double").alias("target_share"), F.col(repeats).cast("int").alias("max_repeats")).filter("source is not null").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
+    wanted = docs.select(F.col(key).alias("fm_key"), F.col(source).alias("source"), tokens.alias("fm_n")).join(given.select("source"), "source", "left_semi")
+    sized = settled(wanted.groupBy("fm_key", "source").agg(F.max(F.coalesce("fm_n", F.lit(0))).alias("fm_n")))  # the token counts are read three times
+    totals = sized.groupBy("source").agg(F.sum("fm_n").alias("tokens"), F.count(F.lit(1)).alias("documents"))
+    plan = settled(plan_mix(given, totals, budget))  # a row a source, joined three times
+    slim = plan.select("source", "weight", "budget", "passes", F.greatest(F.ceil(F.col("documents") / rows_per_slice), F.lit(1)).alias("slices"))
+    used = sized.join(slim, "source").withColumn("fm_pass", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)))
+    used = used.withColumn("fm_place", place(F.col("fm_pass"), F.col("fm_key"))).withColumn("fm_slice", F.least(F.floor(F.col("fm_place") / F.lit(float(2**63)) * F.col("slices")), F.col("slices") - 1).cast("int"))
+    group = ["source", "fm_pass", "fm_slice"]
+    before = Window.partitionBy("source").orderBy("fm_pass", "fm_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = used.groupBy(*group).agg(F.sum("fm_n").alias("fm_sum")).select(*group, F.coalesce(F.sum("fm_sum").over(before), F.lit(0)).alias("fm_before"))
-    inside = F.sum("fm_n").over(Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    timed = used.withColumn("fm_run", inside).join(offsets, group)
-    mixed = timed.select(F.col("fm_key").alias(key), F.col("fm_source").alias("source"), F.col("fm_pass").alias("copy_no"), F.col("fm_n").alias("n_tokens"), ((F.col("fm_before") + F.col("fm_run")) / F.col("fm_weight")).alias("finish")).filter(F.col("finish") <= F.lit(total) * (1 + 1e-12))
+    inside = F.sum("fm_n").over(Window.partitionBy(*group).orderBy("fm_place", "fm_key").rowsBetween(Window.unboundedPreceding, 0))
+    timed = used.withColumn("fm_run", inside).join(offsets, group).withColumn("finish", (F.col("fm_before") + F.col("fm_run")) / F.col("weight"))
+    mixed = timed.filter(F.col("finish") <= F.col("budget") * (1 + 1e-12)).select(F.col("fm_key").alias(key), "source", F.col("fm_pass").alias("copy_no"), F.col("fm_n").alias("n_tokens"), "finish")
 
     def shares() -> DataFrame:
-        got = mixed.groupBy("source").agg(F.sum("n_tokens").alias("fm_got"), F.count(F.lit(1)).alias("fm_uses"), F.max(F.col("copy_no") + 1).alias("fm_most"))
-        every = spark.createDataFrame([(r["s"], r["w"], r["m"], totals.get(r["s"], (0, 0))[0]) for r in given], "source string, target_share double, max_repeats int, available_tokens long")
-        out = every.join(got, "source", "left").select("source", "target_share", "max_repeats", "available_tokens", F.coalesce("fm_got", F.lit(0)).alias("tokens"), F.coalesce("fm_uses", F.lit(0)).alias("uses"), F.coalesce("fm_most", F.lit(0)).alias("most_uses"))
-        whole = F.sum("tokens").over(Window.partitionBy(F.lit(1)))  # one row per target
-        return out.withColumn("reached_share", F.coalesce(F.try_divide(F.col("tokens").cast("double"), whole), F.lit(0.0)))
+        got = mixed.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("uses"), F.max(F.col("copy_no") + 1).alias("most_uses")).withColumn("fm_one", F.lit(1))
+        every = got.groupBy("fm_one").agg(F.sum("tokens").alias("fm_every"))
+        held = got.join(every, "fm_one").select("source", "tokens", "uses", "most_uses", F.coalesce(F.try_divide(F.col("tokens").cast("double"), F.col("fm_every")), F.lit(0.0)).alias("reached_share"))
+        out = given.join(totals.select("source", F.col("tokens").alias("available_tokens")), "source", "left").join(held, "source", "left")
+        return out.select("source", "target_share", "max_repeats", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("available_tokens", "tokens", "uses", "most_uses")], F.coalesce("reached_share", F.lit(0.0)).alias("reached_share"))
 
     return mixed.orderBy("finish", "source", "copy_no", key), shares
-

@@ -20,6 +20,11 @@ def p1_forms(spark: SparkSession, d: str) -> DataFrame:
     return texts.select(F.lit("text").alias("field"), F.col("rec_id").alias("key"), "form").unionAll(labels.select(F.lit("label").alias("field"), F.col("cell_id").alias("key"), "form"))
 
 
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The class of each record's text by its look, its size in rows and in spellings: the classes of several spellings."""
+    return canonical.look_classes(table(spark, d, "filing_records"), "rec_id", "text")
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Labels that look like a linkbase label, and records that look alike, in other characters."""
     labels = canonical.same_look_as(table(spark, d, "table_cells"), "cell_id", "label", table(spark, d, "label_linkbase"), "label_id", "label")
@@ -62,9 +67,13 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_leaks(spark, d).select("doc_id", "item_id")
 
 
+#: The setting that names the tokenizer file, and the file where it is unset.
+TOKENIZER = ("facetmill.tokenizer", "/opt/tokenizers/byte_bpe_50k.json")
+
+
 def _mixed(spark: SparkSession, d: str):
     docs = table(spark, d, "documents")
-    return mixing.mix(docs, "doc_id", "source", mixing.token_count(F.col("text")), table(spark, d, "mix_targets"))
+    return mixing.mix(docs, "doc_id", "source", mixing.token_count(F.col("text"), spark.conf.get(*TOKENIZER)), table(spark, d, "mix_targets"))
 
 
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -77,6 +86,20 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)[1]()
 
 
+def _mixed_by_characters(spark: SparkSession, d: str):
+    """As p8_mix with characters as sizes and an order that SQL can follow."""
+    place = lambda turn, key: F.conv(F.substring(F.md5(F.concat_ws(":", turn.cast("string"), key.cast("string")).cast("binary")), 1, 15), 16, 10).cast("bigint") * 8
+    return mixing.mix(table(spark, d, "documents"), "doc_id", "source", F.char_length("text"), table(spark, d, "mix_targets"), order=place)
+
+
+def p8_mix_chars(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed_by_characters(spark, d)[0].withColumn("finish", F.round("finish", 3))
+
+
+def p8_shares_chars(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed_by_characters(spark, d)[1]()
+
+
 def p9_kinds(spark: SparkSession, d: str) -> DataFrame:
     """Every document with its features and its kind by the learned rules."""
     return quality.document_kinds(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "doc_labels"), "kind")
@@ -92,7 +115,7 @@ def p9_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_pieces, p3_found, p3_clean, p7_found, p7_leaks, p8_mix, p8_shares, p9_found, p9_kinds, p9_stats)}
+    return {f.__name__: f for f in (p1_found, p1_forms, p1_classes, p2_found, p2_pieces, p3_found, p3_clean, p7_found, p7_leaks, p8_mix, p8_shares, p8_mix_chars, p8_shares_chars, p9_found, p9_kinds, p9_stats)}
 
 
 REPEATED = r"""
@@ -114,6 +137,13 @@ WITH lines AS (
 """
 
 
+MIX = """WITH d AS (SELECT doc_id, source, max(length(text)) AS n FROM documents GROUP BY ALL), t AS (SELECT source, max(target_share) AS w, max(max_repeats) AS m FROM mix_targets WHERE source IS NOT NULL GROUP BY source),
+a AS (SELECT source, w, m, sum(n) AS n FROM d JOIN t USING (source) GROUP BY ALL), u AS (SELECT *, w / sum(w) OVER () AS share FROM a WHERE n > 0 AND w > 0 AND m > 0), p AS (SELECT *, min(n * m / share) OVER () AS budget FROM u),
+q AS (SELECT *, least(greatest(CAST(ceil(budget * share / n) AS INT), 1), m) AS passes FROM p), x AS (SELECT d.doc_id, d.source, d.n, q.share, q.budget, unnest(range(passes)) AS k FROM d JOIN q USING (source)),
+y AS (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY k, md5(concat(k, ':', doc_id))[1:15], doc_id ROWS UNBOUNDED PRECEDING) / share AS finish FROM x), z AS (SELECT * FROM y WHERE finish <= budget * (1 + 1e-12))
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     common = ", ".join(f"'{w}'" for w in dict.fromkeys(quality.COMMON))
     return {
@@ -124,6 +154,10 @@ def oracle_sql() -> dict[str, str]:
         coalesce(len(list_filter(words, lambda x: x IN ({common}))) / nullif(len(words), 0), 0) AS share_common,
         coalesce(len(list_filter(lines, lambda x: regexp_matches(x, '[.!?:;…。！？]["''”’)\\]]*\\s*$'))) / nullif(len(lines), 0), 0) AS share_punctuated,
         CAST(len(lines) AS BIGINT) AS n_lines, coalesce(length(array_to_string(lines, '')) / nullif(len(lines), 0), 0) AS mean_line_length FROM w""",
+        "p8_mix_chars": MIX + "SELECT doc_id, source, CAST(k AS INT) AS copy_no, n AS n_tokens, round(finish, 3) AS finish FROM z",
+        "p8_shares_chars": MIX
+        + """, g AS (SELECT source, CAST(sum(n) AS BIGINT) AS tokens, count(*) AS uses, max(k) + 1 AS most_uses, sum(n) / sum(sum(n)) OVER () AS reached FROM z GROUP BY source)
+        SELECT t.source, w AS target_share, t.m AS max_repeats, CAST(coalesce(a.n, 0) AS BIGINT) AS available_tokens, coalesce(tokens, 0) AS tokens, coalesce(uses, 0) AS uses, CAST(coalesce(most_uses, 0) AS INT) AS most_uses, coalesce(reached, 0) AS reached_share FROM t LEFT JOIN a USING (source, w, m) LEFT JOIN g USING (source)""",
         "p2_found": "SELECT DISTINCT rec_id FROM filing_records r JOIN chunk_limits c USING (block_type) WHERE length(r.text) > c.max_chars",
         "p3_found": REPEATED + "SELECT rec_id, CAST(line_no AS INTEGER) AS line_no FROM hits",
         "p3_clean": REPEATED

@@ -22,13 +22,39 @@ def test_consistent(stored, form):
     assert canonical.consistent(form) == form
 
 
+@pytest.mark.parametrize("stored", ["Ꭺsset", "ꓮsset", "Ⲁsset", "Аsset", "ɑsset", "\uff21sset".replace("Ａ", "Ａ")])
+def test_spellings_of_other_scripts(stored):
+    assert canonical.consistent(stored).lower() == "asset"
+
+
+def test_more_spellings():
+    assert canonical.consistent("ɡain") == "gain" and canonical.consistent("Ӏncome") == "Income"
+    for kept in ("αβ of", "σας", "Straße", "sınır", "日本のカタカナ", "서울 漢字", "а Жизнь", "ספר"):
+        assert canonical.consistent(kept) == kept
+
+
+def test_the_form_is_its_own_form():
+    for i in range(0x10000):
+        if not 0xD800 <= i < 0xE000:
+            for t in (chr(i), f"a{chr(i)}b"):
+                once = canonical.consistent(t)
+                assert canonical.consistent(once) == once, hex(i)
+
+
+def test_classes(spark):
+    texts = ["Net sales", "Nеt sаles", "Net sales", "net sales", None, "", "x"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(1, texts[1])], "id bigint, t string")
+    assert sorted(map(tuple, canonical.look_classes(df, "id", "t").collect())) == [(0, 0, 3, 2), (1, 0, 3, 2), (2, 0, 3, 2)]
+    assert canonical.look_classes(df.limit(0), "id", "t").count() == 0
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet=string.ascii_letters + "éÅßβζжя 0123\n.,-", max_size=40), st.integers(0, 10**6))
 def test_disguise_is_undone(text, seed):
     rng = random.Random(seed)
     out = []
     for c in text:
-        spell = canonical.SPELL.get(c)
+        spell = canonical.spellings().get(c)
         if "А" <= c <= "я" or c in "βζ":
             out.append(c)
         elif spell and "LATIN" in spell and c.isascii() and rng.random() < 0.3 and not any("А" <= x <= "я" or x in "βζ" for x in text):
@@ -100,6 +126,23 @@ def test_cut_at_the_topic_change():
     assert cuts[0] == len(a)
 
 
+def test_similarities_are_exact():
+    rng = random.Random(5)
+    sentences = [[rng.randrange(8000) if rng.random() < 0.5 else rng.randrange(20) for _ in range(rng.randint(0, 30))] for _ in range(700)]
+    got = chunking._similarities(sentences)
+    for g in range(1, len(sentences)):
+        a, b = (Counter(w for s in part for w in s) for part in (sentences[max(0, g - 3) : g], sentences[g : g + 3]))
+        norm = (sum(v * v for v in a.values()) * sum(v * v for v in b.values())) ** 0.5
+        assert got[g - 1] == pytest.approx(sum(v * b[w] for w, v in a.items()) / norm if norm else 0.0)
+    assert len(chunking._similarities([])) == len(chunking._similarities([[1]])) == 0
+
+
+def test_the_least_of_several_limits(spark):
+    df = spark.createDataFrame([(1, "word " * 40, "A")], "id int, body string, kind string")
+    limits = spark.createDataFrame([("A", 150, 0), ("A", 60, 10), ("A", None, 1)], "kind string, max_chars int, overlap_chars int")
+    assert max(len(r["piece"]) for r in chunking.split_oversized(df, limits, ["id"], "body", "kind").collect()) <= 60
+
+
 def test_very_long_text():
     text = "One more sentence about sales. " * 40_000
     cuts = chunking.cut_points(text, 1500, 150)
@@ -167,6 +210,19 @@ def test_words_of():
     assert leakage.words_of("It’s  lot² 5, Tram-\nway!") == ["its", "lot", "5", "tram", "way"]
 
 
+def test_words_of_a_batch_are_those_of_each_text():
+    texts = ["It’s  lot² 5, Tram-\nway!", "", "ΑΣ Σας naïve x\u0301y", "a", "𝔘 \U00020000 one_two 3½", "İst Straße"]
+    texts = [canonical.consistent(t) for t in texts]
+    one, _, of = leakage._words(texts)
+    seen: dict[str, int] = {}
+    for i, t in enumerate(texts):
+        words = leakage.words_of(t)
+        assert (of == i).sum() == len(words)
+        for w, h in zip(words, one[of == i], strict=True):
+            assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
 # 8: mixing
 def test_mix(spark):
     rng = random.Random(6)
@@ -202,9 +258,10 @@ def test_budget_beyond_the_sources(spark):
 def test_token_count(spark):
     import os
 
-    if not os.path.exists(mixing.TOKENIZER):
+    path = "/opt/tokenizers/byte_bpe_50k.json"
+    if not os.path.exists(path):
         pytest.skip("no tokenizer here")
-    got = [r[0] for r in spark.createDataFrame([("Net sales rose.",), ("",), (None,), ("<|endoftext|>",)], "t string").select(mixing.token_count(F.col("t"))).collect()]
+    got = [r[0] for r in spark.createDataFrame([("Net sales rose.",), ("",), (None,), ("<|endoftext|>",)], "t string").select(mixing.token_count(F.col("t"), path)).collect()]
     assert got[0] >= 3 and got[1] == 0 and got[2] is None and got[3] > 1
 
 
@@ -238,6 +295,19 @@ def test_kinds_on_held_out_documents(spark):
     assert quality.document_kinds(df.limit(0), "id", "text", labels, "kind").count() == 0
 
 
+def test_a_kind_with_quotes(spark):
+    rules = [quality.Rule("o'list\\", (("x", ">", 0.5),))]
+    got = spark.createDataFrame([(1.0,), (0.0,)], "x double").select(F.expr(quality.case_sql(rules, "p'"))).collect()
+    assert [r[0] for r in got] == ["o'list\\", "p'"]
+
+
+def test_measures_of_units():
+    of, m = quality.measure_units(["Sales rose in 2020. It is so.\n1,234 (12)  56%", "", "- one item\n(iv) two items\nBase/64+" + "x" * 40])
+    assert of.tolist() == [0, 0, 0, 2, 2, 2] and m["ended"].tolist() == [1, 1, 0, 0, 0, 0] and m["marked"].tolist() == [0, 0, 0, 1, 1, 0]
+    assert m["figures"][2] == 1 and m["unbroken"].tolist()[3:] == [0, 0, 1] and m["words"].tolist() == [3, 3, 0, 2, 3, 2]
+    assert all(len(v) == 6 for v in m.values()) and len(quality.measure_units(["", " \n"])[0]) == 0
+
+
 def test_statistics(spark):
     df = spark.createDataFrame([("Net sales rose.\nAnd fell",), ("",), (None,)], "t string")
     a, b, c = quality.statistics(df, "t").collect()
