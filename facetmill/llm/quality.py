@@ -223,7 +223,7 @@ def units(text: Column) -> Column:
             out.append(pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(measured[n]) for n in names], list(names))))
         return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.struct([(n, pa.float64()) for n in names])))
 
-    return run(text)
+    return run.asNondeterministic()(text)  # so that no filter on the units is pushed below them and their join, which would measure every text
 
 
 @dataclass(frozen=True)
