@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from facetmill.functions.text import FOOTNOTE_MARK, let
+from facetmill.functions.text import FOOTNOTE_MARK, let, strip
 
 # Dashes that stand for zero, and the named scale factors in the order they are tried.
 PLAIN_NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
@@ -17,7 +17,7 @@ SCALE_FACTORS = ((1e3, "scale_x1000"), (1e6, "scale_x1e+06"), (1e9, "scale_x1e+0
 def to_number(cell: Column) -> Column:
     """struct<value double, unit string> of a printed cell; unit is ``pct`` after a percent sign, else ``num``; value null where there is no number.
 
-    Footnote marks at the end are dropped, a lone dash is 0, a parenthesis or dash in front is a minus even if
+    Outer white space of any kind and footnote marks at the end are dropped, a lone dash is 0, a parenthesis or dash in front is a minus even if
     unclosed. Words such as ``nan`` are no numbers here.
     """
 
@@ -34,19 +34,20 @@ def to_number(cell: Column) -> Column:
 
         return let(bare, number)
 
-    return let(F.translate(F.regexp_replace(F.trim(cell), FOOTNOTE_MARK, ""), "$, ", ""), read)
+    return let(F.translate(F.regexp_replace(strip(cell), FOOTNOTE_MARK, ""), "$, ", ""), read)
 
 
 def as_number(cell: Column) -> Column:
     """A plain number with commas, null for anything else and for NaN."""
-    x = F.replace(F.trim(cell), F.lit(","), F.lit(""))
+    x = F.replace(strip(cell), F.lit(","), F.lit(""))
     return F.when(x.rlike(PLAIN_NUMBER), x.try_cast("double"))
 
 
 def plain_value(cell: Column) -> Column:
     """struct<s string, n double>: blank as null, a number as number, else the text."""
-    blank = F.trim(cell) == ""
-    n = F.when(F.trim(cell).rlike(PLAIN_NUMBER), F.trim(cell).try_cast("double"))
+    s = strip(cell)
+    blank = s == ""
+    n = F.when(s.rlike(PLAIN_NUMBER), s.try_cast("double"))
     return F.struct(F.when(~blank & n.isNull(), cell).alias("s"), n.alias("n"))
 
 

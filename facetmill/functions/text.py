@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# The three dialects of numeric tokens, years, item headings, dashes and footnote marks.
+# The three dialects of numeric tokens, years, item headings, dashes, and the footnote mark after a number.
 NUM_TOKEN = r"\(?\$?\d[\d,]*\.?\d*\)?"
 NUM_TOKEN_PERCENT = r"\(?\$?\d[\d,]*\.?\d*\)?%?"
 NUM_SIGNED = r"\(?-?\$?\d[\d,]*(?:\.\d+)?\)?"
@@ -19,7 +21,18 @@ ITEM = r"(?i)^\s*item\s+(\d{1,2}[a-c]?)\s*[.:–—-]"
 ITEM_WORD = r"(?i)^\s*item\s*$"
 ITEM_REST = r"(?i)^\s*(\d{1,2}[a-c]?)\s*[.:–—-]\s*\S"
 DASHES = "‐‑‒–—―−"
-FOOTNOTE_MARK = r"(?<=[0-9)])\s*\([0-9]\)$|\s*(?:\([a-z]\)|\*+|\[[0-9]+\])$"
+FOOTNOTE_MARK = r"(?<=[\d)])\s*\(\d\)$|\s*(\([a-z]\)|\*+|\[\d+\])$"
+# What is taken out of a line of Markdown, in this order, and what takes its place; a rule under a table's head.
+MARKDOWN = ((r"^\s*#+\s*", ""), (r"!\[[^\]]*\]\([^)]*\)", " "), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"\|", " "), (r"\*\*|__", ""))
+MARKDOWN_COMMENT, MARKDOWN_RULE = r"<!--.*?-->", r"^\s*\|?[\s:|-]+\|?\s*$"
+
+#: White space of any kind, as it is stripped from the ends of texts and cells.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def strip(text: Column) -> Column:
+    """Without outer white space of any kind."""
+    return F.btrim(text, F.lit(WHITE))
 
 
 def let(value: Column, use) -> Column:
@@ -78,17 +91,15 @@ def light_normal(text: Column) -> Column:
 
 
 def markdown_to_text(md: Column) -> Column:
-    """Readable text of Markdown, line by line: comments and images become spaces, table rules go, links keep their text, pipes become spaces."""
+    """Readable text of Markdown, line by line: comments, images and pipes become spaces, table rules go, links keep their text."""
 
-    def clean(x: Column) -> Column:
-        x = F.regexp_replace(x, r"^\s*#+\s*", "")
-        x = F.regexp_replace(x, r"!\[[^\]]*\]\([^)]*\)", " ")
-        x = F.regexp_replace(x, r"\[([^\]]*)\]\([^)]*\)", "$1")
-        return F.regexp_replace(F.translate(x, "|", " "), r"\*\*|__", "")
+    def readable(line: Column) -> Column:
+        for pattern, instead in MARKDOWN:
+            line = F.regexp_replace(line, pattern, instead)
+        return line
 
-    lines = F.transform(F.split(md, "\n", -1), lambda x: F.regexp_replace(x, r"<!--.*?-->", " "))
-    kept = F.filter(lines, lambda x: ~x.rlike(r"^\s*\|?[\s:|-]+\|?\s*$"))
-    return F.array_join(F.transform(kept, clean), "\n")
+    lines = F.transform(F.split(md, "\n", -1), lambda line: F.regexp_replace(line, MARKDOWN_COMMENT, " "))
+    return F.array_join(F.transform(F.filter(lines, lambda line: ~line.rlike(MARKDOWN_RULE)), readable), "\n")
 
 
 def strip_tags(html: Column) -> Column:
@@ -105,18 +116,18 @@ def ends_in_number(label: Column) -> Column:
 
 def title_line(line: Column, title: Column, extra: int = 15) -> Column:
     """The line starts with the title and goes on for at most ``extra`` characters."""
-    s = F.upper(F.trim(line))
+    s = F.upper(strip(line))
     return s.startswith(title) & (F.char_length(s) - F.char_length(title) <= extra)
 
 
 def footer(text: Column, has_table: Column, pattern: str, most: int = 80) -> Column:
     """No table, one line, at most ``most`` characters, and the pattern is found in it."""
-    s = F.trim(text)
+    s = strip(text)
     return ~has_table & ~s.contains("\n") & (F.char_length(s) <= most) & s.rlike(pattern)
 
 
 def without_lines(text: Column, pattern: str) -> Column:
-    return F.array_join(F.filter(F.split(text, "\n", -1), lambda x: ~F.trim(x).rlike(pattern)), "\n")
+    return F.array_join(F.filter(F.split(text, "\n", -1), lambda x: ~strip(x).rlike(pattern)), "\n")
 
 
 def escape_cell(cell: Column) -> Column:
@@ -132,28 +143,54 @@ def snippet(text: Column, needle: Column, width: int = 80) -> Column:
     return F.concat(F.when(start > 0, "...").otherwise(""), F.substring(text, start + 1, stop - start), F.lit("..."))
 
 
-def strip(text: Column) -> Column:
-    """Without outer white space of any kind."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-
-
-def word_distance(reference: Column, hypothesis: Column) -> Column:
-    """Levenshtein distance of two word arrays.
+def edit_distance(a: Sequence, b: Sequence) -> int:
+    """Levenshtein distance of two sequences, whatever their length and number of symbols.
 
-    Each distinct word of the pair becomes one code point from U+4E00 on, the surrogates left out, so the built-in
-    distance of texts counts words. A pair with more distinct words than the 1,092,096 code points fails.
-    The dictionary is bound once per pair by the outer transform.
+    The longer one stands in the bits of an integer, one step per symbol of the other updates a whole column: the
+    places where the column rises (``up``) and falls (``down``), with the carry of an addition running along matches.
     """
+    if len(a) < len(b):
+        a, b = b, a
+    if not b:
+        return len(a)
+    places: dict = {}
+    for i, x in enumerate(a):
+        places.setdefault(x, []).append(i)
+    often = {x: _bits(p) for x, p in sorted(places.items(), key=lambda e: -len(e[1]))[:512]}  # the rest anew each time, for memory
+    every, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, distance = every, 0, len(a)
+    for x in b:
+        same = often.get(x)
+        if same is None:
+            same = _bits(places[x]) if x in places else 0
+        level = (((same & up) + up) ^ up) | same | down
+        rise, fall = down | (every & ~(level | up)), up & level
+        distance += 1 if rise & top else -1 if fall & top else 0
+        rise, fall = (rise << 1) | 1, fall << 1
+        up, down = (fall | ~(level | rise)) & every, rise & level & every
+    return distance
+
+
+def _bits(places: Sequence[int]) -> int:
+    out = bytearray(places[-1] // 8 + 1)
+    for i in places:
+        out[i >> 3] |= 1 << (i & 7)
+    return int.from_bytes(out, "little")
+
+
+@F.arrow_udf(T.LongType())
+def _distance(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([None if x is None or y is None else edit_distance(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.int64())
 
-    def point(at: Column) -> Column:
-        skipped = at + F.when(at > 0xD7FF - 0x4DFF, 0x4DFF + 0x800).otherwise(0x4DFF)
-        return F.when(skipped > 0x10FFFF, F.raise_error(F.lit("too many distinct words in a pair"))).otherwise(F.lpad(F.hex(skipped.cast("int")), 8, "0"))
 
-    def coded(a: Column, known: Column) -> Column:
-        return F.decode(F.unhex(F.array_join(F.transform(F.transform(a, lambda w: F.array_position(known, w)), point), "")), "UTF-32")
+def word_distance(reference: Column, hypothesis: Column) -> Column:
+    """Levenshtein distance of two word arrays of any size."""
+    return _distance(reference, hypothesis)
 
-    pair = F.array(F.struct(reference.alias("a"), hypothesis.alias("b"), F.array_distinct(F.concat(reference, hypothesis)).alias("known")))
-    return F.transform(pair, lambda p: F.levenshtein(coded(p["a"], p["known"]), coded(p["b"], p["known"])))[0]
+
+def char_distance(reference: Column, hypothesis: Column) -> Column:
+    """Levenshtein distance of two texts over code points."""
+    return _distance(reference, hypothesis)
 
 
 def error_rate(distance: Column, size: Column, other: Column) -> Column:
@@ -167,7 +204,7 @@ def word_error_rate(reference: Column, hypothesis: Column) -> Column:
 
 
 def char_error_rate(reference: Column, hypothesis: Column) -> Column:
-    return error_rate(F.levenshtein(reference, hypothesis), F.char_length(reference), F.char_length(hypothesis))
+    return error_rate(char_distance(reference, hypothesis), F.char_length(reference), F.char_length(hypothesis))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -176,3 +213,8 @@ def match_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     from difflib import SequenceMatcher
 
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
+
+
+def canonical_json(entries: Column) -> Column:
+    """A map as JSON with its keys in order."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(entries))))

@@ -39,7 +39,7 @@ def clean_grid(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     k = list(keys)
     blank = F.col("cell").isin("", "$")
     table, column, row = Window.partitionBy(*k), _same(k, "c"), _same(k, "r")
-    cells = cells.select(*k, "r", "c", F.trim(F.replace(F.coalesce("cell", F.lit("")), F.lit("\n"), F.lit(" "))).alias("cell"))
+    cells = cells.select(*k, "r", "c", text.strip(F.replace(F.coalesce("cell", F.lit("")), F.lit("\n"), F.lit(" "))).alias("cell"))
     cells = cells.withColumn("fm_first", F.min(F.when(~blank, F.col("c"))).over(table))
     cells = cells.withColumn("fm_any", F.max(~blank).over(column)).withColumn("fm_digit", F.max(F.col("cell").rlike(r"\d")).over(column))
     cells = cells.filter("fm_any and (c = fm_first or fm_digit)").withColumn("fm_c", F.dense_rank().over(table.orderBy("c")) - 1)
@@ -69,10 +69,10 @@ def merge_wrapped_labels(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     def step(done: Column, row: Column) -> Column:
         last = F.try_element_at(done, F.lit(-1))
-        label, first = F.rtrim(last[0]), F.substring(row[0], 1, 1)
+        label, first = F.rtrim(last[0], F.lit(text.WHITE)), F.substring(row[0], 1, 1)
         open_label = (F.size(row) > 1) & (last[0] != "") & F.forall(F.slice(last, 2, F.greatest(F.size(last) - 1, F.lit(0))), lambda v: v == "") & label.rlike("[;,]$")
         goes_on = (first != "") & (first.rlike(r"\d") | ((F.lower(first) == first) & (F.upper(first) != first)))
-        joined = F.concat(F.array(F.concat_ws(" ", label, F.trim(row[0]))), F.slice(row, 2, F.greatest(F.size(row) - 1, F.lit(0))))
+        joined = F.concat(F.array(F.concat_ws(" ", label, text.strip(row[0]))), F.slice(row, 2, F.greatest(F.size(row) - 1, F.lit(0))))
         merges = (F.size(done) > 0) & F.coalesce(open_label & goes_on, F.lit(False))
         return F.when(merges, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(done, F.array(row)))
 
@@ -90,13 +90,13 @@ def with_row_kinds(cells: DataFrame, keys: Sequence[str], rules: TableRules = Ta
     value = (F.col("c") > 0) & numbers.to_number(F.col("cell"))["value"].isNotNull()
     flagged = cells.withColumn("fm_value", value)
     flagged = flagged.withColumn("fm_label", F.lower(F.max(F.when(F.col("c") == 0, F.col("cell"))).over(row))).withColumn("fm_n", F.count_if("fm_value").over(row))
-    flagged = flagged.withColumn("fm_other", F.count_if(F.col("fm_value") & ~F.trim("cell").rlike(text.YEAR_ONLY)).over(row))
+    flagged = flagged.withColumn("fm_other", F.count_if(F.col("fm_value") & ~text.strip(F.col("cell")).rlike(text.YEAR_ONLY)).over(row))
     label = F.col("fm_label")
     flagged = flagged.withColumn("fm_own", F.when(label.rlike(rules.shares_pattern), "shares").when(label.rlike(rules.per_share_pattern), "per_share"))
     sets = F.when(F.col("fm_n") == 0, F.coalesce("fm_own", F.when(label != "", "money")))
     so_far = Window.partitionBy(*k).orderBy("r").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     section = F.coalesce(F.last(sets, True).over(so_far), F.lit("money"))
-    header = (F.col("fm_n") == 0) | ((F.col("fm_other") == 0) & (F.trim(label) == ""))
+    header = (F.col("fm_n") == 0) | ((F.col("fm_other") == 0) & (text.strip(label) == ""))
     return flagged.withColumn("row_kind", F.when(header, "header").otherwise(F.coalesce("fm_own", section))).select(*[c for c in cells.columns if c != "row_kind"], "row_kind")
 
 
@@ -120,7 +120,7 @@ def shape_metrics(cells: DataFrame, keys: Sequence[str], page_numbers: Column, r
 
     ``page_numbers`` is an aggregate or literal Column. The checks use unrounded values.
     """
-    blank, labelled = F.col("cell") == "", (F.col("c") == 0) & (F.trim("cell") != "")
+    blank, labelled = F.col("cell") == "", (F.col("c") == 0) & (text.strip(F.col("cell")) != "")
     m = cells.groupBy(*keys).agg(
         (F.max("r") + 1).alias("n_rows"), (F.max("c") + 1).alias("n_cols"),
         (F.count_if(blank) * 100.0 / F.greatest(F.count("cell"), F.lit(1))).alias("whitespace"),
@@ -204,3 +204,10 @@ def column_names(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
 def occurrences(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "occurrence", start: int = 1) -> DataFrame:
     """Numbers the repetitions of a key in row order."""
     return rows.withColumn(name, (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1 + start).cast("int"))
+
+
+def number_positions(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, r, c, position (from 1): the place of each number among the numbers of its row, labels left out."""
+    numeric = cells.filter((F.col("c") > 0) & numbers.to_number(F.col("cell"))["value"].isNotNull())
+    w = Window.partitionBy(*keys, "r").orderBy("c")
+    return numeric.select(*keys, "r", "c", F.row_number().over(w).cast("bigint").alias("position"))

@@ -12,11 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetmill.functions import geometry as g
+from facetmill.functions.text import strip
 
 
 def feature_list(features: Column) -> Column:
     """Features of a list in text, parted by comma or plus: trimmed, upper case, blanks dropped, sorted."""
-    return F.array_sort(F.filter(F.transform(F.split(features, "[,+]"), lambda x: F.upper(F.trim(x))), lambda x: x != ""))
+    return F.array_sort(F.filter(F.transform(F.split(features, "[,+]"), lambda x: F.upper(strip(x))), lambda x: x != ""))
 
 
 def cache_key(sha256: Column, page: Column, provider: Column, api: Column, features: Column) -> Column:
@@ -31,8 +32,8 @@ def lookup(requests: DataFrame, responses: DataFrame, enabled: Column, key: str
 
 def insert_new(existing: DataFrame, incoming: DataFrame, key: str, seq: str) -> DataFrame:
     """existing plus the first row of each new key: old entries win."""
-    first = Window.partitionBy(key).orderBy(seq)
-    fresh = incoming.join(existing.select(key).distinct(), key, "left_anti").withColumn("fm_n", F.row_number().over(first)).filter("fm_n = 1").drop("fm_n")
+    rest = [c for c in incoming.columns if c != key]
+    fresh = incoming.join(existing.select(key), key, "left_anti").groupBy(key).agg(F.min_by(F.struct(*rest), seq).alias("fm_r")).select(key, "fm_r.*")
     return existing.unionByName(fresh.select(*existing.columns))
 
 
@@ -71,14 +72,14 @@ def table_trigger(status: Column, score: Column, accept: float = 80.0) -> Column
 
 def text_trigger(confidence: Column, text: Column, least: float = 70.0) -> Column:
     """Why a text should be replaced: it is blank, or its confidence is low or unknown; null if it need not."""
-    return F.when(F.trim(F.coalesce(text, F.lit(""))) == "", "ocr_empty").when(confidence.isNull() | (confidence < least), "low_confidence")
+    return F.when(strip(F.coalesce(text, F.lit(""))) == "", "ocr_empty").when(confidence.isNull() | (confidence < least), "low_confidence")
 
 
 def compare_paths(left: DataFrame, right: DataFrame, keys: Sequence[str], value: str = "value", names: tuple[str, str] = ("part2", "textract")) -> DataFrame:
-    """keys, both values and a status for every cell of two extraction paths: match, NAME_only or differ."""
+    """keys, both values and a status for every cell of two extraction paths: match (also two nulls), NAME_only or differ."""
     a, b = left.select(*keys, F.col(value).alias(names[0])), right.select(*keys, F.col(value).alias(names[1]))
     x, y = F.col(names[0]), F.col(names[1])
-    status = F.when(y.isNull(), f"{names[0]}_only").when(x.isNull(), f"{names[1]}_only").when(x == y, "match").otherwise("differ")
+    status = F.when(x.isNull() & y.isNull(), "match").when(y.isNull(), f"{names[0]}_only").when(x.isNull(), f"{names[1]}_only").when(x == y, "match").otherwise("differ")
     return a.join(b, list(keys), "full_outer").withColumn("status", status)
 
 
@@ -140,6 +141,6 @@ def replaced(records: DataFrame, hits: DataFrame, key: Sequence[str], accept: fl
     table = F.col("status").isNotNull() | F.col("score").isNotNull()
     trigger = F.when(table, table_trigger(F.col("status"), F.col("score"), accept)).when(F.col("ocr"), text_trigger(F.col("confidence"), F.col("text"), least))
     j = records.join(hits, list(key), "left").withColumn("trigger", trigger)
-    used = F.col("trigger").isNotNull() & (F.trim("hit_text") != "")
+    used = F.col("trigger").isNotNull() & (strip(F.col("hit_text")) != "")
     used = F.coalesce(used, F.lit(False))
     return j.select(*[c for c in records.columns if c not in ("text", "confidence")], F.when(used, F.col("hit_text")).otherwise(F.col("text")).alias("text"), F.when(used, F.col("hit_confidence")).otherwise(F.col("confidence")).alias("confidence"), "trigger", used.alias("used"))

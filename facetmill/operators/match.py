@@ -77,10 +77,10 @@ def map_labels(cells: DataFrame, labels: DataFrame, label_map: DataFrame | None
     type fits the statement (balance: instant, else duration) count; if none fits all stay, and more than one left is ambiguous.
     """
     hits = label_concepts(labels, normal)
-    c = cells.withColumn("lab", normal(F.col("label")))
-    j = c.join(hits, "lab", "left")
-    near = nearest_labels(j.filter("hits is null").select("lab"), hits, cutoff)
-    j = j.join(near, "lab", "left").join(hits.select(F.col("lab").alias("near"), F.col("hits").alias("near_hits")), "near", "left")
+    texts = cells.select(F.col("label").alias("fm_label")).filter("fm_label is not null").distinct().withColumn("lab", normal(F.col("fm_label"))).join(hits, "lab", "left")
+    near = nearest_labels(texts.filter("hits is null").select("lab"), hits, cutoff)
+    texts = texts.join(near, "lab", "left").join(hits.select(F.col("lab").alias("near"), F.col("hits").alias("near_hits")), "near", "left")
+    j = cells.join(texts, F.col("label") == F.col("fm_label"), "left")  # each distinct label was mapped once
     want = F.when(F.col("statement") == "balance", "instant").otherwise("duration")
     every = F.coalesce("hits", "near_hits")
     fit = F.filter(every, lambda h: h["period_type"] == want)
@@ -101,29 +101,41 @@ def map_labels(cells: DataFrame, labels: DataFrame, label_map: DataFrame | None
     return k.select(*cells.columns, F.coalesce("m.mconcepts", "concepts").alias("concepts"), F.coalesce("m.mdims", "dims_key").alias("dims_key"), F.when(F.col("m").isNotNull(), "curated").otherwise(F.col("map_method")).alias("map_method"))
 
 
-def reconcile(mapped: DataFrame, facts: DataFrame) -> DataFrame:
+def reconcile(mapped: DataFrame, facts: DataFrame, key: Sequence[str] | None = None) -> DataFrame:
     """Each mapped cell with the first of its concepts that has a fact, and the status of the comparison.
 
     A line whose label says ``beginning`` and whose concept is an instant looks at the end of the year before:
     the fiscal year end, else the latest instant of that concept in that year. On a miss the concept is the first
     of the list and period_end the one computed for the last. status: match, match_negated, sign, scale_xN,
     mismatch, value_missing (no number in the cell), xbrl_missing (no fact) or unmapped (no concept).
+
+    ``key`` names the columns that tell a cell from the others (by default all); cells that are equal in every column
+    stay apart. Facts are shuffled once, by filing and concept, whose facts a filing bounds; repeated facts count once.
     """
-    ends, index = fiscal_year_ends(facts), index_facts(facts)
-    instants = facts.filter("instant").groupBy("doc_id", "concept", F.year("end_date").alias("year")).agg(F.max("end_date").alias("last_end"))
-    base = mapped.withColumn("fm_size", F.greatest(F.coalesce(F.size("concepts"), F.lit(0)), F.lit(0)))
-    tried = base.select("*", F.posexplode_outer("concepts").alias("pos", "c"))
-    opening = F.col("c.period_type").eqNullSafe("instant") & F.lower("label").contains("beginning")
-    tried = tried.withColumn("fm_year", F.when(opening, F.col("year") - 1).otherwise(F.col("year"))).withColumn("fm_opening", opening)
-    tried = tried.join(ends.withColumnRenamed("year", "fm_year"), ["doc_id", "fm_year"], "left")
-    past = instants.select("doc_id", F.col("concept").alias("fm_concept"), F.col("year").alias("fm_year"), "last_end")
-    tried = tried.withColumn("fm_concept", F.col("c.concept")).join(past, ["doc_id", "fm_year", "fm_concept"], "left")
-    tried = tried.withColumn("fm_end", F.coalesce("fy_end", F.when(F.col("fm_opening"), F.col("last_end")))).withColumn("fm_instant", F.col("c.period_type").eqNullSafe("instant"))
-    f = index.select("doc_id", F.col("concept").alias("fm_concept"), "dims_key", F.col("end_date").alias("fm_end"), F.col("instant").alias("fm_instant"), "fact_value", "decimals")
-    probed = tried.join(f, ["doc_id", "fm_concept", "dims_key", "fm_end", "fm_instant"], "left")
-    hit = F.col("fact_value").isNotNull()
-    one = F.struct(F.col("fm_concept").alias("concept"), F.col("fm_end").alias("period_end"), "fact_value", "decimals", F.coalesce("c.negated", F.lit(False)).alias("negated"))
-    rows = probed.groupBy(*mapped.columns, "fm_size").agg(F.count(F.lit(1)).alias("fm_rows"), F.min_by(one, F.when(hit, F.col("pos"))).alias("hit"), F.min_by("fm_concept", "pos").alias("first"), F.max_by("fm_end", "pos").alias("end"), F.max(hit).alias("found"))
+    one = F.struct("seq", "dims_key", "start_date", "end_date", "instant", "fact_value", "decimals")
+    of_concept = facts.groupBy("doc_id", "concept").agg(F.collect_set(one).alias("fm_facts")).withColumnRenamed("concept", "fm_concept")
+    ends = fiscal_year_ends(of_concept.select("doc_id", F.explode("fm_facts").alias("f")).select("doc_id", "f.*"))
+    of_filing = ends.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("year", "fy_end"))).alias("fm_ends"))
+
+    rest = [c for c in mapped.columns if c not in (key or mapped.columns)]
+    whole = mapped.withColumn("fm_size", F.greatest(F.coalesce(F.size("concepts"), F.lit(0)), F.lit(0)))
+    tried = whole.select("*", F.posexplode_outer("concepts").alias("pos", "c")).withColumn("fm_concept", F.col("c.concept"))
+    tried = tried.join(of_concept, ["doc_id", "fm_concept"], "left").join(of_filing, "doc_id", "left")
+    instant = F.col("c.period_type").eqNullSafe("instant")
+    opening = instant & F.coalesce(F.lower("label").contains("beginning"), F.lit(False))
+    year = F.when(opening, F.col("year") - 1).otherwise(F.col("year"))
+    last_instant = F.array_max(F.transform(F.filter("fm_facts", lambda f: f["instant"] & (F.year(f["end_date"]) == F.col("fm_year"))), lambda f: f["end_date"]))
+    tried = tried.withColumn("fm_year", year).withColumn("fm_opening", opening).withColumn("fm_instant", instant)
+    tried = tried.withColumn("fm_end", F.coalesce(F.try_element_at("fm_ends", F.col("fm_year")), F.when(F.col("fm_opening"), last_instant)))
+    fits = F.filter("fm_facts", lambda f: (f["dims_key"] == F.col("dims_key")) & (f["end_date"] == F.col("fm_end")) & (f["instant"] == F.col("fm_instant")) & (f["instant"] | year_long(f["start_date"], f["end_date"])))
+    probed = tried.withColumn("fm_fact", F.try_element_at(F.array_sort(fits), F.lit(-1)))
+
+    hit = F.col("fm_fact.fact_value").isNotNull()
+    found_one = F.struct(F.col("fm_concept").alias("concept"), F.col("fm_end").alias("period_end"), "fm_fact.fact_value", "fm_fact.decimals", F.coalesce("c.negated", F.lit(False)).alias("negated"))
+    carried = [F.any_value(F.struct(*rest)).alias("fm_rest")] if rest else []
+    rows = probed.groupBy(*(key or mapped.columns)).agg(*carried, F.max("fm_size").alias("fm_size"), F.count(F.lit(1)).alias("fm_rows"), F.min_by(found_one, F.when(hit, F.col("pos"))).alias("hit"), F.min_by("fm_concept", "pos").alias("first"), F.max_by("fm_end", "pos").alias("end"), F.max(hit).alias("found"))
+    if rest:
+        rows = rows.select(*key, "fm_rest.*", "fm_size", "fm_rows", "hit", "first", "end", "found")
     cmp = numbers.compare_value(F.col("value"), F.col("hit.fact_value"), F.col("hit.decimals"), F.col("hit.negated"))
     found = F.coalesce("found", F.lit(False))
     copies = F.explode(F.sequence(F.lit(1), (F.col("fm_rows") / F.greatest("fm_size", F.lit(1))).cast("int")))  # equal cells stay apart
@@ -135,18 +147,12 @@ def reconcile(mapped: DataFrame, facts: DataFrame) -> DataFrame:
     )
 
 
-def lost_lines(rows: DataFrame, paths: DataFrame, line: Sequence[str], seq: str) -> DataFrame:
-    """Lines that at least one path found in the facts and another lacks: the first example row under the lacking path, status pdf_missing.
-
-    ``paths`` holds one column, path, with the few extraction paths.
-    """
+def lost_lines(rows: DataFrame, paths: Sequence[str], line: Sequence[str], seq: str) -> DataFrame:
+    """Lines that at least one path found in the facts and another of ``paths`` lacks: the first example row under the lacking path, status pdf_missing."""
     found = rows.filter(F.col("concept").isNotNull() & (F.col("concept") != "") & ~F.col("status").isin("unmapped", "xbrl_missing", "value_missing"))
     rest = [c for c in rows.columns if c not in (*line, "path")]
     have = found.groupBy(*line).agg(F.min_by(F.struct(*rest), seq).alias("fm_r"), F.min_by("path", seq).alias("fm_by"), F.collect_set("path").alias("fm_have"))
-    names = [r["path"] for r in paths.select("path").distinct().limit(1001).collect()]
-    if len(names) > 1000:
-        raise ValueError("more than 1,000 extraction paths")
-    lacking = have.withColumn("fm_paths", F.array(*[F.lit(n) for n in names])).select("*", F.explode(F.array_except("fm_paths", "fm_have")).alias("path"))
+    lacking = have.withColumn("fm_paths", F.array(*[F.lit(n) for n in paths])).select("*", F.explode(F.array_except("fm_paths", "fm_have")).alias("path"))
     out = lacking.select(*line, "path", "fm_by", "fm_r.*").withColumn("value", F.lit(None).cast("double")).withColumn("diff", F.lit(None).cast("double")).withColumn("map_method", F.concat(F.lit("found by "), "fm_by", F.lit(" only"))).withColumn("status", F.lit("pdf_missing"))
     return out.select(*rows.columns)
 
@@ -170,7 +176,7 @@ def grid_cells(normalized: DataFrame, keys: Sequence[str]) -> DataFrame:
     k = list(keys)
     years = grid.column_years(normalized, k, None, header_only=True)
     body = normalized.filter("row_kind <> 'header'")
-    rows = body.filter("c = 0 and trim(cell) <> ''").select(*k, "r", F.trim("cell").alias("label")).withColumn("fm_lab", text.label_normal(F.col("label")))
+    rows = body.filter((F.col("c") == 0) & (text.strip(F.col("cell")) != "")).select(*k, "r", text.strip(F.col("cell")).alias("label")).withColumn("fm_lab", text.label_normal(F.col("label")))
     rows = grid.occurrences(rows, [*k, "fm_lab"], ["r"])
     values = body.filter("c > 0 and num is not null").select(*k, "r", "c", F.col("num").alias("value"))
     return values.join(years, [*k, "c"]).join(rows, [*k, "r"]).select(*k, "r", "c", "label", "occurrence", "year", "value")

@@ -45,7 +45,7 @@ def ocr_scores(pairs: DataFrame, reference: str, hypothesis: str) -> DataFrame:
 
     def rates(x: Column, y: Column) -> tuple[Column, Column]:
         u, v = text.words(x), text.words(y)
-        return text.word_distance(u, v) / F.greatest(F.size(u), F.lit(1)), F.levenshtein(x, y) / F.greatest(F.char_length(x), F.lit(1))
+        return text.word_distance(u, v) / F.greatest(F.size(u), F.lit(1)), text.char_distance(x, y) / F.greatest(F.char_length(x), F.lit(1))
 
     (wer, cer), (plain_wer, plain_cer) = rates(F.col("fm_a"), F.col("fm_b")), rates(F.col("fm_p"), F.col("fm_q"))
     sizes = [F.size(text.words(F.col(c))).alias(n) for c, n in (("fm_a", "ref_words"), ("fm_b", "hyp_words"))]
@@ -82,18 +82,65 @@ def page_averages(pages: DataFrame, values: Sequence[str] = ("wer", "cer", "nume
     return g.select("source", F.when(F.col("fm_all") == 1, "ALL").otherwise(F.col("stratum")).alias("stratum"), "pages", *values)
 
 
-def stage_summary(timings: DataFrame, model_stages: Sequence[str] = ()) -> DataFrame:
-    """stage, n, p50, p95, mean, peak, failures, runs: model stages use warm rows only for their times."""
+def percentiles(rows: DataFrame, by: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """by, and for each name in ``shares`` the interpolated percentile of the values that are not null; no row where there are none.
+
+    Equal values are counted map-side; their running counts give the two neighbours of each percentile, so no group's
+    values are held at once.
+    """
+    b = list(by)
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*b, F.col(value).cast("double").alias("fm_v")).agg(F.count(F.lit(1)).alias("fm_n"))
+    run = counts.withColumn("fm_run", F.sum("fm_n").over(Window.partitionBy(*b).orderBy("fm_v"))).withColumn("fm_all", F.sum("fm_n").over(Window.partitionBy(*b)))
+    at = lambda share: F.lit(share) * (F.col("fm_all") - 1)
+    low = {n: F.min(F.when(F.col("fm_run") > F.floor(at(s)), F.col("fm_v"))).alias(f"{n}_low") for n, s in shares.items()}
+    high = {n: F.min(F.when(F.col("fm_run") > F.ceil(at(s)), F.col("fm_v"))).alias(f"{n}_high") for n, s in shares.items()}
+    ends = run.groupBy(*b).agg(F.max("fm_all").alias("fm_all"), *low.values(), *high.values())
+    between = lambda n, s: F.col(f"{n}_low") + (F.col(f"{n}_high") - F.col(f"{n}_low")) * (at(s) - F.floor(at(s)))
+    return ends.select(*b, *[between(n, s).alias(n) for n, s in shares.items()])
+
+
+def stage_summary(timings: DataFrame, model_stages: Sequence[str] = (), per_page: dict[str, int] | None = None) -> DataFrame:
+    """stage, n, p50, p95, mean, peak, failures, runs: model stages use warm rows only for their times.
+
+    ``per_page`` names stages whose seconds are of a whole document, with its number of pages. Null stages are one stage.
+    """
     warm = ~F.col("stage").isin(*model_stages) | (F.col("phase") == "warm") if model_stages else F.lit(True)
-    s = F.when((F.col("status") == "ok") & warm, F.col("seconds"))
-    return timings.groupBy("stage").agg(F.count(s).alias("n"), F.percentile(s, 0.5).alias("p50"), F.percentile(s, 0.95).alias("p95"), F.avg(s).alias("mean"), F.max("rss_mb").alias("peak"), F.count_if(F.col("status") != "ok").alias("failures"), F.array_join(F.array_sort(F.collect_set(F.col("run").cast("string"))), ",").alias("runs"))
+    seconds = F.col("seconds")
+    for stage, pages in (per_page or {}).items():
+        seconds = F.when(F.col("stage") == stage, F.col("seconds") / pages).otherwise(seconds)
+    t = timings.withColumn("fm_s", F.when((F.col("status") == "ok") & warm, seconds))
+    plain = t.groupBy("stage").agg(F.count("fm_s").alias("n"), F.avg("fm_s").alias("mean"), F.max("rss_mb").alias("peak"), F.count_if(F.col("status") != "ok").alias("failures"), F.array_join(F.array_sort(F.collect_set(F.col("run").cast("string"))), ",").alias("runs"))
+    p = percentiles(t, ["stage"], "fm_s", {"p50": 0.5, "p95": 0.95}).withColumnRenamed("stage", "fm_stage")
+    return plain.join(p, F.col("stage").eqNullSafe(F.col("fm_stage")), "left").select("stage", "n", "p50", "p95", "mean", "peak", "failures", "runs")
 
 
 def cold_start(timings: DataFrame, seq: str = "seq") -> DataFrame:
     """stage, run, model_load, first_cold, warm_p50, warm_p95, peak."""
-    of = lambda phase: F.when(F.col("phase") == phase, F.col("seconds"))
     first = lambda phase: F.min_by("seconds", F.when(F.col("phase") == phase, F.col(seq)))
-    return timings.groupBy("stage", "run").agg(first("model_load").alias("model_load"), first("cold").alias("first_cold"), F.percentile(of("warm"), 0.5).alias("warm_p50"), F.percentile(of("warm"), 0.95).alias("warm_p95"), F.max("rss_mb").alias("peak"))
+    plain = timings.groupBy("stage", "run").agg(first("model_load").alias("model_load"), first("cold").alias("first_cold"), F.max("rss_mb").alias("peak"))
+    p = percentiles(timings.filter("phase = 'warm'"), ["stage", "run"], "seconds", {"warm_p50": 0.5, "warm_p95": 0.95}).withColumnRenamed("stage", "fm_stage").withColumnRenamed("run", "fm_run")
+    j = plain.join(p, F.col("stage").eqNullSafe(F.col("fm_stage")) & F.col("run").eqNullSafe(F.col("fm_run")), "left")
+    return j.select("stage", "run", "model_load", "first_cold", "warm_p50", "warm_p95", "peak")
+
+
+# The thresholds of the quality gate, as the settings name them.
+GATE = {"scanned_max_wer": 0.05, "statement_max_wer": 0.05, "min_numeric_recall": 0.98, "table_min_f1": 0.98}
+
+
+def quality_gate(pages: DataFrame, tables: DataFrame, limits: dict[str, float] = GATE) -> DataFrame:
+    """rule, observed, limit, passed: the worst page or table for each threshold. Without pages or tables a rule has no value and passes.
+
+    pages: stratum, wer, numeric_recall; tables: f1.
+    """
+    of = lambda stratum: F.max(F.when(F.col("stratum") == stratum, F.col("wer")))
+    worst = pages.agg(of("scanned").alias("scanned_max_wer"), of("statement").alias("statement_max_wer"), F.min(F.when(F.col("stratum") == "statement", F.col("numeric_recall"))).alias("min_numeric_recall"))
+    names = ("scanned_max_wer", "statement_max_wer", "min_numeric_recall")
+    rows = worst.select(F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("observed")) for n in names])).alias("x")).select("x.*")
+    rows = rows.unionByName(tables.agg(F.min("f1").alias("observed")).select(F.lit("table_min_f1").alias("rule"), "observed"))
+    limit = F.element_at(F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]), F.col("rule"))
+    most = F.col("rule").contains("max")
+    ok = F.when(most, F.col("observed") <= F.col("limit")).otherwise(F.col("observed") >= F.col("limit"))
+    return rows.withColumn("limit", limit).withColumn("passed", F.coalesce(ok, F.lit(True)))
 
 
 def drift(blocks: DataFrame, by: Sequence[str], length: str, short: int = 5) -> DataFrame:

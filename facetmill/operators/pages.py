@@ -36,7 +36,7 @@ def ruling_lines(marks: DataFrame, page: Sequence[str], least: float = 100.0, th
 def ocr_text(words: DataFrame, page: Sequence[str]) -> DataFrame:
     """page, text, mean_conf: words by (block, par, line) in first-seen order; blank words and those of negative confidence are left out."""
     p = list(page)
-    ok = words.filter((F.col("conf") >= 0) & (F.trim("text") != ""))
+    ok = words.filter((F.col("conf") >= 0) & (tx.strip(F.col("text")) != ""))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"])
     lines = ok.groupBy(*p, "block", "par", "line").agg(F.min("seq").alias("first"), F.array_join(ordered, " ").alias("t"), F.sum("conf").alias("s"), F.count(F.lit(1)).alias("n"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "t"))), lambda x: x["t"]), "\n")
@@ -87,7 +87,7 @@ def type_totals(blocks: DataFrame, document: str, kind: str, order: Sequence[str
 
 def grid_stats(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys, n_rows, n_cols, n_numeric (cells that are wholly a number token), empty_share."""
-    return cells.groupBy(*keys).agg((F.max("r") + 1).alias("n_rows"), (F.max("c") + 1).alias("n_cols"), F.count_if(F.trim("cell").rlike(f"^(?:{tx.NUM_SIGNED})$")).alias("n_numeric"), (F.count_if(F.trim("cell") == "") / F.count(F.lit(1))).alias("empty_share"))
+    return cells.groupBy(*keys).agg((F.max("r") + 1).alias("n_rows"), (F.max("c") + 1).alias("n_cols"), F.count_if(tx.strip(F.col("cell")).rlike(f"^(?:{tx.NUM_SIGNED})$")).alias("n_numeric"), (F.count_if(tx.strip(F.col("cell")) == "") / F.count(F.lit(1))).alias("empty_share"))
 
 
 def machine(spark: SparkSession) -> DataFrame:

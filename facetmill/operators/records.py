@@ -17,6 +17,7 @@ BLOCK_ID = r"^p\d{4}_b\d{3,}$"
 FISCAL_PERIOD = r"^(?:FY|Q[1-4]|H[12])$"
 SHA256 = r"^[0-9a-f]{64}$"
 BLOCK_TYPES = ("Text", "Title", "List", "Table", "Figure", "Footnote")
+# A footer block, and a footer line merged into a bigger block, as the export settings give them.
 FOOTER = r"(\|\s*\d{4}\s+Form\s+10-[KQ]\s*\|\s*\d+|^\s*\d{1,3})\s*$"
 FOOTER_LINE = r"\|\s*\d{4}\s+Form\s+10-[KQ]\s*\|\s*\d+\s*$"
 
@@ -53,14 +54,14 @@ def item_headings(blocks: DataFrame, page: Sequence[str], limit: int = 150) -> D
     The fragment is joined within the page; the first (by seq) counts.
     """
     p = list(page)
-    s = F.trim("text")
+    s = tx.strip(F.col("text"))
     b = blocks.filter(F.col("type").isin("Title", "Text") & (s != "")).select(*p, "seq", "bbox", s.alias("s"))
     short = b.filter(F.char_length("s") <= limit)
-    whole = short.filter(F.col("s").rlike(tx.ITEM)).select(*p, "seq", F.concat(F.lit("Item "), F.upper(F.regexp_extract("s", tx.ITEM, 1))).alias("item"), F.trim(tx.first_line(F.col("s"))).alias("heading"), F.lit(None).cast("int").alias("fragment_seq"))
+    whole = short.filter(F.col("s").rlike(tx.ITEM)).select(*p, "seq", F.concat(F.lit("Item "), F.upper(F.regexp_extract("s", tx.ITEM, 1))).alias("item"), tx.strip(tx.first_line(F.col("s"))).alias("heading"), F.lit(None).cast("int").alias("fragment_seq"))
     rest = short.filter(F.col("s").rlike(tx.ITEM_REST) & ~F.col("s").rlike(tx.ITEM))
     lone = b.filter(F.col("s").rlike(tx.ITEM_WORD)).select(*p, F.col("seq").alias("wseq"), F.col("bbox").alias("wbox"))
     pair = rest.join(lone, p).filter(g.same_line(F.col("wbox"), F.col("bbox")) & (F.col("wbox.x0") <= F.col("bbox.x0") + 5) & (F.col("wbox.x1") < F.col("bbox.x1")))
-    joined = pair.groupBy(*p, "seq", "s").agg(F.min("wseq").cast("int").alias("fragment_seq")).select(*p, "seq", F.concat(F.lit("Item "), F.upper(F.regexp_extract("s", tx.ITEM_REST, 1))).alias("item"), F.concat(F.lit("Item "), F.trim(tx.first_line(F.col("s")))).alias("heading"), "fragment_seq")
+    joined = pair.groupBy(*p, "seq", "s").agg(F.min("wseq").cast("int").alias("fragment_seq")).select(*p, "seq", F.concat(F.lit("Item "), F.upper(F.regexp_extract("s", tx.ITEM_REST, 1))).alias("item"), F.concat(F.lit("Item "), tx.strip(tx.first_line(F.col("s")))).alias("heading"), "fragment_seq")
     return whole.unionByName(joined)
 
 
@@ -80,7 +81,7 @@ def previous_line(blocks: DataFrame, page: Sequence[str], order: Sequence[str],
 
 def table_markdown(raw: Column) -> Column:
     """Printed cells as a pipe table."""
-    row = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(r, lambda x: F.trim(tx.escape_cell(x))), " | "), F.lit(" |"))
+    row = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(r, lambda x: tx.strip(tx.escape_cell(x))), " | "), F.lit(" |"))
     rule = F.concat(F.lit("|"), F.repeat(F.lit("---|"), F.size(raw[0])))
     return F.array_join(F.concat(F.array(row(raw[0]), rule), F.transform(F.slice(raw, 2, F.greatest(F.size(raw) - 1, F.lit(0))), row)), "\n")
 
@@ -93,17 +94,17 @@ def fragments(records: DataFrame, doc: Sequence[str], order: Sequence[str], tabl
     """
     c = F.col
     has_table = c(table).isNotNull() & c(f"{table}.raw_cells").isNotNull() & (F.size(c(f"{table}.raw_cells")) > 0)
-    shown = records.filter(~F.coalesce(tx.footer(c("text"), c(table).isNotNull(), FOOTER) & (F.trim("text") != ""), F.lit(False)))
+    shown = records.filter(~F.coalesce(tx.footer(c("text"), c(table).isNotNull(), FOOTER) & (tx.strip(F.col("text")) != ""), F.lit(False)))
     w = Window.partitionBy(*doc).orderBy(*order)
     changed = ~c("section").eqNullSafe(F.lag("section").over(w)) | (F.row_number().over(w) == 1)
     src = F.format_string("<!-- %s p%d %s -->", c("doc_id"), c("page"), c("block_id"))
-    body = F.trim(tx.without_lines(F.coalesce(c("text"), F.lit("")), FOOTER_LINE))
+    body = tx.strip(tx.without_lines(F.coalesce(c("text"), F.lit("")), FOOTER_LINE))
     is_heading = heading.isNotNull() if heading is not None else F.lit(False)
     head = heading if heading is not None else F.lit(None).cast("string")
-    figure = F.array(src, F.when(c("figure_path").isNotNull(), F.concat(F.lit("![Figure, page "), c("page").cast("string"), F.lit("]("), c("figure_path"), F.lit(")"))).otherwise("*[Figure]*"), F.when(F.trim("text") != "", F.trim("text")))
+    figure = F.array(src, F.when(c("figure_path").isNotNull(), F.concat(F.lit("![Figure, page "), c("page").cast("string"), F.lit("]("), c("figure_path"), F.lit(")"))).otherwise("*[Figure]*"), F.when(tx.strip(F.col("text")) != "", tx.strip(F.col("text"))))
     piece = (
         F.when(is_heading, F.array(src, F.concat(F.lit("## "), head)))
-        .when(c("block_type") == "Title", F.array(src, F.concat(F.lit("### "), F.trim("text"))))
+        .when(c("block_type") == "Title", F.array(src, F.concat(F.lit("### "), tx.strip(F.col("text")))))
         .when((c("block_type") == "Table") & has_table, F.array(src, table_markdown(c(f"{table}.raw_cells"))))
         .when(c("block_type") == "Figure", figure)
         .when(body != "", F.array(src, body))
@@ -116,31 +117,45 @@ def fragments(records: DataFrame, doc: Sequence[str], order: Sequence[str], tabl
     return out.select(*doc, *[c(x) for x in order if x not in doc], F.array_join(F.array_compact(F.concat(lead, piece)), "\n\n").alias("md"), txt.alias("txt"))
 
 
-def documents_of(pieces: DataFrame, doc: Sequence[str], order: Sequence[str], title: Column | None = None) -> DataFrame:
-    """doc, markdown, plain: the pieces of each document in order. A document must fit one row, as one file of a filing does."""
+def documents_of(pieces: DataFrame, doc: Sequence[str], order: Sequence[str], titles: DataFrame | None = None) -> DataFrame:
+    """doc, markdown, plain: the pieces of each document in order. A document must fit one row, as one file of a filing does.
+
+    ``titles`` (doc, title) gives the line that opens the Markdown.
+    """
     key = F.struct(*order)
     join = lambda c: F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct(key.alias("k"), F.col(c).alias("v")))), lambda x: x["v"]), lambda v: v != ""), "\n\n")
-    return pieces.groupBy(*doc).agg(join("md").alias("markdown"), join("txt").alias("plain"))
+    out = pieces.groupBy(*doc).agg(join("md").alias("markdown"), join("txt").alias("plain"))
+    if titles is None:
+        return out
+    opened = out.join(titles.select(*doc, F.col("title").alias("fm_title")), list(doc), "left")
+    return opened.select(*doc, F.concat_ws("\n\n", "fm_title", F.nullif("markdown", F.lit(""))).alias("markdown"), "plain")
 
 
-def slice_markdown(md: Column, low: int, high: int) -> Column:
-    """The chunks whose provenance comment lies on pages low..high; a bare ``##`` heading stays if the next comment does.
+def titles_of(records: DataFrame, doc: Sequence[str], order: Sequence[str], table: str = "tbl") -> DataFrame:
+    """doc, title (``# company form FYyear (doc)``, from the first record), skipped (its footers, left out of the export)."""
+    first = F.min_by(F.struct("company", "form", "fiscal_year"), F.struct(*order)).alias("f")
+    furniture = F.coalesce(tx.footer(F.col("text"), F.col(table).isNotNull(), FOOTER) & (tx.strip(F.col("text")) != ""), F.lit(False))
+    named = records.groupBy(*doc).agg(first, F.count_if(furniture).alias("skipped"))
+    return named.select(*doc, F.format_string("# %s %s FY%s (%s)", "f.company", "f.form", F.col("f.fiscal_year").cast("string"), F.concat_ws(" ", *doc)).alias("title"), "skipped")
 
-    A fold over the chunks carries what is kept, a waiting heading, and whether the current page is kept.
-    """
-    chunks = F.split(md, "\n\n", -1)
-    page = lambda x: F.regexp_extract(F.trim(x), r"^<!-- \S+ p(\d+) \S+ -->", 1)
-    state = F.struct(F.slice(chunks, 1, 1).alias("kept"), F.expr("cast(array() as array<string>)").alias("wait"), F.lit(False).alias("keep"))
 
-    def step(s: Column, x: Column) -> Column:
-        comment = page(x) != ""
-        now = F.when(comment, page(x).try_cast("int").between(low, high)).otherwise(s["keep"])
-        held = F.when(comment & now, F.concat(s["kept"], s["wait"], F.array(x))).when(~comment & s["keep"], F.concat(s["kept"], F.array(x))).otherwise(s["kept"])
-        wait = F.when(comment, F.slice(s["wait"], 1, 0)).when(~s["keep"] & x.startswith("## "), F.array(x)).otherwise(s["wait"])
-        return F.struct(held.alias("kept"), wait.alias("wait"), F.coalesce(now, F.lit(False)).alias("keep"))
+def slice_pages(documents: DataFrame, doc: Sequence[str], markdown: str, low: int, high: int, name: str = "slice") -> DataFrame:
+    """doc, ``name``: the chunks of each Markdown whose provenance comment lies on pages low..high, and the chunk it opens with.
 
-    folded = F.aggregate(F.slice(chunks, 2, F.greatest(F.size(chunks) - 1, F.lit(0))), state, step, lambda s: F.array_join(s["kept"], "\n\n"))
-    return F.concat(F.regexp_replace(folded, r"\n+$", ""), F.lit("\n"))
+    A chunk belongs to the last comment before it (or to itself, if it is one). A ``##`` heading that belongs to no
+    such page stays if the next comment does and no other heading comes between.
+    """
+    d = list(doc)
+    chunks = documents.select(*d, F.posexplode(F.split(markdown, "\n\n", -1)).alias("fm_at", "fm_chunk"))
+    page = F.regexp_extract(tx.strip(F.col("fm_chunk")), r"^<!-- \S+ p(\d+) \S+ -->", 1).try_cast("int")
+    chunks = chunks.withColumn("fm_page", page).withColumn("fm_heads", F.col("fm_page").isNull() & F.col("fm_chunk").startswith("## "))
+    w = Window.partitionBy(*d).orderBy("fm_at")
+    inside = lambda c: F.coalesce(c.between(low, high), F.lit(False))
+    own = inside(F.last("fm_page", True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    following = F.first(F.when(F.col("fm_page").isNotNull() | F.col("fm_heads"), F.struct("fm_page")), True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    kept = chunks.withColumn("fm_keep", (F.col("fm_at") == 0) | own | (F.col("fm_heads") & inside(following["fm_page"]))).filter("fm_keep")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("fm_at", "fm_chunk"))), lambda x: x["fm_chunk"]), "\n\n")
+    return kept.groupBy(*d).agg(F.concat(F.rtrim(joined, F.lit("\n")), F.lit("\n")).alias(name))
 
 
 def search(records: DataFrame, query: str, order: Sequence[str], keep: Sequence[str], stem: tuple[str, str] | None = None, limit: int = 50, table: str = "tbl") -> DataFrame:
@@ -164,7 +179,7 @@ def ocr_decision(t: Column, image_coverage: Column, min_chars: int = 50, junk: f
     tokens = tx.words(s)
     bad = F.size(F.filter(tokens, lambda x: x.rlike(r"\(cid:\d+\)|�|[\x00-\x08\x0b\x0c\x0e-\x1f]")))
     ratio = F.coalesce(F.try_divide(bad.cast("double"), F.size(tokens)), F.lit(0.0))
-    chars = F.char_length(F.trim(s))
+    chars = F.char_length(tx.strip(s))
     reason = F.concat_ws(";", F.when(chars < min_chars, "few_chars"), F.when(ratio > junk, "junk_ratio"), F.when(image_coverage > coverage, "image_coverage"))
     return F.struct((reason != "").alias("triggered"), F.coalesce(F.nullif(reason, F.lit("")), F.lit("none")).alias("reason"), chars.cast("bigint").alias("n_chars"), ratio.alias("junk_ratio"))
 

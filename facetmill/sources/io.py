@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from facetmill.functions.text import strip
+
 
 class PageDecoder(Protocol):
     """Turns batches of (path, content) into rows of ``schema``; a failing file is a row with an error, never an exception."""
@@ -35,8 +37,8 @@ def embedded_documents(raw: DataFrame, text: str = "submission", suffixes: Seque
     """One row per embedded document that has a name of a kept suffix and a body: the columns of ``raw`` but the text, filename, body."""
     rest = [c for c in raw.columns if c != text]
     each = raw.select(*rest, F.explode(F.regexp_extract_all(text, F.lit(r"(?s)<DOCUMENT>(.*?)</DOCUMENT>"), F.lit(1))).alias("fm_d"))
-    named = each.select(*rest, F.trim(F.regexp_extract("fm_d", r"<FILENAME>([^\n<]+)", 1)).alias("filename"), F.regexp_extract("fm_d", r"(?s)<TEXT>(.*?)</TEXT>", 1).alias("fm_b"))
-    body = F.trim(F.regexp_replace("fm_b", r"^\s*<(?:XBRL|XML)>\s*|\s*</(?:XBRL|XML)>\s*$", ""))
+    named = each.select(*rest, strip(F.regexp_extract("fm_d", r"<FILENAME>([^\n<]+)", 1)).alias("filename"), F.regexp_extract("fm_d", r"(?s)<TEXT>(.*?)</TEXT>", 1).alias("fm_b"))
+    body = strip(F.regexp_replace("fm_b", r"^\s*<(?:XBRL|XML)>\s*|\s*</(?:XBRL|XML)>\s*$", ""))
     kept = F.lower("filename").rlike("(?:" + "|".join(s.replace(".", r"\.") for s in suffixes) + ")$")
     return named.select(*rest, "filename", body.alias("body")).filter((F.col("filename") != "") & (F.col("body") != "") & kept)
 
@@ -45,18 +47,18 @@ def header_map(text: Column) -> Column:
     """map of the ``KEY: value`` lines before the first document; blanks in keys become dashes, the last of equal keys counts."""
     head = F.substring_index(text, "<DOCUMENT>", 1)
     lines = F.filter(F.split(head, "\n"), lambda x: x.rlike(r"^\s*[A-Za-z][^:]*:\s*\S"))
-    pairs = F.transform(lines, lambda x: F.struct(F.regexp_replace(F.trim(F.regexp_extract(x, r"^\s*([^:]+):", 1)), " ", "-").alias("k"), F.trim(F.regexp_extract(x, r":\s*(.*)$", 1)).alias("v")))
+    pairs = F.transform(lines, lambda x: F.struct(F.regexp_replace(strip(F.regexp_extract(x, r"^\s*([^:]+):", 1)), " ", "-").alias("k"), strip(F.regexp_extract(x, r":\s*(.*)$", 1)).alias("v")))
     last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["k"] == x["k"]))
     return F.map_from_entries(last)
 
 
 def primary_document(files: DataFrame, filing: Sequence[str], preferred: Sequence[str] = ()) -> DataFrame:
-    """One file per filing: a preferred name, else the largest .htm not named like R12.htm, else the largest. Reads filename and size."""
+    """One file per filing: a preferred name, else the largest .htm not named like R12.htm, else the largest; of equals the first by name. Reads filename and size."""
     name = F.lower("filename")
     plain = name.rlike(r"\.html?$") & ~name.rlike(r"^r\d+\.htm$")
-    rank = F.struct(name.isin(*[p.lower() for p in preferred]) if preferred else F.lit(False), plain, F.col("size"), -F.ascii("filename"))
+    rank = (name.isin(*[p.lower() for p in preferred]) if preferred else F.lit(False), plain, F.col("size"))
     rest = [c for c in files.columns if c not in filing]
-    return files.groupBy(*filing).agg(F.max_by(F.struct(*rest), rank).alias("fm_f")).select(*filing, "fm_f.*")
+    return files.groupBy(*filing).agg(F.min_by(F.struct(*rest), F.struct(*[-x.cast("bigint") for x in rank], "filename")).alias("fm_f")).select(*filing, "fm_f.*")
 
 
 def first_marked(files: DataFrame, filing: Sequence[str], marker: str, within: int = 400_000) -> DataFrame:
@@ -68,7 +70,7 @@ def first_marked(files: DataFrame, filing: Sequence[str], marker: str, within: i
 def inline_values(files: DataFrame, filing: Sequence[str], names: Sequence[str], least: int = 2) -> DataFrame:
     """filing, name, value: the first value of each tagged name over the files in name order, inner tags stripped; an error where a filing has fewer than ``least``."""
     one = [F.struct(F.lit(n).alias("name"), F.regexp_extract("body", rf'(?is)<ix:non\w+[^>]*name="[^"]*{n}"[^>]*>(.*?)</ix:non\w+>', 1).alias("v")) for n in names]
-    rows = files.select(*filing, "filename", F.explode(F.array(*one)).alias("x")).select(*filing, "filename", "x.name", F.trim(F.regexp_replace("x.v", "<[^>]+>", "")).alias("v")).filter("v <> ''")
+    rows = files.select(*filing, "filename", F.explode(F.array(*one)).alias("x")).select(*filing, "filename", "x.name", strip(F.regexp_replace("x.v", "<[^>]+>", "")).alias("v")).filter("v <> ''")
     found = rows.groupBy(*filing, "name").agg(F.min_by("v", "filename").alias("value"))
     counts = found.groupBy(*filing).agg(F.count(F.lit(1)).alias("fm_n"))
     checked = found.join(counts, list(filing))
@@ -105,6 +107,11 @@ def read_or_empty(spark: SparkSession, path: str, schema: str | T.StructType, ki
     return spark.read.schema(schema).options(**options).format(kind).load(path)
 
 
+def from_xml(xml: Column, schema: str) -> Column:
+    """A struct of the attributes (``_name``) and children of an XML text."""
+    return F.from_xml(xml, schema)
+
+
 def facts_from_xml(spark: SparkSession, path: str, row_tag: str, schema: str | T.StructType) -> DataFrame:
     return spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path)
 
@@ -139,12 +146,11 @@ def write_if_any(rows: DataFrame | None, path: str) -> bool:
 
 
 def nested_json(rows: DataFrame, outer: str, inner: str | None = None) -> DataFrame:
-    """One row, json: the rows nested as objects under their outer (and inner) names. For summaries of a few rows per name."""
+    """outer, json: for each outer name its row as an object, or its rows under their inner names, sorted. A line of the sink each."""
     rest = F.struct(*[c for c in rows.columns if c not in (outer, inner)])
-    if inner:
-        rows = rows.groupBy(outer).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(inner), rest)))).alias("fm_v"))
-        rest = F.col("fm_v")
-    return rows.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(outer), rest.alias("v"))))) if not inner else F.map_from_entries(F.collect_list(F.struct(F.col(outer), rest.alias("v"))))).alias("json"))
+    if inner is None:
+        return rows.select(outer, F.to_json(rest).alias("json"))
+    return rows.groupBy(outer).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(inner), rest))))).alias("json"))
 
 
 def stage_if_changed(spark: SparkSession, inputs: Sequence[DataFrame], path: str, build: Callable[[], DataFrame]) -> DataFrame:

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from facetmill.functions import geometry, numbers, text
 
 CELLS = [
-    ("", None, "num"), ("$", None, "num"), ("Net sales", None, "num"), ("-", 0.0, "num"), ("–", 0.0, "num"), ("—", 0.0, "num"), ("7.49", 7.49, "num"), ("1,234", 1234.0, "num"),
-    ("$ 1,234", 1234.0, "num"), ("(321)", -321.0, "num"), ("$ (565)", -565.0, "num"), ("(565", -565.0, "num"), ("1,234(1)", 1234.0, "num"), ("(1)", -1.0, "num"), ("12.5%", 12.5, "pct"),
-    ("(12%)", -12.0, "pct"), ("1,234 (a)", 1234.0, "num"), ("1,234*", 1234.0, "num"), ("−5", -5.0, "num"), ("n/a", None, "num"), ("1e5", 1e5, "num"), ("nan", None, "num"), ("1_000", None, "num"), ("1d", None, "num"), (None, None, None),
+    ("12", 12.0, "num"), ("+0.5", 0.5, "num"), (".75", 0.75, "num"), ("8.", 8.0, "num"), ("90,210.4", 90210.4, "num"), ("$3", 3.0, "num"), ("$ 44,001", 44001.0, "num"), ("2.5e3", 2500.0, "num"),
+    ("(17)", -17.0, "num"), ("(9.1", -9.1, "num"), ("$(6)", -6.0, "num"), ("−88", -88.0, "num"), ("–7", -7.0, "num"), ("(2)", -2.0, "num"), ("—", 0.0, "num"), ("−", 0.0, "num"), (" - ", 0.0, "num"),
+    ("55(2)", 55.0, "num"), ("55 (b)", 55.0, "num"), ("55**", 55.0, "num"), ("55[12]", 55.0, "num"), ("(55)(3)", -55.0, "num"), ("3%", 3.0, "pct"), ("(0.4%)", -0.4, "pct"), ("7 %", 7.0, "pct"),
+    ("\xa06,500", 6500.0, "num"), ("6,500\t", 6500.0, "num"), ("\n(5)\u2003", -5.0, "num"), ("\u3000-\x0b", 0.0, "num"), ("  ", None, "num"), ("*", None, "num"), ("%", None, "num"), ("Total", None, "num"),
+    ("infinity", None, "num"), ("NaN", None, "num"), ("5_0", None, "num"), ("1d", None, "num"), ("1.2.3", None, "num"), ("FY 2020", None, "num"), (None, None, None),
 ]
 
 
@@ -72,6 +74,21 @@ def test_boxes(spark):
     assert tuple(flipped) == (5.0, 92.0, 18.0, 95.0)
 
 
+def test_edit_distance_of_any_size():
+    rng = random.Random(11)
+    for _ in range(300):
+        a, b = (tuple(rng.choices(range(rng.choice([2, 30, 900])), k=rng.choice([0, 1, 7, 31, 64, 130]))) for _ in range(2))
+        assert text.edit_distance(a, b) == plain_distance(a, b)
+    many = [f"w{i}" for i in range(50_000)]
+    assert text.edit_distance(many, many[1:50] + ["x"] + many[50:20_000]) == 30_002
+
+
+def test_plain_values(spark):
+    df = spark.createDataFrame([("1,5",), ("\xa07.5\t",), (" ",), ("nan",), ("x",), (None,)], "c string")
+    got = [(r[0], r[1]["s"], r[1]["n"]) for r in df.select(numbers.as_number(F.col("c")), numbers.plain_value(F.col("c"))).collect()]
+    assert got == [(15.0, "1,5", None), (7.5, None, 7.5), (None, None, None), (None, "nan", None), (None, "x", None), (None, None, None)]
+
+
 def test_word_distance_of_very_many_distinct_words(spark):
     n = 36_200
     df = spark.range(1).select(F.expr(f"transform(sequence(0, {n} - 1), i -> concat('w', i))").alias("a"))

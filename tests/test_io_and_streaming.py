@@ -63,6 +63,42 @@ def test_union_and_empty_sink(spark, tmp_path):
     assert io.write_if_any(None, str(tmp_path / "x")) is False and io.write_if_any(u.limit(0), str(tmp_path / "x")) is False
 
 
+def test_fields_and_logs(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", True), (2, None, False)], "n int, t string, left_out boolean")
+    at = str(tmp_path / "log")
+    io.write_fields(df, ["t", "n"], at)
+    io.write_fields(df.filter("n = 1"), ["t", "n"], at, "append")
+    back = io.read_or_empty(spark, at, "t string, n int", "csv", header="true")
+    assert back.columns == ["t", "n"] and sorted((r["n"], r["t"]) for r in back.collect()) == [(1, "a"), (1, "a"), (2, None)]
+    assert io.write_if_any(df.select("n"), str(tmp_path / "some")) and spark.read.option("header", "true").csv(str(tmp_path / "some")).count() == 2
+
+
+def test_lines_of_json_are_read(spark, tmp_path):
+    (tmp_path / "x.json").write_text('{"a": 1}\n{"a": 2, "b": 3}\n')
+    assert sorted(r["a"] for r in io.read_or_empty(spark, str(tmp_path / "x.json"), "a int").collect()) == [1, 2]
+
+
+def test_xml_facts(spark, tmp_path):
+    (tmp_path / "f.xml").write_text("<facts><fact unit='USD'><value>5.5</value></fact><fact><value>7</value></fact></facts>")
+    got = io.facts_from_xml(spark, str(tmp_path / "f.xml"), "fact", "_unit string, value double")
+    assert sorted((r["_unit"] or "", r["value"]) for r in got.collect()) == [("", 7.0), ("USD", 5.5)]
+
+
+def test_primary_document_of_equals(spark):
+    files = [("k", n, s) for n, s in (("doc2.htm", 9), ("doc1.htm", 9), ("R1.htm", 99), ("big.xml", 999))] + [("l", "z.txt", 1)]
+    for order in (files, files[::-1]):
+        df = spark.createDataFrame(order, "filing string, filename string, size long")
+        assert {r["filing"]: r["filename"] for r in io.primary_document(df, ["filing"]).collect()} == {"k": "doc1.htm", "l": "z.txt"}
+    assert {r["filename"] for r in io.primary_document(df, ["filing"], ["BIG.XML"]).collect()} == {"big.xml", "z.txt"}
+
+
+def test_too_few_tagged_values(spark):
+    df = spark.createDataFrame([("k", "a.htm", '<ix:nonNumeric name="dei:Year">20<b>20</b></ix:nonNumeric>')], "filing string, filename string, body string")
+    assert io.inline_values(df, ["filing"], ["Year", "Period"], 1).head()["value"] == "2020"
+    with pytest.raises(Exception, match="too few"):
+        io.inline_values(df, ["filing"], ["Year", "Period"]).collect()
+
+
 def test_stage_is_built_once(spark, tmp_path):
     calls = []
     df = spark.createDataFrame([(1,)], "a int")

@@ -209,6 +209,14 @@ def test_words(spark):
     assert layout.fallback_blocks(w.limit(0), ["page"]).count() == 0
 
 
+def test_words_in_crossing_columns(spark):
+    words = [("a1", 0, 0.4), ("a2", 30, 0.6), ("b1", 200, 2.0), ("b2", 232, 1.0), ("a3", 0, 9.0), ("a4", 28, 9.4), ("b3", 205, 9.0), ("far", 300, 60.0)]
+    w = spark.createDataFrame([(p, float(x), y, x + 20.0, y + 6, t) for p in (1, 2) for t, x, y in words], "page int, x0 double, top double, x1 double, bottom double, text string")
+    assert {r["page"]: r["text"] for r in layout.text_of_blocks(w, ["page"]).collect()} == dict.fromkeys((1, 2), "a1 a2\nb2\nb1\na3 a4\nb3\nfar")
+    got = [(r["seq"], r["text"], r["bbox"]["x0"], r["bbox"]["bottom"]) for r in layout.fallback_blocks(w, ["page"]).filter("page = 1").orderBy("seq").collect()]
+    assert got == [(1, "a1 a2 a3 a4", 0.0, 15.4), (2, "b1 b3", 200.0, 15.0), (3, "far", 300.0, 66.0)]
+
+
 # matching
 def test_reconcile(spark):
     day = lambda s: pd.Timestamp(s).date()
@@ -225,7 +233,28 @@ def test_reconcile(spark):
     assert summary["ALL"]["numbers"] == 7 and summary["ALL"]["mapped"] == 5 and summary["ALL"]["status_counts"]["unmapped"] == 2
 
 
+def test_reconcile_keeps_equal_cells_and_lost_lines(spark):
+    labels = spark.createDataFrame([("Sales", "label", "Net sales", "duration")], "concept string, label_role string, label string, period_type string")
+    day = lambda s: pd.Timestamp(s).date()
+    facts = spark.createDataFrame([("d", 1, "Sales", 100.0, "0", False, day("2020-01-01"), day("2020-12-31"), "{}")] * 2, "doc_id string, seq bigint, concept string, fact_value double, decimals string, instant boolean, start_date date, end_date date, dims_key string")
+    cells = spark.createDataFrame([("d", "p", "income", "Net sales", 2020, 100.0, 1)] * 3 + [("d", "q", "income", None, 2020, 1.0, 2)], "doc_id string, path string, statement string, label string, year int, value double, cell_id bigint")
+    out = match.reconcile(match.map_labels(cells, labels), facts)
+    assert rows(out, "path", "status") == [("p", "match")] * 3 + [("q", "unmapped")]
+    keyed = match.reconcile(match.map_labels(cells.distinct(), labels), facts, ["cell_id", "path"])
+    assert rows(keyed, "cell_id", "status", "period_end") == [(1, "match", day("2020-12-31")), (2, "unmapped", None)] and keyed.columns == out.columns
+    lost = match.lost_lines(keyed, ["p", "q"], ["doc_id", "statement", "concept", "period_end"], "cell_id")
+    assert rows(lost, "path", "cell_id", "status") == [("q", 1, "pdf_missing")]
+
+
 # metrics
+def test_percentiles(spark):
+    rng = random.Random(4)
+    data = [(k, rng.choice([None, 1.0, 2.5, rng.random()])) for k in "abc" for _ in range(rng.randint(1, 60))] + [("z", None)]
+    got = {r["k"]: (r["p50"], r["p95"]) for r in metrics.percentiles(spark.createDataFrame(data, "k string, v double"), ["k"], "v", {"p50": 0.5, "p95": 0.95}).collect()}
+    frame = pd.DataFrame(data, columns=["k", "v"]).dropna().groupby("k").v
+    assert got == {k: (pytest.approx(x), pytest.approx(y)) for k, x, y in zip(frame.groups, frame.quantile(0.5), frame.quantile(0.95), strict=True)}
+
+
 def test_drift_upper_median(spark):
     df = spark.createDataFrame([("a", n) for n in (1, 2, 3, 4)] + [("b", n) for n in (9, 7, 8)], "k string, n int")
     assert rows(metrics.drift(df, ["k"], "n"), "k", "n", "median", "share_short", "total") == [("a", 4, 3, 1.0, 10), ("b", 3, 8, 0.0, 24)]
@@ -267,8 +296,12 @@ def test_item_headings(spark):
 
 def test_markdown_slice(spark):
     md = "# T\n\n## A\n\n<!-- d p1 b1 -->\n\none\n\n## B\n\n<!-- d p2 b2 -->\n\ntwo\n\n<!-- d p3 b3 -->\n\nthree\n"
-    got = spark.createDataFrame([(md,)], "m string").select(records.slice_markdown(F.col("m"), 2, 2)).head()[0]
-    assert got == "# T\n\n<!-- d p2 b2 -->\n\ntwo\n" or "two" in got and "three" not in got and "one" not in got
+    cut = lambda text, low, high: records.slice_pages(spark.createDataFrame([("d", text)], "d string, m string"), ["d"], "m", low, high).head()["slice"]
+    assert cut(md, 2, 2) == "# T\n\n## B\n\n<!-- d p2 b2 -->\n\ntwo\n"
+    assert cut(md, 1, 2) == "# T\n\n## A\n\n<!-- d p1 b1 -->\n\none\n\n## B\n\n<!-- d p2 b2 -->\n\ntwo\n" and cut(md, 7, 9) == "# T\n"
+    twice = "x\n\n## A\n\n## B\n\n<!-- d p2 b2 -->\n\ny\n\n## C\n\n<!-- d p3 b3 -->"
+    assert cut(twice, 2, 2) == "x\n\n## B\n\n<!-- d p2 b2 -->\n\ny\n\n## C\n" and cut("", 1, 9) == "\n"
+    assert records.slice_pages(spark.createDataFrame([], "d string, m string"), ["d"], "m", 1, 2).count() == 0
     assert spark.createDataFrame([(md,)], "m string").select(records.trace(F.col("m"), F.lit("b2"))).head()[0] == "two"
 
 
