@@ -6,6 +6,8 @@ or ``USDm`` may mean more than one factor; the meanings are chosen together from
 the two columns of the data, printed x factor(printed symbol) = tagged x factor(tagged symbol), by the
 combination with the least sum of absolute log residuals over all facts. Symbols that mean something else in a
 combination as good, such as those no fact speaks about, keep the conventional meaning on a tie and are flagged.
+A source whose own facts plainly speak for another combination than all facts together (``source_meanings``) gets
+that one, so that one filer who writes ``m`` for thousands is read as that filer means it.
 
 The evidence that reaches the driver is one count per (symbol, symbol, rounded log ratio): both symbols come
 from the fixed lists below and the ratio has at most 801 values, so its size has a bound that the data cannot move.
@@ -14,13 +16,16 @@ from the fixed lists below and the ratio has at most 801 values, so its size has
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import cache
 from itertools import product
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # What a unit symbol may mean, the conventional meaning first.
 PRINTED: dict[str, tuple[float, ...]] = {
@@ -113,6 +118,28 @@ class Meanings:
     open_symbols: tuple[str, ...]
 
 
+UNSURE = [(kind, s) for kind, options in enumerate((PRINTED, TAGGED)) for s, factors in options.items() if len(factors) > 1]
+COMBINATIONS = list(product(*[(PRINTED, TAGGED)[kind][s] for kind, s in UNSURE]))  # 32, the conventional one first
+
+
+def _costs(evidence: Iterable[tuple[str, str, float, int]], cap: float) -> list[float]:
+    """The sum of the capped absolute log residuals under each combination."""
+    place = {x: i for i, x in enumerate(UNSURE)}
+    spread: dict[tuple[str, str], list[tuple[float, int]]] = defaultdict(list)
+    for p, t, d, n in evidence:
+        if p in PRINTED and t in TAGGED:
+            spread[p, t].append((d, n))
+
+    def factor(picks: tuple[float, ...], kind: int, symbol: str) -> float:
+        return picks[place[kind, symbol]] if (kind, symbol) in place else (PRINTED, TAGGED)[kind][symbol][0]
+
+    @cache
+    def cost(p: str, t: str, shift: float) -> float:
+        return sum(n * min(cap, abs(d + shift)) for d, n in spread[p, t])
+
+    return [sum(cost(p, t, math.log10(factor(picks, 1, t)) - math.log10(factor(picks, 0, p))) for p, t in spread) for picks in COMBINATIONS]
+
+
 def choose_meanings(evidence: Iterable[tuple[str, str, float, int]], cap: float = 1.5, margin: float = 1.05) -> Meanings:
     """The symbol meanings with the least total log residual.
 
@@ -121,55 +148,69 @@ def choose_meanings(evidence: Iterable[tuple[str, str, float, int]], cap: float
     symbols is tried (32, from the fixed lists); a tie keeps the conventional meaning. A symbol is open if it has
     another meaning in any combination within ``margin`` of the least.
     """
-    rows = [(p, t, d, n) for p, t, d, n in evidence if p in PRINTED and t in TAGGED]
-    unsure = [(k, s) for k, options in enumerate((PRINTED, TAGGED)) for s, factors in options.items() if len(factors) > 1]
-    place = {x: i for i, x in enumerate(unsure)}
-    spread: dict[tuple[str, str], list[tuple[float, int]]] = {}
-    for p, t, d, n in rows:
-        spread.setdefault((p, t), []).append((d, n))
+    costs = _costs(evidence, cap)
+    best = COMBINATIONS[costs.index(min(costs))]
+    near = [x for x, c in zip(COMBINATIONS, costs, strict=True) if not c > margin * min(costs)]
+    opened = tuple(("printed ", "tagged ")[kind] + s for i, (kind, s) in enumerate(UNSURE) if any(x[i] != best[i] for x in near))
+    chosen = {x: f for x, f in zip(UNSURE, best, strict=True)}
+    return Meanings({s: chosen.get((0, s), PRINTED[s][0]) for s in PRINTED}, {s: chosen.get((1, s), TAGGED[s][0]) for s in TAGGED}, opened)
 
-    def factor(picks: tuple[float, ...], kind: int, symbol: str) -> float:
-        return picks[place[kind, symbol]] if (kind, symbol) in place else (PRINTED, TAGGED)[kind][symbol][0]
 
-    @cache
-    def cost(p: str, t: str, shift: float) -> float:
-        return sum(n * min(cap, abs(d + shift)) for d, n in spread[p, t])
-
-    def total(picks: tuple[float, ...]) -> float:
-        return sum(cost(p, t, math.log10(factor(picks, 1, t)) - math.log10(factor(picks, 0, p))) for p, t in spread)
+def departures(evidence: Iterable[tuple[str, str, float, int]], common: Meanings, cap: float = 1.5, least: int = 20) -> list[tuple[str, str, float]]:
+    """(printed or tagged, symbol, factor) where one source means another combination than all sources together.
 
-    combinations = list(product(*[(PRINTED, TAGGED)[k][s] for k, s in unsure]))  # the conventional one first
-    costs = [total(x) for x in combinations]
-    best = combinations[costs.index(min(costs))]
-    near = [x for x, c in zip(combinations, costs, strict=True) if not c > margin * min(costs)]
-    opened = tuple(("printed ", "tagged ")[k] + s for i, (k, s) in enumerate(unsure) if any(x[i] != best[i] for x in near))
-    return Meanings({s: factor(best, 0, s) for s in PRINTED}, {s: factor(best, 1, s) for s in TAGGED}, opened)
+    The common meanings are the prior: the source's own least-cost combination counts only if it saves the residuals
+    of at least ``least`` wholly wrong facts and halves the cost, so a few wrong amounts never explain themselves away.
+    """
+    costs = _costs(evidence, cap)
+    prior = tuple((common.printed, common.tagged)[kind][s] for kind, s in UNSURE)
+    usual, best = costs[COMBINATIONS.index(prior)], min(costs)
+    if usual - best < least * cap or best > usual / 2:
+        return []
+    near = [x for x, c in zip(COMBINATIONS, costs, strict=True) if c <= best]
+    pick = min(near, key=lambda x: sum(a != b for a, b in zip(x, prior, strict=True)))  # of equals the nearest to the prior
+    return [(("printed", "tagged")[kind], s, f) for (kind, s), f, was in zip(UNSURE, pick, prior, strict=True) if f != was]
+
+
+def _may_state(text: Column) -> Column:
+    """False only where ``statement`` is surely null: cheap tests of plain text before its patterns."""
+    low = F.lower(text)
+    hints = [low.contains(x) for x in ("per-share", "in thousands", "in millions", "in billions", "in whole dollars", "$000s", "us$")]
+    any_hint = hints[0]
+    for h in hints[1:]:
+        any_hint = any_hint | h
+    return (F.octet_length(text) != F.char_length(text)) | any_hint
 
 
 def _table_statements(records: DataFrame) -> DataFrame:
     """rec_id of each table and what the Text block just before it on its page states."""
     w = Window.partitionBy("doc_id", "page").orderBy("block_order").rangeBetween(Window.unboundedPreceding, -1)
-    slim = records.select("rec_id", "doc_id", "page", "block_order", F.col("tbl").isNotNull().alias("has"), F.when(F.col("block_type") == "Text", statement(F.col("text"))).alias("said"))
+    slim = records.select("rec_id", "doc_id", "page", "block_order", F.col("tbl").isNotNull().alias("has"), F.when((F.col("block_type") == "Text") & _may_state(F.col("text")), statement(F.col("text"))).alias("said"))
     return slim.select("rec_id", "has", F.last(F.struct("said")).over(w)["said"].alias("said")).filter(F.col("has") & F.col("said").isNotNull()).select("rec_id", "said").dropDuplicates(["rec_id"])
 
 
-def cell_facts(records: DataFrame, facts: DataFrame) -> DataFrame:
+def cell_facts(records: DataFrame, facts: DataFrame, source: str | None = None) -> DataFrame:
     """Facts that name a printed cell, with the cell, its kind and its symbol: one row per fact and distinct table.
 
     Columns: fact_id, rec_id, row_no, col_no, fact_value, unit, kind, printed (text), number, symbol, stated_in
     (cell, row, column, corner, scale, text or none), explicit (the scale's own factor where it is none of the usual
-    ones) and tagged (symbol). Facts without a cell, of a record that
+    ones), tagged (symbol) and source (of the record; null without ``source``). Facts without a cell, of a record that
     is absent or has no table, or beyond its grid have no row. Where row_kinds is absent or too short the kind is
     read from the label (per share, shares, else money).
     """
     named = facts.select("fact_id", "rec_id", "row_no", "col_no", "fact_value", "unit").filter("rec_id is not null and row_no >= 0 and col_no >= 0").distinct()
-    tables = records.filter("tbl.raw_cells is not null").selectExpr("rec_id", "tbl.raw_cells as raw", "tbl.scale as scale", "tbl.row_kinds as kinds")
+    tables = _printed_tables(records, source)
     j = named.join(tables, "rec_id").join(_table_statements(records), "rec_id", "left")
     header = "coalesce(get(kinds, q) = 'header', q = 0)"
     above = f"filter(transform(if(row_no > 0, sequence(0, row_no - 1), cast(array() as array<int>)), q -> if({header}, get(get(raw, q), %s), null)), h -> h rlike unit_word)"
     j = j.withColumn("unit_word", F.lit(UNIT_WORD)).selectExpr("*", "get(get(raw, row_no), col_no) as printed", "get(get(raw, row_no), 0) as label", f"try_element_at({above % 'col_no'}, -1) as head", f"try_element_at({above % '0'}, -1) as corner", "get(kinds, row_no) as stated_kind")
-    r = _with_symbols(_stated_in_row(j), ["fact_id", "fact_value", "unit"])
-    return r.select("fact_id", "rec_id", "row_no", "col_no", "fact_value", "unit", "kind", "printed", "number", "symbol", "stated_in", "explicit", tagged_symbol(F.col("unit")).alias("tagged"))
+    r = _with_symbols(_stated_in_row(j), ["fact_id", "fact_value", "unit", "source"])
+    return r.select("source", "fact_id", "rec_id", "row_no", "col_no", "fact_value", "unit", "kind", "printed", "number", "symbol", "stated_in", "explicit", tagged_symbol(F.col("unit")).alias("tagged"))
+
+
+def _printed_tables(records: DataFrame, source: str | None) -> DataFrame:
+    named = f"cast(`{source}` as string)" if source else "cast(null as string)"
+    return records.filter("tbl.raw_cells is not null").selectExpr("rec_id", f"{named} as source", "tbl.raw_cells as raw", "tbl.scale as scale", "tbl.row_kinds as kinds")
 
 
 def _stated_in_row(j: DataFrame) -> DataFrame:
@@ -203,27 +244,27 @@ def _with_symbols(j: DataFrame, keep: list[str]) -> DataFrame:
     return j.withColumn("fm_unit", found).select(*keep, "rec_id", "row_no", "col_no", "kind", "printed", printed_number(F.col("printed")).alias("number"), "fm_unit.symbol", "fm_unit.stated_in", F.when(F.col("fm_unit.symbol") == "explicit", F.col("scale_factor")).alias("explicit"))
 
 
-def printed_cells(records: DataFrame) -> DataFrame:
+def printed_cells(records: DataFrame, source: str | None = None) -> DataFrame:
     """Every printed cell of every table with its kind and its symbol, whether or not a fact names it: one row per cell and distinct table.
 
-    Columns: place (header, label or body), rec_id, row_no, col_no, kind, printed (text), number, symbol, stated_in
+    Columns: source, place (header, label or body), rec_id, row_no, col_no, kind, printed (text), number, symbol, stated_in
     and explicit, as in ``cell_facts``. A table's few header rows travel with each of its rows, so the cells of a
     table cost its cells times its header rows.
     """
     header = "coalesce(get(kinds, {q}) = 'header', {q} = 0)"
-    tables = records.filter("tbl.raw_cells is not null").selectExpr("rec_id", "tbl.raw_cells as raw", "tbl.scale as scale", "tbl.row_kinds as kinds")
+    tables = _printed_tables(records, source)
     tables = tables.withColumn("heads", F.expr(f"filter(transform(raw, (x, i) -> struct(i as q, x as cells)), h -> {header.format(q='h.q')})"))
-    lines = tables.join(_table_statements(records), "rec_id", "left").select("rec_id", "scale", "kinds", "heads", "said", F.posexplode("raw").alias("row_no", "line"))
-    lines = lines.withColumn("unit_word", F.lit(UNIT_WORD)).selectExpr("rec_id", "row_no", "line", "scale", "said", "unit_word", "get(kinds, row_no) as stated_kind", f"{header.format(q='row_no')} as in_header", "get(line, 0) as label", "filter(heads, h -> h.q < row_no) as heads")
+    lines = tables.join(_table_statements(records), "rec_id", "left").select("rec_id", "source", "scale", "kinds", "heads", "said", F.posexplode("raw").alias("row_no", "line"))
+    lines = lines.withColumn("unit_word", F.lit(UNIT_WORD)).selectExpr("rec_id", "source", "row_no", "line", "scale", "said", "unit_word", "get(kinds, row_no) as stated_kind", f"{header.format(q='row_no')} as in_header", "get(line, 0) as label", "filter(heads, h -> h.q < row_no) as heads")
     lines = lines.withColumn("corner", F.expr("try_element_at(filter(transform(heads, h -> get(h.cells, 0)), h -> h rlike unit_word), -1)"))
     lines = _stated_in_row(lines)
     cells = lines.select(*[c for c in lines.columns if c != "line"], F.posexplode("line").alias("col_no", "printed"))
     cells = cells.withColumn("head", F.expr("try_element_at(filter(transform(heads, h -> get(h.cells, col_no)), h -> h rlike unit_word), -1)"))
     cells = cells.withColumn("place", F.when(F.col("in_header"), "header").when(F.col("col_no") == 0, "label").otherwise("body"))
-    return _with_symbols(cells, ["place"]).distinct()
+    return _with_symbols(cells, ["source", "place"]).distinct()
 
 
-def all_amounts(records: DataFrame, facts: DataFrame) -> DataFrame:
+def all_amounts(records: DataFrame, facts: DataFrame, source: str | None = None) -> DataFrame:
     """Every printed cell and every fact, side by side where the fact names the cell; input of ``meanings`` and ``convert``.
 
     Columns as in ``cell_facts``, and place. A cell without a fact has a null fact_id; a fact that names no cell, or
@@ -232,17 +273,17 @@ def all_amounts(records: DataFrame, facts: DataFrame) -> DataFrame:
     """
     tagged = facts.select("fact_id", "rec_id", "row_no", "col_no", "fact_value", "unit").distinct().withColumn("tagged", tagged_symbol(F.col("unit"))).withColumn("fm_fact", F.lit(True))
     names = F.coalesce(F.expr("rec_id is not null and row_no >= 0 and col_no >= 0"), F.lit(False))
-    both = printed_cells(records).join(tagged.filter(names), ["rec_id", "row_no", "col_no"], "full_outer")
+    both = printed_cells(records, source).join(tagged.filter(names), ["rec_id", "row_no", "col_no"], "full_outer")
     rows = both.unionByName(tagged.filter(~names), allowMissingColumns=True)
     amount = F.col("fm_fact").isNotNull() | (F.col("place") == "body")
-    return rows.select("fact_id", "rec_id", "row_no", "col_no", "fact_value", "unit", "place", "kind", "printed", F.when(amount, F.col("number")).alias("number"), "symbol", "stated_in", "explicit", "tagged")
+    return rows.select("source", "fact_id", "rec_id", "row_no", "col_no", "fact_value", "unit", "place", "kind", "printed", F.when(amount, F.col("number")).alias("number"), "symbol", "stated_in", "explicit", "tagged")
 
 
-def evidence(rows: DataFrame) -> DataFrame:
-    """(symbol, tagged, log ratio, count) over all facts with two non-zero numbers."""
+def evidence(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, symbol, tagged, log ratio, count) over all facts with two non-zero numbers."""
     ratio = F.round(F.log10(F.abs("fact_value")) - F.log10(F.abs("number")), 1)
     usable = rows.filter("number <> 0 and fact_value <> 0 and not isnan(fact_value)")
-    return usable.groupBy("symbol", "tagged", F.greatest(F.lit(-40.0), F.least(F.lit(40.0), ratio)).alias("ratio")).agg(F.count(F.lit(1)).alias("n"))
+    return usable.groupBy(*by, "symbol", "tagged", F.greatest(F.lit(-40.0), F.least(F.lit(40.0), ratio)).alias("ratio")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def meanings(rows: DataFrame) -> Meanings:
@@ -250,17 +291,40 @@ def meanings(rows: DataFrame) -> Meanings:
     return choose_meanings([(r["symbol"], r["tagged"], r["ratio"], r["n"]) for r in evidence(rows).collect()])
 
 
+def source_meanings(rows: DataFrame, common: Meanings, least: int = 20) -> DataFrame:
+    """source, printed and tagged (maps of symbol to factor) of the sources that mean other factors than ``common``.
+
+    The counts of a source, of bounded number like those of ``meanings``, meet in one group.
+    """
+    counts = evidence(rows.filter("source is not null"), ("source",))
+
+    def choose(group: pd.DataFrame) -> pd.DataFrame:
+        found = departures(zip(group.symbol, group.tagged, group.ratio, group.n, strict=True), common, least=least)
+        return pd.DataFrame([(group.source.iloc[0], *x) for x in found], columns=["source", "kind", "symbol", "factor"])
+
+    schema = T.StructType([T.StructField(c, T.DoubleType() if c == "factor" else T.StringType()) for c in ("source", "kind", "symbol", "factor")])
+    every = counts.groupBy("source").applyInPandas(choose, schema)
+    of = lambda kind: F.map_from_entries(F.collect_list(F.when(F.col("kind") == kind, F.struct("symbol", "factor")))).alias(kind)
+    return every.groupBy("source").agg(of("printed"), of("tagged"))
+
+
 def _factor(symbol: Column, chosen: dict[str, float]) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in chosen.items() for x in pair]), symbol)
 
 
-def convert(rows: DataFrame, chosen: Meanings, rel: float = 1e-3) -> DataFrame:
+def convert(rows: DataFrame, chosen: Meanings, rel: float = 1e-3, of_sources: DataFrame | None = None) -> DataFrame:
     """Adds printed_amount and fact_amount in common units, differs, and unit_open (a symbol whose meaning was not unique).
 
     differs is true where both amounts are present and apart by more than ``rel`` of the printed amount, sign
-    included (a printed 0 agrees only with 0); it is null where either amount is missing.
+    included (a printed 0 agrees only with 0); it is null where either amount is missing. ``of_sources`` holds what
+    single sources mean (``source_meanings``).
     """
-    out = rows.withColumn("printed_amount", F.col("number") * F.coalesce(F.col("explicit"), _factor(F.col("symbol"), chosen.printed))).withColumn("fact_amount", F.col("fact_value") * _factor(F.col("tagged"), chosen.tagged))
+    j = rows if of_sources is None else rows.join(of_sources.select("source", F.col("printed").alias("fm_printed"), F.col("tagged").alias("fm_tagged")), "source", "left")
+    own = lambda held, symbol: F.lit(None).cast("double") if of_sources is None else F.try_element_at(held, F.col(symbol))
+    own_printed, own_tagged = own("fm_printed", "symbol"), own("fm_tagged", "tagged")
+    out = j.withColumn("printed_amount", F.col("number") * F.coalesce(F.col("explicit"), own_printed, _factor(F.col("symbol"), chosen.printed))).withColumn("fact_amount", F.col("fact_value") * F.coalesce(own_tagged, _factor(F.col("tagged"), chosen.tagged)))
     gap = F.abs(F.col("fact_amount") - F.col("printed_amount"))
     unsure = F.array(*[F.lit(s) for s in chosen.open_symbols]) if chosen.open_symbols else F.expr("cast(array() as array<string>)")
-    return out.withColumn("differs", gap > F.abs("printed_amount") * rel + 1e-12).withColumn("unit_open", F.coalesce(F.array_contains(unsure, F.concat(F.lit("printed "), "symbol")), F.lit(False)) | F.coalesce(F.array_contains(unsure, F.concat(F.lit("tagged "), "tagged")), F.lit(False)))
+    opened = lambda kind, symbol, held: F.coalesce(F.array_contains(unsure, F.concat(F.lit(kind), symbol)), F.lit(False)) & held.isNull()
+    out = out.withColumn("differs", gap > F.abs("printed_amount") * rel + 1e-12).withColumn("unit_open", opened("printed ", F.col("symbol"), own_printed) | opened("tagged ", F.col("tagged"), own_tagged))
+    return out.drop("fm_printed", "fm_tagged")

@@ -31,21 +31,25 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return _flat("cells")(spark, d).select("rec_id", "row_no", "col_no").distinct()
 
 
+def _converted(rows: DataFrame) -> DataFrame:
+    kept = settled(rows)
+    common = units.meanings(kept)
+    return units.convert(kept, common, of_sources=units.source_meanings(kept, common))
+
+
 def _amounts(spark: SparkSession, d: str) -> DataFrame:
     """Every fact that names a cell, with both amounts in common units and where the unit was stated."""
-    rows = settled(units.cell_facts(table(spark, d, "filing_records"), table(spark, d, "tagged_facts")))
-    return units.convert(rows, units.meanings(rows)).distinct()
+    return _converted(units.cell_facts(table(spark, d, "filing_records"), table(spark, d, "tagged_facts"), "ticker")).distinct()
 
 
 def p6_amounts(spark: SparkSession, d: str) -> DataFrame:
-    """Every fact that names a cell with both amounts in common units."""
-    return _amounts(spark, d).select("fact_id", "rec_id", "row_no", "col_no", "fact_value", "unit", "kind", "printed", "printed_amount", "fact_amount", "differs")
+    """Every fact that names a cell with both amounts in common units, where the unit was stated and whether its meaning was open."""
+    return _amounts(spark, d).select("fact_id", "rec_id", "row_no", "col_no", "fact_value", "unit", "kind", "printed", "printed_amount", "fact_amount", "differs", "stated_in", "unit_open")
 
 
 def p6_all_amounts(spark: SparkSession, d: str) -> DataFrame:
-    """Every printed cell and every fact in common units, with where the unit was stated and whether its meaning was open; p6_amounts holds only the pairs."""
-    rows = settled(units.all_amounts(table(spark, d, "filing_records"), table(spark, d, "tagged_facts")))
-    out = units.convert(rows, units.meanings(rows))
+    """Every printed cell and every fact in common units; p6_amounts holds only the pairs."""
+    out = _converted(units.all_amounts(table(spark, d, "filing_records"), table(spark, d, "tagged_facts"), "ticker"))
     return out.select("fact_id", "rec_id", "row_no", "col_no", "fact_value", "unit", "place", "kind", "printed", "printed_amount", "fact_amount", "differs", "stated_in", "unit_open")
 
 
@@ -53,8 +57,16 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return _amounts(spark, d).filter("differs").select("fact_id").distinct()
 
 
+def p6_identity(spark: SparkSession, d: str) -> DataFrame:
+    """p6_found where every tagged unit that says ``m`` means thousands: right only if the identity finds that out."""
+    facts = table(spark, d, "tagged_facts")
+    facts = facts.withColumn("fact_value", F.when(units.tagged_symbol(F.col("unit")) == "m", F.col("fact_value") * 1000).otherwise(F.col("fact_value")))
+    rows = _converted(units.cell_facts(table(spark, d, "filing_records"), facts, "ticker"))
+    return rows.filter("differs").select("fact_id").distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_amounts": p6_amounts, "p6_all_amounts": p6_all_amounts} | {f"p5_{n}": _flat(n) for n in ("tables", "rows", "columns", "cells", "printed", "scales")}
+    return {"p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_identity": p6_identity, "p6_amounts": p6_amounts, "p6_all_amounts": p6_all_amounts} | {f"p5_{n}": _flat(n) for n in ("tables", "rows", "columns", "cells", "printed", "scales")}
 
 
 LATEST = """WITH a AS (SELECT * FROM table_cells QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY loaded_at DESC NULLS LAST, part2 DESC NULLS LAST, textract DESC NULLS LAST, status DESC NULLS LAST) = 1),
@@ -87,7 +99,12 @@ AMOUNTS = rf"""WITH f AS (SELECT DISTINCT fact_id, rec_id, row_no, col_no, fact_
  u AS (SELECT *, CASE WHEN regexp_matches(c, '^[$(]*[-–—−]+[)]*$') THEN 0.0 ELSE CASE WHEN regexp_matches(c, '^[$]?\(|^[$]?[-–—−]') THEN -1 ELSE 1 END * TRY_CAST(replace(regexp_extract(c, '(\d[\d,]*(?:\.\d+)?|\.\d+)', 1), ',', '') AS DOUBLE) END AS number,
    CASE lower(suffix) WHEN 'thousand' THEN 1e3 WHEN 'k' THEN 1e3 WHEN 'million' THEN 1e6 WHEN 'm' THEN 1e6 WHEN 'mm' THEN 1e6 WHEN 'billion' THEN 1e9 WHEN 'b' THEN 1e9 WHEN 'bn' THEN 1e9 WHEN 'c' THEN 1e-2 WHEN '¢' THEN 1e-2 WHEN 'cents' THEN 1e-2 WHEN 'cent' THEN 1e-2 WHEN '%' THEN 1e-2 WHEN 'percent' THEN 1e-2 WHEN 'pct' THEN 1e-2 WHEN 'bp' THEN 1e-4 WHEN 'bps' THEN 1e-4 WHEN 'basis points' THEN 1e-4 END AS in_cell,
    coalesce({_phrase("tail")}, CASE WHEN contains(tail, '$') THEN 1e0 END) AS in_row, {_phrase("head")} AS in_head, {_phrase("corner")} AS in_corner, scale[kind] AS in_scale, {_phrase("shead")} AS s_money, coalesce({_phrase("clause")}, CASE WHEN clause = '' THEN {_phrase("shead")} END) AS s_shares, CASE WHEN cents THEN 1e-2 WHEN shead IS NOT NULL THEN 1e0 END AS s_per FROM k),
- r AS (SELECT *, coalesce(in_cell, CASE kind WHEN 'money' THEN CASE WHEN NOT rate OR in_row < 1 THEN in_row END WHEN 'shares' THEN CASE WHEN in_row >= 1 THEN in_row END ELSE CASE WHEN in_row <= 1 THEN in_row END END,
+ r AS (SELECT *,
+   CASE WHEN in_cell IS NOT NULL THEN 'cell' WHEN CASE kind WHEN 'money' THEN CASE WHEN NOT rate OR in_row < 1 THEN in_row END WHEN 'shares' THEN CASE WHEN in_row >= 1 THEN in_row END ELSE CASE WHEN in_row <= 1 THEN in_row END END IS NOT NULL THEN 'row'
+     WHEN CASE kind WHEN 'money' THEN CASE WHEN NOT rate THEN in_head END WHEN 'shares' THEN CASE WHEN regexp_matches(head, '(?i)\bshares?\b') THEN in_head END ELSE CASE WHEN in_head = 1e-2 THEN in_head END END IS NOT NULL THEN 'column'
+     WHEN CASE kind WHEN 'money' THEN CASE WHEN NOT rate THEN in_corner END WHEN 'shares' THEN CASE WHEN regexp_matches(corner, '(?i)\bshares?\b') THEN in_corner END ELSE CASE WHEN in_corner = 1e-2 THEN in_corner END END IS NOT NULL THEN 'corner'
+     WHEN NOT rate AND in_scale IS NOT NULL THEN 'scale' WHEN CASE kind WHEN 'money' THEN CASE WHEN NOT rate THEN s_money END WHEN 'shares' THEN s_shares ELSE s_per END IS NOT NULL THEN 'text' ELSE 'none' END AS stated_in,
+   coalesce(in_cell, CASE kind WHEN 'money' THEN CASE WHEN NOT rate OR in_row < 1 THEN in_row END WHEN 'shares' THEN CASE WHEN in_row >= 1 THEN in_row END ELSE CASE WHEN in_row <= 1 THEN in_row END END,
    CASE kind WHEN 'money' THEN CASE WHEN NOT rate THEN in_head END WHEN 'shares' THEN CASE WHEN regexp_matches(head, '(?i)\bshares?\b') THEN in_head END ELSE CASE WHEN in_head = 1e-2 THEN in_head END END,
    CASE kind WHEN 'money' THEN CASE WHEN NOT rate THEN in_corner END WHEN 'shares' THEN CASE WHEN regexp_matches(corner, '(?i)\bshares?\b') THEN in_corner END ELSE CASE WHEN in_corner = 1e-2 THEN in_corner END END,
    CASE WHEN NOT rate THEN in_scale END, CASE kind WHEN 'money' THEN CASE WHEN NOT rate THEN s_money END WHEN 'shares' THEN s_shares ELSE s_per END, 1e0) AS factor,
@@ -102,8 +119,9 @@ def oracle_sql() -> dict[str, str]:
     raw = f"(SELECT rec_id, unnest(tbl.raw_cells) AS r, generate_subscripts(tbl.raw_cells, 1) - 1 AS row_no FROM {t})"
     return {
         "p6_found": AMOUNTS + "SELECT DISTINCT fact_id FROM r WHERE abs(fact_value * tagged - number * factor) > 1e-3 * abs(number * factor) + 1e-12",
+        "p6_identity": AMOUNTS + "SELECT DISTINCT fact_id FROM r WHERE abs(fact_value * tagged - number * factor) > 1e-3 * abs(number * factor) + 1e-12",
         "p6_amounts": AMOUNTS
-        + "SELECT DISTINCT fact_id, rec_id, CAST(row_no AS INTEGER) AS row_no, CAST(col_no AS INTEGER) AS col_no, fact_value, unit, kind, cell AS printed, number * factor AS printed_amount, fact_value * tagged AS fact_amount, abs(fact_value * tagged - number * factor) > 1e-3 * abs(number * factor) + 1e-12 AS differs FROM r",
+        + "SELECT DISTINCT fact_id, rec_id, CAST(row_no AS INTEGER) AS row_no, CAST(col_no AS INTEGER) AS col_no, fact_value, unit, kind, cell AS printed, number * factor AS printed_amount, fact_value * tagged AS fact_amount, abs(fact_value * tagged - number * factor) > 1e-3 * abs(number * factor) + 1e-12 AS differs, stated_in, false AS unit_open FROM r",
         "p4_found": LATEST
         + f"""SELECT cell_id, 'missing_in_mirror' AS finding FROM a ANTI JOIN b USING (cell_id) UNION ALL SELECT cell_id, 'missing_in_cells' FROM b ANTI JOIN a USING (cell_id)
         UNION ALL {_differs("part2")} UNION ALL {_differs("textract")}

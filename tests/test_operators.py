@@ -92,6 +92,21 @@ def test_choose_meanings_tries_every_combination():
     assert (noisy.printed["mm"], noisy.tagged["mm"], noisy.printed["M"]) == (1e6, 1e6, 1e6)
 
 
+def test_a_source_means_its_own_units(spark):
+    common = units.choose_meanings([("m", "one", 6.0, 5000)])
+    assert units.departures([("m", "one", 3.0, 60), ("m", "one", 6.0, 3)], common) == [("printed", "m", 1e3)]
+    assert units.departures([("m", "one", 3.0, 19)], common) == [] and units.departures([("m", "one", 3.0, 60), ("m", "one", 6.0, 40)], common) == []
+    assert units.departures([], common) == []
+    raw = [["", "2020, US$ m"], *[[f"Item {i}", f"{i + 1}.5"] for i in range(40)]]
+    recs = spark.createDataFrame([(k, str(k), 1, 1, "Table", None, (raw, None, None), None) for k in (1, 2)], REC)
+    facts = spark.createDataFrame([(100 * k + i, k, i + 1, 1, (i + 1.5) * (1e3 if k == 2 else 1e6) * (1000 if i == 7 else 1), "USD", None) for k in (1, 2) for i in range(40)], FACT)
+    r = units.cell_facts(recs, facts, "doc_id")
+    chosen = units.Meanings(common.printed, common.tagged, ())
+    out = units.convert(r, chosen, of_sources=units.source_meanings(r, chosen))
+    assert {x["fact_id"] for x in out.filter("differs").collect()} == {107, 207}
+    assert units.source_meanings(r.limit(0), chosen).count() == 0
+
+
 REC = "rec_id bigint, doc_id string, page int, block_order int, block_type string, text string, tbl struct<raw_cells:array<array<string>>,scale:map<string,double>,row_kinds:array<string>>, said string"
 FACT = "fact_id bigint, rec_id bigint, row_no int, col_no int, fact_value double, unit string, kind string"
 
