@@ -118,6 +118,20 @@ def response_blocks(blocks: DataFrame, keys: Sequence[str], width: Column, heigh
     return out.select(*k, F.row_number().over(Window.partitionBy(*k).orderBy("at", "type", "table_id")).alias("n"), "type", "bbox", "text", "confidence", "table_id")
 
 
+def below_threshold(tables: DataFrame, found: DataFrame, page: Sequence[str], low: Sequence[str] = ("best_below_threshold", "no_valid_table"), least: float = 0.5) -> DataFrame:
+    """page, seq, method, score, status, overlap and found_seq of each table of a ``low`` status: the service's table over it.
+
+    The service's table that covers most of the smaller of the two boxes counts (the first of equals) with its
+    overlap, rounded to 2; its content is found only above ``least``, else found_seq is null.
+    """
+    p = list(page)
+    ours = tables.filter(F.col("status").isin(*low))
+    theirs = found.select(*p, F.col("seq").alias("fm_seq"), F.col("bbox").alias("fm_box"))
+    j = ours.join(theirs, p, "left").withColumn("fm_ratio", F.when(F.col("fm_seq").isNotNull(), g.overlap_of_smaller(F.col("bbox"), F.col("fm_box"))).otherwise(0.0))
+    best = j.groupBy(*p, "seq", "method", "score", "status").agg(F.max_by(F.struct("fm_seq", "fm_ratio"), F.struct("fm_ratio", -F.col("fm_seq"))).alias("b"))
+    return best.select(*p, "seq", "method", "score", "status", F.round(F.coalesce("b.fm_ratio", F.lit(0.0)), 2).alias("overlap"), F.when(F.col("b.fm_ratio") > least, F.col("b.fm_seq")).alias("found_seq"))
+
+
 def import_checked(incoming: DataFrame, known: DataFrame, existing: DataFrame, api: str, features: str, key: str = "cache_key") -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected with reason): foreign responses with a meta, a known source, one page, this API and these features; old entries win.
 

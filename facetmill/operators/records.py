@@ -71,6 +71,30 @@ def with_sections(blocks: DataFrame, doc: Sequence[str], order: Sequence[str], i
     return blocks.withColumn("section", F.coalesce(F.last(item, True).over(w), F.col(layout_section)))
 
 
+def with_headings(records: DataFrame, doc: Sequence[str], order: Sequence[str], seq: str, kind: str = "block_type") -> DataFrame:
+    """records with section replaced, and section_heading, is_heading and is_fragment added.
+
+    section is the last item heading so far (``Item 7``), else the record's own. The first heading of an item names
+    it: its line is section_heading of every record of the section, its record is_heading. A lone ``Item`` to the left of
+    a heading is_fragment, and belongs to the heading's section. ``order`` names the page first.
+    """
+    d, page = list(doc), [*doc, order[0]]
+    found = item_headings(records.select(*page, F.col(seq).alias("seq"), F.col(kind).alias("type"), "bbox", "text"), page)
+    found = found.select(*page, F.col("seq").alias("fm_seq"), F.col("item").alias("fm_item"), F.col("heading").alias("fm_heading"), F.col("fragment_seq").alias("fm_fragment"))
+    same = lambda a, b: [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in a] + [b]
+    at = records.alias("a").join(found.alias("b"), same(page, F.col(f"a.{seq}") == F.col("b.fm_seq")), "left").select("a.*", "b.fm_item", "b.fm_heading")
+    so_far = Window.partitionBy(*d).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    at = at.withColumn("fm_section", F.coalesce(F.last("fm_item", True).over(so_far), "section"))
+    first = at.filter("fm_item is not null").groupBy(*d, F.col("fm_item").alias("fm_of")).agg(F.min_by(F.struct("fm_heading", seq), F.struct(*order)).alias("fm_first"))
+    at = at.alias("a").join(first.alias("b"), same(d, F.col("a.fm_section") == F.col("b.fm_of")), "left").select("a.*", "b.fm_first")
+    parts = found.filter("fm_fragment is not null").groupBy(*page, "fm_fragment").agg(F.min("fm_item").alias("fm_whole"))
+    at = at.alias("a").join(parts.alias("b"), same(page, F.col(f"a.{seq}") == F.col("b.fm_fragment")), "left").select("a.*", "b.fm_whole")
+    return at.select(
+        *[c for c in records.columns if c != "section"], F.coalesce("fm_whole", "fm_section").alias("section"), F.col("fm_first.fm_heading").alias("section_heading"),
+        F.coalesce(F.col(f"fm_first.{seq}") == F.col(seq), F.lit(False)).alias("is_heading"), F.col("fm_whole").isNotNull().alias("is_fragment"),
+    )
+
+
 def previous_line(blocks: DataFrame, page: Sequence[str], order: Sequence[str], kind: str = "block_type", name: str = "context") -> DataFrame:
     """Adds the first line of the last qualifying block before each block on its page: no table, over 10 characters, not in parentheses; else ''."""
     line = tx.strip(tx.first_line(tx.strip(F.col("text"))))
@@ -86,31 +110,33 @@ def table_markdown(raw: Column) -> Column:
     return F.array_join(F.concat(F.array(row(raw[0]), rule), F.transform(F.slice(raw, 2, F.greatest(F.size(raw) - 1, F.lit(0))), row)), "\n")
 
 
-def fragments(records: DataFrame, doc: Sequence[str], order: Sequence[str], table: str = "tbl", heading: Column | None = None) -> DataFrame:
-    """doc, order, md and txt: the Markdown and text pieces of each record, without page footers.
+def fragments(records: DataFrame, doc: Sequence[str], order: Sequence[str], table: str = "tbl") -> DataFrame:
+    """doc, order, md and txt: the Markdown and text pieces of each record, without page footers and the halves of split headings.
 
-    A provenance comment leads each piece; ``##`` marks a change of section (at its heading block if ``heading``
-    holds the item's heading there), ``###`` a title.
+    A provenance comment leads each piece; ``##`` marks a change of section or its heading's record, ``###`` a title.
+    Where records carry section_heading, is_heading and is_fragment (``with_headings``), the heading's line stands at ``##``.
     """
     c = F.col
+    known = lambda name, otherwise: c(name) if name in records.columns else otherwise
+    is_heading, heading = known("is_heading", F.lit(False)), known("section_heading", F.lit(None).cast("string"))
     has_table = c(table).isNotNull() & c(f"{table}.raw_cells").isNotNull() & (F.size(c(f"{table}.raw_cells")) > 0)
-    shown = records.filter(~F.coalesce(tx.footer(c("text"), c(table).isNotNull(), FOOTER) & (tx.strip(F.col("text")) != ""), F.lit(False)))
+    furniture = F.coalesce(tx.footer(c("text"), c(table).isNotNull(), FOOTER) & (tx.strip(c("text")) != ""), F.lit(False))
+    shown = records.filter(~furniture & ~known("is_fragment", F.lit(False)))
     w = Window.partitionBy(*doc).orderBy(*order)
     changed = ~c("section").eqNullSafe(F.lag("section").over(w)) | (F.row_number().over(w) == 1)
     src = F.format_string("<!-- %s p%d %s -->", c("doc_id"), c("page"), c("block_id"))
     body = tx.strip(tx.without_lines(F.coalesce(c("text"), F.lit("")), FOOTER_LINE))
-    is_heading = heading.isNotNull() if heading is not None else F.lit(False)
-    head = heading if heading is not None else F.lit(None).cast("string")
-    figure = F.array(src, F.when(c("figure_path").isNotNull(), F.concat(F.lit("![Figure, page "), c("page").cast("string"), F.lit("]("), c("figure_path"), F.lit(")"))).otherwise("*[Figure]*"), F.when(tx.strip(F.col("text")) != "", tx.strip(F.col("text"))))
+    none = F.expr("cast(array() as array<string>)")
+    picture = F.when(c("figure_path").isNotNull(), F.concat(F.lit("![Figure, page "), c("page").cast("string"), F.lit("]("), c("figure_path"), F.lit(")"))).otherwise("*[Figure]*")
     piece = (
-        F.when(is_heading, F.array(src, F.concat(F.lit("## "), head)))
-        .when(c("block_type") == "Title", F.array(src, F.concat(F.lit("### "), tx.strip(F.col("text")))))
+        F.when(is_heading, F.array(src, F.concat(F.lit("## "), heading)))
+        .when(c("block_type") == "Title", F.array(src, F.concat(F.lit("### "), tx.strip(c("text")))))
         .when((c("block_type") == "Table") & has_table, F.array(src, table_markdown(c(f"{table}.raw_cells"))))
-        .when(c("block_type") == "Figure", figure)
+        .when(c("block_type") == "Figure", F.array(src, picture, F.nullif(tx.strip(c("text")), F.lit(""))))
         .when(body != "", F.array(src, body))
-        .otherwise(F.expr("cast(array() as array<string>)"))
+        .otherwise(none)
     )
-    lead = F.when(c("fm_changed") & ~is_heading & F.coalesce(c("section") != "", F.lit(False)), F.array(F.concat(F.lit("## "), "section"))).otherwise(F.expr("cast(array() as array<string>)"))
+    lead = F.when(c("fm_changed") & ~is_heading & F.coalesce(c("section") != "", F.lit(False)), F.array(F.concat(F.lit("## "), F.coalesce(heading, "section")))).otherwise(none)
     lines = F.array_join(F.transform(c(f"{table}.raw_cells"), lambda r: F.array_join(F.filter(r, lambda x: x != ""), " ")), "\n")
     txt = F.when(has_table, lines).when(body != "", body)
     out = shown.withColumn("fm_changed", changed)

@@ -273,6 +273,16 @@ def status_pivot(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("g").pivot("status", names).agg(F.count(F.lit(1))).na.fill(0)
 
 
+def below_threshold(spark: SparkSession, d: str) -> DataFrame:
+    """Tables of a low status beside the tables of a service (here those of the page, moved), with the shape of ours."""
+    r = table(spark, d, "filing_records").filter("block_type = 'Table'").dropDuplicates(["rec_id"])
+    ours = r.select(*PAGE, F.col("rec_id").alias("seq"), "bbox", "tbl.status", "tbl.method", F.lit(None).cast("double").alias("score"))
+    moved = ours.filter("seq % 3 > 0").select(*PAGE, "seq", geometry.box(F.col("bbox.x0") + 30, F.col("bbox.top") + 10, F.col("bbox.x1") + 30, F.col("bbox.bottom") + 10).alias("bbox"))
+    low = managed.below_threshold(ours, moved, PAGE, ["below_threshold", "no_valid_table"])
+    stats = pages.grid_stats(_grids(spark, d), ["rec_id"]).withColumnRenamed("rec_id", "seq")
+    return low.join(stats, "seq", "left").select("seq", "method", "status", "overlap", "found_seq", "n_rows", "n_cols", "n_numeric", F.round("empty_share", 3).alias("empty_share"))
+
+
 def page_averages(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "documents").select(F.coalesce("source", F.lit("none")).alias("source"), F.coalesce("lang", F.lit("none")).alias("stratum"), (F.col("n_chars") / 4096.0).alias("wer"), (F.col("n_chars") / 8192.0).alias("cer"), F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") % 8 / 8.0).alias("numeric_recall"))
     a = metrics.page_averages(p)
@@ -384,7 +394,7 @@ def yearly_cost(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = (
     statement_pages, ruling_lines, ocr_lines, numbered_tables, region_tables, stems, block_ids, type_totals, grid_stats, yearly_cost, clean_grid, classify_rows, shape_metrics, normalize_grid, column_years, column_names, merged_labels, grid_cells, dense_grid, number_positions,
     best_candidate, ordered_accept, dedupe_first, dedupe_last, occurrences, reading_order, point_in_box, snap_to_box, overlap_argmax, overlap_one_to_one, inside_tables, filter_boxes, image_coverage, page_boxes, pixel_boxes, page_lines, fallback_blocks,
-    fiscal_year_ends, index_facts, map_labels, map_labels_fuzzy, map_labels_curated, reconcile, reconcile_exact, lost_lines, reconcile_summary, cell_scores, micro_scores, path_status, status_pivot, page_averages, quality_gate, stage_summary, cold_start, drift, length_histogram, event_windows, embedded_documents, primary_document,
+    fiscal_year_ends, index_facts, map_labels, map_labels_fuzzy, map_labels_curated, reconcile, reconcile_exact, lost_lines, reconcile_summary, below_threshold, cell_scores, micro_scores, path_status, status_pivot, page_averages, quality_gate, stage_summary, cold_start, drift, length_histogram, event_windows, embedded_documents, primary_document,
 )
 
 
@@ -517,6 +527,10 @@ def oracle_sql() -> dict[str, str]:
         "lost_lines": RECON
         + ", e AS (SELECT doc_id, statement, concept, period_end, arg_min(cell_id, (cell_id, path)) AS cell_id, list(DISTINCT path) AS have FROM recon WHERE status NOT IN ('unmapped', 'xbrl_missing', 'value_missing') GROUP BY ALL) SELECT doc_id, statement, concept, period_end, p.path, cell_id FROM e, (SELECT DISTINCT path FROM recon) p WHERE NOT list_contains(have, p.path)",
         "reconcile_summary": RECON + ", g AS (SELECT path, coalesce(statement, 'ALL') AS statement, status, count(*) AS n FROM recon WHERE value IS NOT NULL GROUP BY GROUPING SETS ((path, statement, status), (path, status))), h AS (SELECT path, statement, CAST(sum(n) AS BIGINT) AS numbers, CAST(coalesce(sum(n) FILTER (status <> 'unmapped'), 0) AS BIGINT) AS mapped, CAST(coalesce(sum(n) FILTER (status IN ('match', 'match_negated')), 0) AS BIGINT) AS match, string_agg(concat(status, '=', n), ',' ORDER BY status) AS counts FROM g GROUP BY path, statement) SELECT path, statement, numbers, mapped, match, round(match / numbers, 4) AS match_rate, round(match / nullif(mapped, 0), 4) AS match_rate_of_mapped, counts FROM h",
+        "below_threshold": f"""WITH {GRID}, {BOXES}, o AS (SELECT b.*, f.method, f.status FROM boxes b JOIN (SELECT rec_id, any_value(tbl.method) AS method, any_value(tbl.status) AS status FROM filing_records GROUP BY rec_id) f ON f.rec_id = b.seq WHERE type = 'Table'), k AS (SELECT doc_id, page, seq, x0 + 30 AS x0, t + 10 AS t, x1 + 30 AS x1, b + 10 AS b FROM o WHERE seq % 3 > 0),
+          j AS (SELECT a.seq, a.method, a.status, k.seq AS ks, CASE WHEN k.seq IS NULL THEN 0 ELSE coalesce({INTER} / nullif(least((a.x1 - a.x0) * (a.b - a.t), (k.x1 - k.x0) * (k.b - k.t)), 0), 0) END AS ratio FROM o a LEFT JOIN k USING (doc_id, page) WHERE a.status IN ('below_threshold', 'no_valid_table')),
+          m AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY seq ORDER BY ratio DESC, ks) = 1), g AS (SELECT rec_id, max(r) + 1 AS n_rows, max(c) + 1 AS n_cols, count(*) FILTER (regexp_full_match(strip(cell), '{text.NUM_SIGNED}')) AS n_numeric, round(count(*) FILTER (strip(cell) = '') / count(*), 3) AS empty_share FROM grids GROUP BY rec_id)
+          SELECT seq, method, status, round(ratio, 2) AS overlap, CASE WHEN ratio > 0.5 THEN ks END AS found_seq, n_rows, n_cols, n_numeric, empty_share FROM m LEFT JOIN g ON g.rec_id = m.seq""",
         "cell_scores": f"WITH {SCORES} SELECT *, {RATIOS} FROM s",
         "micro_scores": f"WITH {SCORES}, h AS (SELECT g % 2 AS h, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(cells_gt) AS BIGINT) AS cells_gt, CAST(sum(cells_pred) AS BIGINT) AS cells_pred FROM s GROUP BY ALL) SELECT *, {RATIOS} FROM h",
         "path_status": f"WITH {STATUS} SELECT cell_id, status FROM s",

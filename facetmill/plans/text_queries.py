@@ -159,8 +159,9 @@ ORDER = ["page", "block_order", "rec_id"]
 
 
 def markdown_export(spark: SparkSession, d: str) -> DataFrame:
-    """Each filing with its title line, all its blocks, their whole text and their tables, and how many footers were left out."""
-    b = _blocks(spark, d).select("rec_id", "doc_id", "page", "section", "block_id", "block_order", "block_type", "text", "tbl", "figure_path", "company", "form", "fiscal_year")
+    """Each filing with its title line, its item headings, all its blocks, their whole text and their tables, and how many footers were left out."""
+    b = _blocks(spark, d).select("rec_id", "doc_id", "page", "section", "block_id", "block_order", "block_type", "text", "tbl", "figure_path", "company", "form", "fiscal_year", "bbox")
+    b = records.with_headings(b, ["doc_id"], ORDER, "rec_id")
     titles = records.titles_of(b, ["doc_id"], ORDER)
     out = records.documents_of(records.fragments(b, ["doc_id"], ORDER), ["doc_id"], ORDER, titles)
     return titles.select("doc_id", "skipped").join(out, "doc_id", "left").select("doc_id", "skipped", "markdown", "plain")
@@ -265,12 +266,21 @@ TRIM = "regexp_replace({x}, '^ +| +$', '', 'g')"
 CHUNK = "concat(chr(10), chr(10))"
 CELL = "strip(replace(replace(x, '|', '\\|'), chr(10), ' '))"
 MD_TABLE = f"array_to_string(list_concat(list_concat([concat('| ', array_to_string(list_transform(raw[1], lambda x: {CELL}), ' | '), ' |')], [concat('|', repeat('---|', len(raw[1])))]), list_transform(raw[2:], lambda r: concat('| ', array_to_string(list_transform(r, lambda x: {CELL}), ' | '), ' |'))), chr(10))"
-EXPORT = rf"""b AS (SELECT rec_id, doc_id, page, section, block_id, block_order, block_type, figure_path, company, form, fiscal_year, text AS t, tbl IS NOT NULL AS has, tbl.raw_cells AS raw FROM {BLOCKS}),
+ITEM_AT, ITEM_REST = r"(?i)^\s*item\s+(\d{1,2}[a-c]?)\s*[.:–—-]", r"(?i)^\s*(\d{1,2}[a-c]?)\s*[.:–—-]\s*\S"
+HEADINGS = rf"""b0 AS (SELECT rec_id, doc_id, page, section, block_id, block_order, block_type, figure_path, company, form, fiscal_year, text AS t, tbl IS NOT NULL AS has, tbl.raw_cells AS raw, bbox, CASE WHEN block_type IN ('Title', 'Text') AND strip(text) <> '' THEN strip(text) END AS y FROM {BLOCKS}),
+h AS (SELECT rec_id, concat('Item ', upper(regexp_extract(y, '{ITEM_AT}', 1))) AS item, strip(split_part(y, chr(10), 1)) AS heading, CAST(NULL AS BIGINT) AS part FROM b0 WHERE length(y) <= 150 AND regexp_matches(y, '{ITEM_AT}')
+  UNION ALL SELECT r.rec_id, concat('Item ', upper(regexp_extract(r.y, '{ITEM_REST}', 1))), concat('Item ', strip(split_part(r.y, chr(10), 1))), min(w.rec_id) FROM b0 r JOIN b0 w ON r.doc_id = w.doc_id AND r.page = w.page AND regexp_matches(w.y, '(?i)^\s*item\s*$')
+    AND least(w.bbox.bottom, r.bbox.bottom) - greatest(w.bbox.top, r.bbox.top) > least(w.bbox.bottom - w.bbox.top, r.bbox.bottom - r.bbox.top) * 0.5 AND w.bbox.x0 <= r.bbox.x0 + 5 AND w.bbox.x1 < r.bbox.x1
+    WHERE length(r.y) <= 150 AND regexp_matches(r.y, '{ITEM_REST}') AND NOT regexp_matches(r.y, '{ITEM_AT}') GROUP BY r.rec_id, r.y),
+b1 AS (SELECT b0.* EXCLUDE (section), coalesce(last_value(item IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page, block_order, rec_id), section) AS section, item, heading FROM b0 LEFT JOIN h USING (rec_id)),
+o1 AS (SELECT doc_id, item AS of, heading AS named, rec_id AS at_rec FROM b1 WHERE item IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id, item ORDER BY page, block_order, rec_id) = 1),
+g1 AS (SELECT part AS rec_id, min(item) AS whole FROM h WHERE part IS NOT NULL GROUP BY part)"""
+EXPORT = rf"""{HEADINGS}, b AS (SELECT b1.* EXCLUDE (section), coalesce(whole, section) AS section, named, coalesce(at_rec = b1.rec_id, false) AS is_heading, whole IS NOT NULL AS is_part FROM b1 LEFT JOIN o1 ON o1.doc_id = b1.doc_id AND o1.of = b1.section LEFT JOIN g1 ON g1.rec_id = b1.rec_id),
 f AS (SELECT *, coalesce(strip(t) <> '' AND NOT has AND NOT contains(strip(t), chr(10)) AND length(strip(t)) <= 80 AND regexp_matches(strip(t), '(\|\s*\d{{4}}\s+Form\s+10-[KQ]\s*\|\s*\d+|^\s*\d{{1,3}})\s*$'), false) AS footer FROM b),
-shown AS (SELECT *, strip(t) AS s, strip(array_to_string(list_filter(string_split(coalesce(t, ''), chr(10)), lambda x: NOT regexp_matches(strip(x), '\|\s*\d{{4}}\s+Form\s+10-[KQ]\s*\|\s*\d+\s*$')), chr(10))) AS body FROM f WHERE NOT footer),
+shown AS (SELECT *, strip(t) AS s, strip(array_to_string(list_filter(string_split(coalesce(t, ''), chr(10)), lambda x: NOT regexp_matches(strip(x), '\|\s*\d{{4}}\s+Form\s+10-[KQ]\s*\|\s*\d+\s*$')), chr(10))) AS body FROM f WHERE NOT footer AND NOT is_part),
 c AS (SELECT *, row_number() OVER w = 1 OR section IS DISTINCT FROM lag(section) OVER w AS changed, concat('<!-- ', doc_id, ' p', page, ' ', block_id, ' -->') AS src FROM shown WINDOW w AS (PARTITION BY doc_id ORDER BY page, block_order, rec_id)),
-p AS (SELECT *, CASE WHEN changed AND section <> '' THEN concat('## ', section) END AS lead,
-  CASE WHEN block_type = 'Title' THEN CASE WHEN s IS NULL THEN src ELSE concat(src, {CHUNK}, '### ', s) END
+p AS (SELECT *, CASE WHEN changed AND NOT is_heading AND section <> '' THEN concat('## ', coalesce(named, section)) END AS lead,
+  CASE WHEN is_heading THEN concat(src, {CHUNK}, '## ', named) WHEN block_type = 'Title' THEN CASE WHEN s IS NULL THEN src ELSE concat(src, {CHUNK}, '### ', s) END
        WHEN block_type = 'Table' AND len(raw) > 0 THEN concat(src, {CHUNK}, {MD_TABLE})
        WHEN block_type = 'Figure' THEN concat(src, {CHUNK}, CASE WHEN figure_path IS NOT NULL THEN concat('![Figure, page ', page, '](', figure_path, ')') ELSE '*[Figure]*' END, CASE WHEN s <> '' THEN concat({CHUNK}, s) ELSE '' END)
        WHEN body <> '' THEN concat(src, {CHUNK}, body) END AS piece,

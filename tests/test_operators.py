@@ -309,6 +309,17 @@ def test_item_headings(spark):
     assert sorted((r["seq"], r["item"], r["heading"], r["fragment_seq"] or 0) for r in records.item_headings(b, ["page"]).collect()) == [(2, "Item 16", "Item 16. Summary", 1), (3, "Item 7", "Item 7 - Analysis", 0)]
 
 
+def test_headings_in_the_export(spark):
+    blocks = [(1, "Title", "Cover", (0, 0, 9, 9)), (2, "Title", "Item", (0, 20, 20, 30)), (3, "Title", "2. Properties", (25, 21, 90, 31)), (4, "Text", "plants", (0, 40, 9, 50)), (5, "Title", "Item 3 – Suits\nnone", (0, 60, 9, 70)), (6, "Text", "later", (0, 80, 9, 90)), (7, "Text", "Item 2. Properties, again", (0, 100, 9, 110)), (8, "Text", "end", (0, 120, 9, 130))]
+    df = spark.createDataFrame([("d", 1, i, f"b{i}", t, x, tuple(map(float, b)), "old", None, None) for i, t, x, b in blocks], f"doc_id string, page int, block_order int, block_id string, block_type string, text string, bbox {BOX}, section string, tbl struct<raw_cells:array<array<string>>>, figure_path string")
+    h = records.with_headings(df, ["doc_id"], ["page", "block_order"], "block_order")
+    assert rows(h, "block_order", "section", "is_heading", "is_fragment") == [(1, "old", False, False), (2, "Item 2", False, True), (3, "Item 2", True, False), (4, "Item 2", False, False), (5, "Item 3", True, False), (6, "Item 3", False, False), (7, "Item 2", False, False), (8, "Item 2", False, False)]
+    md = records.documents_of(records.fragments(h, ["doc_id"], ["page", "block_order"]), ["doc_id"], ["page", "block_order"]).head()["markdown"]
+    at = lambda i: f"<!-- d p1 b{i} -->"
+    assert md == "\n\n".join(["## old", at(1), "### Cover", at(3), "## Item 2. Properties", at(4), "plants", at(5), "## Item 3 – Suits", at(6), "later", "## Item 2. Properties", at(7), "Item 2. Properties, again", at(8), "end"])
+    assert records.with_headings(df.limit(0), ["doc_id"], ["page", "block_order"], "block_order").count() == 0
+
+
 def test_markdown_slice(spark):
     md = "# T\n\n## A\n\n<!-- d p1 b1 -->\n\none\n\n## B\n\n<!-- d p2 b2 -->\n\ntwo\n\n<!-- d p3 b3 -->\n\nthree\n"
     cut = lambda text, low, high: records.slice_pages(spark.createDataFrame([("d", text)], "d string, m string"), ["d"], "m", low, high).head()["slice"]
@@ -335,6 +346,12 @@ def test_response_blocks(spark):
     assert [(r["type"], r["text"]) for r in lines] == [("Text", "x")]
 
 
+def test_below_threshold(spark):
+    t = spark.createDataFrame([(1, 1, "no_valid_table", (0.0, 0.0, 10.0, 10.0)), (1, 2, "accepted", (0.0, 0.0, 10.0, 10.0)), (1, 3, "no_valid_table", (50.0, 50.0, 60.0, 60.0)), (2, 4, "no_valid_table", (0.0, 0.0, 1.0, 1.0))], f"page int, seq int, status string, bbox {BOX}").withColumn("method", F.lit("m")).withColumn("score", F.lit(1.0))
+    f = spark.createDataFrame([(1, 7, (2.0, 0.0, 12.0, 10.0)), (1, 6, (2.0, 0.0, 12.0, 10.0)), (1, 8, (58.0, 50.0, 70.0, 60.0))], f"page int, seq int, bbox {BOX}")
+    assert rows(managed.below_threshold(t, f, ["page"]).fillna(0), "seq", "overlap", "found_seq") == [(1, 0.8, 6), (3, 0.2, 0), (4, 0.0, 0)]
+
+
 def test_import_guards(spark):
     cols = "cache_key string, source_sha256 string, pages int, api string, features string"
     inc = spark.createDataFrame([("n", "s", 1, "A", "TABLES,layout"), ("o", "s", 1, "A", "LAYOUT+TABLES"), ("m", None, 1, "A", "X"), ("u", "z", 1, "A", "X"), ("p", "s", 2, "A", "X"), ("q", "s", 1, "B", "X"), ("f", "s", 1, "A", "FORMS")], cols)

@@ -52,8 +52,8 @@ def test_export_holds_every_block_table_and_character(spark, tmp_path):
         (3, "d", 1, "Item 1", "b3", 3, None, "na\u00efve", None, None), (4, "d", 2, "Item 1", "b4", 1, "List", "\u2022 x", None, None), (5, "d", 11, "Item 1", "b5", 1, "Figure", None, None, "f.png"), (1, "d", 1, "Item 1", "b1", 1, "Title", "R\u00e9sum\u00e9 \u2014 \u03b1", None, None),
     ]
     d = str(tmp_path)
-    rows = [(*r, "Acme", "10-K", 2020) for r in rows] + [(6, "d", 11, "Item 1", "b6", 2, "Text", "\u2003| 2020 Form 10-K | 7\t", None, None, None, None, None)]
-    save(spark, d, "filing_records", rows, "rec_id bigint, doc_id string, page int, section string, block_id string, block_order int, block_type string, text string, tbl struct<raw_cells:array<array<string>>>, figure_path string, company string, form string, fiscal_year int")
+    rows = [(*r, "Acme", "10-K", 2020, None) for r in rows] + [(6, "d", 11, "Item 1", "b6", 2, "Text", "\u2003| 2020 Form 10-K | 7\t", None, None, None, None, None, None)]
+    save(spark, d, "filing_records", rows, "rec_id bigint, doc_id string, page int, section string, block_id string, block_order int, block_type string, text string, tbl struct<raw_cells:array<array<string>>>, figure_path string, company string, form string, fiscal_year int, bbox struct<x0:double,top:double,x1:double,bottom:double>")
     pipe = "|  | 2020 |\n|---|---|\n| Caf\u00e9 \\| bar | 1 \u20ac |"
     shown = {1: "### R\u00e9sum\u00e9 \u2014 \u03b1", 2: pipe, 3: "na\u00efve", 4: "\u2022 x", 5: "![Figure, page 11](f.png)"}
     pages = {1: 1, 2: 1, 3: 1, 4: 2, 5: 11}
