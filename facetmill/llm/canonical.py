@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Iterable
 from functools import cache
 
 import pandas as pd
@@ -190,26 +191,39 @@ TOKEN = re.compile(r"[^\W\d_][̀-ͯ]*(?:[^\W\d_][̀-ͯ]*)*")
 OTHER = re.compile(r"[^\x00-\x7f]")
 
 
-def _scripts_of(ch: str) -> frozenset[str]:
-    script = _script_of(ch)
-    return frozenset((script, *JOINT.get(script, ())))
+_reach: dict[str, frozenset[str]] = {}
+_choices: dict[str, frozenset[str]] = {}
 
 
-def resolved_scripts(token: str, table: Spellings) -> set[str]:
-    """The scripts in which the whole token can be spelled, look-alike letters included."""
-    left: set[str] | None = None
+def _scripts_of(ch: str, table: Spellings) -> frozenset[str]:
+    """The scripts in which a letter, or one that looks like it, is written, with those they are written together with."""
+    known = _reach.get(ch)
+    if known is None:
+        own = table.get(ch) or (_script_of(ch),)
+        known = _reach[ch] = frozenset(s for x in own for s in (x, *JOINT.get(x, ())))
+    return known
+
+
+def resolved_scripts(token: str, table: Spellings) -> frozenset[str]:
+    """The scripts in which the whole token can be spelled, look-alike letters included; kept for the next text that has the token."""
+    known = _choices.get(token)
+    if known is not None:
+        return known
+    left: frozenset[str] | None = None
     for c in token:
         if unicodedata.combining(c):
             continue
-        own = table.get(c)
-        scripts = {s for x in own for s in (x, *JOINT.get(x, ()))} if own else set(_scripts_of(c))
-        left = scripts if left is None else left & scripts
+        left = _scripts_of(c, table) if left is None else left & _scripts_of(c, table)
         if not left:
-            return set()
-    return left or set()
+            break
+    if len(_choices) > 200_000:
+        _choices.clear()
+    out = _choices[token] = left or frozenset()
+    return out
 
 
-def _sure(scripts) -> str | None:
+@cache
+def _sure(scripts: Iterable[str]) -> str | None:
     """The script that is surely meant: the only one, or the only one of the four commonest."""
     common = [s for s in SCRIPTS if s in scripts]
     return common[0] if len(common) == 1 else next(iter(scripts)) if len(scripts) == 1 else None
@@ -221,7 +235,7 @@ def _respell(token: str, script: str, table: Spellings) -> str:
 
 def _best_effort(token: str, table: Spellings) -> str:
     """A token that no one script can spell: each look-alike in the script of the most unambiguous letters, Latin on a tie."""
-    count = Counter(s for c in token if not unicodedata.combining(c) for s in [_sure(table[c] if c in table else (_script_of(c),))] if s)
+    count = Counter(s for c in token if not unicodedata.combining(c) for s in [_sure(frozenset(table.get(c) or (_script_of(c),)))] if s)
     order = [s for s, _ in sorted(count.items(), key=lambda x: (-x[1], x[0] != "LATIN", x[0]))]
     out = []
     for c in token:
@@ -232,7 +246,8 @@ def _best_effort(token: str, table: Spellings) -> str:
     return "".join(out)
 
 
-def _first(scripts) -> str:
+@cache
+def _first(scripts: Iterable[str]) -> str:
     return min(scripts, key=lambda s: (SCRIPTS.index(s) if s in SCRIPTS else len(SCRIPTS), s))
 
 
@@ -245,19 +260,15 @@ def consistent(text: str, table: Spellings | None = None) -> str:
         if not text.isascii():
             text = unicodedata.normalize("NFD", text)
             fixed = Counter()
-            choices: dict[str, set[str]] = {}
             for token in TOKEN.findall(text):
-                scripts = choices.get(token)
-                if scripts is None:
-                    scripts = choices[token] = resolved_scripts(token, table)
-                sure = _sure(scripts)
+                sure = _sure(resolved_scripts(token, table))
                 if sure and len(token) > 1:  # a lone letter may be a symbol
                     fixed[sure] += 1
             around = max(fixed, key=lambda s: (fixed[s], s == "LATIN", s), default="LATIN")
 
             def spell(match: re.Match) -> str:
                 token = match.group(0)
-                scripts = choices[token]
+                scripts = resolved_scripts(token, table)
                 if not scripts:
                     return _best_effort(token, table)
                 return _respell(token, around if around in scripts else _first(scripts), table)
