@@ -32,9 +32,15 @@ class Rule:
     rel: float = 0.0
 
 
-def bucket_count(rows: int, rows_per_bucket: int = 100_000, least: int = 12) -> int:
-    """Buckets that keep a bucket near ``rows_per_bucket`` distinct keys whatever the size of the data."""
-    return max(least, math.ceil(rows / rows_per_bucket))
+def bucket_count(*sides: DataFrame, bytes_per_bucket: int = 4 << 20, least: int = 12) -> int:
+    """Buckets that keep a bucket small whatever the size of the data, from the planner's size of both sides; nothing is run.
+
+    Where the planner knows no size, ten buckets for each shuffle partition.
+    """
+    size = sum(int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) for df in sides)
+    if size >= 1 << 62:
+        return max(least, 10 * int(sides[0].sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return max(least, min(math.ceil(size / bytes_per_bucket), (1 << 31) - 1))
 
 
 def _latest(df: DataFrame, keys: Sequence[str], fields: Sequence[str], version: str | None, buckets: int) -> DataFrame:
@@ -62,7 +68,7 @@ def diff_copies(left: DataFrame, right: DataFrame, keys: Sequence[str], rules: M
     fields = list(rules)
     ways = [rules[f] for f in fields]
     if buckets is None:
-        buckets = bucket_count(left.count() + right.count())
+        buckets = bucket_count(left.select(*keys, *fields), right.select(*keys, *fields))
     a, b = (_latest(df, keys, fields, version, buckets) for df in (left, right))
     key_type = a.schema["fm_key"].dataType
     arrow_key = pa.int64() if isinstance(key_type, T.LongType) else pa.string()
