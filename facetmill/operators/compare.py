@@ -37,7 +37,7 @@ def bucket_count(*sides: DataFrame, bytes_per_bucket: int = 4 << 20, least: int
 
     Where the planner knows no size, ten buckets for each shuffle partition.
     """
-    size = sum(int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) for df in sides)
+    size = sum(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for df in sides)
     if size >= 1 << 62:
         return max(least, 10 * int(sides[0].sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return max(least, min(math.ceil(size / bytes_per_bucket), (1 << 31) - 1))
