@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 from collections.abc import Sequence
+from difflib import SequenceMatcher
 
 import pandas as pd
 import pyarrow as pa
@@ -207,12 +209,27 @@ def char_error_rate(reference: Column, hypothesis: Column) -> Column:
     return error_rate(char_distance(reference, hypothesis), F.char_length(reference), F.char_length(hypothesis))
 
 
-@F.pandas_udf(T.DoubleType())
-def match_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff/Obershelp similarity of two texts."""
-    from difflib import SequenceMatcher
+def match_ratio(a: Column, b: Column, least: float = 0.0) -> Column:
+    """Ratcliff/Obershelp similarity of two texts; null if it is surely below ``least``.
 
-    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
+    Twice the characters the texts have in common, in any order, over those of both is never less than the
+    similarity, and is found out first.
+    """
+
+    @F.arrow_udf(T.DoubleType())
+    def run(left: pa.Array, right: pa.Array) -> pa.Array:
+        counts = {x: Counter(x) for x in {*left.to_pylist(), *right.to_pylist()} if x is not None}
+
+        def ratio(x: str | None, y: str | None) -> float | None:
+            if x is None or y is None:
+                return None
+            p, q = counts[x], counts[y]
+            most = 2 * sum(min(n, q[c]) for c, n in p.items() if c in q)
+            return SequenceMatcher(None, x, y).ratio() if most >= least * (len(x) + len(y)) else None
+
+        return pa.array(map(ratio, left.to_pylist(), right.to_pylist()), pa.float64())
+
+    return run(a, b)
 
 
 def canonical_json(entries: Column) -> Column:

@@ -49,38 +49,48 @@ def index_facts(facts: DataFrame) -> DataFrame:
 
 def label_concepts(labels: DataFrame, normal=text.label_normal) -> DataFrame:
     """lab, concepts array<struct<concept, period_type, negated>>: every concept of a normal label."""
-    rows = labels.withColumn("lab", normal(F.col("label"))).filter("lab <> ''")
-    each = rows.groupBy("lab", "concept").agg(F.max("period_type").alias("period_type"), F.bool_or(F.lower("label_role").contains("negated")).alias("negated"))
-    return each.groupBy("lab").agg(F.array_sort(F.collect_list(F.struct("concept", "period_type", "negated"))).alias("hits"))
+    rows = labels.select(normal(F.col("label")).alias("lab"), F.struct("concept", "period_type", F.lower("label_role").contains("negated").alias("negated")).alias("r")).filter("lab <> ''")
+    each = rows.groupBy("lab").agg(F.collect_set("r").alias("rs"))
+
+    def merged(concept: Column) -> Column:
+        same = F.filter("rs", lambda r: r["concept"] == concept)
+        return F.struct(concept.alias("concept"), F.array_max(F.transform(same, lambda r: r["period_type"])).alias("period_type"), F.coalesce(F.exists(same, lambda r: r["negated"]), F.lit(False)).alias("negated"))
+
+    concepts = F.array_sort(F.array_distinct(F.filter(F.transform("rs", lambda r: r["concept"]), lambda c: c.isNotNull())))
+    return each.select("lab", F.transform(concepts, merged).alias("hits")).filter(F.size("hits") > 0)
 
 
 def nearest_labels(missing: DataFrame, known: DataFrame, cutoff: float = 0.88) -> DataFrame:
-    """lab, near: for each distinct label without a hit the most similar known label, if at least ``cutoff``.
+    """lab, near, near_hits: for each distinct label without a hit the most similar known label, if at least ``cutoff``.
 
-    ``known`` is a label linkbase, a fixed vocabulary: it is joined to the distinct missing labels by length band
-    (similarity r of lengths a, b needs 2 min / (a + b) >= r), the length being part of the join key.
+    ``known`` (lab, hits) is a label linkbase, a fixed vocabulary: it is joined to the distinct missing labels by length
+    band (similarity r of lengths a, b needs 2 min / (a + b) >= r), the length being part of the join key.
     """
-    if cutoff > 1:
-        return missing.select("lab", F.lit(None).cast("string").alias("near")).limit(0)
     m = missing.select("lab").distinct().withColumn("la", F.char_length("lab"))
     reach = (2 - cutoff) / cutoff
     m = m.withColumn("lb", F.explode(F.sequence(F.ceil(F.col("la") / reach).cast("int"), F.floor(F.col("la") * reach).cast("int"))))
-    k = known.select(F.col("lab").alias("near")).distinct().withColumn("lb", F.char_length("near"))
-    j = m.join(k, "lb").withColumn("ratio", text.match_ratio(F.col("lab"), F.col("near"))).filter(F.col("ratio") >= cutoff)
-    return j.groupBy("lab").agg(F.max_by("near", F.struct("ratio", "near")).alias("near"))
+    k = known.select(F.col("lab").alias("near"), F.col("hits").alias("near_hits"), F.char_length("lab").alias("lb"))
+    j = m.join(k, "lb").withColumn("ratio", text.match_ratio(F.col("lab"), F.col("near"), cutoff)).filter(F.col("ratio") >= cutoff)
+    return j.groupBy("lab").agg(F.max_by(F.struct("near", "near_hits"), F.struct("ratio", "near")).alias("b")).select("lab", "b.*")
 
 
-def map_labels(cells: DataFrame, labels: DataFrame, label_map: DataFrame | None = None, cutoff: float = 0.88, normal=text.label_normal) -> DataFrame:
+def map_labels(cells: DataFrame, labels: DataFrame, label_map: DataFrame | None = None, cutoff: float = 0.88, normal=text.label_normal, texts: DataFrame | None = None) -> DataFrame:
     """cells with concepts array<struct<concept, period_type, negated>>, dims_key, map_method.
 
+    Each distinct label is mapped once and joined back; ``texts`` (label) may name the labels of the cells, and more,
+    where they are cheaper to read than the cells.
+
     Order: curated (with the occurrence, then without), linkbase, fuzzy. Among several hits those whose period
     type fits the statement (balance: instant, else duration) count; if none fits all stay, and more than one left is ambiguous.
     """
     hits = label_concepts(labels, normal)
-    texts = cells.select(F.col("label").alias("fm_label")).filter("fm_label is not null").distinct().withColumn("lab", normal(F.col("fm_label"))).join(hits, "lab", "left")
-    near = nearest_labels(texts.filter("hits is null").select("lab"), hits, cutoff)
-    texts = texts.join(near, "lab", "left").join(hits.select(F.col("lab").alias("near"), F.col("hits").alias("near_hits")), "near", "left")
-    j = cells.join(texts, F.col("label") == F.col("fm_label"), "left")  # each distinct label was mapped once
+    known = (cells if texts is None else texts).select(F.col("label").alias("fm_label")).filter("fm_label is not null").distinct().withColumn("lab", normal(F.col("fm_label"))).join(hits, "lab", "left")
+    none = F.lit(None).cast("string")
+    if cutoff > 1:
+        known = known.withColumn("near", none).withColumn("near_hits", F.when(F.lit(False), F.col("hits")))
+    else:
+        known = known.join(nearest_labels(known.filter("hits is null"), hits, cutoff), "lab", "left")
+    j = cells.join(known, F.col("label") == F.col("fm_label"), "left")
     want = F.when(F.col("statement") == "balance", "instant").otherwise("duration")
     every = F.coalesce("hits", "near_hits")
     fit = F.filter(every, lambda h: h["period_type"] == want)
@@ -114,13 +124,14 @@ def reconcile(mapped: DataFrame, facts: DataFrame, key: Sequence[str] | None = N
     """
     one = F.struct("seq", "dims_key", "start_date", "end_date", "instant", "fact_value", "decimals")
     of_concept = facts.groupBy("doc_id", "concept").agg(F.collect_set(one).alias("fm_facts")).withColumnRenamed("concept", "fm_concept")
-    ends = fiscal_year_ends(of_concept.select("doc_id", F.explode("fm_facts").alias("f")).select("doc_id", "f.*"))
+    votes = of_concept.select("doc_id", F.explode("fm_facts").alias("f")).select("doc_id", "f.*").filter("not instant and dims_key = '{}'")
+    ends = fiscal_year_ends(votes.repartition("doc_id"))  # one shuffle for the three groupings
     of_filing = ends.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("year", "fy_end"))).alias("fm_ends"))
 
     rest = [c for c in mapped.columns if c not in (key or mapped.columns)]
     whole = mapped.withColumn("fm_size", F.greatest(F.coalesce(F.size("concepts"), F.lit(0)), F.lit(0)))
     tried = whole.select("*", F.posexplode_outer("concepts").alias("pos", "c")).withColumn("fm_concept", F.col("c.concept"))
-    tried = tried.join(of_concept, ["doc_id", "fm_concept"], "left").join(of_filing, "doc_id", "left")
+    tried = tried.join(of_filing, "doc_id", "left").join(of_concept, ["doc_id", "fm_concept"], "left")
     instant = F.col("c.period_type").eqNullSafe("instant")
     opening = instant & F.coalesce(F.lower("label").contains("beginning"), F.lit(False))
     year = F.when(opening, F.col("year") - 1).otherwise(F.col("year"))

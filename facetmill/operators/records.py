@@ -71,25 +71,35 @@ def with_sections(blocks: DataFrame, doc: Sequence[str], order: Sequence[str], i
     return blocks.withColumn("section", F.coalesce(F.last(item, True).over(w), F.col(layout_section)))
 
 
-def with_headings(records: DataFrame, doc: Sequence[str], order: Sequence[str], seq: str, kind: str = "block_type") -> DataFrame:
+def with_headings(records: DataFrame, doc: Sequence[str], order: Sequence[str], seq: str, kind: str = "block_type", limit: int = 150) -> DataFrame:
     """records with section replaced, and section_heading, is_heading and is_fragment added.
 
-    section is the last item heading so far (``Item 7``), else the record's own. The first heading of an item names
-    it: its line is section_heading of every record of the section, its record is_heading. A lone ``Item`` to the left of
-    a heading is_fragment, and belongs to the heading's section. ``order`` names the page first.
+    section is the last item heading so far (``Item 7``, as in ``item_headings``), else the record's own. The first
+    heading of an item names it: its line is section_heading of every record of the section, its record is_heading. A
+    lone ``Item`` to the left of a heading is_fragment, and belongs to the heading's section. ``order`` names the page
+    first. Windows over pages and filings, after one shuffle by ``doc``.
     """
-    d, page = list(doc), [*doc, order[0]]
-    found = item_headings(records.select(*page, F.col(seq).alias("seq"), F.col(kind).alias("type"), "bbox", "text"), page)
-    found = found.select(*page, F.col("seq").alias("fm_seq"), F.col("item").alias("fm_item"), F.col("heading").alias("fm_heading"), F.col("fragment_seq").alias("fm_fragment"))
-    same = lambda a, b: [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in a] + [b]
-    at = records.alias("a").join(found.alias("b"), same(page, F.col(f"a.{seq}") == F.col("b.fm_seq")), "left").select("a.*", "b.fm_item", "b.fm_heading")
+    d = list(doc)
+    s = tx.strip(F.col("text"))
+    usable = F.col(kind).isin("Title", "Text") & (s != "")
+    short = usable & (F.char_length(s) <= limit)
+    lone = F.when(usable & s.rlike(tx.ITEM_WORD), F.struct(F.col(seq).alias("seq"), F.col("bbox").alias("box")))
+    on_page = Window.partitionBy(*d, order[0])
+    r = records.repartition(*d).withColumn("fm_lone", F.collect_list(lone).over(on_page))
+    left = F.filter("fm_lone", lambda w: g.same_line(w["box"], F.col("bbox")) & (w["box"]["x0"] <= F.col("bbox.x0") + 5) & (w["box"]["x1"] < F.col("bbox.x1")))
+    whole = F.coalesce(short & s.rlike(tx.ITEM), F.lit(False))
+    r = r.withColumn("fm_part", F.when(short & s.rlike(tx.ITEM_REST) & ~whole, F.array_min(F.transform(left, lambda w: w["seq"]))))
+    joined = F.col("fm_part").isNotNull()
+    item = lambda pattern: F.concat(F.lit("Item "), F.upper(F.regexp_extract(s, pattern, 1)))
+    line = tx.strip(tx.first_line(s))
+    r = r.withColumn("fm_item", F.when(whole, item(tx.ITEM)).when(joined, item(tx.ITEM_REST))).withColumn("fm_heading", F.when(whole, line).when(joined, F.concat(F.lit("Item "), line)))
     so_far = Window.partitionBy(*d).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    at = at.withColumn("fm_section", F.coalesce(F.last("fm_item", True).over(so_far), "section"))
-    first = at.filter("fm_item is not null").groupBy(*d, F.col("fm_item").alias("fm_of")).agg(F.min_by(F.struct("fm_heading", seq), F.struct(*order)).alias("fm_first"))
-    at = at.alias("a").join(first.alias("b"), same(d, F.col("a.fm_section") == F.col("b.fm_of")), "left").select("a.*", "b.fm_first")
-    parts = found.filter("fm_fragment is not null").groupBy(*page, "fm_fragment").agg(F.min("fm_item").alias("fm_whole"))
-    at = at.alias("a").join(parts.alias("b"), same(page, F.col(f"a.{seq}") == F.col("b.fm_fragment")), "left").select("a.*", "b.fm_whole")
-    return at.select(
+    r = r.withColumn("fm_section", F.coalesce(F.last("fm_item", True).over(so_far), "section"))
+    first = F.first(F.when(F.col("fm_item") == F.col("fm_section"), F.struct("fm_heading", seq)), True)
+    r = r.withColumn("fm_first", first.over(Window.partitionBy(*d, "fm_section").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    parts = F.collect_list(F.when(joined, F.struct(F.col("fm_part").alias("seq"), F.col("fm_item").alias("item"))))
+    r = r.withColumn("fm_parts", parts.over(on_page)).withColumn("fm_whole", F.array_min(F.transform(F.filter("fm_parts", lambda x: x["seq"] == F.col(seq)), lambda x: x["item"])))
+    return r.select(
         *[c for c in records.columns if c != "section"], F.coalesce("fm_whole", "fm_section").alias("section"), F.col("fm_first.fm_heading").alias("section_heading"),
         F.coalesce(F.col(f"fm_first.{seq}") == F.col(seq), F.lit(False)).alias("is_heading"), F.col("fm_whole").isNotNull().alias("is_fragment"),
     )
@@ -111,19 +121,21 @@ def table_markdown(raw: Column) -> Column:
 
 
 def fragments(records: DataFrame, doc: Sequence[str], order: Sequence[str], table: str = "tbl") -> DataFrame:
-    """doc, order, md and txt: the Markdown and text pieces of each record, without page footers and the halves of split headings.
+    """doc, order, md, txt, furniture and title: the Markdown and text pieces of each record.
 
     A provenance comment leads each piece; ``##`` marks a change of section or its heading's record, ``###`` a title.
-    Where records carry section_heading, is_heading and is_fragment (``with_headings``), the heading's line stands at ``##``.
+    Page footers (``furniture``) and the halves of split headings have no piece. Where records carry section_heading,
+    is_heading and is_fragment (``with_headings``), the heading's line stands at ``##``; where they carry company, form
+    and fiscal_year, title is ``# company form FYyear (doc)``, else null.
     """
     c = F.col
     known = lambda name, otherwise: c(name) if name in records.columns else otherwise
     is_heading, heading = known("is_heading", F.lit(False)), known("section_heading", F.lit(None).cast("string"))
     has_table = c(table).isNotNull() & c(f"{table}.raw_cells").isNotNull() & (F.size(c(f"{table}.raw_cells")) > 0)
     furniture = F.coalesce(tx.footer(c("text"), c(table).isNotNull(), FOOTER) & (tx.strip(c("text")) != ""), F.lit(False))
-    shown = records.filter(~furniture & ~known("is_fragment", F.lit(False)))
-    w = Window.partitionBy(*doc).orderBy(*order)
-    changed = ~c("section").eqNullSafe(F.lag("section").over(w)) | (F.row_number().over(w) == 1)
+    out = records.withColumn("fm_foot", furniture).withColumn("fm_hidden", c("fm_foot") | known("is_fragment", F.lit(False)))
+    w = Window.partitionBy(*doc, "fm_hidden").orderBy(*order)
+    out = out.withColumn("fm_changed", ~c("section").eqNullSafe(F.lag("section").over(w)) | (F.row_number().over(w) == 1))
     src = F.format_string("<!-- %s p%d %s -->", c("doc_id"), c("page"), c("block_id"))
     body = tx.strip(tx.without_lines(F.coalesce(c("text"), F.lit("")), FOOTER_LINE))
     none = F.expr("cast(array() as array<string>)")
@@ -139,30 +151,22 @@ def fragments(records: DataFrame, doc: Sequence[str], order: Sequence[str], tabl
     lead = F.when(c("fm_changed") & ~is_heading & F.coalesce(c("section") != "", F.lit(False)), F.array(F.concat(F.lit("## "), F.coalesce(heading, "section")))).otherwise(none)
     lines = F.array_join(F.transform(c(f"{table}.raw_cells"), lambda r: F.array_join(F.filter(r, lambda x: x != ""), " ")), "\n")
     txt = F.when(has_table, lines).when(body != "", body)
-    out = shown.withColumn("fm_changed", changed)
-    return out.select(*doc, *[c(x) for x in order if x not in doc], F.array_join(F.array_compact(F.concat(lead, piece)), "\n\n").alias("md"), txt.alias("txt"))
+    named = {"company", "form", "fiscal_year"} <= set(records.columns)
+    title = F.format_string("# %s %s FY%s (%s)", c("company"), c("form"), c("fiscal_year").cast("string"), F.concat_ws(" ", *doc)) if named else F.lit(None).cast("string")
+    seen = lambda x: F.when(~c("fm_hidden"), x)
+    return out.select(*doc, *[c(x) for x in order if x not in doc], seen(F.array_join(F.array_compact(F.concat(lead, piece)), "\n\n")).alias("md"), seen(txt).alias("txt"), c("fm_foot").alias("furniture"), title.alias("title"))
 
 
-def documents_of(pieces: DataFrame, doc: Sequence[str], order: Sequence[str], titles: DataFrame | None = None) -> DataFrame:
-    """doc, markdown, plain: the pieces of each document in order. A document must fit one row, as one file of a filing does.
+def documents_of(pieces: DataFrame, doc: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """doc, markdown, plain, skipped (footers): the pieces of each document in order, under the title of the first record.
 
-    ``titles`` (doc, title) gives the line that opens the Markdown.
+    A document must fit one row, as one file of a filing does; without a visible piece it has no texts.
     """
     key = F.struct(*order)
-    join = lambda c: F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct(key.alias("k"), F.col(c).alias("v")))), lambda x: x["v"]), lambda v: v != ""), "\n\n")
-    out = pieces.groupBy(*doc).agg(join("md").alias("markdown"), join("txt").alias("plain"))
-    if titles is None:
-        return out
-    opened = out.join(titles.select(*doc, F.col("title").alias("fm_title")), list(doc), "left")
-    return opened.select(*doc, F.concat_ws("\n\n", "fm_title", F.nullif("markdown", F.lit(""))).alias("markdown"), "plain")
-
-
-def titles_of(records: DataFrame, doc: Sequence[str], order: Sequence[str], table: str = "tbl") -> DataFrame:
-    """doc, title (``# company form FYyear (doc)``, from the first record), skipped (its footers, left out of the export)."""
-    first = F.min_by(F.struct("company", "form", "fiscal_year"), F.struct(*order)).alias("f")
-    furniture = F.coalesce(tx.footer(F.col("text"), F.col(table).isNotNull(), FOOTER) & (tx.strip(F.col("text")) != ""), F.lit(False))
-    named = records.groupBy(*doc).agg(first, F.count_if(furniture).alias("skipped"))
-    return named.select(*doc, F.format_string("# %s %s FY%s (%s)", "f.company", "f.form", F.col("f.fiscal_year").cast("string"), F.concat_ws(" ", *doc)).alias("title"), "skipped")
+    joined = lambda v: F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct(key.alias("k"), v.alias("v")))), lambda x: x["v"]), lambda x: x != ""), "\n\n")
+    shown = F.count("md") > 0
+    out = pieces.groupBy(*doc).agg(F.min_by("title", key).alias("title"), joined(F.col("md")).alias("md"), joined(F.col("txt")).alias("plain"), shown.alias("shown"), F.count_if("furniture").alias("skipped"))
+    return out.select(*doc, F.when(F.col("shown"), F.concat_ws("\n\n", "title", F.nullif("md", F.lit("")))).alias("markdown"), F.when(F.col("shown"), F.col("plain")).alias("plain"), "skipped")
 
 
 def slice_pages(documents: DataFrame, doc: Sequence[str], markdown: str, low: int, high: int, name: str = "slice") -> DataFrame:

@@ -193,7 +193,7 @@ def _cells(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _reconciled(spark: SparkSession, d: str, cutoff: float = 2.0) -> DataFrame:
-    mapped = match.map_labels(_cells(spark, d), table(spark, d, "label_linkbase"), None, cutoff)
+    mapped = match.map_labels(_cells(spark, d), table(spark, d, "label_linkbase"), None, cutoff, texts=table(spark, d, "table_cells"))
     return match.reconcile(mapped, _facts(spark, d), ["cell_id", "path"])
 
 
@@ -210,11 +210,11 @@ def _concepts(m: DataFrame) -> DataFrame:
 
 
 def map_labels(spark: SparkSession, d: str) -> DataFrame:
-    return _concepts(match.map_labels(_cells(spark, d), table(spark, d, "label_linkbase"), None, 2.0))
+    return _concepts(match.map_labels(_cells(spark, d), table(spark, d, "label_linkbase"), None, 2.0, texts=table(spark, d, "table_cells")))
 
 
 def map_labels_fuzzy(spark: SparkSession, d: str) -> DataFrame:
-    return _concepts(match.map_labels(_cells(spark, d), table(spark, d, "label_linkbase"), None, 0.88))
+    return _concepts(match.map_labels(_cells(spark, d), table(spark, d, "label_linkbase"), None, 0.88, texts=table(spark, d, "table_cells")))
 
 
 def map_labels_curated(spark: SparkSession, d: str) -> DataFrame:

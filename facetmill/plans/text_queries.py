@@ -162,9 +162,7 @@ def markdown_export(spark: SparkSession, d: str) -> DataFrame:
     """Each filing with its title line, its item headings, all its blocks, their whole text and their tables, and how many footers were left out."""
     b = _blocks(spark, d).select("rec_id", "doc_id", "page", "section", "block_id", "block_order", "block_type", "text", "tbl", "figure_path", "company", "form", "fiscal_year", "bbox")
     b = records.with_headings(b, ["doc_id"], ORDER, "rec_id")
-    titles = records.titles_of(b, ["doc_id"], ORDER)
-    out = records.documents_of(records.fragments(b, ["doc_id"], ORDER), ["doc_id"], ORDER, titles)
-    return titles.select("doc_id", "skipped").join(out, "doc_id", "left").select("doc_id", "skipped", "markdown", "plain")
+    return records.documents_of(records.fragments(b, ["doc_id"], ORDER), ["doc_id"], ORDER)
 
 
 def markdown_tables(spark: SparkSession, d: str) -> DataFrame:

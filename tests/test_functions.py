@@ -83,6 +83,17 @@ def test_edit_distance_of_any_size():
     assert text.edit_distance(many, many[1:50] + ["x"] + many[50:20_000]) == 30_002
 
 
+def test_match_ratio(spark):
+    from difflib import SequenceMatcher
+
+    rng = random.Random(2)
+    pairs = [("".join(rng.choices("abcde ", k=rng.randint(0, 12))), "".join(rng.choices("abcde ", k=rng.randint(0, 12)))) for _ in range(200)] + [(None, "a"), ("", "")]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    for r in df.select("a", "b", text.match_ratio(F.col("a"), F.col("b")).alias("every"), text.match_ratio(F.col("a"), F.col("b"), 0.7).alias("high")).collect():
+        want = None if r["a"] is None else SequenceMatcher(None, r["a"], r["b"]).ratio()
+        assert r["every"] == want and (r["high"] == want or (want is not None and want < 0.7 and r["high"] is None))
+
+
 def test_plain_values(spark):
     df = spark.createDataFrame([("1,5",), ("\xa07.5\t",), (" ",), ("nan",), ("x",), (None,)], "c string")
     got = [(r[0], r[1]["s"], r[1]["n"]) for r in df.select(numbers.as_number(F.col("c")), numbers.plain_value(F.col("c"))).collect()]
