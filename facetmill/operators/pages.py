@@ -90,7 +90,20 @@ def grid_stats(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     return cells.groupBy(*keys).agg((F.max("r") + 1).alias("n_rows"), (F.max("c") + 1).alias("n_cols"), F.count_if(tx.strip(F.col("cell")).rlike(f"^(?:{tx.NUM_SIGNED})$")).alias("n_numeric"), (F.count_if(tx.strip(F.col("cell")) == "") / F.count(F.lit(1))).alias("empty_share"))
 
 
-def machine(spark: SparkSession) -> DataFrame:
-    """One row of the session's version and settings that timings depend on."""
+def version_of(package: str) -> str:
+    """The installed version of a package, ``absent`` without one."""
+    from importlib import metadata
+
+    try:
+        return metadata.version(package)
+    except metadata.PackageNotFoundError:
+        return "absent"
+
+
+def machine(spark: SparkSession, packages: Sequence[str] = ("pyspark", "pyarrow", "pandas", "numpy")) -> DataFrame:
+    """One row of the session's settings and of the versions that timings depend on."""
+    import platform
+
     conf = dict(spark.sparkContext.getConf().getAll())
-    return spark.createDataFrame([(spark.version, spark.sparkContext.master, conf.get("spark.driver.memory"), conf.get("spark.executor.memory"), spark.conf.get("spark.sql.shuffle.partitions"))], "spark_version string, master string, driver_memory string, executor_memory string, shuffle_partitions string")
+    row = (spark.version, platform.python_version(), spark.sparkContext.master, conf.get("spark.driver.memory"), conf.get("spark.executor.memory"), spark.conf.get("spark.sql.shuffle.partitions"), {p: version_of(p) for p in packages})
+    return spark.createDataFrame([row], "spark_version string, python_version string, master string, driver_memory string, executor_memory string, shuffle_partitions string, packages map<string,string>")

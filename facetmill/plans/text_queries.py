@@ -181,6 +181,14 @@ def markdown_slice(spark: SparkSession, d: str) -> DataFrame:
     return records.slice_pages(markdown_export(spark, d), ["doc_id"], "markdown", 10, 40)
 
 
+def slice_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes of each filing's pages 10 to 40 as Markdown and as text."""
+    b = _blocks(spark, d).filter(io.in_pages(F.col("page"), "10-40"))
+    plain = records.documents_of(records.fragments(b, ["doc_id"], ORDER), ["doc_id"], ORDER).select("doc_id", F.lit("txt").alias("format"), F.col("plain").alias("t"))
+    md = markdown_slice(spark, d).select("doc_id", F.lit("md").alias("format"), F.col("slice").alias("t"))
+    return plain.unionByName(md).filter("t is not null").select("doc_id", "format", metrics.text_sizes(F.col("t")).alias("s")).select("doc_id", "format", "s.*")
+
+
 def record_pages(spark: SparkSession, d: str) -> DataFrame:
     """The records of a page selection, with who made their content."""
     r = _blocks(spark, d).filter(io.in_pages(F.col("page"), "1,3-5, 40-60"))
@@ -248,7 +256,7 @@ def status_counts(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = (
     numeric_tokens, token_counts, last_years, ocr_decision, normalize_text, label_keys, typography, char_error_rate, word_error_rate, numeric_recall_pairs, number_accuracy_pairs, ocr_scores, markdown_to_text, strip_tags, search_snippet,
-    format_sizes, file_hash, cache_key, to_number_cells, caption_scales, classify_status, validate_records, section_forward_fill, previous_line, carried_title, markdown_export, markdown_tables, trace_block, markdown_slice, record_pages,
+    format_sizes, file_hash, cache_key, to_number_cells, caption_scales, classify_status, validate_records, section_forward_fill, previous_line, carried_title, markdown_export, markdown_tables, trace_block, markdown_slice, slice_sizes, record_pages,
     first_marked, inline_values, xml_facts, nested_metrics, scale_json, plain_cells, filings, status_counts,
 )
 
@@ -264,6 +272,8 @@ TRIM = "regexp_replace({x}, '^ +| +$', '', 'g')"
 CHUNK = "concat(chr(10), chr(10))"
 CELL = "strip(replace(replace(x, '|', '\\|'), chr(10), ' '))"
 MD_TABLE = f"array_to_string(list_concat(list_concat([concat('| ', array_to_string(list_transform(raw[1], lambda x: {CELL}), ' | '), ' |')], [concat('|', repeat('---|', len(raw[1])))]), list_transform(raw[2:], lambda r: concat('| ', array_to_string(list_transform(r, lambda x: {CELL}), ' | '), ' |'))), chr(10))"
+FOOT = rf"coalesce(strip(t) <> '' AND NOT has AND NOT contains(strip(t), chr(10)) AND length(strip(t)) <= 80 AND regexp_matches(strip(t), '{records.FOOTER}'), false)"
+BODY = rf"strip(array_to_string(list_filter(string_split(coalesce(t, ''), chr(10)), lambda x: NOT regexp_matches(strip(x), '{records.FOOTER_LINE}')), chr(10)))"
 ITEM_AT, ITEM_REST = r"(?i)^\s*item\s+(\d{1,2}[a-c]?)\s*[.:–—-]", r"(?i)^\s*(\d{1,2}[a-c]?)\s*[.:–—-]\s*\S"
 HEADINGS = rf"""b0 AS (SELECT rec_id, doc_id, page, section, block_id, block_order, block_type, figure_path, company, form, fiscal_year, text AS t, tbl IS NOT NULL AS has, tbl.raw_cells AS raw, bbox, CASE WHEN block_type IN ('Title', 'Text') AND strip(text) <> '' THEN strip(text) END AS y FROM {BLOCKS}),
 h AS (SELECT rec_id, concat('Item ', upper(regexp_extract(y, '{ITEM_AT}', 1))) AS item, strip(split_part(y, chr(10), 1)) AS heading, CAST(NULL AS BIGINT) AS part FROM b0 WHERE length(y) <= 150 AND regexp_matches(y, '{ITEM_AT}')
@@ -274,8 +284,8 @@ b1 AS (SELECT b0.* EXCLUDE (section), coalesce(last_value(item IGNORE NULLS) OVE
 o1 AS (SELECT doc_id, item AS of, heading AS named, rec_id AS at_rec FROM b1 WHERE item IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id, item ORDER BY page, block_order, rec_id) = 1),
 g1 AS (SELECT part AS rec_id, min(item) AS whole FROM h WHERE part IS NOT NULL GROUP BY part)"""
 EXPORT = rf"""{HEADINGS}, b AS (SELECT b1.* EXCLUDE (section), coalesce(whole, section) AS section, named, coalesce(at_rec = b1.rec_id, false) AS is_heading, whole IS NOT NULL AS is_part FROM b1 LEFT JOIN o1 ON o1.doc_id = b1.doc_id AND o1.of = b1.section LEFT JOIN g1 ON g1.rec_id = b1.rec_id),
-f AS (SELECT *, coalesce(strip(t) <> '' AND NOT has AND NOT contains(strip(t), chr(10)) AND length(strip(t)) <= 80 AND regexp_matches(strip(t), '(\|\s*\d{{4}}\s+Form\s+10-[KQ]\s*\|\s*\d+|^\s*\d{{1,3}})\s*$'), false) AS footer FROM b),
-shown AS (SELECT *, strip(t) AS s, strip(array_to_string(list_filter(string_split(coalesce(t, ''), chr(10)), lambda x: NOT regexp_matches(strip(x), '\|\s*\d{{4}}\s+Form\s+10-[KQ]\s*\|\s*\d+\s*$')), chr(10))) AS body FROM f WHERE NOT footer AND NOT is_part),
+f AS (SELECT *, {FOOT} AS footer FROM b),
+shown AS (SELECT *, strip(t) AS s, {BODY} AS body FROM f WHERE NOT footer AND NOT is_part),
 c AS (SELECT *, row_number() OVER w = 1 OR section IS DISTINCT FROM lag(section) OVER w AS changed, concat('<!-- ', doc_id, ' p', page, ' ', block_id, ' -->') AS src FROM shown WINDOW w AS (PARTITION BY doc_id ORDER BY page, block_order, rec_id)),
 p AS (SELECT *, CASE WHEN changed AND NOT is_heading AND section <> '' THEN concat('## ', coalesce(named, section)) END AS lead,
   CASE WHEN is_heading THEN concat(src, {CHUNK}, '## ', named) WHEN block_type = 'Title' THEN CASE WHEN s IS NULL THEN src ELSE concat(src, {CHUNK}, '### ', s) END
@@ -353,6 +363,10 @@ def oracle_sql() -> dict[str, str]:
         "carried_title": f"WITH b AS (SELECT rec_id, doc_id, page, block_order, block_type, substring(strip(regexp_replace(text, '{sql.COLLAPSED}+', ' ', 'g')), 1, 150) AS t FROM {BLOCKS}) SELECT rec_id, last_value(CASE WHEN block_type = 'Title' AND t <> '' THEN t END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page, block_order, rec_id) AS section FROM b",
         "markdown_export": f"WITH {EXPORT} SELECT * FROM export",
         "markdown_slice": SLICE,
+        "slice_sizes": f"""WITH s AS ({SLICE}), b AS (SELECT doc_id, page, block_order, rec_id, tbl.raw_cells AS raw, text AS t, tbl IS NOT NULL AS has FROM {BLOCKS} WHERE page BETWEEN 10 AND 40), f AS (SELECT * FROM b WHERE NOT {FOOT}),
+          x AS (SELECT *, CASE WHEN len(raw) > 0 THEN array_to_string(list_transform(raw, lambda r: array_to_string(list_filter(r, lambda x: x <> ''), ' ')), chr(10)) ELSE {BODY} END AS txt FROM f),
+          a AS (SELECT doc_id, 'md' AS format, slice AS t FROM s WHERE slice IS NOT NULL UNION ALL SELECT doc_id, 'txt', coalesce(string_agg(txt, {CHUNK} ORDER BY page, block_order, rec_id) FILTER (txt <> ''), '') FROM x GROUP BY doc_id)
+          SELECT doc_id, format, CAST(strlen(t) AS BIGINT) AS bytes, CAST(length(t) AS BIGINT) AS chars, CAST(round_even(length(t) / 4, 0) AS BIGINT) AS approx_tokens FROM a""",
         "trace_block": f"WITH {EXPORT} SELECT rec_id, split_part(split_part(markdown, concat(' ', block_id, ' -->', {CHUNK}), 2), {CHUNK}, 1) AS shown FROM b JOIN export USING (doc_id)",
         "markdown_tables": f"SELECT rec_id, {MD_TABLE} AS md FROM (SELECT rec_id, tbl.raw_cells AS raw FROM {BLOCKS}) WHERE len(raw) > 0",
         "record_pages": f"SELECT rec_id, CASE WHEN extractor = 'managed' THEN 'managed' WHEN tbl.method IS NOT NULL THEN tbl.method WHEN ocr THEN 'ocr' WHEN text <> '' THEN 'text-layer' ELSE 'layout' END AS made_by FROM {BLOCKS} WHERE page = 1 OR page BETWEEN 3 AND 5 OR page BETWEEN 40 AND 60",

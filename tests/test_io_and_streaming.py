@@ -99,6 +99,25 @@ def test_too_few_tagged_values(spark):
         io.inline_values(df, ["filing"], ["Year", "Period"]).collect()
 
 
+def test_settled_tables_can_be_released(spark):
+    from pathlib import Path
+
+    from facetmill.sources import checkpoint
+
+    checkpoint.release(spark)
+    kept = checkpoint.settled(spark.createDataFrame([(1, None)], "a int, b string"))
+    assert [tuple(r) for r in kept.collect()] == [(1, None)] and checkpoint.settled(kept.limit(0)).count() == 0
+    folders = list(Path(checkpoint.directory(spark).removeprefix("file:")).glob("facetmill-*"))
+    assert len(folders) >= 2 and checkpoint.release(spark) == 2 and checkpoint.release(spark) == 0
+
+
+def test_machine(spark):
+    from facetmill.operators import pages
+
+    row = pages.machine(spark, ["pyspark", "no-such-package"]).head()
+    assert row["spark_version"] == spark.version and row["packages"] == {"pyspark": pages.version_of("pyspark"), "no-such-package": "absent"}
+
+
 def test_stage_is_built_once(spark, tmp_path):
     calls = []
     df = spark.createDataFrame([(1,)], "a int")
