@@ -291,15 +291,22 @@ def meanings(rows: DataFrame) -> Meanings:
     return choose_meanings([(r["symbol"], r["tagged"], r["ratio"], r["n"]) for r in evidence(rows).collect()])
 
 
-def source_meanings(rows: DataFrame, common: Meanings, least: int = 20) -> DataFrame:
+def source_meanings(rows: DataFrame, common: Meanings, cap: float = 1.5, least: int = 20) -> DataFrame:
     """source, printed and tagged (maps of symbol to factor) of the sources that mean other factors than ``common``.
 
-    The counts of a source, of bounded number like those of ``meanings``, meet in one group.
+    The counts of a source, of bounded number like those of ``meanings``, meet in one group. Sources whose facts with
+    ambiguous symbols cannot save what ``departures`` asks for, whatever the combination, are left out before.
     """
     counts = evidence(rows.filter("source is not null"), ("source",))
+    shift = F.log10(_factor(F.col("tagged"), common.tagged)) - F.log10(_factor(F.col("symbol"), common.printed))
+    residual = F.coalesce(F.col("n") * F.least(F.lit(cap), F.abs(F.col("ratio") + shift)), F.lit(0.0))
+    unsure = F.concat(F.lit("0"), "symbol").isin(*[f"{k}{s}" for k, s in UNSURE]) | F.concat(F.lit("1"), "tagged").isin(*[f"{k}{s}" for k, s in UNSURE])
+    one = Window.partitionBy("source")
+    counts = counts.withColumn("fm_all", F.sum(residual).over(one)).withColumn("fm_unsure", F.sum(F.when(unsure, residual).otherwise(0.0)).over(one))
+    counts = counts.filter((F.col("fm_unsure") >= least * cap * (1 - 1e-9)) & (2 * F.col("fm_unsure") >= F.col("fm_all") * (1 - 1e-9))).drop("fm_all", "fm_unsure")
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:
-        found = departures(zip(group.symbol, group.tagged, group.ratio, group.n, strict=True), common, least=least)
+        found = departures(zip(group.symbol, group.tagged, group.ratio, group.n, strict=True), common, cap, least)
         return pd.DataFrame([(group.source.iloc[0], *x) for x in found], columns=["source", "kind", "symbol", "factor"])
 
     schema = T.StructType([T.StructField(c, T.DoubleType() if c == "factor" else T.StringType()) for c in ("source", "kind", "symbol", "factor")])
