@@ -60,12 +60,12 @@ def distance(a: str, b: str) -> str:
 def word_distances(pairs: str) -> str:
     """CTEs that end in ``distances`` (id, d): the word distance of each row (id, a, b: lists of words) of ``pairs``.
 
-    One step per word of ``a`` renews a row of the table of distances; the running minimum of a window does what the
-    inner loop of a plain model does.
+    One step per word of the shorter list renews a row of the table of distances; the running minimum of a window does
+    what the inner loop of a plain model does.
     """
-    return f"""bw AS (SELECT id, unnest(b) AS w, generate_subscripts(b, 1) AS j FROM {pairs}),
-    steps(id, i, j, d) AS (SELECT id, CAST(0 AS BIGINT), CAST(unnest(range(len(b) + 1)) AS BIGINT), CAST(unnest(range(len(b) + 1)) AS BIGINT) FROM {pairs}
+    return f"""turned AS (SELECT id, CASE WHEN len(a) <= len(b) THEN a ELSE b END AS a, CASE WHEN len(a) <= len(b) THEN b ELSE a END AS b FROM {pairs}), bw AS (SELECT id, unnest(b) AS w, generate_subscripts(b, 1) AS j FROM turned),
+    steps(id, i, j, d) AS (SELECT id, CAST(0 AS BIGINT), CAST(unnest(range(len(b) + 1)) AS BIGINT), CAST(unnest(range(len(b) + 1)) AS BIGINT) FROM turned
       UNION ALL SELECT id, i, j, CAST(j + min(t - j) OVER (PARTITION BY id ORDER BY j ROWS UNBOUNDED PRECEDING) AS BIGINT) FROM (
         SELECT s.id, s.i + 1 AS i, s.j, CASE WHEN s.j = 0 THEN s.i + 1 ELSE least(s.d + 1, lag(s.d) OVER (PARTITION BY s.id ORDER BY s.j) + CASE WHEN p.a[s.i + 1] = bw.w THEN 0 ELSE 1 END) END AS t
-        FROM steps s JOIN {pairs} p ON p.id = s.id AND s.i < len(p.a) LEFT JOIN bw ON bw.id = s.id AND bw.j = s.j)),
-    distances AS (SELECT s.id, s.d FROM steps s JOIN {pairs} p ON p.id = s.id AND s.i = len(p.a) AND s.j = len(p.b))"""
+        FROM steps s JOIN turned p ON p.id = s.id AND s.i < len(p.a) LEFT JOIN bw ON bw.id = s.id AND bw.j = s.j)),
+    distances AS (SELECT s.id, s.d FROM steps s JOIN turned p ON p.id = s.id AND s.i = len(p.a) AND s.j = len(p.b))"""
