@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from facetmill.plans import data_problems, table_queries, text_queries
+from facetmill.plans import data_problems, response_queries, table_queries, text_queries
 
-MODULES = (data_problems, text_queries, table_queries)
+MODULES = (data_problems, text_queries, table_queries, response_queries)
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
