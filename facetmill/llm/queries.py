@@ -38,6 +38,18 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return chunking.split_oversized(records, table(spark, d, "chunk_limits"), ["rec_id", "doc_id", "section", "block_id"], "text", "block_type")
 
 
+def p2_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """The text of each record put together again from its pieces, whether they keep the limit, and what consecutive ones share."""
+    limits = table(spark, d, "chunk_limits").select(F.col("block_type"), "max_chars")
+    kinds = table(spark, d, "filing_records").select("rec_id", "block_type").distinct().join(limits, "block_type", "left").select("rec_id", "max_chars")
+    p = p2_pieces(spark, d).select("rec_id", "n_pieces", "piece_no", "piece_start", "piece_end", "piece").distinct()
+    each = p.groupBy("rec_id").agg(F.array_sort(F.collect_list(F.struct("piece_no", "piece_start", "piece_end", "piece"))).alias("ps"), F.max(F.char_length("piece")).alias("longest"))
+    shared = F.transform("ps", lambda x, i: F.when(i > 0, F.get("ps", i - 1)["piece_end"] - x["piece_start"]))
+    text = F.array_join(F.transform("ps", lambda x, i: F.when(i == 0, x["piece"]).otherwise(F.substring(x["piece"], F.get("ps", i - 1)["piece_end"] - x["piece_start"] + 1, F.char_length(x["piece"])))), "")
+    whole = F.when(F.get("ps", F.lit(0))["piece"].isNotNull(), text)
+    return each.join(kinds, "rec_id").select("rec_id", whole.alias("text"), (F.coalesce(F.col("longest") <= F.col("max_chars"), F.lit(True)) | F.col("max_chars").isNull()).alias("within"), F.array_max(shared).cast("bigint").alias("most_shared"), F.array_min(shared).cast("bigint").alias("least_shared"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Records that had to be cut."""
     return p2_pieces(spark, d).filter((F.col("n_pieces") > 1) & (F.col("piece_no") == 0)).select("rec_id").distinct()
@@ -115,7 +127,7 @@ def p9_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_forms, p1_classes, p2_found, p2_pieces, p3_found, p3_clean, p7_found, p7_leaks, p8_mix, p8_shares, p8_mix_chars, p8_shares_chars, p9_found, p9_kinds, p9_stats)}
+    return {f.__name__: f for f in (p1_found, p1_forms, p1_classes, p2_found, p2_pieces, p2_rebuilt, p3_found, p3_clean, p7_found, p7_leaks, p8_mix, p8_shares, p8_mix_chars, p8_shares_chars, p9_found, p9_kinds, p9_stats)}
 
 
 REPEATED = r"""
@@ -159,6 +171,7 @@ def oracle_sql() -> dict[str, str]:
         + """, g AS (SELECT source, CAST(sum(n) AS BIGINT) AS tokens, count(*) AS uses, max(k) + 1 AS most_uses, sum(n) / sum(sum(n)) OVER () AS reached FROM z GROUP BY source)
         SELECT t.source, w AS target_share, t.m AS max_repeats, CAST(coalesce(a.n, 0) AS BIGINT) AS available_tokens, coalesce(tokens, 0) AS tokens, coalesce(uses, 0) AS uses, CAST(coalesce(most_uses, 0) AS INT) AS most_uses, coalesce(reached, 0) AS reached_share FROM t LEFT JOIN a USING (source, w, m) LEFT JOIN g USING (source)""",
         "p2_found": "SELECT DISTINCT rec_id FROM filing_records r JOIN chunk_limits c USING (block_type) WHERE length(r.text) > c.max_chars",
+        "p2_rebuilt": "WITH r AS (SELECT DISTINCT rec_id, text, block_type FROM filing_records) SELECT rec_id, text, true AS within, CASE WHEN length(text) > max_chars THEN least(coalesce(overlap_chars, 0), max_chars // 2) END AS most_shared, CASE WHEN length(text) > max_chars THEN least(coalesce(overlap_chars, 0), max_chars // 2) END AS least_shared FROM r LEFT JOIN chunk_limits c USING (block_type)",
         "p3_found": REPEATED + "SELECT rec_id, CAST(line_no AS INTEGER) AS line_no FROM hits",
         "p3_clean": REPEATED
         + """, ls AS (SELECT rec_id, text, ticker, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM (SELECT rec_id, text, ticker, row_number() OVER () AS rid FROM filing_records)),
