@@ -210,6 +210,28 @@ def test_words_of():
     assert leakage.words_of("It’s  lot² 5, Tram-\nway!") == ["its", "lot", "5", "tram", "way"]
 
 
+def test_leaks_at_the_edges(spark):
+    item = " ".join(f"word{i}" for i in range(14))
+    filler = "lorem ipsum dolor sit amet " * 100_000  # 2.7 million characters, a part of its own
+    docs = [(1, filler + item, 0), (2, "x " + item.replace(" ", "\n") + " y", 0), (None, item, 0), (3, " ".join(item.split()[:11]), 0), (4, "", 0), (5, None, 0), (2, "x " + item.replace(" ", "\n") + " y", 9)]
+    d = spark.createDataFrame(docs, "id bigint, text string, fm_text int")
+    i = spark.createDataFrame([("a", item, 1), ("a", item, 1), ("b", " ".join(item.split()[1:13]), 1), ("c", None, 1)], "item string, text string, fm_b int")
+    got = sorted(((r["id"] or 0), r["item"], r["shared_runs"], r["item_runs"]) for r in leakage.leaked_items(d, "id", "text", i, "item", "text").collect())
+    assert got == [(k, n, s, s) for k in (0, 1, 2) for n, s in (("a", 3), ("b", 1))]
+    assert leakage.leaked_items(d.limit(0), "id", "text", i, "item", "text").count() == leakage.leaked_items(d, "id", "text", i.limit(0), "item", "text").count() == 0
+
+
+def test_kinds_at_the_edges(spark):
+    prose, entry = "The company sold units in the year and it was paid. ", "- item part\n"
+    docs = [(k, (prose if k % 2 else entry) * 6, "x") for k in range(40)] + [(None, prose, "x"), (50, None, "x"), (51, " \n ", "x"), (52, prose * 30_000, "x"), (52, prose * 30_000, "x")]
+    d = spark.createDataFrame(docs, "id bigint, text string, fm_units string")
+    labels = spark.createDataFrame([(k, "prose" if k % 2 else "o'list") for k in range(40)] * 2 + [(None, "prose"), (51, None)], "id bigint, kind string")
+    got = quality.document_kinds(d, "id", "text", labels, "kind").collect()
+    assert len(got) == len(docs) and {r["kind"] for r in got if r["id"] is not None and r["id"] < 40 and r["id"] % 2 == 0} == {"o'list"}
+    assert all(r["kind"] == "prose" for r in got if r["id"] is None or r["id"] in (50, 51, 52) or r["id"] % 2)
+    assert {r["share_prose"] for r in got if r["id"] in (50, 51)} == {0.0}
+
+
 def test_words_of_a_batch_are_those_of_each_text():
     texts = ["It’s  lot² 5, Tram-\nway!", "", "ΑΣ Σας naïve x\u0301y", "a", "𝔘 \U00020000 one_two 3½", "İst Straße"]
     texts = [canonical.consistent(t) for t in texts]
